@@ -1,0 +1,42 @@
+"""Connected components of an edge table, by alternating stars.
+
+Large-star links each larger neighbour of a node to the least of its closed
+neighbourhood, small-star does so for the others; the rounds end when every edge
+joins a node to its component's least node. Nothing is collected but one number
+a round, and each round's edges are a written table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import written
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: (a, b) with a > b."""
+    if large:
+        pairs = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        pairs = edges
+    least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    joined = pairs.join(least, "a")
+    if large:
+        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node with an edge to another: root is the component's least node."""
+    plain = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+    now = written(plain, "edges")
+    mark = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
+    before = now.agg(mark.alias("mark")).first().mark
+    while before[0]:
+        now = written(_star(_star(now, True), False), "edges")
+        after = now.agg(mark.alias("mark")).first().mark
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
