@@ -10,7 +10,8 @@ one class. Steps:
    values of longer lists, which a class counts as its hot values, a pair must reach
    `floor` times the smaller sketch, i.e. an estimate of about that similarity.
 3. Classes with so many hot values that these alone could reach that are
-   linked to the least class of each of their hot lists, never pair by pair.
+   linked to the least class of each of the rarest of their hot lists that two such
+   classes must share, never pair by pair.
 4. The components of these candidates are blobs. A blob's sets meet in blocks of
    `block` classes, each pair of blocks in one group, where exact Jaccard similarity
    decides and only a spanning forest of the links is emitted.
@@ -65,17 +66,18 @@ def candidate_links(classes: DataFrame, hot: int, floor: float) -> DataFrame:
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n_list"), F.min("node").alias("least")).where("n_list > 1")
     shared = written(entries.join(lists, "value"), "shared")
     need = F.ceil(F.lit(floor) * F.col("k"))
-    heat = shared.where(F.col("n_list") > hot).groupBy("node", "k").agg(F.count(F.lit(1)).alias("heat"))
-    heat = written(heat, "heat")
-    cool = shared.where(F.col("n_list") <= hot).join(heat.drop("k"), "node", "left").select("value", "node", "n", "k", F.coalesce("heat", F.lit(0)).alias("heat"))
+    # At most k entries a class.
+    heat = shared.where(F.col("n_list") > hot).groupBy("node", "k").agg(F.array_sort(F.collect_list(F.struct("n_list", "value", "least"))).alias("hots"))
+    heat = written(heat.withColumn("heat", F.size("hots")), "heat")
+    cool = shared.where(F.col("n_list") <= hot).join(heat.select("node", "heat"), "node", "left").select("value", "node", "n", "k", F.coalesce("heat", F.lit(0)).alias("heat"))
     other = cool.toDF("value", *(f"{c}2" for c in cool.columns[1:]))
     pairs = cool.join(other, "value").where("node < node2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n")
     counted = pairs.groupBy("node", "node2", "k", "k2", "heat", "heat2").agg(F.count(F.lit(1)).alias("both"))
     near = counted.where(F.col("both") + F.least("heat", "heat2") >= F.ceil(F.lit(floor) * F.least("k", "k2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    stuck = heat.where(F.col("heat") >= need).select("node")
-    stars = shared.where(F.col("n_list") > hot).join(stuck, "node").select("value", "node")
-    ends = stars.groupBy("value").agg(F.min("node").alias("least"))
-    return near.unionAll(stars.join(ends, "value").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    # Two classes that share `need` hot values share one of their `heat - need + 1` rarest.
+    rarest = F.slice("hots", 1, F.col("heat") - need.cast("int") + 1)
+    ends = heat.where(F.col("heat") >= need).select("node", F.explode(F.array_distinct(F.transform(rarest, lambda x: x["least"]))).alias("least"))
+    return near.unionAll(ends.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
 
 
 def similar_forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
