@@ -136,7 +136,9 @@ def records_from(file, start: int, end: int, piece: int = 1 << 16) -> Iterator[b
 def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     """The records of archives (path, bytes), read in byte ranges of `split_bytes`."""
     splits = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
-    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end")).repartition("path", "start")
+    # A given number of partitions: adaptive execution would merge these few short rows into one task.
+    n = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0))).first()[0]
+    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end")).repartition(max(1, min(int(n), 100_000)))
     names = RECORD.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
