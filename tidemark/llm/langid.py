@@ -76,7 +76,8 @@ class CrossParser:
     """One language's automaton as a dense table over the bytes that its text has.
 
     An entry is twice the row of the next state, plus 1 where a phrase ends before
-    the byte and the next one begins with it.
+    the byte and the next one begins with it. The last row is that of the start and
+    of what follows a byte that the text lacks, which is a phrase of its own.
     """
 
     def __init__(self, text: bytes):
@@ -85,8 +86,9 @@ class CrossParser:
         self.width = len(seen) + 1
         self.symbol = np.full(256, len(seen), np.int64)
         self.symbol[seen] = np.arange(len(seen))
-        root = np.array([2 * self.width * step[0][c] + 1 for c in seen] + [1], np.int64)
-        self.table = np.tile(root.astype(np.int32), (len(step), 1))
+        self.start = self.width * len(step)
+        root = np.array([2 * self.width * step[0][c] + 1 for c in seen] + [2 * self.start + 1], np.int64)
+        self.table = np.tile(root.astype(np.int32), (len(step) + 1, 1))
         for row, edges in zip(self.table, step):
             for c, to in edges.items():
                 row[self.symbol[c]] = 2 * self.width * to
@@ -95,7 +97,7 @@ class CrossParser:
 
     def phrases(self, cells: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrases of each cell. cells: [byte, cell], cells by falling length; active: cells with that many bytes or more."""
-        state, count = np.zeros(cells.shape[1], np.int64), np.ones(cells.shape[1], np.int64)
+        state, count = np.full(cells.shape[1], self.start), np.zeros(cells.shape[1], np.int64)
         for row, n in zip(cells, active):
             got = self.table[state[:n] + self.symbol[row[:n]]]
             count[:n] += got & 1

@@ -149,7 +149,7 @@ def _forests(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 48, hot: int = 64, floor: float = 0.4, block: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(id, n_shingles, component_id) for each row: component_id is the least id reachable.
+    """(id, key, n_shingles, component_id) for each row: key is xxhash64 of the text, component_id the least id reachable.
 
     Texts are read twice; the second time only those of one member of each class in
     a blob go on, found by (id, hash of the text) with a broadcast up to
@@ -175,4 +175,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     merged = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     alone = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_least")).withColumnRenamed("node", "_node")
     known = alone.join(merged.withColumnRenamed("node", "_node"), "_node", "left").select("_node", F.coalesce("component_id", "_least").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "node").join(known, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.select("doc_id", "key", "n_shingles", "node").join(known, F.col("node") == F.col("_node"), "left").select("doc_id", "key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -72,7 +72,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
