@@ -33,10 +33,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, that with the least doc_id, and of repeated rows one."""
+    """Keep one document of each group, that with the least doc_id, and of repeated rows one; rows without an id can't lose."""
     bounded_batches(spark)
-    found = neardup.near_duplicates(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    lost = neardup.near_duplicates(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id", "key").distinct()
+    keyed = docs.select(COLUMNS).withColumn("key", F.xxhash64("text"))
+    return keyed.join(lost, ["doc_id", "key"], "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
