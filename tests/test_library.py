@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import bookings, entity
+from tidemark.operators import bookings, entity, payments
 from tidemark.plans import repairs, rules
 from tidemark.sources import readers, sinks
 from tidemark.streaming.rules import stream_issues
@@ -61,6 +61,29 @@ def test_texts(spark):
     assert value(spark, text.is_phone("x"), x="061412345678") is False
 
 
+def test_fixes_are_logged_in_order(families):
+    df, service_map = families
+    scope = repairs.in_scope(df, service_map)
+    logged = repairs.logged_repairs(repairs.normalise_states(scope, repairs.modal_states(scope)))
+    fixed = repairs.fixed_issues(logged, ["row_num"])
+    assert {r.severity for r in fixed.collect()} == {"FIXED"} and fixed.where("field = 'Child_Legacy_Id'").count() == 5
+    # The logged run differs from the plain one by its last step only, which here changes nothing.
+    assert logged.select(HEADER).exceptAll(repairs.repair(df, service_map).select(HEADER)).count() == 0
+
+
+def test_payment_files(spark, tmp_path):
+    plan = {"row_num": 2, "service_id": "182", "service_name": "", "parent_id": "P", "parent_fn": "Pat ", "parent_ln": "Lee", "child_id": "9", "start_date": "2024-1-5", "weekday": "friday", "manual": "No", "cycle": "", "dd_limit": "", "fixed_amount": ""}
+    rows = spark.createDataFrame([tuple(plan.values()), tuple((plan | {"row_num": 3, "service_id": "7"}).values())], list(plan))
+    services = readers.service_map_of(spark, [("Sunny", "9999-182", "182", "122956")])
+    repaired = payments.repair_plans(rows)
+    split = payments.split_plans(repaired, services, spark.createDataFrame([], "dbid long, service_id string, name string"))
+    sinks.write_payment_splits(payments.import_template(split, services), str(tmp_path / "out"))
+    (got,) = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert (got.Service_Name, got.Child_Legacy_Id, got.Direct_Debit_Start_Date, got.Direct_Debit_Day, got.service_label) == ("Sunny", "122956_9", "05/01/2024", "Fri", "Sunny")
+    sinks.write_repaired_payments(repaired, ["parent_fn", "weekday"], str(tmp_path / "all"))
+    assert [r.parent_fn for r in spark.read.option("header", True).csv(str(tmp_path / "all")).collect()] == ["Pat", "Pat"]
+
+
 def test_empty_tables(spark, families):
     df, service_map = families
     fixed = repairs.repair(df.limit(0), service_map)

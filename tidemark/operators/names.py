@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 
 
+def names_used(bookings: DataFrame, name: str) -> DataFrame:
+    """(service_legacy_id, name): the distinct names that bookings of a service use."""
+    return bookings.select(text.strip("service_legacy_id").alias("service_legacy_id"), text.strip(name).alias(name)).where(f"service_legacy_id <> '' and {name} <> ''").distinct()
+
+
 def undefined_names(usage: DataFrame, catalog: DataFrame, service_map: DataFrame, name: str, map_key: str) -> DataFrame:
     """(service_name, name, suggestions) of used names that the service's catalog lacks.
 

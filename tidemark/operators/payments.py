@@ -10,6 +10,22 @@ from tidemark.functions import dates, text
 #: The error kinds in order of priority, and the accepted cycles.
 KINDS = ("weekend", "missing_date", "missing_weekday", "missing_parent", "missing_service_id", "invalid_cycle", "manual_not_monday", "negative_limit", "negative_fixed", "both_amounts", "unparseable_date", "unknown_weekday")
 CYCLES = ("weekly", "fortnightly", "monthly")
+#: Columns of the import file after the service's two, and what fills them.
+TEMPLATE = {
+    "Parent_Legacy_Id": "parent_id",
+    "Parent_First_Name": "parent_fn",
+    "Parent_Last_Name": "parent_ln",
+    "Child_Legacy_Id": "child_id",
+    "Child_First_Name": "child_fn",
+    "Child_Last_Name": "child_ln",
+    "Direct_Debit_Start_Date": "start_date",
+    "Direct_Debit_Day": "weekday",
+    "Manual": "manual",
+    "Billing_Cycle": "cycle",
+    "Direct_Debit_Limit": "dd_limit",
+    "Fixed_Amount": "fixed_amount",
+    "Gateway_Reference": "gateway",
+}
 
 
 def map_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -73,6 +89,14 @@ def split_plans(repaired: DataFrame, service_map: DataFrame, source_services: Da
     return out.withColumn("file_row", row.cast("long")).withColumn("child_id", F.when(F.col("child_id") == "", "").otherwise(F.concat_ws("_", "target", "child_id"))).drop("_id", "_target", "_name", "_named")
 
 
+def import_template(split: DataFrame, service_map: DataFrame) -> DataFrame:
+    """Split rows in the columns of the import file, and file_row. Columns that the input lacks are blank."""
+    named = service_map.where(~text.is_blank("target_service_id")).groupBy(text.strip("target_service_id").alias("target")).agg(F.max_by(text.strip("service_name"), "map_ord").alias("_named"))
+    cells = {"Service_ID": "target", "Service_Name": "_named"} | TEMPLATE
+    given = {*split.columns, "_named"}
+    return split.join(named, "target").select("file_row", *((F.col(c) if c in given else F.lit("")).alias(out) for out, c in cells.items()))
+
+
 def renumber(errors: DataFrame, split: DataFrame) -> DataFrame:
     """Errors with the row's number in its file; rows in no file keep their own."""
     return errors.join(split.select("row_num", "file_row", "target"), "row_num", "left").withColumn("file_row", F.coalesce("file_row", "row_num"))

@@ -26,6 +26,15 @@ def tagged_summary(issues: DataFrame, tags: tuple[str, ...] = ("duplicate_parent
     return out.withColumn("service", F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("service"))).drop("_all")
 
 
+def client_issues(fixed: DataFrame, split: DataFrame, tags: tuple[str, ...] = ("duplicate_parent_email", "redundant_ec")) -> DataFrame:
+    """The issues that go to clients, with service and the row's number in that service's file."""
+    return renumbered(fixed.where(F.col("tag").isin(*tags)), split)
+
+
+def severity_counts(issues: DataFrame) -> DataFrame:
+    return issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def issue_breakdown(issues: DataFrame) -> DataFrame:
     """(field, severity, n, place), the most frequent first; the window runs over the few groups."""
     counts = issues.groupBy("field", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -112,11 +112,60 @@ def booleans_to_bits(df: DataFrame) -> DataFrame:
     return df.withColumns({f: F.when(text.norm(f) == "true", "1").when(text.norm(f) == "false", "0").otherwise(F.col(f)) for f in CONTACT_FLAGS if f in df.columns})
 
 
-def repair(df: DataFrame, service_map: DataFrame, *, drop_waitlist: bool = False) -> DataFrame:
-    """All repairs in their order, up to the row rules. Rows of unknown services leave, as the map then lists others."""
+def in_scope(df: DataFrame, service_map: DataFrame, *, drop_waitlist: bool = False) -> DataFrame:
+    """The rows to import, with target ids: those of known services and, if asked, not of the waitlist."""
     if drop_waitlist and "Status" in df.columns:
         df = df.where(text.norm("Status") != "waitlist")
-    df = map_services(df, service_map).where("id_source in ('target', 'source', 'name')").drop("id_source")
+    return map_services(df, service_map).where("id_source in ('target', 'source', 'name')").drop("id_source")
+
+
+#: The tags of issues that go to clients.
+DUPLICATE_EMAIL, REDUNDANT_CONTACT = "duplicate_parent_email", "redundant_ec"
+
+
+def _emails(*people: str) -> list[str]:
+    return [f"{p}_Email" for p in people]
+
+
+#: The repairs after the mapping of services, in their order: step, fields, what it does, and a tag by field.
+STEPS = [
+    (dedup_emails, _emails("Parent2", *CONTACTS), "cleared repeated address", {"Parent2_Email": DUPLICATE_EMAIL}),
+    (clear_shared_crn, ["Child_CRN"], "cleared a parent's CRN", {}),
+    (fill_first_names, [f"{s}_First_Name" for s in NAME_SLOTS], "took the last name", {}),
+    (prefix_legacy_ids, ["Child_Legacy_Id", "Parent2_Legacy_Account_ID"], "marked the id", {}),
+    (fix_phones, PHONES, "added the leading zero", {}),
+    (default_consent, ["Consents_Photos", "Consents_Photos_Videos"], "set to N", {}),
+    (booleans_to_bits, CONTACT_FLAGS, "written as 0 or 1", {}),
+    (clear_redundant_contacts, _emails(*CONTACTS), "cleared a parent's address", dict.fromkeys(_emails(*CONTACTS), REDUNDANT_CONTACT)),
+]
+
+
+def logged_repairs(df: DataFrame, steps: list[tuple] | None = None) -> DataFrame:
+    """Apply the steps and add fixes, an array of (field, before, after, action, tag), all in one narrow pass."""
+    fix = "array<struct<field:string,before:string,after:string,action:string,tag:string>>"
+    df = df.withColumn("fixes", F.array().cast(fix))
+    for step, fields, action, tags in STEPS if steps is None else steps:
+        fields = [f for f in fields if f in df.columns]
+        before = {f"_before_{i}": F.col(f) for i, f in enumerate(fields)}
+        if not fields:
+            continue
+        df = step(df.withColumns(before))
+        pairs = [(f, F.col(b), F.col(f)) for f, b in zip(fields, before)]
+        found = F.array(*(F.when(~old.eqNullSafe(new), F.struct(F.lit(f).alias("field"), old.alias("before"), new.alias("after"), F.lit(action).alias("action"), F.lit(tags.get(f)).cast("string").alias("tag"))) for f, old, new in pairs))
+        df = df.withColumn("fixes", F.concat("fixes", F.array_compact(found))).drop(*before)
+    return df
+
+
+def fixed_issues(logged: DataFrame, keep: list[str]) -> DataFrame:
+    """The fixes as issues: `keep` columns, field, before, after, action, tag and the severity FIXED."""
+    # An inner explode would infer a filter on `fixes`, which the optimizer then copies through all repairs.
+    each = logged.select(*keep, F.explode_outer("fixes").alias("fix")).where("fix is not null")
+    return each.select(*keep, "fix.*", F.lit("FIXED").alias("severity"))
+
+
+def repair(df: DataFrame, service_map: DataFrame, *, drop_waitlist: bool = False) -> DataFrame:
+    """All repairs in their order, up to the row rules. Rows of unknown services leave, as the map then lists others."""
+    df = in_scope(df, service_map, drop_waitlist=drop_waitlist)
     df = normalise_states(df, modal_states(df))
     for step in (dedup_emails, clear_shared_crn, fill_first_names, prefix_legacy_ids, fix_phones, default_consent, booleans_to_bits):
         df = step(df)

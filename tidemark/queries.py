@@ -9,6 +9,7 @@ from tidemark.fixtures import view, with_views
 from tidemark.functions import dates, text
 from tidemark.operators import balances, bookings, crossrow, entity, names, payments, reports
 from tidemark.plans import repairs, rules
+from tidemark.sources import sinks
 
 AS_OF = "2025-01-01"
 QUERIES: dict[str, object] = {}
@@ -399,3 +400,74 @@ def auto_linked_profiles(v):
 @query(_PARENT_PAIRS + """, m AS (SELECT a AS ord, contact FROM p UNION SELECT b, contact FROM p) SELECT ord, contact AS matched_on, fn || ' ' || ln AS parent_name, service FROM m JOIN prof USING (ord)""")
 def duplicate_parent_detail(v):
     return reports.duplicate_parents(entity.profiles(v("fx_families")))
+
+
+@query(_KEYS + " SELECT row_num, t AS ServiceID FROM m WHERE t IS NOT NULL AND lower(Status) <> 'waitlist'")
+def import_scope(v):
+    return repairs.in_scope(v("fx_families"), v("fx_service_map"), drop_waitlist=True).select("row_num", "ServiceID")
+
+
+@query(f"WITH i AS ({_ISSUES}) SELECT severity, count(*) AS n FROM i GROUP BY severity")
+def severity_counts(v):
+    return reports.severity_counts(_form_issues(v("fx_families")))
+
+
+_EMAIL_FIXES = """x AS (SELECT row_num, ServiceID, Parent1_Email AS p1, Parent2_Email AS p2, EmergencyContact1_Email AS e1, EmergencyContact2_Email AS e2 FROM fx_families),
+i AS (SELECT row_num, ServiceID AS service, 'Parent2_Email' AS field, p2 AS before, 'duplicate_parent_email' AS tag FROM x WHERE p2 <> '' AND lower(p2) = lower(p1)
+ UNION ALL SELECT row_num, ServiceID, 'EmergencyContact1_Email', e1, 'redundant_ec' FROM x WHERE e1 <> '' AND lower(e1) IN (lower(p1), lower(p2))
+ UNION ALL SELECT row_num, ServiceID, 'EmergencyContact2_Email', e2, 'redundant_ec' FROM x WHERE e2 <> '' AND lower(e2) <> lower(e1) AND lower(e2) IN (lower(p1), lower(p2)))"""
+
+
+def _fixed(v):
+    return repairs.fixed_issues(repairs.logged_repairs(v("fx_families")), ["row_num", "ServiceID"]).withColumnRenamed("ServiceID", "service")
+
+
+@query(f"WITH {_EMAIL_FIXES}, s AS (SELECT row_num, CAST(row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS INTEGER) AS split_row FROM fx_families) SELECT service, split_row, field, before, tag FROM i JOIN s USING (row_num)")
+def client_report(v):
+    f = v("fx_families")
+    return reports.client_issues(_fixed(v).drop("service"), repairs.split_rows(f)).select("service", "split_row", "field", "before", "tag")
+
+
+@query(f"WITH {_EMAIL_FIXES} SELECT coalesce(service, 'TOTAL') AS service, count(*) FILTER (tag = 'duplicate_parent_email') AS duplicate_parent_email, count(*) FILTER (tag = 'redundant_ec') AS redundant_ec FROM i GROUP BY ROLLUP (service)")
+def client_summary(v):
+    return reports.tagged_summary(_fixed(v))
+
+
+@query(rf"""WITH c AS (SELECT *, lower(EmergencyContact1_Emergency_Contact) AS flag FROM fx_families)
+SELECT 'cleared repeated address' AS action, count(*) FILTER (Parent2_Email <> '' AND lower(Parent2_Email) = lower(Parent1_Email)) + count(*) FILTER (lower(EmergencyContact2_Email) = lower(EmergencyContact1_Email)) AS n FROM c
+UNION ALL SELECT 'cleared a parent''s CRN', count(*) FROM c WHERE Child_CRN = Parent1_CRN
+UNION ALL SELECT 'took the last name', count(*) FROM c WHERE Child_First_Name = ''
+UNION ALL SELECT 'marked the id', count(*) FROM c WHERE Child_Legacy_Id <> '0'
+UNION ALL SELECT 'added the leading zero', count(*) FROM c WHERE regexp_matches({_PLAIN('Parent1_Contact_Mobile')}, '^[1-9]\d*$')
+UNION ALL SELECT 'set to N', count(*) FROM c WHERE Consents_Photos_Videos = ''
+UNION ALL SELECT 'written as 0 or 1', count(*) FROM c WHERE flag IN ('true', 'false')
+UNION ALL SELECT 'cleared a parent''s address', count(*) FROM c WHERE lower(EmergencyContact1_Email) IN (lower(Parent1_Email), lower(Parent2_Email))""")
+def repair_counts(v):
+    return _fixed(v).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT row_num, arg_min(Service_Name, row_num) OVER (PARTITION BY ServiceID) AS service_label, CAST(row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS INTEGER) AS split_row FROM fx_families")
+def family_split(v):
+    return sinks.family_splits(v("fx_families")).select("row_num", "service_label", "split_row")
+
+
+@query(f"WITH {_TEMPLATE} SELECT src_row, CASE week_type WHEN 'CASUAL' THEN 'Casual' ELSE 'Recurring' END AS booking_kind, CASE service_id WHEN '' THEN 'UNMAPPED' ELSE service_id END AS service_label FROM b")
+def booking_split(v):
+    return sinks.booking_splits(_template(v)).select("src_row", "booking_kind", "service_label")
+
+
+@query("SELECT DISTINCT service_legacy_id, fee_name FROM fx_bookings")
+def fee_names_used(v):
+    return names.names_used(v("fx_bookings"), "fee_name")
+
+
+@query(_SPLIT + """ SELECT file_row, target AS Service_ID, m.service_name AS Service_Name, parent_id AS Parent_Legacy_Id, fn AS Parent_First_Name, ln AS Parent_Last_Name, target || '_' || child_id AS Child_Legacy_Id, '' AS Child_First_Name, '' AS Child_Last_Name,
+ coalesce(strftime(pd, '%d/%m/%Y'), start_date) AS Direct_Debit_Start_Date, coalesce(wd, weekday) AS Direct_Debit_Day, manual AS Manual, cycle AS Billing_Cycle, dd_limit AS Direct_Debit_Limit, fixed_amount AS Fixed_Amount, '' AS Gateway_Reference
+ FROM f JOIN fx_service_map m ON m.target_service_id = target""")
+def payment_template(v):
+    return payments.import_template(_split(v)[1], v("fx_service_map"))
+
+
+@query(_PLAN + " SELECT row_num, child_id, value FROM e WHERE kind = 'weekend'")
+def payment_weekend(v):
+    return payments.plan_errors(payments.repair_plans(v("fx_payment_plans"))).where("kind = 'weekend'").select("row_num", "child_id", "value")

@@ -9,19 +9,37 @@ from tidemark.functions import text
 from tidemark.plans.repairs import split_rows
 
 
-def write_family_splits(df: DataFrame, columns: list[str], path: str, fmt: str = "csv") -> None:
-    """A folder a service, labelled by the service name of its first row, else by its id; rows in order."""
+def family_splits(df: DataFrame) -> DataFrame:
+    """Add service, split_row and service_label: the service name of the service's first row, else its id."""
     rows = split_rows(df)
     label = rows.groupBy("service").agg(F.min_by(text.strip("Service_Name") if "Service_Name" in df.columns else F.lit(""), "row_num").alias("label"))
-    out = rows.join(label, "service").withColumn("service_label", text.file_label(F.coalesce(text.or_null(F.col("label")), F.col("service"))))
-    _write(out.select("service_label", "row_num", *columns), ["service_label"], "row_num", path, fmt)
+    return rows.join(label, "service").withColumn("service_label", text.file_label(F.coalesce(text.or_null(F.col("label")), F.col("service")))).drop("label")
 
 
-def write_booking_splits(template: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Folders of kind (casual, recurring) and service; rows of unmapped services under UNMAPPED."""
+def write_family_splits(df: DataFrame, columns: list[str], path: str, fmt: str = "csv") -> None:
+    """A folder a service label; rows in order."""
+    _write(family_splits(df).select("service_label", "row_num", *columns), ["service_label"], "row_num", path, fmt)
+
+
+def booking_splits(template: DataFrame) -> DataFrame:
+    """Add booking_kind (Casual or Recurring) and service_label, UNMAPPED for rows of unmapped services."""
     kind = F.when(F.upper("week_type") == "CASUAL", "Casual").otherwise("Recurring")
-    out = template.withColumns({"booking_kind": kind, "service_label": F.coalesce(text.or_null(text.file_label("service_id")), F.lit("UNMAPPED"))})
-    _write(out, ["booking_kind", "service_label"], "src_row", path, fmt)
+    return template.withColumns({"booking_kind": kind, "service_label": F.coalesce(text.or_null(text.file_label("service_id")), F.lit("UNMAPPED"))})
+
+
+def write_booking_splits(template: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Folders of kind and service."""
+    _write(booking_splits(template), ["booking_kind", "service_label"], "src_row", path, fmt)
+
+
+def write_payment_splits(template: DataFrame, path: str, fmt: str = "csv") -> None:
+    """A folder a service name, in the columns of the import file; rows in order."""
+    _write(template.withColumn("service_label", text.file_label("Service_Name")), ["service_label"], "file_row", path, fmt)
+
+
+def write_repaired_payments(repaired: DataFrame, columns: list[str], path: str) -> None:
+    """All repaired payment plans in the columns of the input."""
+    repaired.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_balances(resolved: DataFrame, path: str, fmt: str = "csv") -> None:
