@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, linededup, mixing, neardup
-from tidemark.llm.common import bounded_batches, table, written
+from tidemark.llm.common import bounded_batches, small, table, written
 from tidemark.llm.queries import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,9 +35,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group, that with the least doc_id, and of repeated rows one; rows without an id can't lose."""
     bounded_batches(spark)
-    lost = neardup.near_duplicates(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id", "key").distinct()
+    found = neardup.near_duplicates(docs)
+    loses = F.coalesce((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")), F.lit(False))
+    marks = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.max(loses).alias("_lost"), (F.count(F.lit(1)) > 1).alias("_again"))
+    marks = small(written(marks.where("_lost or _again"), "marks"), 250_000)
     keyed = docs.select(COLUMNS).withColumn("key", F.xxhash64("text"))
-    return keyed.join(lost, ["doc_id", "key"], "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    kept = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").where(~F.coalesce("_lost", F.lit(False)))
+    # Only repeated rows are shuffled by their texts.
+    once = kept.where(F.coalesce("_again", F.lit(False))).dropDuplicates(["doc_id", "key"])
+    return kept.where("_again is null").unionByName(once).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
