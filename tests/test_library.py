@@ -84,6 +84,21 @@ def test_payment_files(spark, tmp_path):
     assert [r.parent_fn for r in spark.read.option("header", True).csv(str(tmp_path / "all")).collect()] == ["Pat", "Pat"]
 
 
+def test_payment_error_detail(spark):
+    names = ["row_num", "service_id", "service_name", "parent_id", "parent_fn", "parent_ln", "child_id", "start_date", "weekday", "manual", "cycle", "dd_limit", "fixed_amount"]
+    rows = [(2, "1", "S", "P", None, "Lee", "9", "2024-1-6", "sun", "yes", "Daily", "5", "7"), (70_000, "1", "S", "P", "Pat", "Lee", "9", "soon", "sat", "", "", "-1", "")]
+    repaired = payments.repair_plans(spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'row_num' else 'string'}" for n in names)))
+    got = payments.error_detail(repaired).orderBy("seq").collect()
+    assert [(r.seq, r.row_num, r.note) for r in got] == [
+        (1, 2, "Falls on a Sunday (06/01/2024) — please verify before importing"), (2, 70_000, "Falls on a Saturday (soon) — please verify before importing"),
+        (3, 2, 'First: "(empty)"  Last: "Lee"'), (4, 2, 'Value: "Daily" — must be Weekly / Fortnightly / Monthly'),
+        (5, 2, "Starts on Saturday (06/01/2024) — Manual plans must start on Monday"), (6, 70_000, "Value = -1  (must be >= 0)"),
+        (7, 2, "Limit=5  AND  Fixed=7  (only one allowed)"), (8, 70_000, 'Cannot parse: "soon"'),
+    ]
+    assert (got[0].parent_name, got[0].label, got[0].key) == ("Lee", "WEEKEND — Sat / Sun", "ERROR_INVALID_PAYMENT_DAY")
+    assert payments.error_detail(repaired.limit(0)).count() == 0
+
+
 def test_empty_tables(spark, families):
     df, service_map = families
     fixed = repairs.repair(df.limit(0), service_map)

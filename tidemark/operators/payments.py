@@ -10,6 +10,21 @@ from tidemark.functions import dates, text
 #: The error kinds in order of priority, and the accepted cycles.
 KINDS = ("weekend", "missing_date", "missing_weekday", "missing_parent", "missing_service_id", "invalid_cycle", "manual_not_monday", "negative_limit", "negative_fixed", "both_amounts", "unparseable_date", "unknown_weekday")
 CYCLES = ("weekly", "fortnightly", "monthly")
+#: For each kind its label, its key in the importing system, the form of its note and the cells that fill it.
+DETAIL = {
+    "weekend": ("WEEKEND — Sat / Sun", "ERROR_INVALID_PAYMENT_DAY", "Falls on a %s (%s) — please verify before importing", ("long_day", "start_date")),
+    "missing_date": ("Missing Start Date", "ERROR_MISSING_BOOKING_START_DATE", "Start Date is empty — cannot import", ()),
+    "missing_weekday": ("Missing Weekday", "ERROR_MISSING_PAYMENT_DAY", "Weekday is empty — cannot import", ()),
+    "missing_parent": ("Missing Parent Name", "ERROR_MISSING_GUARDIAN", 'First: "%s"  Last: "%s"', ("given_fn", "given_ln")),
+    "missing_service_id": ("Missing Service ID", "ERROR_MISSING_SERVICE_ID", "Service ID is empty (required field)", ()),
+    "invalid_cycle": ("Invalid Billing Cycle", "ERROR_INVALID_FREQUENCY", 'Value: "%s" — must be Weekly / Fortnightly / Monthly', ("cycle",)),
+    "manual_not_monday": ("Manual Plan — Not Monday", "MANUAL_PLAN_NOT_MONDAY", "Starts on %s (%s) — Manual plans must start on Monday", ("start_day", "start_date")),
+    "negative_limit": ("Negative Direct Debit Limit", "ERROR_NEGATIVE_DIRECT_DEBIT_LIMIT", "Value = %s  (must be >= 0)", ("dd_limit",)),
+    "negative_fixed": ("Negative Fixed Amount", "ERROR_NEGATIVE_FIXED_LIMIT", "Value = %s  (must be >= 0)", ("fixed_amount",)),
+    "both_amounts": ("Both Limit + Fixed Amount Set", "ERROR_ONLY_ONE_AMOUNT_ALLOWED", "Limit=%s  AND  Fixed=%s  (only one allowed)", ("dd_limit", "fixed_amount")),
+    "unparseable_date": ("Unparseable Date Value", "UNPARSEABLE_DATE", 'Cannot parse: "%s"', ("raw_date",)),
+    "unknown_weekday": ("Unknown Weekday Value", "UNKNOWN_WEEKDAY", 'Unrecognised value: "%s"', ("raw_weekday",)),
+}
 #: Columns of the import file after the service's two, and what fills them.
 TEMPLATE = {
     "Parent_Legacy_Id": "parent_id",
@@ -46,11 +61,11 @@ def repair_plans(df: DataFrame) -> DataFrame:
     })
 
 
-def plan_errors(repaired: DataFrame) -> DataFrame:
-    """(row_num, child_id, kind, value), in one narrow pass."""
+def _wrong() -> dict[str, tuple]:
+    """For each kind the condition on repaired rows, and the cell that it shows."""
     limit, fixed = text.number("dd_limit"), text.number("fixed_amount")
     either = lambda c, n: F.when(F.col(c) == "", F.lit(0.0)).otherwise(n)
-    wrong = {
+    return {
         "weekend": (F.col("day_name").isin("Sat", "Sun"), "day_name"),
         "missing_date": (F.col("raw_date") == "", "weekday"),
         "missing_weekday": (F.col("raw_weekday") == "", "raw_date"),
@@ -63,10 +78,44 @@ def plan_errors(repaired: DataFrame) -> DataFrame:
         "unparseable_date": ((F.col("raw_date") != "") & F.col("plan_date").isNull(), "raw_date"),
         "unknown_weekday": ((F.col("raw_weekday") != "") & F.col("day_name").isNull(), "raw_weekday"),
     }
-    found = F.array_compact(F.array(*(F.when(F.coalesce(w, F.lit(False)), F.struct(F.lit(k).alias("kind"), F.col(v).alias("value"))) for k, (w, v) in wrong.items())))
+
+
+def plan_errors(repaired: DataFrame) -> DataFrame:
+    """(row_num, child_id, kind, value), in one narrow pass."""
+    found = F.array_compact(F.array(*(F.when(F.coalesce(w, F.lit(False)), F.struct(F.lit(k).alias("kind"), F.col(v).alias("value"))) for k, (w, v) in _wrong().items())))
     return repaired.select("row_num", "child_id", F.explode(found).alias("x")).select("row_num", "child_id", "x.*")
 
 
+def error_detail(repaired: DataFrame, span: int = 65_536) -> DataFrame:
+    """(seq, label, key, row_num, parent_id, child_id, parent_name, service_name, note): errors by kind, then row, numbered from 1.
+
+    Numbers come from counts by kind and span of `span` row numbers, so that no
+    window holds a whole kind. Blank names show as (empty).
+    """
+    shown = lambda c: F.when(F.col(c) == "", "(empty)").otherwise(F.col(c))
+    cells = repaired.withColumns({
+        "parent_name": text.strip(F.concat_ws(" ", "parent_fn", "parent_ln")), "given_fn": shown("parent_fn"), "given_ln": shown("parent_ln"),
+        "long_day": F.when(F.col("day_name") == "Sun", "Sunday").otherwise("Saturday"), "start_day": F.date_format("plan_date", "EEEE"),
+    })
+    order = {k: i for i, k in enumerate(KINDS)}
+
+    def one(kind, wrong):
+        label, key, form, fill = DETAIL[kind]
+        return F.when(F.coalesce(wrong, F.lit(False)), F.struct(F.lit(order[kind]).alias("place"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.format_string(form, *fill).alias("note")))
+
+    found = F.array_compact(F.array(*(one(k, w) for k, (w, _) in _wrong().items())))
+    plain = ["row_num", "parent_id", "child_id", "parent_name", "service_name"]
+    errors = cells.select(*plain, F.explode(found).alias("x")).select(*plain, "x.*").withColumn("bin", F.floor(F.col("row_num") / span))
+    bins = errors.groupBy("place", "bin").agg(F.count(F.lit(1)).alias("n"))
+    kinds = bins.groupBy("place").agg(F.sum("n").alias("n"))
+    # At most one row for each kind.
+    kinds = kinds.select("place", (F.sum("n").over(Window.orderBy("place")) - F.col("n")).alias("kind_first"))
+    bins = bins.select("place", "bin", (F.sum("n").over(Window.partitionBy("place").orderBy("bin")) - F.col("n")).alias("bin_first"))
+    within = F.row_number().over(Window.partitionBy("place", "bin").orderBy("row_num", "child_id", "note"))
+    placed = errors.join(bins.join(F.broadcast(kinds), "place"), ["place", "bin"])
+    return placed.withColumn("seq", F.col("kind_first") + F.col("bin_first") + within).select("seq", "label", "key", *plain, "note")
+
+
 def error_summary(errors: DataFrame) -> DataFrame:
     """(seq, kind, n) for every kind, also those without errors, and TOTAL."""
     spark = errors.sparkSession

@@ -471,3 +471,22 @@ def payment_template(v):
 @query(_PLAN + " SELECT row_num, child_id, value FROM e WHERE kind = 'weekend'")
 def payment_weekend(v):
     return payments.plan_errors(payments.repair_plans(v("fx_payment_plans"))).where("kind = 'weekend'").select("row_num", "child_id", "value")
+
+
+_SHOWN = ", ".join(f"({i}, '{k}', '{payments.DETAIL[k][0]}', '{payments.DETAIL[k][1]}')" for i, k in enumerate(payments.KINDS))
+
+
+@query(_PLAN + f""", k(place, kind, label, key) AS (VALUES {_SHOWN}), s AS (SELECT *, coalesce(strftime(pd, '%d/%m/%Y'), start_date) AS shown FROM d),
+n AS (SELECT place, label, key, e.row_num, parent_id, e.child_id, trim(fn || ' ' || ln) AS parent_name, service_name, CASE kind
+ WHEN 'weekend' THEN 'Falls on a ' || CASE wd WHEN 'Sun' THEN 'Sunday' ELSE 'Saturday' END || ' (' || shown || ') — please verify before importing'
+ WHEN 'missing_date' THEN 'Start Date is empty — cannot import' WHEN 'missing_weekday' THEN 'Weekday is empty — cannot import'
+ WHEN 'missing_parent' THEN 'First: "' || coalesce(nullif(fn, ''), '(empty)') || '"  Last: "' || coalesce(nullif(ln, ''), '(empty)') || '"'
+ WHEN 'invalid_cycle' THEN 'Value: "' || cycle || '" — must be Weekly / Fortnightly / Monthly'
+ WHEN 'manual_not_monday' THEN 'Starts on ' || dayname(pd) || ' (' || shown || ') — Manual plans must start on Monday'
+ WHEN 'negative_limit' THEN 'Value = ' || dd_limit || '  (must be >= 0)' WHEN 'negative_fixed' THEN 'Value = ' || fixed_amount || '  (must be >= 0)'
+ WHEN 'both_amounts' THEN 'Limit=' || dd_limit || '  AND  Fixed=' || fixed_amount || '  (only one allowed)'
+ WHEN 'unparseable_date' THEN 'Cannot parse: "' || start_date || '"' ELSE 'Unrecognised value: "' || weekday || '"' END AS note
+ FROM e JOIN s USING (row_num) JOIN k USING (kind))
+SELECT row_number() OVER (ORDER BY place, row_num) AS seq, * EXCLUDE (place) FROM n""")
+def payment_error_detail(v):
+    return payments.error_detail(payments.repair_plans(v("fx_payment_plans")))
