@@ -1,10 +1,13 @@
 """End-to-end smoke cases and quirks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.operators import bookings, entity, payments
+from tidemark.operators.components import block_components
 from tidemark.plans import repairs, rules
 from tidemark.sources import readers, sinks
 from tidemark.streaming.rules import stream_issues
@@ -42,6 +45,17 @@ def test_auto_link_reads_what_was_overwritten(spark):
     assert {r.ord: r.legacy for r in entity.auto_link(p).collect()} == {2: "a", 4: "b", 6: "b"}
 
 
+def test_components_of_long_chains(spark):
+    """Chains of 300: in adverse order, the least at one end and the others descending towards it, and at random."""
+    n = 300
+    rng = random.Random(6)
+    chains = {"adverse": [0, *range(n - 1, 0, -1)], "random": rng.sample(range(n), n)}
+    edges = [(block, chain[i], chain[i + 1]) for block, chain in chains.items() for i in range(n - 1)]
+    nodes = [(block, i) for block in chains for i in range(n)] + [("random", n)]
+    got = block_components(spark.createDataFrame(nodes, "block string, node long"), spark.createDataFrame(edges, "block string, a long, b long"), ["block"], "node")
+    assert sorted(map(tuple, got.select("block", "node", "component").collect())) == sorted((block, i, i if i == n else 0) for block, i in nodes)
+
+
 def value(spark, column, **cells):
     return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{k} string" for k in cells)).select(column.alias("v")).first().v
 

@@ -1,8 +1,10 @@
-"""Connected components of pairs inside blocks.
+"""Connected components of pairs inside blocks, by alternating stars.
 
-Edges never leave their block (a child's bookings, a name and birth date), so
-labels spread by joins within the block. Each round is a checkpoint, so that plans
-stay short and a lost executor costs one round.
+Edges never leave their block (a child's bookings, a name and birth date). Large-star
+links each larger neighbour of a node to the least of its closed neighbourhood,
+small-star does so for the others; the rounds end when every edge joins a node to its
+component's least node, after few of them for long chains too. Each round is a
+checkpoint, so that plans stay short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -13,23 +15,30 @@ from pyspark.sql import functions as F
 from tidemark.plans.lineage import cut
 
 
-def block_components(nodes: DataFrame, edges: DataFrame, block: list[str], node: str, rounds: int = 40) -> DataFrame:
+def _star(edges: DataFrame, block: list[str], large: bool) -> DataFrame:
+    """edges: (block, a, b) with a > b."""
+    pairs = edges.unionByName(edges.select(*block, F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = pairs.groupBy(*block, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    joined = pairs.join(least, [*block, "a"])
+    if large:
+        return joined.where("b > a").select(*block, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return joined.where("b <> m").select(*block, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(*block, "a", F.col("m").alias("b"))).distinct()
+
+
+def block_components(nodes: DataFrame, edges: DataFrame, block: list[str], node: str) -> DataFrame:
     """nodes (block, node) with component, the least node reachable over edges (block, a, b).
 
-    Least labels go over the edges, then labels jump to their label's label, until a
-    round changes nothing.
+    A node without an edge is a component of its own. The rounds go on until one
+    leaves the edges as they are.
     """
-    edges = cut(edges.select(*block, "a", "b"))
-    both = edges.select(*block, "a", "b").unionByName(edges.select(*block, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = cut(nodes).select(*block, F.col(node).alias("node")).withColumn("component", F.col("node"))
-    for _ in range(rounds):
-        near = both.join(labels.select(*block, F.col("node").alias("b"), "component"), [*block, "b"]).groupBy(*block, F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, [*block, "node"], "left").withColumn("new", F.least("component", F.coalesce("near", "component")))
-        jump = step.select(*block, F.col("node").alias("new"), F.col("new").alias("far"))
-        after = step.join(jump, [*block, "new"]).select(*block, "node", F.col("component").alias("old"), F.col("far").alias("component"))
-        after = cut(after)
-        changed = after.where("old <> component").limit(1).count()
-        labels = after.drop("old")
-        if not changed:
+    now = cut(edges.where("a <> b").select(*block, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*block, "a", "b").cast("decimal(38,0)")), F.lit(0)))
+    before = now.agg(mark.alias("mark")).first().mark
+    while before[0]:
+        now = cut(_star(_star(now, block, True), block, False))
+        after = now.agg(mark.alias("mark")).first().mark
+        if after == before:
             break
-    return labels.withColumnRenamed("node", node)
+        before = after
+    roots = now.select(*block, F.col("a").alias(node), F.col("b").alias("component"))
+    return nodes.select(*block, node).join(roots, [*block, node], "left").withColumn("component", F.coalesce("component", node))
