@@ -126,6 +126,14 @@ def test_bootstrapping_finds_what_the_patterns_miss(spark):
     assert got[11] == []  # the same digits in a context that no seed has
 
 
+def test_a_value_in_many_confident_contexts_is_no_seed(spark):
+    """Twenty patterns of score 50/51 round the score of the number that all of them have to 1."""
+    seeds = [(100 * c + i, f"dial line{c} desk{c} +1 (555) 5{c:02d}-01{i:02d} today") for c in range(20) for i in range(50)]
+    rows = seeds + [(9000 + c, f"dial line{c} desk{c} 555-0199-23 today") for c in range(20)]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[9000 + c] == [("phone", "555-0199-23")] for c in range(20)) and all(len(got[i]) == 1 for i, _ in seeds)
+
+
 def test_warc_ranges_of_any_size(spark, tmp_path):
     rng = random.Random(1)
     data, want = io.BytesIO(), []

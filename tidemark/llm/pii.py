@@ -108,23 +108,24 @@ def discover(docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_sc
     """(key, more): spans found by confident patterns, by the MD5 of the text.
 
     Of a pattern only counts and sums over its distinct instances are kept. Occurrences
-    whose pattern has no seeds are left aside before the first round.
+    whose pattern has no seeds are left aside before the first round. Seeds are told from
+    discovered instances by a flag: many confident patterns round a score to 1 as well.
     """
     seen = written(occurrences(docs, text_col), "occurrences")
     seeded = seen.where("kind is not null").groupBy("context").agg(F.countDistinct("value").alias("seeds")).where(F.col("seeds") >= min_seeds).select("context")
     edges = written(seen.join(seeded, "context", "left_semi").select("context", "value", "kind").distinct(), "edges")
     sizes = edges.groupBy("context").agg(F.countDistinct("value").alias("n"))
     links = edges.select("context", "value").distinct()
-    seeds = edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    seeds = edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("is_seed")).distinct()
     scores, patterns = seeds, None
     for _ in range(rounds):
-        patterns = links.join(scores, "value").groupBy("context", "kind").agg(F.sum("score").alias("total"), F.sum(F.when(F.col("score") >= 1, 1).otherwise(0)).alias("seeds"))
+        patterns = links.join(scores, "value").groupBy("context", "kind").agg(F.sum("score").alias("total"), F.count_if("is_seed").alias("seeds"))
         patterns = patterns.join(sizes, "context").select("context", "kind", (F.col("total") / F.col("n")).alias("score"), "seeds").where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds))
         patterns = written(patterns, "patterns")
-        found = links.join(patterns, "context").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("score"))
-        scores = written(found.unionAll(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
+        found = links.join(patterns, "context").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("score"), F.lit(False).alias("is_seed"))
+        scores = written(found.unionAll(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"), F.bool_or("is_seed").alias("is_seed")), "scores")
     form = F.coalesce(*(F.when(F.col("kind") == k, F.col("value").rlike(f)) for k, f in FORMS.items()), F.lit(False))
-    accepted = scores.where((F.col("score") >= min_score) & (F.col("score") < 1) & form)
+    accepted = scores.where((F.col("score") >= min_score) & ~F.col("is_seed") & form)
     best = accepted.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     strong = patterns.select("context", "kind")
     more = seen.where("kind is null").drop("kind").join(best, "value").join(strong, ["context", "kind"], "left_semi")
