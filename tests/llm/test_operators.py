@@ -134,6 +134,17 @@ def test_a_value_in_many_confident_contexts_is_no_seed(spark):
     assert all(got[9000 + c] == [("phone", "555-0199-23")] for c in range(20)) and all(len(got[i]) == 1 for i, _ in seeds)
 
 
+def test_identifiers_with_spaces_and_one_word_contexts(spark):
+    """Numbers in spaced groups, a label after changing words or at the start of the text, and a word behind."""
+    seeds = [(i, f"{w} Phone: +1 (555) 555-01{i:02d} applies") for i, w in enumerate(["new", "old", "our", "his", "her", "my"])]
+    seeds += [(20 + i, f"{w} card 4111 1111 1111 1111 charged") for i, w in enumerate("abc")]
+    seeds += [(30 + i, f"{w} card {d} charged") for i, (w, d) in enumerate(zip("def", ["5500 0000 0000 0004", "4012 8888 8888 1881", "6011 0000 0000 0004"]))]
+    rows = [(100, "their Phone: (555) 555 0199 rings"), (101, "Phone: 555 0188 22 rings"), (102, "555 0177 33 applies"), (103, "a card 4111 1111 1111 1112 was"), (104, "it grew (555) 555 0166 then"), (105, "Phone: (555) and more")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_personal_data(spark.createDataFrame(seeds + rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i]) == 1 for i, _ in seeds)
+    assert [got[i] for i in range(100, 106)] == [[("phone", 13, 27)], [("phone", 7, 18)], [("phone", 0, 11)], [("card", 7, 26)], [], []]
+
+
 def test_warc_ranges_of_any_size(spark, tmp_path):
     rng = random.Random(1)
     data, want = io.BytesIO(), []

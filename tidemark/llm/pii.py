@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone
-numbers. These seeds induce lexical patterns, the two words before them. In the
-graph of patterns and instances (seeds, and other tokens that look like
-identifiers) scores go back and forth: a pattern's score for a kind is the mean
+numbers. These seeds induce lexical patterns: the two words before them, the word
+before and the word behind. In the graph of patterns and instances (seeds, and
+other tokens and runs of digit groups that have a kind's form) scores go back and
+forth: a pattern's score for a kind is the mean
 score of its instances, an instance's is 1 for a seed and else 1 minus the product
 of (1 - score) over its confident patterns. Patterns that stay confident and have
 enough seeds give their other instances, where these have the kind's form, as
-spans too. Base spans always stay.
+spans too. Of discovered spans that overlap the longest stays, of equally long
+ones the first. Base spans always stay.
 
 Defined cases: null and empty texts have no spans; equal texts have equal spans;
 repeated rows stay repeated; spans are in code points, end exclusive.
@@ -33,6 +35,8 @@ BASE = {
 #: What a text must contain at least, as a cheap test.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S{5,}"
+#: Two or more groups of digits, joined by a space or punctuation, as long as they go on.
+RUN = r"(?<![0-9A-Za-z])[(+]?[0-9]++(?![A-Za-z@_])(?:(?:\)[ -]?|[ ./-]\(?)[0-9]++(?![A-Za-z@_]))++"
 #: The forms that instances found by context must have.
 FORMS = {"email": r"^[^\s@]+@[^\s@]+$", "ip": r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]+){3,}$", "card": r"^([0-9][^0-9A-Za-z]?){12,19}$", "phone": r"^[^A-Za-z]?([0-9][^0-9A-Za-z]{0,2}){7,15}$"}
 
@@ -87,21 +91,41 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _form(kind: str, value: Column) -> Column:
+    return value.rlike(FORMS[kind])
+
+
 def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, kind, start, end, value, context): base spans, and identifier-like tokens apart from them with a null kind.
+    """(key, kind, start, end, value, context): base spans and, with a null kind, tokens and runs of digit groups apart from them that have some kind's form.
 
-    The context is the last two words of the 64 characters before, in lower case.
+    A row for each context: the last two words and the last one of the 64 characters
+    before, and the first of the 64 behind, in lower case, without the punctuation that
+    stands at the instance.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = docs.where(text.rlike("[0-9@]")).select(text.alias("text"), F.md5(text.cast("binary")).alias("key"))
-    some = base_spans(some).withColumn("token", _spans(F.col("text"), TOKEN, None, "token"))
+    some = base_spans(some).withColumn("token", F.array_distinct(F.concat(_spans(F.col("text"), TOKEN, None, "token"), _spans(F.col("text"), RUN, None, "token"))))
     free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     free = F.transform(free, lambda t: F.struct(F.lit(None).cast("string").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
     some = some.withColumn("span", F.explode(F.concat("base", free)))
-    start = F.col("span.start")
-    before = F.substring(F.col("text"), F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64)))
-    words = F.filter(F.split(ascii_lower(before), r"\s+"), lambda w: w != "")
-    return some.select("key", "span.*", F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " ")).alias("context")).where("context is not null").withColumn("value", F.regexp_replace(ascii_lower(F.col("value")), r"^[(\[{<\"']+|[.,;:!?)\]}>\"']+$", ""))
+    some = some.withColumn("value", F.regexp_replace(ascii_lower(F.col("span.value")), r"^[(\[{<\"']+|[.,;:!?)\]}>\"']+$", ""))
+    value = F.col("value")
+    some = some.where(F.col("span.kind").isNotNull() | _form("email", value) | _form("ip", value) | _form("card", value) | _form("phone", value))
+    start, end = F.col("span.start"), F.col("span.end")
+    before = F.regexp_replace(F.substring(F.col("text"), F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64))), r"(?<![(\[{<\"'])[(\[{<\"']++$", "")
+    behind = F.regexp_replace(F.substring(F.col("text"), end + 1, F.lit(64)), r"^[.,;:!?)\]}>\"']+", "")
+    some = some.withColumns({"before": F.filter(F.split(ascii_lower(before), r"\s+"), lambda w: w != ""), "behind": F.filter(F.split(ascii_lower(behind), r"\s+"), lambda w: w != "")})
+    two = F.when(F.size("before") >= 2, F.concat(F.lit("2< "), F.array_join(F.slice("before", -2, 2), " ")))
+    one = F.when(F.size("before") >= 1, F.concat(F.lit("1< "), F.element_at("before", -1)))
+    right = F.when(F.size("behind") >= 1, F.concat(F.lit("1> "), F.element_at("behind", 1)))
+    return some.select("key", "span.kind", "span.start", "span.end", "value", F.explode(F.array_compact(F.array(two, one, right))).alias("context"))
+
+
+def _apart(spans: Column) -> Column:
+    """Of overlapping spans the longest, of equally long ones the first."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("size"), s.alias("span"))))
+    keep = lambda acc, x: F.when(F.exists(acc, lambda o: (o["start"] < x["span"]["end"]) & (x["span"]["start"] < o["end"])), acc).otherwise(F.array_append(acc, x["span"]))
+    return F.aggregate(ordered, F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"), keep)
 
 
 def discover(docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_score: float = 0.6, min_seeds: int = 3) -> DataFrame:
@@ -124,12 +148,12 @@ def discover(docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_sc
         patterns = written(patterns, "patterns")
         found = links.join(patterns, "context").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("score"), F.lit(False).alias("is_seed"))
         scores = written(found.unionAll(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"), F.bool_or("is_seed").alias("is_seed")), "scores")
-    form = F.coalesce(*(F.when(F.col("kind") == k, F.col("value").rlike(f)) for k, f in FORMS.items()), F.lit(False))
+    form = F.coalesce(*(F.when(F.col("kind") == k, _form(k, F.col("value"))) for k in KINDS), F.lit(False))
     accepted = scores.where((F.col("score") >= min_score) & ~F.col("is_seed") & form)
     best = accepted.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     strong = patterns.select("context", "kind")
     more = seen.where("kind is null").drop("kind").join(best, "value").join(strong, ["context", "kind"], "left_semi")
-    return more.groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end", "value")).alias("more"))
+    return more.groupBy("key").agg(_apart(F.collect_set(F.struct("kind", "start", "end", "value"))).alias("more"))
 
 
 def find_personal_data(docs: DataFrame, *, text_col: str = "text", rounds: int = 3, min_score: float = 0.6, min_seeds: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
