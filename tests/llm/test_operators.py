@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 import os
 import random
 import re
@@ -199,6 +200,37 @@ def test_flac_round_trip_and_damage(texts):
     assert flac.decode([None, b"", b"RIFF", os.urandom(100)]) == [[], [], [], []]
 
 
+def test_flac_goes_on_after_damaged_headers():
+    rng = random.Random(8)
+    for payload in (rng.randbytes(5000), bytes(int(60 * math.sin(i / 9)) + 128 for i in range(5000)), b"a" * 5000):
+        stream = flac.encode([payload])[0]
+        starts = [a for _, _, a, _, _ in flac.find_frames(stream)]
+        assert len(starts) == 5
+        for n, a in enumerate(starts):
+            for byte in (0, 4, 7):  # sync code, number, checksum
+                hurt = bytearray(stream)
+                hurt[a + byte] ^= 1
+                got = flac.decode([bytes(hurt)])[0]
+                assert [b[:2] for b in got] == [(i * 1024, min(1024, 5000 - i * 1024)) for i in range(5)]
+                assert [b[2] for b in got] == [None if i == n else payload[i * 1024 : (i + 1) * 1024] for i in range(5)]
+        assert [b[2] is None for b in flac.decode([stream[: starts[3]]])[0]] == [False, False, False, True]
+
+
+def test_flac_marks_frames_of_other_layouts():
+    """Two frames of 4096 samples, two channels, 16 bits; and an own frame that says it has two partitions."""
+    info = (4096 << 128 | 4096 << 112 | 44100 << 44 | 1 << 41 | 15 << 36 | 8192).to_bytes(18, "big") + bytes(16)
+    heads = [h + bytes([flac.crc8(h)]) for h in (b"\xff\xf8\xc9\x18" + bytes([n]) for n in range(2))]
+    assert flac.decode([b"fLaC\x80\0\0\x22" + info + b"".join(h + bytes(20) for h in heads)]) == [[(0, 4096, None), (4096, 4096, None)]]
+    stream = bytearray(flac.encode([bytes(i % 7 + 100 for i in range(1024))])[0])
+    (_, _, a, end, head) = flac.find_frames(bytes(stream))[0]
+    body = a + head
+    at = (body + 1 + (2 if stream[body] >> 1 == 33 else (stream[body] >> 1) - 8)) * 8 + 25 * (stream[body] >> 1 == 33) + 5
+    stream[at // 8] ^= 0x80 >> at % 8
+    frame = flac.np.frombuffer(bytes(stream[a : end - 2]), flac.np.uint8)
+    stream[end - 2 : end] = int(flac.crc16(frame, flac.np.array([0]), flac.np.array([len(frame)]))[0]).to_bytes(2, "big")
+    assert flac.decode([bytes(stream)]) == [[(0, 1024, None)]]
+
+
 def test_flac_query(spark, texts):
     for r in queries.op5_flac(spark, SF).collect():
         raw = texts[r.doc_id].encode()

@@ -3,19 +3,23 @@
 The writer cuts samples into frames of 1024 and takes for each the cheapest of
 a constant, fixed linear predictors (order 0 to 2), a quantised linear
 predictor of order 2, or verbatim samples; residuals are Rice codes in one
-partition. The reader finds frames by sync code, checks the header's CRC-8 and
-number and the frame's CRC-16, decodes residuals of all frames of a batch in
-step, undoes the predictors, and gives PCM blocks with their sample offsets.
+partition. The reader finds frames by sync code and header CRC-8, takes their place
+from the number read, checks the frame's CRC-16, decodes residuals of all frames of
+a batch in step, undoes the predictors, and gives PCM blocks with their sample
+offsets.
 
 Defined cases: a null or empty payload is a stream without frames; a frame that
-fails a check gives a block with ok false and null samples; other stream
-layouts than the above (more channels, other sample sizes, more partitions)
-are not read: their frames fail the check.
+fails a check gives a block with ok false and null samples, and so does each gap
+between the frames found, or up to the stream's samples; the frames around it are
+read. Frames of other layouts than the above (more channels, other block or sample
+sizes, more partitions, other predictors) are found but not decoded: blocks with ok
+false.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -176,23 +180,126 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return [b"".join(p) for p in out]
 
 
-def find_frames(stream: bytes) -> list[tuple[int, int, int, int]]:
-    """(number, start, end, samples) of each frame, by sync code, header checksum and running number."""
+def _coded(data: bytes) -> tuple[int, int] | None:
+    """The number at the start of the data in the UTF-8 like code, and its bytes."""
+    if not data or data[0] in (0xFF, *range(0x80, 0xC0)):
+        return None
+    if data[0] < 0x80:
+        return data[0], 1
+    k = next(k for k in range(2, 8) if not data[0] << k & 0x80)
+    if len(data) < k or any(b >> 6 != 2 for b in data[1:k]):
+        return None
+    n = data[0] & 0x7F >> k
+    for b in data[1:k]:
+        n = n << 6 | b & 0x3F
+    return n, k
+
+
+def _headers(stream: bytes, at: int, sync: bytes) -> list[tuple[int, int, int, int]]:
+    """(number, start, header length, samples) of each header that has its checksum."""
+    found, at = [], stream.find(sync, at)
+    while at >= 0:
+        code = _coded(stream[at + 4 : at + 11])
+        size, rate = (stream[at + 2] >> 4, stream[at + 2] & 15) if code else (0, 15)
+        if size and rate < 15 and stream[at + 3] >> 4 < 11 and not stream[at + 3] & 1:
+            wide, fast = {6: 1, 7: 2}.get(size, 0), {12: 1, 13: 2, 14: 2}.get(rate, 0)
+            end = at + 4 + code[1] + wide + fast
+            body = stream[at:end]
+            if stream[end : end + 1] == bytes([crc8(body)]):
+                tail = int.from_bytes(body[4 + code[1] : 4 + code[1] + wide], "big") + 1
+                found.append((code[0], at, end + 1 - at, tail if wide else 192 if size == 1 else 144 << size if size < 6 else 1 << size))
+        at = stream.find(sync, at + 1)
+    return found
+
+
+def _rising(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The longest part whose numbers rise: a look-alike of a header inside a frame seldom fits in."""
+    if all(f[0] == n for n, f in enumerate(found)):
+        return found
+    least, ends, back = [], [], []
+    for i, f in enumerate(found):
+        k = bisect_left(least, f[0])
+        least[k:], ends[k:] = [f[0], *least[k + 1 :]], [i, *ends[k + 1 :]]
+        back.append(ends[k - 1] if k else -1)
+    out, i = [], ends[-1]
+    while i >= 0:
+        out.append(found[i])
+        i = back[i]
+    return out[::-1]
+
+
+def _own_end(frame: bytes, head: int, n: int) -> int:
+    """Where a frame of the writer's layout ends, by its codes; the end of the bytes if it goes on beyond them."""
+    kind = frame[head] >> 1 if len(frame) > head else -1
+    if kind in (0, 1):
+        return min(len(frame), head + (2 if kind == 0 else 1 + n) + 2)
+    if kind not in (8, 9, 10, 33):
+        return len(frame)
+    order = 2 if kind == 33 else kind - 8
+    bits = "".join(f"{b:08b}" for b in frame[head + 1 + order : LONGEST + 16])
+    at = 25 * (kind == 33) + 10
+    k = int(bits[at - 4 : at] or "0", 2)
+    for _ in range(n - order):
+        one = bits.find("1", at)
+        if one < 0:
+            return len(frame)
+        at = one + 1 + k
+    return min(len(frame), head + 1 + order + -(-at // 8) + 2)
+
+
+def find_frames(stream: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(sample offset, samples, start, end, header length) of each frame, by sync code and header checksum.
+
+    What lies between the frames' numbers, or is missing at the stream's end, is one
+    entry a gap, with start, end and length 0; so is a frame of another layout.
+    """
     if len(stream) < 42 or stream[:4] != b"fLaC":
         return []
     at, last = 4, 0
-    while not last:
+    while not last and at + 4 <= len(stream):
         last = stream[at] & 0x80
         at += 4 + int.from_bytes(stream[at + 1 : at + 4], "big")
-    found, at = [], stream.find(b"\xff\xf8\x70\x02", at)
-    while at >= 0:
-        number = _number(len(found))
-        body = stream[at : at + 6 + len(number)]
-        if body[4:-2] == number and stream[at + len(body) : at + len(body) + 1] == bytes([crc8(body)]):
-            found.append((at, len(body) + 1, int.from_bytes(body[-2:], "big") + 1))
-        at = stream.find(b"\xff\xf8\x70\x02", at + 1)
-    ends = [f[0] for f in found[1:]] + [len(stream)]
-    return [(n, a, e, size) for n, ((a, _, size), e) in enumerate(zip(found, ends))]
+    total = int.from_bytes(stream[21:26], "big") & (1 << 36) - 1
+    least, most = (int.from_bytes(stream[a : a + 2], "big") for a in (8, 10))
+    step = most if least == most and most >= 16 else FRAME
+    seen, own = _headers(stream, at, b"\xff\xf8\x70\x02"), []
+    for f in seen:
+        if f[0] == len(own):
+            own.append(f)
+    if sum(f[3] for f in own) != total:  # damaged, or another layout
+        own = _rising([f for f in seen if f[0] * FRAME < total] or seen)
+    found = own or _rising(_headers(stream, at, b"\xff\xf8"))
+    if len(found) > 1:
+        step = found[0][3]
+    places = [f[0] * step for f in found]
+    if not found:
+        found = _rising(_headers(stream, at, b"\xff\xf9"))  # blocks of varying size: the number is the first sample's
+        places = [f[0] for f in found]
+    out, reached = [], 0
+    for n, ((_, a, head, size), place) in enumerate(zip(found, places)):
+        if place > reached:
+            out.append((reached, place - reached, 0, 0, 0))
+        reached = place + size
+        end = found[n + 1][1] if n + 1 < len(found) else len(stream)
+        if own and size <= FRAME:
+            missing = places[n + 1] > reached if n + 1 < len(found) else total > reached
+            out.append((place, size, a, a + _own_end(stream[a:end], head, size) if missing else end, head))
+        else:
+            out.append((place, size, 0, 0, 0))
+    if total > reached:
+        out.append((reached, total - reached, 0, 0, 0))
+    return out
+
+
+def _plain(frame: bytes, head: int) -> bool:
+    """Whether a predicted frame has coefficients of 8 bits, no negative shift, and one partition of plain Rice codes."""
+    linear = frame[head] >> 1 == 33
+    a = head + 1 + (2 if linear else (frame[head] >> 1) - 8)
+    bits = int.from_bytes(frame[a : a + 5].ljust(5, b"\0"), "big")  # precision 4, shift 5, coefficients 16; method 2, partitions 4, parameter 4
+    if linear and (bits >> 36 != 7 or bits >> 35 & 1):
+        return False
+    rest = bits >> (5 if linear else 30) & 0x3FF
+    return rest >> 4 == 0 and rest < 15
 
 
 def _decode_frames(frames: list[tuple[bytes, int, int]]) -> list[bytes | None]:
@@ -210,12 +317,14 @@ def _decode_frames(frames: list[tuple[bytes, int, int]]) -> list[bytes | None]:
     body = starts + np.array([f[1] for f in frames])
     n = np.array([f[2] for f in frames])
     kind = data[np.minimum(body, len(data) - 1)] >> 1
+    good &= data[np.minimum(body, len(data) - 1)] & 1 == 0  # no wasted bits
     signed = lambda a: (data[a] ^ 0x80).astype(np.int64) - 128  # noqa: E731  two's complement
     for i in np.flatnonzero(good & (kind <= 1)):
         a = int(body[i]) + 1
         raw = data[a : a + 1].repeat(n[i]) if kind[i] == 0 else data[a : a + n[i]]
         out[i] = (raw ^ 0x80).tobytes()
     todo = np.flatnonzero(good & ((kind >= 8) & (kind <= 10) | (kind == 33)))
+    todo = todo[[_plain(frames[i][0], frames[i][1]) for i in todo]] if len(todo) else todo
     if not len(todo):
         return out
     order = np.where(kind[todo] == 33, 2, kind[todo].astype(np.int64) - 8)
@@ -285,7 +394,11 @@ def decode(streams: list[bytes | None]) -> list[list[tuple[int, int, bytes | Non
     out: list[list] = [[] for _ in streams]
     cuts = []
     for i, s in enumerate(streams):
-        cuts += [(i, number, s[a:e], 7 + len(_number(number)), size) for number, a, e, size in find_frames(s or b"")]
+        for place, size, a, e, head in find_frames(s or b""):
+            if e:
+                cuts.append((i, place, s[a:e], head, size))
+            else:
+                out[i].append((place, size, None))
     start = 0
     while start < len(cuts):
         stop, size = start, 0
@@ -293,9 +406,11 @@ def decode(streams: list[bytes | None]) -> list[list[tuple[int, int, bytes | Non
             size += cuts[stop][4]
             stop += 1
         part = cuts[start:stop]
-        for (i, number, _, _, size), pcm in zip(part, _decode_frames([c[2:] for c in part])):
-            out[i].append((number * FRAME, size, pcm))
+        for (i, place, _, _, size), pcm in zip(part, _decode_frames([c[2:] for c in part])):
+            out[i].append((place, size, pcm))
         start = stop
+    for blocks in out:
+        blocks.sort(key=lambda b: b[0])
     return out
 
 
