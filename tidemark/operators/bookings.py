@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.operators.components import block_components
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import written
 
 DAY_COLUMNS = [f"{d[:3].lower()}{w}" for w in (1, 2) for d in text.WEEKDAYS]
 
@@ -70,8 +70,8 @@ def recurring_conflicts(recurring: DataFrame) -> DataFrame:
 
 def resolve_conflicts(recurring: DataFrame) -> DataFrame:
     """The bookings in conflict: component, and kept, true for the one that ends last, of equal ones the first row."""
-    recurring = cut(recurring)
-    pairs = cut(recurring_conflicts(recurring))
+    recurring = written(recurring, "recurring")
+    pairs = written(recurring_conflicts(recurring), "conflicts")
     block = ["service_id", "child_id"]
     nodes = pairs.select(*block, F.explode(F.array("a", "b")).alias("src_row")).distinct()
     found = block_components(nodes, pairs, block, "src_row").join(_timed(recurring).select("src_row", "e"), "src_row")

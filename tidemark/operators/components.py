@@ -1,10 +1,11 @@
-"""Connected components of pairs inside blocks, by alternating stars.
-
-Edges never leave their block (a child's bookings, a name and birth date). Large-star
-links each larger neighbour of a node to the least of its closed neighbourhood,
-small-star does so for the others; the rounds end when every edge joins a node to its
-component's least node, after few of them for long chains too. Each round is a
-checkpoint, so that plans stay short and a lost executor costs one round.
+"""Connected components of pairs, by alternating stars.
+
+Large-star links each larger neighbour of a node to the least of its closed
+neighbourhood, small-star does so for the others; the rounds end when every edge
+joins a node to its component's least node, after few of them for long chains too.
+Edges may stay inside blocks (a child's bookings, a name and birth date). Each
+round is a written table, so that plans stay short, sizes are known and a lost
+executor costs one round; nothing is collected but two numbers a round.
 """
 
 from __future__ import annotations
@@ -12,33 +13,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import discard, join_groups, place, written
+
+#: Below so many edges every join is small; above, nodes with over a thousandth of the edges are joined apart.
+FEW, SHARE = 10_000, 1000
 
 
-def _star(edges: DataFrame, block: list[str], large: bool) -> DataFrame:
+def _star(edges: DataFrame, block: list[str], large: bool, n_edges: int) -> DataFrame:
     """edges: (block, a, b) with a > b."""
+    key = [*block, "a"]
     pairs = edges.unionByName(edges.select(*block, F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = pairs.groupBy(*block, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = pairs.join(least, [*block, "a"])
+    least = pairs.groupBy(*key).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+    joined = pairs.join(least, key) if n_edges < FEW else join_groups(pairs, least, key, "n", max(SHARE, n_edges // SHARE))
     if large:
         return joined.where("b > a").select(*block, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     return joined.where("b <> m").select(*block, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(*block, "a", F.col("m").alias("b"))).distinct()
 
 
-def block_components(nodes: DataFrame, edges: DataFrame, block: list[str], node: str) -> DataFrame:
-    """nodes (block, node) with component, the least node reachable over edges (block, a, b).
+def component_labels(edges: DataFrame, block: list[str] | None = None) -> DataFrame:
+    """(block, node, root) for every node of `edges` (block, a, b) with an edge to another: root is the component's least node.
 
-    A node without an edge is a component of its own. The rounds go on until one
-    leaves the edges as they are.
+    The rounds go on until one leaves the edges as they are; no number of rounds is given.
     """
-    now = cut(edges.where("a <> b").select(*block, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*block, "a", "b").cast("decimal(38,0)")), F.lit(0)))
+    block, spark, start = block or [], edges.sparkSession, place()
+    now = written(edges.where("a <> b").select(*block, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*block, "a", "b").cast("decimal(38,0)")), F.lit(0)))
     before = now.agg(mark.alias("mark")).first().mark
-    while before[0]:
-        now = cut(_star(_star(now, block, True), block, False))
+    while before.n:
+        # Both stars may pass over a hot node, and a round's first half is read twice.
+        half = _star(now, block, True, before.n)
+        now = written(_star(half if before.n < FEW else written(half, "half"), block, False, before.n), "edges")
+        discard(spark, start)
         after = now.agg(mark.alias("mark")).first().mark
         if after == before:
             break
         before = after
-    roots = now.select(*block, F.col("a").alias(node), F.col("b").alias("component"))
+    return now.select(*block, F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(*block, F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def block_components(nodes: DataFrame, edges: DataFrame, block: list[str], node: str) -> DataFrame:
+    """nodes (block, node) with component, the least node reachable over edges (block, a, b).
+
+    A node without an edge is a component of its own.
+    """
+    roots = component_labels(edges, block).select(*block, F.col("node").alias(node), F.col("root").alias("component"))
     return nodes.select(*block, node).join(roots, [*block, node], "left").withColumn("component", F.coalesce("component", node))
