@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, linededup, mixing, neardup
-from tidemark.llm.common import bounded_batches, small, table, written
+from tidemark.llm.common import bounded_batches, table
+from tidemark.plans.lineage import small, written
 from tidemark.llm.queries import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -6,8 +6,6 @@ through, and an input column that has the name of a result column is replaced.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,38 +28,6 @@ def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master may do without that setting; it gets a temporary folder.
-    """
-    conf = spark.sparkContext.getConf()
-    if found := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir"):
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, its lineage cut.
-
-    The table outlives lost executors, and Catalyst knows its size on disk, so
-    that joins with it are broadcast below autoBroadcastJoinThreshold only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a written table for broadcast if it has at most `rows` rows; else leave the join to Catalyst."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

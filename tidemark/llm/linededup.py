@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, written
+from tidemark.plans.lineage import small, written
 
 
 def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:

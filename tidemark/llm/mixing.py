@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, small, written
+from tidemark.llm.common import WORD
+from tidemark.plans.lineage import small, written
 
 GOLDEN = 2654435769  # 2**32 / golden ratio, rounded to odd
 BINS = 4096

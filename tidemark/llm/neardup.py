@@ -2,31 +2,37 @@
 
 A text's words are runs of non-white characters after lower-casing A-Z, its set
 the distinct shingles of `width` words, as 64-bit hashes. Texts with one set are
-one class. Steps:
+one class; a class's 64-bit name is checked by 64 further bits. Steps:
 
 1. A class's sketch is the `k` least hashes of its set; one hash function serves all.
 2. Inverted lists: classes by retained value. Values of one class are dropped.
    Lists of up to `hot` classes give pairs, counted by shared values. With the
    values of longer lists, which a class counts as its hot values, a pair must reach
    `floor` times the smaller sketch, i.e. an estimate of about that similarity.
-3. Classes with so many hot values that these alone could reach that are
-   linked to the least class of each of the rarest of their hot lists that two such
-   classes must share, never pair by pair.
-4. The components of these candidates are blobs. A blob's sets meet in blocks of
-   `block` classes, each pair of blocks in one group, where exact Jaccard similarity
-   decides and only a spanning forest of the links is emitted.
-5. Components of these forests are the groups.
-
-A pair of similarity 0.75 or more shares on average three quarters of the union's
-k least hashes. With k = 48 and floor = 0.4 the chance that it falls short of the
+   Classes with so many hot values that these alone could reach that are linked to
+   the least class of each of the rarest of their hot lists that two such classes
+   must share, never pair by pair.
+3. The components of these candidates are blobs. In a blob of up to `block` classes
+   the union sketch of two classes, the k least hashes of both, tells the share of
+   it that both have; from `floor` on the exact sets decide. Only a spanning forest
+   of the links is emitted.
+4. Larger blobs are refined level by level. A class with more than a quarter of its
+   set in no other class has no link and leaves; the lists of those that stay give
+   new, smaller blobs. What is still large meets in blocks, each with the blob's
+   `leaders` most typical classes, so that each set travels once. Only classes that
+   these links leave outside the blob's main group meet all blocks.
+5. Components of the forests are the groups.
+
+Two classes of similarity 0.75 or more share on average three quarters of their
+union sketch. With k = 48 and floor = 0.4 the chance that they fall short of the
 floor is below 1e-7 at 0.75 and less above; sets of up to k shingles are exact.
-Beyond that nothing is capped. Work is linear in the documents, except for
-blobs beyond a block, whose block pairs grow with the square of the blob over the
-square of `block`.
+Beyond that nothing is capped. Work is linear in the documents, except for the
+outsiders of step 4, which meet their blob in (outsiders / block) * (blob / block) groups.
 
 Defined cases: null texts and texts without words have an empty set and are
 linked with nothing; repeated rows are copies; a null id stays null, and a class
-of null ids only has the class's least id, null, as its component.
+of null ids only has the class's least id, null, as its component; other columns
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,31 +46,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import add_columns, small, written
-from tidemark.llm.components import component_labels
+from tidemark.llm.common import add_columns
 from tidemark.llm.shingles import shingle_sets
+from tidemark.operators.components import component_labels
+from tidemark.plans.lineage import join_groups, small, written
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
 def with_sketches(docs: DataFrame, text_col: str, width: int, k: int) -> DataFrame:
-    """Add node (the set's id, null if it is empty), n_shingles and sketch."""
+    """Add node and check (the set's id, null if it is empty), n_shingles and sketch."""
 
     def function(got):
         sets = shingle_sets([t or b"" for t in got[0]], width)
-        return [[set_id(s) if len(s) else None for s in sets], [len(s) for s in sets], [s[:k].view(np.int64).tolist() for s in sets]]
+        ids = [set_id(s) if len(s) else (None, None) for s in sets]
+        return [[i[0] for i in ids], [i[1] for i in ids], [len(s) for s in sets], [s[:k].view(np.int64).tolist() for s in sets]]
+
+    fields = [("node", T.LongType()), ("check", T.LongType()), ("n_shingles", T.LongType()), ("sketch", T.ArrayType(T.LongType()))]
+    return add_columns(docs, [text_col], T.StructType([T.StructField(*f) for f in fields]), function)
+
 
-    adds = T.StructType([T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    return add_columns(docs, [text_col], adds, function)
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Rows (node, check, ...) with other nodes where two sets share a node but not the check."""
+    clash = rows.where("node is not null").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node", F.lit(True).alias("_clash"))
+    if clash.isEmpty():
+        return rows.drop("check")
+    marked = rows.join(F.broadcast(clash), "node", "left").withColumn("node", F.when(F.col("_clash"), F.xxhash64("node", "check")).otherwise(F.col("node")))
+    return written(marked.drop("_clash", "check"), "sketches")
 
 
 def candidate_links(classes: DataFrame, hot: int, floor: float) -> DataFrame:
     """(a, b): class pairs that may be similar, from (node, n_shingles, sketch)."""
     entries = classes.select("node", F.col("n_shingles").alias("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n_list"), F.min("node").alias("least")).where("n_list > 1")
-    shared = written(entries.join(lists, "value"), "shared")
+    shared = written(join_groups(entries, lists, ["value"], "n_list", max(1000, classes.count() // 1000)), "shared")
     need = F.ceil(F.lit(floor) * F.col("k"))
     # At most k entries a class.
     heat = shared.where(F.col("n_list") > hot).groupBy("node", "k").agg(F.array_sort(F.collect_list(F.struct("n_list", "value", "least"))).alias("hots"))
@@ -80,12 +98,83 @@ def candidate_links(classes: DataFrame, hot: int, floor: float) -> DataFrame:
     return near.unionAll(ends.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
 
 
-def similar_forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning edges (node, root) of the links among classes.
+def sized_blobs(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n_shingles, blob, members, shingles) of the classes that have a link; the last two are the blob's."""
+    blobs = written(component_labels(links).withColumnRenamed("root", "blob").join(classes.select("node", "n_shingles"), "node"), "blobs")
+    sizes = blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    return join_groups(blobs, sizes, ["blob"], "members", max(1000, blobs.count() // 1000))
+
+
+def class_texts(plain: DataFrame, rows: DataFrame, members: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The members (node, one, ...) with the text of one row each, found by key and id, with a broadcast up to `broadcast_rows` members and a join beyond."""
+    named = members.withColumns({"_key": F.col("one.key"), "_id": F.col("one.doc_id")}).drop("one")
+
+    def pick(of: DataFrame, some: DataFrame) -> DataFrame:
+        chosen = some.withColumnRenamed("node", "_node") if "node" in of.columns else some
+        return of.join(small(chosen, broadcast_rows), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
 
-    The shared hashes of all pairs are counted by products of 0/1 matrices, a slice
-    of hashes at a time; hashes of one class only are dropped first.
+    # Where the one row of a class is repeated, all but one of its texts stay out of the later shuffles.
+    again = written(pick(rows.select("key", "doc_id"), named.select("node", "_key", "_id")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "repeated")
+    if again.isEmpty():
+        return pick(plain, named).drop("key", "doc_id", "_key", "_id")
+    once = pick(plain, written(named.join(again, "node", "left_anti"), "chosen"))
+    return once.unionByName(pick(plain, written(named.join(again, "node"), "chosen")).dropDuplicates(["node"])).drop("key", "doc_id", "_key", "_id")
+
+
+def lonely_shares(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, lonely) of the classes that can have a link: lonely is the share of the set that no other class has."""
+    values = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("value"))
+    alone = values.groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    lonely = F.coalesce(F.col("alone") / F.col("n"), F.lit(0.0))
+    return sets.select("node", F.size("set").alias("n")).join(alone, "node", "left").select("node", lonely.alias("lonely")).where(100 * (1 - F.col("lonely")) >= percent - 1e-6)
+
+
+def estimated_pairs(sets: list[np.ndarray], percent: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose union sketch estimates a similarity of at least `floor`.
+
+    The j-th least value that both sketches retain, at places p and q of them, is at
+    place p + q - j of the union; it counts if that is within the union's k least.
     """
+    n, size = len(sets), np.array([len(s) for s in sets])
+    sketch = np.full((n, k), np.iinfo(np.uint64).max, np.uint64)
+    for i, s in enumerate(sets):
+        sketch[i, : min(k, size[i])] = s[:k]
+    kept = np.arange(k)[None, :] < size[:, None]
+    rows, cols = [], []
+    for x in range(n - 1):
+        own = sketch[x, : min(k, size[x])]
+        place = np.searchsorted(own, sketch[x + 1 :])
+        hit = (own[np.minimum(place, len(own) - 1)] == sketch[x + 1 :]) & kept[x + 1 :]
+        rank = place + np.arange(k)[None, :] + 2 - np.cumsum(hit, axis=1)
+        union = np.minimum(k, size[x] + size[x + 1 :] - hit.sum(axis=1))
+        low, high = np.minimum(size[x], size[x + 1 :]), np.maximum(size[x], size[x + 1 :])
+        found = np.flatnonzero(((hit & (rank <= k)).sum(axis=1) >= floor * union) & (100 * low >= percent * high))
+        rows.append(np.full(len(found), x))
+        cols.append(found + x + 1)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Common hashes of pairs: products of 0/1 matrices, a slice of hashes at a time; hashes of one class only are dropped first."""
+    n = len(sets)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    many = times[column] > 1
+    owner, column = owner[many], column[many]
+    _, column = np.unique(column, return_inverse=True)
+    shared = np.zeros((n, n), np.float32)
+    columns = int(column.max(initial=-1)) + 1
+    width = min(8192, max(1, columns))
+    for low in range(0, columns, width):
+        part = (column >= low) & (column < low + width)
+        dense = np.zeros((n, width), np.float32)
+        dense[owner[part], column[part] - low] = 1
+        shared += dense @ dense.T
+    return np.rint(shared[rows, cols]).astype(np.int64)
+
+
+def similar_forest(ids: list[int], sets: list[np.ndarray], percent: int, k: int, floor: float) -> list[tuple[int, int]]:
+    """Spanning edges (node, root) of the links among classes."""
     n = len(ids)
     root = list(range(n))
 
@@ -95,84 +184,119 @@ def similar_forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list
             x = root[x]
         return x
 
-    size = np.array([len(s) for s in sets])
-    if n == 2:
-        both = [len(np.intersect1d(sets[0], sets[1], assume_unique=True))]
-        rows, cols, counts = np.array([0]), np.array([1]), np.array(both)
-    else:
-        values = np.concatenate(sets)
-        owner = np.repeat(np.arange(n), size)
-        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
-        many = times[column] > 1
-        owner, column = owner[many], column[many]
-        _, column = np.unique(column, return_inverse=True)
-        shared = np.zeros((n, n), np.float32)
-        columns = int(column.max(initial=-1)) + 1
-        width = min(8192, max(1, columns))
-        for low in range(0, columns, width):
-            part = (column >= low) & (column < low + width)
-            dense = np.zeros((n, width), np.float32)
-            dense[owner[part], column[part] - low] = 1
-            shared += dense @ dense.T
-        rows, cols = np.triu_indices(n, 1)
-        counts = np.rint(shared[rows, cols]).astype(np.int64)
-    linked = 100 * counts >= percent * (size[rows] + size[cols] - counts)
-    for x, y in zip(rows[linked].tolist(), cols[linked].tolist()):
-        x, y = find(x), find(y)
+    def join(x: int, y: int) -> None:
         if x != y:
             x, y = (x, y) if ids[x] < ids[y] else (y, x)
             root[y] = x
+
+    rows, cols = estimated_pairs(sets, percent, k, floor)
+    if len(rows) > 8 * n:
+        counts = shared_counts(sets, rows, cols)
+        size = np.array([len(s) for s in sets])
+        linked = 100 * counts >= percent * (size[rows] + size[cols] - counts)
+        for x, y in zip(rows[linked].tolist(), cols[linked].tolist()):
+            join(find(x), find(y))
+    else:
+        for x, y in zip(rows.tolist(), cols.tolist()):
+            if find(x) != find(y):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    join(find(x), find(y))
     return [(ids[i], ids[find(i)]) for i in range(n) if find(i) != i]
 
 
-def _forests(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (group, node, text) sorted by group, streamed; a group is at most two blocks."""
+def _forests(batches: Iterator[pa.RecordBatch], width: int, percent: int, k: int, floor: float) -> Iterator[pa.RecordBatch]:
+    """Rows (blob, i, j, node, and text or set) sorted by group, streamed; one group is held at a time."""
 
     def flush(group):
         if len(group) < 2:
             return []
-        ids = list(group)
-        return similar_forest(ids, shingle_sets([group[i] for i in ids], width), percent)
+        ids, values = list(group), list(group.values())
+        return similar_forest(ids, shingle_sets(values, width) if isinstance(values[0], bytes) else values, percent, k, floor)
+
+    def batch(edges):
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+    def contents(b):
+        if "text" in b.schema.names:
+            return b.column("text").cast(pa.binary()).to_pylist()
+        sets = b.column("set")
+        offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+        return [values[x:y].copy() for x, y in zip(offsets[:-1], offsets[1:])]
 
     now, group = None, {}
     for b in batches:
         edges = []
         keys = list(zip(*(b.column(c).to_pylist() for c in ("blob", "i", "j"))))
-        for key, node, text in zip(keys, b.column("node").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+        for key, node, content in zip(keys, b.column("node").to_pylist(), contents(b)):
             if key != now:
                 edges += flush(group)
                 now, group = key, {}
-            group[node] = text
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
-    edges = flush(group)
-    yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+            group[node] = content
+        yield batch(edges)
+    yield batch(flush(group))
+
+
+def verified(meet: DataFrame, *, width: int, percent: int, k: int, floor: float) -> DataFrame:
+    """(a, b): forests of the links among the classes that meet in a group (blob, i, j, node, and text or set)."""
+    placed = meet.repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "node")
+    return placed.mapInArrow(lambda batches: _forests(batches, width, percent, k, floor), "a long, b long")
+
+
+def large_links(large: DataFrame, sets: DataFrame, shares: DataFrame, check: dict, block: int, block_shingles: int, leaders: int) -> DataFrame:
+    """(a, b): forests of the links in large blobs, in blocks with leaders, then of the outsiders with all blocks."""
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / block_shingles)).cast("long")
+    dealt = written(large.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(shares, "node").select("node", "blob", "blocks", "i", "lonely"), "dealt")
+    # The least lonely class of each block, then the least of these: no task sees a whole blob.
+    typical = dealt.groupBy("blob", "i", "blocks").agg(F.min(F.struct("lonely", "node")).alias("t")).groupBy("blob", "blocks").agg(F.slice(F.array_sort(F.collect_list("t")), 1, leaders).alias("ts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    led = typical.select("blob", "blocks", F.explode("ts.node").alias("node")).select("blob", "node", every("blocks").alias("i"))
+    meet = dealt.select("blob", "node", "i").unionByName(led).distinct().withColumn("j", F.lit(0).cast("long"))
+    first = written(verified(meet.join(sets, "node"), **check), "forest")
+    labels = component_labels(first)
+    labelled = written(dealt.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    main = labelled.groupBy("blob", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("blob").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    outside = written(labelled.join(small(written(main, "main"), 1_000_000), "blob").where("root <> main").select("blob", "blocks", "node"), "outside")
+    few = outside.groupBy("blob").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("few"))
+    few = small(written(few, "few"), 1_000_000)
+    rows = outside.join(few, "blob").select("blob", F.pmod(F.xxhash64("node"), F.col("few")).alias("i"), every("blocks").alias("j"), "node")
+    columns = dealt.join(few, "blob").select("blob", every("few").alias("i"), F.col("i").alias("j"), "node")
+    return first.unionByName(verified(rows.unionByName(columns).distinct().join(sets, "node"), **check))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 48, hot: int = 64, floor: float = 0.4, block: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = 48, hot: int = 64, floor: float = 0.4, block: int = 256, block_shingles: int = 1 << 21, leaders: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, key, n_shingles, component_id) for each row: key is xxhash64 of the text, component_id the least id reachable.
 
     Texts are read twice; the second time only those of one member of each class in
-    a blob go on, found by (id, hash of the text) with a broadcast up to
-    `broadcast_rows` classes and a join beyond.
+    a blob go on, as sets. A group that is verified in one task has at most two
+    blocks of about `block` classes and `block_shingles` shingles.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = written(with_sketches(plain, "text", width, k).drop("text"), "sketches")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "doc_id")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    blobs = written(component_labels(candidate_links(classes.select("node", "n_shingles", "sketch"), hot, floor)), "blobs")
-    blocks = F.ceil(F.col("members") / block).cast("long")
-    sizes = blobs.groupBy(F.col("root").alias("blob")).agg(F.count(F.lit(1)).alias("members")).select("blob", blocks.alias("blocks"))
-    member = blobs.join(sizes, blobs["root"] == sizes["blob"]).select("node", "blob", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
-    who = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "doc_id")).alias("one"))
-    chosen = written(member.join(who, "node").select("node", "blob", "blocks", "own", F.col("one.key").alias("_key"), F.col("one.doc_id").alias("_id")), "members")
-    texts = plain.join(small(chosen, broadcast_rows), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    meet = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meet = meet.select("blob", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
-    meet = meet.repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "node")
-    forest = meet.mapInArrow(lambda batches: _forests(batches, width, percent), "a long, b long")
-    labels = component_labels(forest)
-    roots = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node")
-    roots = written(roots, "roots")
-    merged = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    alone = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_least")).withColumnRenamed("node", "_node")
-    known = alone.join(merged.withColumnRenamed("node", "_node"), "_node", "left").select("_node", F.coalesce("component_id", "_least").alias("component_id"))
-    return rows.select("doc_id", "key", "n_shingles", "node").join(known, F.col("node") == F.col("_node"), "left").select("doc_id", "key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = told_apart(written(with_sketches(plain, "text", width, k).drop("text"), "sketches"))
+    classes = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("key", "doc_id")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    check = {"width": width, "percent": percent, "k": k, "floor": floor}
+    zero = F.lit(0).cast("long")
+    fits = (F.col("members") <= block) & (F.col("shingles") <= block_shingles)
+    members = written(sized_blobs(classes, written(candidate_links(classes, hot, floor), "links")), "members")
+    chosen = members.where(fits).select("node", "blob", zero.alias("i"), zero.alias("j")).join(classes.select("node", "one"), "node")
+    forest = verified(class_texts(plain, rows, written(chosen, "chosen"), broadcast_rows), **check)
+    large = members.where(~fits)
+    if not large.isEmpty():
+        texts = class_texts(plain, rows, written(large.select("node").join(classes.select("node", "one"), "node"), "chosen"), broadcast_rows)
+        as_sets = lambda got: [[s.view(np.int64) for s in shingle_sets(got[0], width)]]
+        sets = written(add_columns(texts, ["text"], T.StructType([T.StructField("set", T.ArrayType(T.LongType()))]), as_sets).drop("text"), "sets")
+        shares = written(lonely_shares(sets, percent), "shares")
+        linked = written(candidate_links(written(classes.join(shares, "node", "left_semi"), "alive"), hot, floor), "links")
+        members = written(sized_blobs(classes, linked), "members")
+        again = members.where(fits).select("node", "blob", zero.alias("i"), zero.alias("j")).join(sets, "node")
+        forest = forest.unionByName(verified(again, **check))
+        forest = forest.unionByName(large_links(members.where(~fits), sets, shares, check, block, block_shingles, leaders))
+    labels = written(component_labels(forest).join(classes.select("node", "least"), "node"), "labels")
+    over = max(1000, classes.count() // 1000)
+    groups = labels.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    merged = join_groups(labels, groups, ["root"], "classes", over).select("node", "component_id")
+    known = written(classes.select("node", "copies", "least").join(merged, "node", "left").select("node", "copies", F.coalesce("component_id", "least").alias("component_id")), "known")
+    out = ["doc_id", "key", "n_shingles"]
+    full = join_groups(rows.where("node is not null").select(*out, "node"), known, ["node"], "copies", over)
+    return full.select(*out, "component_id").unionByName(rows.where("node is null").select(*out, F.col("doc_id").alias("component_id")))

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, small, written
+from tidemark.llm.common import ascii_lower
+from tidemark.plans.lineage import small, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. The look-behinds and possessive quantifiers change no match: no part after a

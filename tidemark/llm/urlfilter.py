@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, small
+from tidemark.llm.common import ascii_lower
+from tidemark.plans.lineage import small
 
 
 def url_host(url: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import shared_folder, small, written
+from tidemark.plans.lineage import shared_folder, small, written
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
