@@ -35,14 +35,14 @@ def test_smoke_case(families):
     values = {r.row_num: r for r in fixed.collect()}
     assert values[5].State == "VIC" and values[6].ServiceID == "122956" and values[6].Child_Legacy_Id == "122956_5"
     linked = {r.ord: r.legacy for r in entity.auto_link(entity.profiles(fixed)).collect()}
-    assert linked[12] == "p1"  # row 6 took over the id of the first profile
+    assert linked[12] == "P1"  # row 6 took over the id of the first profile, as that row writes it
 
 
 def test_auto_link_reads_what_was_overwritten(spark):
     # A-C and B-C share a phone, A-B do not: C ends with B's id.
-    rows = [(1, "s", "Parent1", 2, "pat", "lee", "1985", "a", "", ["1"], []), (2, "s", "Parent1", 4, "pat", "lee", "1985", "b", "", ["2"], []), (3, "s", "Parent1", 6, "pat", "lee", "1985", "c", "", ["1", "2"], [])]
-    p = spark.createDataFrame(rows, "row_num long, service string, slot string, ord long, first string, last string, dob string, legacy string, crn string, contacts array<string>, emails array<string>")
-    assert {r.ord: r.legacy for r in entity.auto_link(p).collect()} == {2: "a", 4: "b", 6: "b"}
+    rows = [(1, "s", "Parent1", 2, "pat", "lee", "1985", "a", "", ["1"], [], "A"), (2, "s", "Parent1", 4, "pat", "lee", "1985", "b", "", ["2"], [], "B"), (3, "s", "Parent1", 6, "pat", "lee", "1985", "c", "", ["1", "2"], [], "C")]
+    p = spark.createDataFrame(rows, "row_num long, service string, slot string, ord long, first string, last string, dob string, legacy string, crn string, contacts array<string>, emails array<string>, legacy_id string")
+    assert {r.ord: r.legacy for r in entity.auto_link(p).collect()} == {2: "A", 4: "B", 6: "B"}
 
 
 def test_components_of_long_chains(spark):

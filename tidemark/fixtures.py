@@ -100,6 +100,32 @@ SELECT DISTINCT n_name AS centre_name, p_brand AS room_name FROM part JOIN natio
 """,
     "fx_room_usage": """
 SELECT DISTINCT CAST(p_size % 25 + 100 AS STRING) AS service_legacy_id, CASE WHEN p_partkey % 5 = 0 THEN 'The ' || p_brand || ' Room' ELSE p_brand END AS room_name FROM part
+""",
+    "fx_families_more": """
+SELECT CAST(c_custkey + 2 AS BIGINT) AS row_num, 'Kid' || CAST(c_custkey AS STRING) AS Child_First_Name,
+ CASE WHEN c_custkey % 3 = 0 THEN 'Con' ELSE '' END AS EmergencyContact1_First_Name, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'Tact' END AS EmergencyContact1_Last_Name,
+ CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE 'E1' END AS EmergencyContact1_LegacyID,
+ CASE c_custkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' WHEN 2 THEN '' ELSE 'Female' END AS Gender,
+ CASE c_custkey % 5 WHEN 0 THEN 'Non-Binary' WHEN 1 THEN 'non-binary' WHEN 2 THEN 'Trans Male' ELSE '' END AS Gender_Identity,
+ CASE c_custkey % 7 WHEN 0 THEN '2031-01-01' WHEN 1 THEN '31/12/2030' ELSE '2020-02-29' END AS DOB,
+ CASE c_custkey % 8 WHEN 0 THEN '1234 567' WHEN 1 THEN '' ELSE CAST(c_custkey AS STRING) END AS Medicare_Number,
+ CASE WHEN c_custkey % 10 = 0 THEN repeat('s', 201) ELSE repeat('s', 200) END AS School,
+ CASE WHEN c_custkey % 11 = 0 THEN repeat(' ', 51) ELSE '' END AS Parent1_Gender
+FROM customer
+""",
+    "fx_dates": """
+SELECT CAST(o_orderkey AS BIGINT) AS src_row, CASE o_orderkey % 8
+ WHEN 0 THEN CAST(y AS STRING) || '/' || CAST(m AS STRING) || '/' || CAST(d AS STRING)
+ WHEN 1 THEN CAST(d AS STRING) || ' ' || substr('JanFebMarAprMayJunJulAugSepOctNovDec', m * 3 - 2, 3) || ' ' || CAST(y AS STRING)
+ WHEN 2 THEN CAST(d AS STRING) || '.' || CAST(m AS STRING) || '.' || CAST(y AS STRING) || ' 13:05'
+ WHEN 3 THEN CAST(d AS STRING) || '-' || upper(substr('JanFebMarAprMayJunJulAugSepOctNovDec', m * 3 - 2, 3)) || '-' || CAST(y AS STRING)
+ WHEN 4 THEN CAST(d AS STRING) || '-' || CAST(m AS STRING) || '-' || CAST(y AS STRING)
+ WHEN 5 THEN CAST(y AS STRING) || '-' || lpad(CAST(m AS STRING), 2, '0') || '-' || lpad(CAST(d AS STRING), 2, '0') || ' 00:00:00'
+ WHEN 6 THEN 'week ' || CAST(d AS STRING) ELSE CAST(d AS STRING) || '/' || CAST(m AS STRING) || '/' || CAST(y AS STRING) || ' 1:05:09 PM' END AS written, o_orderdate AS meant
+FROM (SELECT o_orderkey, o_orderdate, CAST(day(o_orderdate) AS INT) AS d, CAST(month(o_orderdate) AS INT) AS m, CAST(year(o_orderdate) AS INT) AS y FROM orders)
+""",
+    "fx_odd_names": """
+SELECT DISTINCT '  ' || p_brand || '/:' || p_type || CASE WHEN p_partkey % 3 = 0 THEN ' o''x  Cafe_ ' ELSE '?* ' END AS name FROM part
 """,
     "fx_source_services": """
 SELECT n_nationkey AS dbid, CAST(n_nationkey + 100 AS STRING) AS service_id, 'SRC ' || n_name AS name FROM nation

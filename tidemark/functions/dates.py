@@ -19,11 +19,31 @@ def strict_date(c: Column | str) -> Column:
     return F.coalesce(F.when(value.rlike(ISO), F.try_to_date(value, "yyyy-MM-dd")), F.when(value.rlike(DMY), F.try_to_date(value, "d/M/yyyy")))
 
 
+#: Forms that are read after the usual ones, day first: the pattern of a date and its format.
+LATER = (
+    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy"),
+    (r"\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}", "d MMM yyyy"),
+    (r"\d{1,2}[ -][A-Za-z]{4,9}[ -]\d{4}", "d MMMM yyyy"),
+    (r"[A-Za-z]{3} \d{1,2},? \d{4}", "MMM d yyyy"),
+    (r"[A-Za-z]{4,9} \d{1,2},? \d{4}", "MMMM d yyyy"),
+)
+
+
 def booking_date(c: Column | str) -> Column:
-    """Day first or ISO, with a 12-hour time, a 24-hour time or none; then days with hyphens."""
+    """Day first or ISO, with a 12-hour time, a 24-hour time or none; then, each with a time or none, the forms of LATER."""
     value = strip(c)
     day = F.substring_index(value, " ", 1)
-    return F.coalesce(F.when(value.rlike(DMY_TIME), F.try_to_date(day, "d/M/yyyy")), F.when(value.rlike(ISO_TIME), F.try_to_date(day, "yyyy-M-d")), F.when(value.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(day, "d-M-yyyy")))
+    # Months in words as the formats have them: one capital, and no hyphens or commas.
+    worded = F.initcap(F.lower(F.regexp_replace(F.regexp_replace(value, r"(?<=[A-Za-z])-|-(?=[A-Za-z])", " "), r"(?<=\d), ", " ")))
+    later = []
+    for pattern, form in LATER:
+        text = worded if "MMM" in form else value
+        alone = F.regexp_extract(text, f"^({pattern.replace(',?', '')})", 1)
+        later.append(F.when(value.rlike("^" + pattern + _TIME), F.try_to_date(alone, form)))
+    return F.coalesce(F.when(value.rlike(DMY_TIME), F.try_to_date(day, "d/M/yyyy")), F.when(value.rlike(ISO_TIME), F.try_to_date(day, "yyyy-M-d")), *later)
 
 
 def payment_date(c: Column | str) -> Column:

@@ -115,6 +115,13 @@ def day_summary(columns: list[str]) -> Column:
     return F.coalesce(or_null(F.array_join(F.array_compact(flags), ", ")), F.lit("None"))
 
 
+def days_of(mask: Column) -> Column:
+    """The booked days of a mask in order, as "MON1, WED2"; a dash for none."""
+    names = F.array(*map(F.lit, DAYS))
+    flags = F.filter(names, lambda d, i: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)
+    return F.coalesce(or_null(F.array_join(flags, ", ")), F.lit("—"))
+
+
 def whole_number(c: Column | str) -> Column:
     """"248992.0" becomes "248992"."""
     return F.regexp_replace(col(c), r"^(-*\d+)\.0$", "$1")
@@ -148,4 +155,16 @@ def search_words(name: Column | str) -> Column:
 
 
 def file_label(c: Column | str) -> Column:
-    return F.regexp_replace(strip(c), r'[\\/:*?"<>|]', "_")
+    """A file name of any text: reserved characters become "_", ends are trimmed."""
+    return strip(F.regexp_replace(text(c), r'[\\/:*?"<>|]', "_"))
+
+
+def file_word(c: Column | str) -> Column:
+    """A file name of words: other characters go, spaces and apostrophes become one "_", none at the ends."""
+    words = F.regexp_replace(strip(F.regexp_replace(text(c), r"(?U)[^\w\s'-]", "")), r"(?U)[\s'_]+", "_")
+    return F.regexp_replace(words, "^_+|_+$", "")
+
+
+def file_part(c: Column | str) -> Column:
+    """A part of a file name: reserved characters become "_", spaces stay."""
+    return F.regexp_replace(text(c), r'[\\/:*?"<>|]', "_")

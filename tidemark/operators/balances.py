@@ -13,6 +13,12 @@ def centre_column(columns: list[str]) -> str | None:
     return next((c for c in columns if c.lower().replace(" ", "").replace("_", "") in ("centername", "centrename")), None)
 
 
+def balance_columns(df: DataFrame) -> DataFrame:
+    """The columns of a balance file under the names that resolve_balances has: account_name, credit, owing, amount_due."""
+    known = {"accountname": "account_name", "credit": "credit", "owing": "owing", "amountdue": "amount_due"}
+    return df.withColumnsRenamed({c: new for c in df.columns if (new := known.get(c.lower().replace(" ", "").replace("_", "")))})
+
+
 def resolve_balances(df: DataFrame, known: DataFrame) -> DataFrame:
     """(src_row, centre, first, last, credit, owing) of accounts at known centres, without demo accounts.
 

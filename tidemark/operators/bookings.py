@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text
 from tidemark.operators.components import block_components
 from tidemark.plans.lineage import written
+from tidemark.plans.numbering import numbered
 
 DAY_COLUMNS = [f"{d[:3].lower()}{w}" for w in (1, 2) for d in text.WEEKDAYS]
 
@@ -40,16 +41,15 @@ def unmapped_services(raw: DataFrame, service_map: DataFrame) -> DataFrame:
 def exact_duplicates(raw: DataFrame, order_col: str = "src_row") -> DataFrame:
     """All rows of groups that are equal but for their order: rank, status (KEEP the first) and group number.
 
-    Groups are numbered in order of their first rows; the numbering window runs over
-    the groups only, not over the bookings.
+    Groups are numbered in order of their first rows, by counts of spans of rows, as are the rows of a group.
     """
     days = [c for c in DAY_COLUMNS if c in raw.columns]
     key = [c for c in ("service_legacy_id", "child_legacy_id", "child_first_name", "child_last_name", "start_date", "end_date", "fee_name", "room_name", "frequency") if c in raw.columns]
     keyed = raw.select(order_col, F.struct(*(text.text(c).alias(c) for c in key), *(text.day_flag(c).alias(c) for c in days)).alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_row")).where("n > 1")
-    groups = groups.withColumn("group_no", F.dense_rank().over(Window.orderBy("first_row")))
-    rank = F.row_number().over(Window.partitionBy("first_row").orderBy(order_col)) - 1
-    return keyed.join(groups, "key").select(order_col, "group_no", rank.alias("rank"), F.when(F.col(order_col) == F.col("first_row"), "KEEP").otherwise("REMOVE").alias("status"))
+    groups = written(numbered(groups, [], "first_row", "group_no"), "groups")
+    members = numbered(keyed.join(groups, "key").select(order_col, "group_no", "first_row"), ["group_no"], order_col, "rank", first=0)
+    return members.select(order_col, "group_no", "rank", F.when(F.col(order_col) == F.col("first_row"), "KEEP").otherwise("REMOVE").alias("status"))
 
 
 def drop_exact_duplicates(raw: DataFrame, order_col: str = "src_row") -> DataFrame:
@@ -68,15 +68,47 @@ def recurring_conflicts(recurring: DataFrame) -> DataFrame:
     return t.join(u, block).where((F.col("a") < F.col("b")) & (F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e")) & (F.col("days").bitwiseAND(F.col("days2")) != 0)).select("service_id", "child_id", "a", "b")
 
 
+def _conflict_stars(recurring: DataFrame) -> DataFrame:
+    """(service_id, child_id, a, b): enough of the conflicts to join each component, by a sweep over each day's bookings.
+
+    Of one child, service, room, fee and day, in order of start, a booking that starts before
+    all earlier ones have ended is linked to the one that ends last: as many links as booked days.
+    Bookings that end before they start, an error in the input, are compared with their block.
+    """
+    block = ["service_id", "child_id", "room_key", "fee_key"]
+    every = _timed(recurring).where("s is not null and e is not null and days <> 0").select(*block, "src_row", "s", "e", "days")
+    t, wrong = every.where("s <= e"), every.where("s > e")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(13)), lambda k: F.col("days").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
+    before = Window.partitionBy(*block, "day").orderBy("s", "src_row").rowsBetween(Window.unboundedPreceding, -1)
+    swept = t.withColumn("day", F.explode(bits)).withColumn("open", F.max(F.struct("e", "src_row")).over(before))
+    links = swept.where("s <= open.e").select("service_id", "child_id", F.col("open.src_row").alias("a"), F.col("src_row").alias("b"))
+    other = wrong.toDF(*block, "a", "s2", "e2", "days2").join(every, block).where((F.col("a") != F.col("src_row")) & (F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e")) & (F.col("days").bitwiseAND(F.col("days2")) != 0))
+    return links.unionAll(other.select("service_id", "child_id", "a", F.col("src_row").alias("b"))).distinct()
+
+
 def resolve_conflicts(recurring: DataFrame) -> DataFrame:
     """The bookings in conflict: component, and kept, true for the one that ends last, of equal ones the first row."""
     recurring = written(recurring, "recurring")
-    pairs = written(recurring_conflicts(recurring), "conflicts")
+    links = written(_conflict_stars(recurring), "conflicts")
     block = ["service_id", "child_id"]
-    nodes = pairs.select(*block, F.explode(F.array("a", "b")).alias("src_row")).distinct()
-    found = block_components(nodes, pairs, block, "src_row").join(_timed(recurring).select("src_row", "e"), "src_row")
-    best = Window.partitionBy(*block, "component").orderBy(F.col("e").desc(), "src_row")
-    return found.withColumn("kept", F.row_number().over(best) == 1).drop("e")
+    nodes = links.select(*block, F.explode(F.array("a", "b")).alias("src_row")).distinct()
+    found = written(block_components(nodes, links, block, "src_row").join(_timed(recurring).select("src_row", "e"), "src_row"), "components")
+    best = found.groupBy(*block, "component").agg(F.min_by("src_row", F.struct(-F.unix_date("e"), "src_row")).alias("best"))
+    return found.join(best, [*block, "component"]).withColumn("kept", F.col("src_row") == F.col("best")).drop("e", "best")
+
+
+def conflict_report(recurring: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The removed recurring bookings with conflict_reason, which names the first booking in conflict with each and the end of the one kept."""
+    timed = _timed(recurring).select("src_row", "s", "e", "days")
+    removed = resolved.where("not kept").select("service_id", "child_id", "component", "src_row")
+    kept = resolved.where("kept").select("service_id", "child_id", "component", F.col("src_row").alias("kept_row")).join(timed.select(F.col("src_row").alias("kept_row"), F.col("e").alias("kept_end")), "kept_row")
+    pairs = recurring_conflicts(recurring)
+    partner = pairs.select(F.col("a").alias("src_row"), F.col("b").alias("other")).unionAll(pairs.select("b", "a")).groupBy("src_row").agg(F.min("other").alias("other"))
+    found = removed.join(kept, ["service_id", "child_id", "component"]).join(partner, "src_row").join(timed, "src_row").join(timed.toDF("other", "s2", "e2", "days2"), "other")
+    shared = F.col("days").bitwiseAND(F.col("days2"))
+    reason = F.concat(F.lit("Overlapping recurring schedules: date overlap "), dates.shown(F.greatest("s", "s2")), F.lit("–"), dates.shown(F.least("e", "e2")), F.lit(", shared booked days: "), text.days_of(shared),
+                      F.lit(" Removed in favour of the row with the furthest EndDate ("), dates.shown(F.col("kept_end")), F.lit("), which was kept in the bookings import."))
+    return recurring.join(found.select("src_row", reason.alias("conflict_reason")), "src_row")
 
 
 def surviving(recurring: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -97,3 +129,21 @@ def casual_overlaps(casual: DataFrame, recurring: DataFrame) -> DataFrame:
     hit = c.join(r, key).where((F.col("day") >= F.col("s")) & (F.col("day") <= F.col("e"))).where(F.col("days").bitwiseAND(F.pow(F.lit(2), bit).cast("int")) != 0)
     first = hit.groupBy("src_row").agg(F.min_by(F.struct("recurring_row", (F.col("fee") == F.col("fee2")).alias("same_fee")), "recurring_row").alias("f"))
     return first.select("src_row", "f.*")
+
+
+def overlap_report(casual: DataFrame, recurring: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """The removed casual bookings with overlap_reason: the day, the recurring booking that covers it, and whether the fees differ."""
+    covering = recurring.select(F.col("src_row").alias("recurring_row"), F.col("start_date").alias("s2"), F.col("end_date").alias("e2"), F.col("days").alias("days2"), F.trim("fee").alias("fee2"), text.strip("week_type").alias("kind2"))
+    found = casual.join(overlaps, "src_row").join(covering, "recurring_row")
+    day = dates.strict_date("start_date")
+    week = F.when(F.lower("kind2") == "fortnightly", F.floor(F.datediff(day, dates.strict_date("s2")) / 7) % 2 + 1).otherwise(1)
+    weekday = F.element_at(F.array(*(F.lit(d[:3].upper()) for d in text.WEEKDAYS)), F.weekday(day) + 1)
+    lead = F.concat(F.lit("Casual date "), "start_date", F.lit(" ("), weekday, F.lit(", Week "), week, F.lit(" of "), "kind2", F.lit(") falls within recurring period "), "s2", F.lit(" – "), "e2", F.lit(" (Days: "), text.days_of(F.col("days2")), F.lit(", Room: "), text.strip("room"))
+    same = F.concat(lead, F.lit(", Fee: "), F.trim("fee"), F.lit(")"))
+    other = F.concat(lead, F.lit(") — same room, different fee: casual fee '"), F.trim("fee"), F.lit("' vs recurring fee '"), "fee2", F.lit("'"))
+    return found.select(*casual.columns, F.when(F.col("same_fee"), same).otherwise(other).alias("overlap_reason"))
+
+
+def in_import_order(template: DataFrame) -> DataFrame:
+    """By service and child, both as texts."""
+    return template.orderBy("service_id", "child_id", "src_row")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
+from tidemark.plans.numbering import numbered
 
 #: The error kinds in order of priority, and the accepted cycles.
 KINDS = ("weekend", "missing_date", "missing_weekday", "missing_parent", "missing_service_id", "invalid_cycle", "manual_not_monday", "negative_limit", "negative_fixed", "both_amounts", "unparseable_date", "unknown_weekday")
@@ -134,8 +135,7 @@ def split_plans(repaired: DataFrame, service_map: DataFrame, source_services: Da
     by_name = source_services.select(text.norm("name").alias("_name"), text.strip("service_id").alias("_id"), "dbid").where("_name <> ''").join(by_id, "_id").groupBy("_name").agg(F.max_by("_target", "dbid").alias("_named"))
     out = repaired.join(by_id, F.col("service_id") == F.col("_id"), "left").join(by_name, F.lower("service_name") == F.col("_name"), "left")
     out = out.withColumn("target", F.when(F.col("service_id") != "", F.col("_target")).otherwise(F.col("_named"))).where("target <> ''")
-    row = F.row_number().over(Window.partitionBy("target").orderBy("row_num")) + 1
-    return out.withColumn("file_row", row.cast("long")).withColumn("child_id", F.when(F.col("child_id") == "", "").otherwise(F.concat_ws("_", "target", "child_id"))).drop("_id", "_target", "_name", "_named")
+    return numbered(out, ["target"], "row_num", "file_row", first=2).withColumn("child_id", F.when(F.col("child_id") == "", "").otherwise(F.concat_ws("_", "target", "child_id"))).drop("_id", "_target", "_name", "_named")
 
 
 def import_template(split: DataFrame, service_map: DataFrame) -> DataFrame:

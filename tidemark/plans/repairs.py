@@ -5,19 +5,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.plans.numbering import numbered
 from tidemark.plans.rules import CONTACT_FLAGS, CONTACTS, NAME_SLOTS, PARENTS, PHONES, STATE_COLUMNS
 
 
-def map_services(df: DataFrame, service_map: DataFrame, id_col: str = "ServiceID", name_col: str = "Service_Name") -> DataFrame:
-    """Resolve ids to target ids: a target id stands, else the source id (short or full), else the name.
-
-    `service_map`: service_name, source_full_id, source_service_id, target_service_id, map_ord; the last row of a key
-    wins. Adds id_source: target, source, name, blank or unknown. One keyed lookup table serves all three.
-    """
+def _resolved(df: DataFrame, service_map: DataFrame, id_col: str) -> DataFrame:
+    """Add _v (the id, trimmed) and _hit (source, target, name) or null. One keyed lookup table serves all three ways."""
     m = service_map.where(~text.is_blank("target_service_id"))
     target, name = text.strip("target_service_id"), text.strip("service_name")
     ways = [(1, "target", target), (2, "source", text.strip("source_service_id")), (2, "source", text.strip("source_full_id")), (3, "name", text.norm("service_name"))]
@@ -25,15 +22,51 @@ def map_services(df: DataFrame, service_map: DataFrame, id_col: str = "ServiceID
     known = m.select(keys, target.alias("target"), name.alias("name"), "map_ord").where("k.key <> ''")
     known = known.groupBy("k.way", "k.source", "k.key").agg(F.max_by(F.struct("target", "name"), "map_ord").alias("found"))
     best = known.select("way", "source", "key", "found.target", "found.name")
-    value = text.strip(id_col)
     # A value can hit at most one row a way; of the ways the first counts.
     exact = best.where("way < 3").groupBy("key").agg(F.min_by(F.struct("source", "target", "name"), "way").alias("_a")).withColumnRenamed("key", "_ak")
     named = best.where("way = 3").select(F.col("key").alias("_nk"), F.struct("source", "target", "name").alias("_n"))
-    out = df.withColumn("_v", value).join(exact, F.col("_v") == F.col("_ak"), "left").join(named, F.lower("_v") == F.col("_nk"), "left")
-    hit = F.coalesce("_a", "_n")
-    fixed_name = F.when(hit.isNotNull() & ~text.is_blank(name_col) & (hit["name"] != ""), hit["name"]).otherwise(text.text(name_col))
-    out = out.withColumn("id_source", F.when(F.col("_v") == "", F.lit("blank")).otherwise(F.coalesce(hit["source"], F.lit("unknown"))))
-    return out.withColumns({name_col: fixed_name, id_col: F.coalesce(hit["target"], text.text(id_col))}).drop("_v", "_a", "_ak", "_n", "_nk")
+    out = df.withColumn("_v", text.strip(id_col)).join(exact, F.col("_v") == F.col("_ak"), "left").join(named, F.lower("_v") == F.col("_nk"), "left")
+    return out.withColumn("_hit", F.coalesce("_a", "_n")).drop("_a", "_ak", "_n", "_nk")
+
+
+def _wrong_name(name_col: str) -> Column:
+    return F.col("_hit").isNotNull() & ~text.is_blank(name_col) & (F.col("_hit.name") != "") & (text.strip(name_col) != F.col("_hit.name"))
+
+
+def map_services(df: DataFrame, service_map: DataFrame, id_col: str = "ServiceID", name_col: str = "Service_Name") -> DataFrame:
+    """Resolve ids to target ids: a target id stands, else the source id (short or full), else the name.
+
+    `service_map`: service_name, source_full_id, source_service_id, target_service_id, map_ord; the last row of a key
+    wins. Adds id_source: target, source, name, blank or unknown.
+    """
+    out = _resolved(df, service_map, id_col)
+    fixed_name = F.when(_wrong_name(name_col), F.col("_hit.name")).otherwise(text.text(name_col))
+    out = out.withColumn("id_source", F.when(F.col("_v") == "", F.lit("blank")).otherwise(F.coalesce("_hit.source", F.lit("unknown"))))
+    return out.withColumns({name_col: fixed_name, id_col: F.coalesce("_hit.target", text.text(id_col))}).drop("_v", "_hit")
+
+
+def service_issues(df: DataFrame, service_map: DataFrame, keep: list[str], id_col: str = "ServiceID", name_col: str = "Service_Name") -> DataFrame:
+    """The issues of that mapping: `keep`, field, severity, description and action.
+
+    FIXED for ids that were mapped and names that were corrected, WARNING for ids that
+    the map does not know in any way.
+    """
+    v, target, name, way = F.col("_v"), F.col("_hit.target"), F.col("_hit.name"), F.col("_hit.source")
+    given = text.strip(name_col) if name_col in df.columns else F.lit("")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+    def issue(when, field, severity, description, action):
+        return F.when(when, F.struct(F.lit(field).alias("field"), F.lit(severity).alias("severity"), description.alias("description"), action.alias("action")))
+
+    found = [
+        issue(way == "source", id_col, "FIXED", say("Source service ID '", v, "' mapped to target service ID '", target, "' (", name, ")."), say("Service ID updated: ", v, " → ", target, " (", name, ")")),
+        issue(way == "name", id_col, "FIXED", say("Service name '", v, "' resolved to target service ID '", target, "' (", name, ")."), say("Service ID updated from name: '", v, "' → '", target, "' (", name, ")")),
+        issue((v != "") & F.col("_hit").isNull(), id_col, "WARNING", say("Service ID '", v, "' was not found in the service map (checked as target ID, source ID and name)."), F.lit("")),
+    ]
+    if name_col in df.columns:
+        found.append(issue(_wrong_name(name_col), name_col, "FIXED", say(f"{name_col} '", given, "' does not match the canonical name '", name, "' for service ID '", target, "'."), say(f"{name_col} corrected: '", given, "' → '", name, "'")))
+    each = _resolved(df, service_map, id_col).select(*keep, F.explode(F.array_compact(F.array(*found))).alias("issue"))
+    return each.select(*keep, "issue.*")
 
 
 def modal_states(df: DataFrame, service_col: str = "ServiceID", state_col: str = "State", order_col: str = "row_num") -> DataFrame:
@@ -182,4 +215,4 @@ def changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) ->
 def split_rows(df: DataFrame, service_col: str = "ServiceID", order_col: str = "row_num") -> DataFrame:
     """Add service (Unknown if blank) and split_row, the row's number from 2 in its service's file."""
     service = F.coalesce(text.or_null(text.strip(service_col)), F.lit("Unknown"))
-    return df.withColumn("service", service).withColumn("split_row", F.row_number().over(Window.partitionBy("service").orderBy(order_col)) + 1)
+    return numbered(df.withColumn("service", service), ["service"], order_col, "split_row", first=2)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import view, with_views
 from tidemark.functions import dates, text
 from tidemark.operators import balances, bookings, crossrow, entity, names, payments, reports
-from tidemark.plans import repairs, rules
-from tidemark.sources import sinks
+from tidemark.plans import lineage, repairs, rules
+from tidemark.plans.lineage import written
+from tidemark.plans.numbering import in_sequence
+from tidemark.sources import readers, sinks
 
 AS_OF = "2025-01-01"
 QUERIES: dict[str, object] = {}
@@ -82,7 +84,7 @@ def modal_state(v):
     return repairs.modal_states(v("fx_families"))
 
 
-_SPELL = " ".join(f"WHEN lower(trim(State)) IN ({', '.join(repr(s) for s in spellings)}) THEN '{code}'" for code, spellings in text.STATE_SPELLINGS.items())
+_SPELL = "WHEN lower(trim(State)) IN ('victoria', 'vic') THEN 'VIC' WHEN lower(trim(State)) = 'n.s.w.' THEN 'NSW' WHEN lower(trim(State)) = 'qld' THEN 'QLD' WHEN lower(trim(State)) = 'tassie' THEN 'TAS'"
 
 
 @query(f"WITH {_MODAL} SELECT row_num, CASE WHEN trim(State) = '' THEN '' WHEN upper(trim(State)) IN ('NSW','VIC','QLD','SA','WA','TAS','ACT','NT') THEN upper(trim(State)) {_SPELL} ELSE coalesce(modal_state, trim(State)) END AS State FROM fx_families LEFT JOIN modal ON service = ServiceID")
@@ -129,7 +131,7 @@ def redundant_contacts(v):
 
 
 _ROW_ISSUES = " UNION ALL ".join(f"SELECT row_num, '{rule}' AS rule, '{f}' AS field, '{sev}' AS severity FROM fx_families WHERE {test}" for rule, f, sev, test in (
-    [("mandatory", f, "ERROR", f"{_T(f)} = ''") for f in rules.MANDATORY[:-1]] + [("mandatory", "Enrolment_Start_Date", "ERROR", "Enrolment_Start_Date = '' AND lower(Status) <> 'waitlist'")]
+    [("mandatory", f, "ERROR", f"{_T(f)} = ''") for f in ("ServiceID", "Child_Legacy_Id", "Child_First_Name", "Child_Last_Name", "DOB", "Status", "Child_CRN", "Room_Name")] + [("mandatory", "Enrolment_Start_Date", "ERROR", "Enrolment_Start_Date = '' AND lower(Status) <> 'waitlist'")]
     + [("mandatory_parent", "Parent2_DOB", "ERROR", "(Parent2_First_Name <> '' OR Parent2_Last_Name <> '' OR Parent2_Email <> '') AND Parent2_DOB = ''"), ("mandatory_parent", "Parent2_Legacy_Account_ID", "ERROR", "(Parent2_First_Name <> '' OR Parent2_Last_Name <> '' OR Parent2_Email <> '') AND Parent2_Legacy_Account_ID = ''")]
     + [("status", "Status", "ERROR", "lower(Status) NOT IN ('active', 'inactive', 'waitlist')"), ("boolean", "EmergencyContact1_Emergency_Contact", "ERROR", "lower(EmergencyContact1_Emergency_Contact) NOT IN ('0', '1', 'yes', 'no', 'true', 'false')")]
     + [("state", "State", "ERROR", "trim(State) <> '' AND upper(trim(State)) NOT IN ('NSW','VIC','QLD','SA','WA','TAS','ACT','NT')"), ("service_id", "ServiceID", "ERROR", "coalesce(try_cast(ServiceID AS BIGINT) > 0, FALSE) = FALSE")]
@@ -184,7 +186,7 @@ def issue_breakdown(v):
     return reports.issue_breakdown(_form_issues(v("fx_families")))
 
 
-@query(f"WITH {_WITH_SERVICE}, s AS (SELECT row_num, row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS split_row FROM fx_families) SELECT service, field, severity, CAST(split_row AS INTEGER) AS split_row FROM x JOIN s USING (row_num)")
+@query(f"WITH {_WITH_SERVICE}, s AS (SELECT row_num, row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS split_row FROM fx_families) SELECT service, field, severity, split_row FROM x JOIN s USING (row_num)")
 def renumbered_issues(v):
     f = v("fx_families")
     return reports.renumbered(_form_issues(f).drop("ServiceID"), repairs.split_rows(f)).select("service", "field", "severity", "split_row")
@@ -220,7 +222,7 @@ def unmapped_services(v):
 
 
 @query("""WITH k AS (SELECT src_row, min(src_row) OVER w AS f, count(*) OVER w AS n FROM fx_bookings_dup WINDOW w AS (PARTITION BY service_legacy_id, child_legacy_id, start_date, end_date, fee_name, room_name, frequency, mon1, tue1 = '1.0', wed1 = '1', fri1, mon2))
-SELECT src_row, CAST(dense_rank() OVER (ORDER BY f) AS INTEGER) AS group_no, CAST(row_number() OVER (PARTITION BY f ORDER BY src_row) - 1 AS INTEGER) AS rank, CASE WHEN src_row = f THEN 'KEEP' ELSE 'REMOVE' END AS status FROM k WHERE n > 1""")
+SELECT src_row, dense_rank() OVER (ORDER BY f) AS group_no, row_number() OVER (PARTITION BY f ORDER BY src_row) - 1 AS rank, CASE WHEN src_row = f THEN 'KEEP' ELSE 'REMOVE' END AS status FROM k WHERE n > 1""")
 def exact_duplicate_bookings(v):
     return bookings.exact_duplicates(v("fx_bookings_dup"))
 
@@ -289,7 +291,7 @@ def payment_errors(v):
     return payments.plan_errors(payments.repair_plans(v("fx_payment_plans")))
 
 
-_KINDS = ", ".join(f"({i}, '{k}')" for i, k in enumerate(payments.KINDS, 1))
+_KINDS = "(1, 'weekend'), (2, 'missing_date'), (3, 'missing_weekday'), (4, 'missing_parent'), (5, 'missing_service_id'), (6, 'invalid_cycle'), (7, 'manual_not_monday'), (8, 'negative_limit'), (9, 'negative_fixed'), (10, 'both_amounts'), (11, 'unparseable_date'), (12, 'unknown_weekday')"
 
 
 @query(_PLAN + f", k(seq, kind) AS (VALUES {_KINDS}) SELECT CAST(seq AS BIGINT) AS seq, kind, count(e.row_num) AS n FROM k LEFT JOIN e USING (kind) GROUP BY ALL UNION ALL SELECT 13, 'TOTAL', count(*) FROM e")
@@ -382,7 +384,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY row_num, slot ORDER BY existing_
 SELECT row_num, slot, matched_on, existing_service, existing_legacy_id, existing_ord FROM k WHERE i = 1""")
 def cross_service_first_match(v):
     f = v("fx_families")
-    return entity.cross_service_matches(entity.profiles(f.where("row_num % 2 = 0")), entity.profiles(f.where("row_num % 2 = 1")))
+    found = entity.cross_service_matches(entity.profiles(f.where("row_num % 2 = 0")), entity.profiles(f.where("row_num % 2 = 1")))
+    return found.select("row_num", "slot", "matched_on", "existing_service", "existing_legacy_id", "existing_ord")
 
 
 @query(_PARENT_PAIRS + """, e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r(n, m) AS (SELECT x, x FROM e UNION SELECT r.n, e.y FROM r JOIN e ON r.m = e.x),
@@ -392,11 +395,40 @@ def parent_clusters(v):
     return entity.parent_clusters(entity.profiles(v("fx_families")))
 
 
-@query()
+def _taken(field: str) -> str:
+    """CTEs: the profile from which each one takes a field over, by its latest linked predecessor that has the field or takes it over itself."""
+    return f"""has_{field} AS (SELECT DISTINCT anc.ord FROM anc JOIN raw ON raw.ord = x WHERE {field} <> ''),
+par_{field} AS (SELECT b, max(a) AS a FROM p WHERE a IN (SELECT ord FROM has_{field}) GROUP BY b),
+climb_{field}(ord, src) AS (SELECT ord, ord FROM prof WHERE dob <> '' AND tel <> '' UNION ALL SELECT ord, a FROM climb_{field} JOIN par_{field} ON b = src),
+of_{field} AS (SELECT c.ord, {field} FROM climb_{field} c JOIN raw ON raw.ord = c.src WHERE c.src NOT IN (SELECT b FROM par_{field}))"""
+
+
+_LINKED = f"""{_PARENT_PAIRS}, raw AS (SELECT row_num, row_num * 2 AS ord, 'Parent1' AS slot, Parent1_Legacy_Account_ID AS legacy, Parent1_CRN AS crn, Parent1_DOB AS birth, Parent1_First_Name || ' ' || Parent1_Last_Name AS name FROM fx_families
+ UNION ALL SELECT row_num, row_num * 2 + 1, 'Parent2', Parent2_Legacy_Account_ID, '', Parent2_DOB, Parent2_First_Name || ' ' || Parent2_Last_Name FROM fx_families WHERE Parent2_First_Name <> ''),
+anc(ord, x) AS (SELECT ord, ord FROM raw UNION SELECT anc.ord, p.a FROM anc JOIN p ON p.b = anc.x),
+{_taken("legacy")}, {_taken("crn")}, linked AS (SELECT ord, legacy, crn FROM of_legacy JOIN of_crn USING (ord))"""
+
+
+@query(_LINKED + " SELECT ord, legacy, crn FROM linked")
 def auto_linked_profiles(v):
     return entity.auto_link(entity.profiles(v("fx_families")))
 
 
+@query(_LINKED + """ SELECT f.row_num, coalesce(a.legacy, Parent1_Legacy_Account_ID) AS Parent1_Legacy_Account_ID, coalesce(a.crn, Parent1_CRN) AS Parent1_CRN, coalesce(b.legacy, Parent2_Legacy_Account_ID) AS Parent2_Legacy_Account_ID
+ FROM fx_families f LEFT JOIN linked a ON a.ord = f.row_num * 2 LEFT JOIN linked b ON b.ord = f.row_num * 2 + 1""")
+def linked_families(v):
+    f = v("fx_families")
+    return entity.linked_rows(f, entity.auto_link(entity.profiles(f))).select("row_num", "Parent1_Legacy_Account_ID", "Parent1_CRN", "Parent2_Legacy_Account_ID")
+
+
+@query(_LINKED + """, i AS (SELECT p.*, x.row_num AS ra, y.row_num AS rb, x.slot AS sa, y.slot AS sb, 'DOB: ' || x.birth || ', Contact: ' || contact AS matched_on, linked.legacy AS l, linked.crn AS c FROM p JOIN raw x ON x.ord = a JOIN raw y ON y.ord = b JOIN linked ON linked.ord = a)
+SELECT ra AS row_num, sa || '_Legacy_Account_ID' AS field, 'FIXED' AS severity, 'intra_file_duplicate_parent' AS tag, 'Kept as first-created profile; row ' || rb || ' linked to it' AS action, rb AS related_row, matched_on FROM i
+UNION ALL SELECT rb, sb || '_Legacy_Account_ID', 'FIXED', 'intra_file_duplicate_parent', 'Linked to first-created profile at row ' || ra || ' (legacy ''' || l || ''', CRN ''' || c || ''')', ra, matched_on FROM i""")
+def link_issues(v):
+    p = entity.profiles(v("fx_families"))
+    return entity.link_issues(p, entity.auto_link(p))
+
+
 @query(_PARENT_PAIRS + """, m AS (SELECT a AS ord, contact FROM p UNION SELECT b, contact FROM p) SELECT ord, contact AS matched_on, fn || ' ' || ln AS parent_name, service FROM m JOIN prof USING (ord)""")
 def duplicate_parent_detail(v):
     return reports.duplicate_parents(entity.profiles(v("fx_families")))
@@ -422,7 +454,7 @@ def _fixed(v):
     return repairs.fixed_issues(repairs.logged_repairs(v("fx_families")), ["row_num", "ServiceID"]).withColumnRenamed("ServiceID", "service")
 
 
-@query(f"WITH {_EMAIL_FIXES}, s AS (SELECT row_num, CAST(row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS INTEGER) AS split_row FROM fx_families) SELECT service, split_row, field, before, tag FROM i JOIN s USING (row_num)")
+@query(f"WITH {_EMAIL_FIXES}, s AS (SELECT row_num, row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS split_row FROM fx_families) SELECT service, split_row, field, before, tag FROM i JOIN s USING (row_num)")
 def client_report(v):
     f = v("fx_families")
     return reports.client_issues(_fixed(v).drop("service"), repairs.split_rows(f)).select("service", "split_row", "field", "before", "tag")
@@ -446,7 +478,7 @@ def repair_counts(v):
     return _fixed(v).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT row_num, arg_min(Service_Name, row_num) OVER (PARTITION BY ServiceID) AS service_label, CAST(row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS INTEGER) AS split_row FROM fx_families")
+@query("SELECT row_num, arg_min(Service_Name, row_num) OVER (PARTITION BY ServiceID) AS service_label, row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS split_row FROM fx_families")
 def family_split(v):
     return sinks.family_splits(v("fx_families")).select("row_num", "service_label", "split_row")
 
@@ -473,7 +505,9 @@ def payment_weekend(v):
     return payments.plan_errors(payments.repair_plans(v("fx_payment_plans"))).where("kind = 'weekend'").select("row_num", "child_id", "value")
 
 
-_SHOWN = ", ".join(f"({i}, '{k}', '{payments.DETAIL[k][0]}', '{payments.DETAIL[k][1]}')" for i, k in enumerate(payments.KINDS))
+_SHOWN = """(0, 'weekend', 'WEEKEND — Sat / Sun', 'ERROR_INVALID_PAYMENT_DAY'), (1, 'missing_date', 'Missing Start Date', 'ERROR_MISSING_BOOKING_START_DATE'), (2, 'missing_weekday', 'Missing Weekday', 'ERROR_MISSING_PAYMENT_DAY'),
+ (3, 'missing_parent', 'Missing Parent Name', 'ERROR_MISSING_GUARDIAN'), (5, 'invalid_cycle', 'Invalid Billing Cycle', 'ERROR_INVALID_FREQUENCY'), (6, 'manual_not_monday', 'Manual Plan — Not Monday', 'MANUAL_PLAN_NOT_MONDAY'),
+ (7, 'negative_limit', 'Negative Direct Debit Limit', 'ERROR_NEGATIVE_DIRECT_DEBIT_LIMIT'), (8, 'negative_fixed', 'Negative Fixed Amount', 'ERROR_NEGATIVE_FIXED_LIMIT'), (9, 'both_amounts', 'Both Limit + Fixed Amount Set', 'ERROR_ONLY_ONE_AMOUNT_ALLOWED'), (10, 'unparseable_date', 'Unparseable Date Value', 'UNPARSEABLE_DATE'), (11, 'unknown_weekday', 'Unknown Weekday Value', 'UNKNOWN_WEEKDAY')"""
 
 
 @query(_PLAN + f""", k(place, kind, label, key) AS (VALUES {_SHOWN}), s AS (SELECT *, coalesce(strftime(pd, '%d/%m/%Y'), start_date) AS shown FROM d),
@@ -490,3 +524,254 @@ n AS (SELECT place, label, key, e.row_num, parent_id, e.child_id, trim(fn || ' '
 SELECT row_number() OVER (ORDER BY place, row_num) AS seq, * EXCLUDE (place) FROM n""")
 def payment_error_detail(v):
     return payments.error_detail(payments.repair_plans(v("fx_payment_plans")))
+
+
+_SERVICE_ISSUES = _KEYS + """, x AS (SELECT row_num, trim(ServiceID) AS given, src, t, n, trim(coalesce(Service_Name, '')) AS old FROM m)
+SELECT row_num, 'ServiceID' AS field, 'FIXED' AS severity, 'Source service ID ''' || given || ''' mapped to target service ID ''' || t || ''' (' || n || ').' AS description, 'Service ID updated: ' || given || ' → ' || t || ' (' || n || ')' AS action FROM x WHERE src = 'source'
+UNION ALL SELECT row_num, 'ServiceID', 'FIXED', 'Service name ''' || given || ''' resolved to target service ID ''' || t || ''' (' || n || ').', 'Service ID updated from name: ''' || given || ''' → ''' || t || ''' (' || n || ')' FROM x WHERE src = 'name'
+UNION ALL SELECT row_num, 'ServiceID', 'WARNING', 'Service ID ''' || given || ''' was not found in the service map (checked as target ID, source ID and name).', '' FROM x WHERE src IS NULL
+UNION ALL SELECT row_num, 'Service_Name', 'FIXED', 'Service_Name ''' || old || ''' does not match the canonical name ''' || n || ''' for service ID ''' || t || '''.', 'Service_Name corrected: ''' || old || ''' → ''' || n || '''' FROM x WHERE t IS NOT NULL AND old <> '' AND old <> n"""
+
+
+@query(_SERVICE_ISSUES)
+def service_issues(v):
+    return repairs.service_issues(v("fx_families"), v("fx_service_map"), ["row_num"])
+
+
+_FURTHER = " UNION ALL ".join(f"SELECT row_num, '{rule}' AS rule, '{f}' AS field, '{sev}' AS severity FROM fx_families_more WHERE {test}" for rule, f, sev, test in (
+    ("contact_id", "EmergencyContact1_LegacyID", "ERROR", "EmergencyContact1_First_Name <> '' AND trim(EmergencyContact1_LegacyID) = ''"),
+    ("paired_name", "EmergencyContact1_Last_Name", "ERROR", "EmergencyContact1_First_Name <> '' AND EmergencyContact1_Last_Name = ''"),
+    ("paired_name", "EmergencyContact1_First_Name", "ERROR", "EmergencyContact1_First_Name = '' AND EmergencyContact1_Last_Name <> ''"),
+    ("gender", "Gender", "WARNING", "Gender NOT IN ('', 'Male', 'Female')"),
+    ("gender", "Gender_Identity", "WARNING", "Gender_Identity NOT IN ('', 'Male', 'Female', 'Non-Binary', 'Trans Female', 'Trans Male')"),
+    ("future_birth", "DOB", "ERROR", f"({_DATE('DOB')}) > DATE '{AS_OF}'"),
+    ("medicare", "Medicare_Number", "WARNING", "Medicare_Number <> '' AND NOT regexp_matches(Medicare_Number, '^[0-9]+$')"),
+    ("length", "School", "ERROR", "length(School) > 200"),
+    ("length", "Parent1_Gender", "ERROR", "length(Parent1_Gender) > 50"),
+))
+
+
+@query(f"WITH i AS ({_FURTHER}) SELECT rule, field, severity, count(*) AS n, min(row_num) AS first_row FROM i GROUP BY ALL")
+def further_row_issues(v):
+    f = v("fx_families_more")
+    some = [r for r in rules.row_rules(f.columns, AS_OF) if r.name in ("contact_id", "paired_name", "gender", "future_birth", "medicare", "length")]
+    return rules.issues(f, some, ["row_num"]).groupBy("rule", "field", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("row_num").alias("first_row"))
+
+
+@query("SELECT row_num, 'WARNING' AS severity FROM fx_families WHERE lower(Status) = 'waitlist'")
+def waitlist_without_guardian(v):
+    """The rule on rows that have none of the columns that name a guardian."""
+    f = v("fx_families").select("row_num", "Status")
+    return rules.issues(f, [r for r in rules.row_rules(f.columns, AS_OF) if r.name == "waitlist_guardian"], ["row_num"]).select("row_num", "severity")
+
+
+_NAMES = ["MON1", "TUE1", "WED1", "THU1", "FRI1", "SAT1", "SUN1", "MON2", "TUE2", "WED2", "THU2", "FRI2", "SAT2", "SUN2"]
+_DAYS_OF = lambda m: "concat_ws(', ', " + ", ".join(f"CASE WHEN ({m} & {1 << i}) <> 0 THEN '{d}' END" for i, d in enumerate(_NAMES)) + ")"
+_SHOW = lambda d: f"strftime({d}, '%d/%m/%Y')"
+
+
+@query(_COMPONENTS + f""", other AS (SELECT n, min(m) AS m FROM (SELECT a AS n, b AS m FROM p UNION ALL SELECT b, a FROM p) GROUP BY n), best AS (SELECT k.component, e AS kept_end FROM k JOIN t USING (src_row) WHERE kept)
+SELECT x.src_row, x.service_id, x.child_id, 'Overlapping recurring schedules: date overlap ' || {_SHOW('greatest(x.s, z.s)')} || '–' || {_SHOW('least(x.e, z.e)')} || ', shared booked days: ' || {_DAYS_OF('(x.days & z.days)')} || ' Removed in favour of the row with the furthest EndDate (' || {_SHOW('kept_end')} || '), which was kept in the bookings import.' AS conflict_reason
+FROM k JOIN t x ON x.src_row = k.src_row AND NOT kept JOIN other ON n = k.src_row JOIN t z ON z.src_row = m JOIN best ON best.component = k.component""")
+def recurring_conflict_report(v):
+    recurring = _kinds(v)[1]
+    return bookings.conflict_report(recurring, bookings.resolve_conflicts(recurring)).select("src_row", "service_id", "child_id", "conflict_reason")
+
+
+@query(_CASUAL + f""", y AS (SELECT c.*, l.start_date AS s2, l.end_date AS e2, l.days AS days2, l.fee AS fee2, l.week_type AS kind2, same_fee, CASE WHEN lower(l.week_type) = 'fortnightly' THEN (datediff('day', l.s, c.s) // 7) % 2 + 1 ELSE 1 END AS wk FROM o JOIN cas c USING (src_row) JOIN rec l ON l.src_row = recurring_row WHERE i = 1)
+SELECT src_row, service_id, child_id, 'Casual date ' || start_date || ' (' || upper(substr(dayname(s), 1, 3)) || ', Week ' || wk || ' of ' || kind2 || ') falls within recurring period ' || s2 || ' – ' || e2 || ' (Days: ' || {_DAYS_OF('days2')} || ', Room: ' || trim(room) ||
+ CASE WHEN same_fee THEN ', Fee: ' || trim(fee) || ')' ELSE ') — same room, different fee: casual fee ''' || trim(fee) || ''' vs recurring fee ''' || trim(fee2) || '''' END AS overlap_reason FROM y""")
+def casual_overlap_report(v):
+    casual, recurring = _kinds(v)
+    live = written(bookings.surviving(recurring, bookings.resolve_conflicts(recurring)), "live")
+    return bookings.overlap_report(casual, live, bookings.casual_overlaps(casual, live)).select("src_row", "service_id", "child_id", "overlap_reason")
+
+
+_SAME = "service_legacy_id, child_legacy_id, start_date, end_date, fee_name, room_name, frequency, mon1, tue1 = '1.0', wed1 = '1', fri1, mon2"
+_RAW = f"raw AS (SELECT *, row_number() OVER (PARTITION BY {_SAME} ORDER BY src_row) AS rn, count(*) OVER (PARTITION BY {_SAME}) AS cn FROM fx_bookings_dup)"
+_RUN = _CASUAL.replace("WITH RECURSIVE ", f"WITH RECURSIVE {_RAW}, ", 1).replace("FROM fx_bookings LEFT JOIN", "FROM (SELECT * FROM raw WHERE rn = 1) LEFT JOIN", 1)
+
+
+@query(_RUN + """, gone AS (SELECT k.src_row, service_id, child_id FROM k JOIN rec USING (src_row) WHERE NOT kept), cut AS (SELECT DISTINCT src_row FROM o), stay AS (SELECT * FROM cas WHERE src_row NOT IN (SELECT src_row FROM cut))
+SELECT 'input_files' AS metric, 1 AS n UNION ALL SELECT 'raw_rows', count(*) FROM raw UNION ALL SELECT 'duplicate_rows', count(*) FROM raw WHERE cn > 1 UNION ALL SELECT 'duplicate_groups', count(*) FROM raw WHERE cn > 1 AND rn = 1
+UNION ALL SELECT 'duplicates_removed', count(*) FROM raw WHERE rn > 1 UNION ALL SELECT 'unmapped_services', count(DISTINCT service_legacy_id) FROM raw WHERE service_legacy_id NOT IN (SELECT source_service_id FROM fx_service_map)
+UNION ALL SELECT 'conflict_rows', count(*) FROM gone UNION ALL SELECT 'conflict_groups', count(*) FROM (SELECT DISTINCT service_id, child_id FROM gone)
+UNION ALL SELECT 'recurring_kept', count(*) FROM live UNION ALL SELECT 'recurring_files', count(DISTINCT service_id) FROM live UNION ALL SELECT 'casual_kept', count(*) FROM stay
+UNION ALL SELECT 'casual_files', count(DISTINCT service_id) FROM stay UNION ALL SELECT 'casual_removed', count(*) FROM cut""")
+def bookings_run(v):
+    raw, services = v("fx_bookings_dup"), v("fx_service_map")
+    duplicates = written(bookings.exact_duplicates(raw), "duplicates")
+    once = raw.join(duplicates.where("status = 'REMOVE'").select("src_row"), "src_row", "left_anti")
+    template = written(bookings.booking_template(once, services), "template")
+    casual, recurring = template.where("upper(week_type) = 'CASUAL'"), template.where("upper(week_type) <> 'CASUAL'")
+    resolved = bookings.resolve_conflicts(recurring)
+    live = written(bookings.surviving(recurring, resolved), "live")
+    removed = written(bookings.casual_overlaps(casual, live), "overlaps")
+    kept = casual.join(removed.select("src_row"), "src_row", "left_anti")
+    return reports.bookings_run(raw, duplicates, bookings.unmapped_services(once, services), resolved.where("not kept"), live, kept, removed)
+
+
+@query(f"WITH {_TEMPLATE} SELECT row_number() OVER (ORDER BY service_id, child_id, src_row) AS place, src_row FROM b")
+def bookings_in_import_order(v):
+    return in_sequence(_template(v).select("service_id", "child_id", "src_row"), ["service_id", "child_id", "src_row"], "place").select("place", "src_row")
+
+
+@query(f"WITH {_TEMPLATE} SELECT src_row, CASE week_type WHEN 'CASUAL' THEN 'Casual' ELSE 'Recurring' END AS booking_kind, coalesce(regexp_replace(service_name, ' +', '_', 'g'), 'UNMAPPED') AS service_label FROM b LEFT JOIN fx_service_map ON target_service_id = service_id")
+def booking_split_by_name(v):
+    return sinks.booking_splits(_template(v), v("fx_service_map")).select("src_row", "booking_kind", "service_label")
+
+
+@query("""WITH f AS (SELECT row_num, CASE WHEN row_num % 2 = 0 THEN ServiceID ELSE '' END AS sid FROM fx_families)
+SELECT row_num, coalesce(service_name, nullif(sid, ''), 'Unknown') AS service_label, row_number() OVER (PARTITION BY sid ORDER BY row_num) + 1 AS split_row FROM f LEFT JOIN fx_service_map ON target_service_id = sid""")
+def family_split_by_map(v):
+    """Rows without service names: the map's name labels a split, else the id."""
+    f = v("fx_families").withColumns({"Service_Name": F.lit(""), "ServiceID": F.when(F.col("row_num") % 2 == 0, F.col("ServiceID")).otherwise("")})
+    return sinks.family_splits(f, v("fx_service_map")).select("row_num", "service_label", "split_row")
+
+
+@query(r"""SELECT name, trim(regexp_replace(name, '[\\/:*?"<>|]', '_', 'g')) AS label, regexp_replace(name, '[\\/:*?"<>|]', '_', 'g') AS part,
+ trim(regexp_replace(trim(regexp_replace(name, '[^a-zA-Z0-9_\s''-]', '', 'g')), '[\s''_]+', '_', 'g'), '_') AS word FROM fx_odd_names""")
+def file_names(v):
+    return v("fx_odd_names").select("name", text.file_label("name").alias("label"), text.file_part("name").alias("part"), text.file_word("name").alias("word"))
+
+
+@query("SELECT src_row, CASE WHEN src_row % 8 = 6 THEN NULL ELSE strftime(meant, '%d/%m/%Y') END AS shown FROM fx_dates")
+def booking_dates(v):
+    return v("fx_dates").select("src_row", dates.shown(dates.booking_date("written")).alias("shown"))
+
+
+@query("SELECT src_row, concat_ws(', ', CASE WHEN mon1 = '1' THEN 'Mon1' END, CASE WHEN tue1 = '1.0' THEN 'Tue1' END, CASE WHEN wed1 = '1' THEN 'Wed1' END, 'Fri1', CASE WHEN mon2 = '1' THEN 'Mon2' END) AS days FROM fx_bookings")
+def day_summaries(v):
+    b = v("fx_bookings")
+    return b.select("src_row", text.day_summary([c for c in bookings.DAY_COLUMNS if c in b.columns]).alias("days"))
+
+
+@query("SELECT row_num, child_id, cycle, dd_limit FROM fx_payment_plans")
+def mapped_payment_columns(v):
+    """A file with headers of its own, under the logical names."""
+    file = v("fx_payment_plans").select("row_num", F.col("child_id").alias("Child Legacy ID"), F.col("cycle").alias("Cycle"), F.col("dd_limit").alias("Limit"))
+    return payments.map_columns(file, {"child_id": "Child Legacy ID", "cycle": "Cycle", "dd_limit": "Limit"})
+
+
+@query(f"WITH i AS ({_ISSUES}) SELECT DISTINCT 'severity' AS option, severity AS value FROM i UNION ALL SELECT DISTINCT 'field', field FROM i")
+def issue_filter_options(v):
+    return reports.filter_options(_form_issues(v("fx_families")))
+
+
+@query(f"WITH i AS ({_ISSUES}) SELECT row_num, field FROM i WHERE severity = 'ERROR' AND field = 'DOB'")
+def filtered_issues(v):
+    return reports.filtered(_form_issues(v("fx_families")), severity="ERROR", field="DOB").select("row_num", "field")
+
+
+@query(f"""WITH {_WITH_SERVICE}, r AS (SELECT service, count(*) FILTER (severity = 'ERROR') AS errors FROM (SELECT CASE WHEN row_num % 5 = 0 THEN 'Unknown' ELSE service END AS service, severity FROM x) GROUP BY service)
+SELECT service, errors, row_number() OVER (ORDER BY service = 'Unknown', lower(service), service) AS place FROM r
+UNION ALL SELECT 'TOTAL', CAST(sum(errors) AS BIGINT), count(*) + 1 FROM r""")
+def audit_in_report_order(v):
+    i = _form_issues(v("fx_families")).withColumn("service", F.when(F.col("row_num") % 5 == 0, "Unknown").otherwise(F.col("ServiceID")))
+    return reports.in_report_order(reports.audit_summary(i)).select("service", "errors", "place")
+
+
+@query("""WITH s AS (SELECT row_num, row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS split_row FROM fx_families),
+k AS (SELECT Child_Legacy_Id AS key, string_agg(CAST(split_row AS VARCHAR), ', ' ORDER BY row_num) AS related FROM fx_families JOIN s USING (row_num) GROUP BY 1 HAVING count(*) > 1)
+SELECT row_num, 'rows ' || related AS related_text FROM fx_families JOIN k ON key = Child_Legacy_Id""")
+def related_rows_in_files(v):
+    f = v("fx_families")
+    return reports.with_split_rows(crossrow.duplicate_values(f, "Child_Legacy_Id"), repairs.split_rows(f)).select("row_num", "related_text")
+
+
+@query("SELECT row_num, lower(Child_CRN) AS key, count(*) OVER (PARTITION BY lower(Child_CRN)) AS n FROM fx_families QUALIFY n > 1")
+def duplicate_child_crns(v):
+    return crossrow.duplicate_values(v("fx_families"), "Child_CRN").select("row_num", "key", "n")
+
+
+@query("""WITH k AS (SELECT lower(Parent1_CRN) AS key FROM fx_families WHERE row_num % 3 <> 0 GROUP BY 1 HAVING count(DISTINCT lower(Parent1_Email)) > 1)
+SELECT row_num, key FROM fx_families JOIN k ON key = lower(Parent1_CRN) WHERE row_num % 3 <> 0""")
+def crn_email_registry_of_second_parents(v):
+    f = v("fx_families").where("row_num % 3 <> 0").select("row_num", F.col("Parent1_CRN").alias("Parent2_CRN"), F.col("Parent1_Email").alias("Parent2_Email"))
+    return crossrow.crn_registry(f, "Parent2").select("row_num", "key")
+
+
+@query(_BALANCES + " SELECT count(DISTINCT centre) AS outputs, count(*) AS rows, (SELECT count(DISTINCT trim(centre_name)) FROM fx_balances WHERE trim(centre_name) NOT IN (SELECT service_name FROM fx_service_map)) AS skipped FROM r")
+def balances_run(v):
+    b, known = v("fx_balances"), v("fx_service_map")
+    return reports.balances_run(balances.resolve_balances(b, known), balances.skipped_centres(b, known))
+
+
+_CLUSTERS = """e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r(n, m) AS (SELECT x, x FROM e UNION SELECT r.n, e.y FROM r JOIN e ON r.m = e.x),
+c AS (SELECT n AS ord, min(m) AS cluster FROM r GROUP BY n), many AS (SELECT cluster FROM c JOIN prof USING (ord) GROUP BY cluster HAVING count(DISTINCT nullif(legacy, '')) >= 2)"""
+_OCCURRENCES = """raw AS (SELECT row_num * 2 AS ord, 'Parent1' AS slot, Parent1_Legacy_Account_ID AS id, Parent1_CRN AS crn, Parent1_DOB AS birth, trim(Parent1_First_Name || ' ' || Parent1_Last_Name) AS name, Service_Name AS service, trim(Child_First_Name || ' ' || Child_Last_Name) AS child FROM fx_families
+ UNION ALL SELECT row_num * 2 + 1, 'Parent2', Parent2_Legacy_Account_ID, '', Parent2_DOB, trim(Parent2_First_Name || ' ' || Parent2_Last_Name), Service_Name, trim(Child_First_Name || ' ' || Child_Last_Name) FROM fx_families WHERE Parent2_First_Name <> '')"""
+
+
+@query(_PARENT_PAIRS + f""", {_CLUSTERS}, {_OCCURRENCES},
+mine AS (SELECT c.ord, cluster, tel, birth FROM c JOIN many USING (cluster) JOIN prof USING (ord) JOIN raw USING (ord)),
+tel2 AS (SELECT cluster, min(tel) AS tel FROM (SELECT cluster, tel FROM mine WHERE tel <> '' GROUP BY ALL HAVING count(*) >= 2) GROUP BY cluster),
+born AS (SELECT cluster, arg_min(birth, ord) AS birth FROM mine GROUP BY cluster),
+one AS (SELECT 0 AS part, cluster, ord, 'DOB: ' || born.birth || coalesce(', Contact: ' || tel2.tel, '') AS matched FROM mine JOIN born USING (cluster) LEFT JOIN tel2 USING (cluster)),
+x AS (SELECT n.ord, e.ord AS other, concat_ws(', ', CASE WHEN n.dob = e.dob AND n.dob <> '' THEN 'DOB: ' || n.dob END, CASE WHEN n.tel = e.tel AND n.tel <> '' THEN 'Contact: ' || n.tel END, CASE WHEN n.mail = e.mail AND n.mail <> '' THEN 'Email: ' || n.mail END) AS matched
+ FROM prof n JOIN prof e ON n.fn = e.fn AND n.ln = e.ln AND n.row_num % 2 = 0 AND e.row_num % 2 = 1 AND NOT (n.legacy <> '' AND n.legacy = e.legacy)),
+two AS (SELECT 1 AS part, 0 AS cluster, ord, arg_min(matched, other) AS matched FROM x WHERE matched <> '' GROUP BY ord),
+every AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+SELECT row_number() OVER (ORDER BY name, service, part, cluster, CASE WHEN part = 0 THEN child ELSE '' END, ord) AS seq, service AS Service_Name, id AS Parent_Legacy_ID, name AS Parent_Name, matched AS Matched_On, crn AS Parent_CRN, slot AS Parent_Slot, child AS Linked_Child FROM every JOIN raw USING (ord)""")
+def duplicate_parent_report(v):
+    f = v("fx_families")
+    cross = entity.cross_service_matches(entity.profiles(f.where("row_num % 2 = 0")), entity.profiles(f.where("row_num % 2 = 1")))
+    return reports.duplicate_parent_report(entity.profiles(f), cross)
+
+
+def _files(df: DataFrame, label: str, by: str, n: int = 6) -> list[str]:
+    """`df` as CSV files in the shared folder, in order of a column."""
+    path = lineage.new_folder(df.sparkSession, label)
+    df.repartitionByRange(n, by).sortWithinPartitions(by).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return [r.path for r in readers.input_files(df.sparkSession, path).select("path").toLocalIterator()]
+
+
+@query("""SELECT row_number() OVER (ORDER BY row_num) + 1 AS row_num, CASE WHEN row_num % 3 = 0 THEN ServiceID ELSE CAST(row_num AS VARCHAR) END AS ServiceID, trim(Child_First_Name || ' ' || Child_Last_Name) AS child_name, trim(Room_Name) || chr(10) || '"x"' AS Room_Name FROM fx_families""")
+def families_from_files(v):
+    """Several files with blanks around headers, whole numbers written with ".0", quotes and line ends in cells; numbered on over all files."""
+    f = v("fx_families")
+    cell = F.when(F.col("row_num") % 3 == 0, F.col("ServiceID")).otherwise(F.concat(F.col("row_num").cast("string"), F.lit(".0")))
+    room = F.concat(F.trim("Room_Name"), F.lit('\n"x"')).alias("Room_Name")
+    paths = _files(f.select(cell.alias(" ServiceID"), F.col("Child_First_Name").alias("Child_First_Name "), "Child_Last_Name", room, "row_num"), "families", "row_num")
+    return readers.read_numbered(f.sparkSession, paths).select("row_num", "ServiceID", "child_name", "Room_Name")
+
+
+@query("SELECT row_number() OVER (ORDER BY src_row) - 1 AS src_row, service_legacy_id, CASE WHEN src_row % 3 = 0 THEN '' ELSE fee_name END AS fee_name, '' AS room_name FROM fx_bookings")
+def bookings_from_files(v):
+    """Files in the columns of bookings: one is absent, and texts for missing values count as blank."""
+    b = v("fx_bookings")
+    paths = _files(b.select("src_row", "service_legacy_id", F.when(F.col("src_row") % 3 == 0, "N/A").otherwise(F.col("fee_name")).alias("fee_name")), "bookings", "src_row")
+    return readers.read_bookings(b.sparkSession, paths, ["service_legacy_id", "fee_name", "room_name"])
+
+
+@query("SELECT trim(centre_name) AS centre, count(*) AS n, count(*) FILTER (src_row % 2 = 0) AS from_html FROM fx_balances WHERE trim(centre_name) <> '' GROUP BY 1")
+def balances_from_files(v):
+    """Folders of CSV files and of pages with a table; the headers of both become columns."""
+    b = v("fx_balances").select("src_row", F.col("centre_name").alias("Centre Name"), F.col("account_name").alias("Account Name"))
+    spark, path, html = b.sparkSession, lineage.new_folder(b.sparkSession, "balances"), lineage.new_folder(b.sparkSession, "balance-pages")
+    b.where("src_row % 2 = 1").drop("src_row").repartition(3).write.option("header", True).csv(path)
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(c, F.lit("")), F.lit("</td>"))
+    rows = b.where("src_row % 2 = 0").select(F.floor(F.col("src_row") / 1000).alias("page"), F.concat(F.lit("<tr>"), cell("Centre Name"), cell("Account Name"), F.lit("</tr>")).alias("row"))
+    pages = rows.groupBy("page").agg(F.concat(F.lit("<table><tr><th> Centre Name</th><th>Account Name</th></tr>"), F.array_join(F.collect_list("row"), ""), F.lit("</table>")).alias("value"))
+    pages.write.partitionBy("page").text(html)
+    csv, tables = (readers.read_balances(spark, p).withColumn("html", F.lit(i)) for i, p in enumerate((path, html + "/*")))
+    read = csv.unionByName(tables, allowMissingColumns=True)
+    return read.select(text.strip(balances.centre_column(read.columns)).alias("centre"), "html").where("centre <> ''").groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("html") == 1).alias("from_html"))
+
+
+@query(f"WITH {_PROFILES} SELECT fn AS first, ln AS last, dob, legacy, count(*) AS n FROM prof WHERE row_num % 2 = 1 GROUP BY ALL")
+def existing_profiles_from_files(v):
+    """Profiles of the files of existing services; a file that has no parents is left out."""
+    f = v("fx_families").where("row_num % 2 = 1")
+    path = lineage.new_folder(f.sparkSession, "existing")
+    f.repartitionByRange(4, "row_num").write.option("header", True).csv(path)
+    v("fx_service_map").repartition(1).write.mode("append").option("header", True).csv(path)
+    found = entity.profiles(readers.read_existing(f.sparkSession, path), file_col="source_file")
+    return found.where("source_file <> ''").groupBy("first", "last", "dob", "legacy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT service_name, source_full_id, source_service_id, target_service_id FROM fx_service_map")
+def service_map_from_file(v):
+    m = v("fx_service_map").select(F.col("service_name").alias("Service_Name"), F.col("source_full_id").alias("Source Full ID"), F.col("source_service_id").alias("Source_Service_ID"), F.col("target_service_id").alias(" Target Service ID "), "map_ord")
+    (path,) = _files(m, "map", "map_ord", 1)
+    return readers.read_service_map(m.sparkSession, path).drop("map_ord")

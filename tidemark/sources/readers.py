@@ -27,33 +27,121 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.select(*(text.whole_number(F.coalesce(text.col(c), F.lit(""))).alias(c) for c in df.columns))
 
 
+def _first_lines(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """The full name and the first line of each file, through Spark's own file systems."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        store = where.getFileSystem(conf)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(where), "UTF-8"))
+        out.append((store.makeQualified(where).toUri().toString(), (lines.readLine() or "").removeprefix("\ufeff")))
+        lines.close()
+    return out
+
+
+def _placed(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """All cells of several files, with _file (its place in `paths`), _part and _id, and the columns of the first file.
+
+    Files of one header line are one reader, so the plan grows with the headers that
+    differ, not with the files. A header stands in one line.
+    """
+    heads = _first_lines(spark, paths)
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):///", "$1:/")  # noqa: E731  both spellings of an empty host
+    files = spark.createDataFrame([(name, i) for i, (name, _) in enumerate(heads)], "_path string, _file int").withColumn("_path", plain("_path"))
+    same: dict[str, list[str]] = {}
+    for path, (_, head) in zip(paths, heads):
+        same.setdefault(head, []).append(path)
+    own = ["_path", "_part", "_id"]
+    parts = []
+    for group in same.values():
+        read = spark.read.csv(group, header=True, multiLine=True, escape='"')
+        read = _trimmed(read.select("*", plain("_metadata.file_path").alias("_path"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
+        parts.append(read.select(*(text.whole_number(F.coalesce(text.col(c), F.lit(""))).alias(c) for c in read.columns[:-3]), *own))
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
+    cells = [c for c in df.columns if c not in own]
+    df = df.select(*(F.coalesce(text.col(c), F.lit("")).alias(c) for c in cells), *own).join(F.broadcast(files), "_path").drop("_path")
+    return df, [c for c in parts[0].columns if c not in own]
+
+
+def _numbered(placed: DataFrame, first: int, each_file: bool) -> DataFrame:
+    """row_num over all files, or in each file, by counts of (file, partition) and a position inside: no window holds all rows.
+
+    The counts, one a partition, become a small table.
+    """
+    counts = sorted((r._file, r._part, r.n, r.first) for r in placed.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).toLocalIterator())
+    offsets, at, last = [], first, None
+    for file, part, n, low in counts:
+        at = first if each_file and file != last else at
+        offsets.append((file, part, at - low))
+        at, last = at + n, file
+    table = placed.sparkSession.createDataFrame(offsets, "_file int, _part int, _shift long")
+    return placed.join(F.broadcast(table), ["_file", "_part"]).withColumn("row_num", F.col("_id") + F.col("_shift")).drop("_part", "_id", "_shift")
+
+
 def read_numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several files as one: the first file's columns, row_num from 2 on over all files, child_name.
+    """Several files as one: the first file's columns, row_num from 2 on over all files, child_name."""
+    placed, names = _placed(spark, paths)
+    out = _numbered(placed.select(*(text.col(c) for c in names), "_file", "_part", "_id"), 2, False).drop("_file")
+    return out.withColumn("child_name", text.child_name()) if {"Child_First_Name", "Child_Last_Name"} <= set(names) else out
+
+
+def _named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All columns of all files, row_num from 2 on in each file, and source_file."""
+    names = spark.createDataFrame([(i, p.rpartition("/")[2]) for i, p in enumerate(paths)], "_file int, source_file string")
+    return _numbered(_placed(spark, paths)[0], 2, True).join(F.broadcast(names), "_file").drop("_file")
 
-    Rows are numbered by counts of (file, partition) and a position inside, so no
-    window holds all rows; the counts, one a partition, become a small table.
+
+def read_existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The files of existing services in a folder as one table: source_file, row_num, and the columns of any of them.
+
+    Files without parents' names, which give no profile, are left out; None if all are.
     """
-    frames = [read_csv(spark, p).withColumn("_file", F.lit(i)) for i, p in enumerate(paths)]
-    df = frames[0]
-    for f in frames[1:]:
-        df = df.unionByName(f, allowMissingColumns=True)
-    names = [c for c in frames[0].columns if c != "_file"]
-    placed = df.select(*(F.coalesce(text.col(c), F.lit("")).alias(c) for c in names), "_file", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
-    counts = sorted((r._file, r._part, r.n, r.first) for r in placed.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).toLocalIterator())
-    offsets, at = [], 2
-    for file, part, n, first in counts:
-        offsets.append((file, part, at - first))
-        at += n
-    table = spark.createDataFrame(offsets, "_file int, _part int, _shift long")
-    out = placed.join(F.broadcast(table), ["_file", "_part"]).withColumn("row_num", F.col("_id") + F.col("_shift"))
-    if {"Child_First_Name", "Child_Last_Name"} <= set(names):
-        out = out.withColumn("child_name", text.child_name())
-    return out.drop("_file", "_part", "_id", "_shift")
+    files = [r.path for r in input_files(spark, path).select("path").toLocalIterator()]
+    usable = [f for f, (_, head) in zip(files, _first_lines(spark, files)) if "_First_Name" in head]
+    return _named_files(spark, usable) if usable else None
 
 
-def project(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exactly these columns: absent ones blank, missing-value texts blank."""
-    return df.select(*((F.when(F.coalesce(text.col(c), F.lit("")).isin(*MISSING), "").otherwise(text.col(c)) if c in df.columns else F.lit("")).alias(c) for c in columns))
+def html_columns(tables: DataFrame) -> DataFrame | None:
+    """The rows of read_html_tables under their headers, source_file and row_num; None without any table.
+
+    One branch for each list of headers that differs from the others.
+    """
+    heads = tables.where("line = 0").select("file", F.transform("cells", lambda c: F.trim(c)).alias("head"))
+    out = None
+    for (head,) in heads.select("head").distinct().toLocalIterator():
+        mine = tables.where("line > 0").join(heads.where(F.col("head") == F.array(*map(F.lit, head))).select("file"), "file", "left_semi")
+        cells = [F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")).alias(h) for i, h in enumerate(head)]
+        part = mine.select(*cells, F.element_at(F.split("file", "/"), -1).alias("source_file"), (F.col("line") + 1).alias("row_num"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.fillna("") if out is not None else None
+
+
+def read_balances(spark: SparkSession, path: str) -> DataFrame | None:
+    """The balance files of a folder as one table: CSV by its name, HTML tables by content, other files left out."""
+    files = [r.path for r in input_files(spark, path).select("path").toLocalIterator()]
+    csv = [f for f in files if f.lower().endswith(".csv")]
+    other = [f for f in files if not f.lower().endswith(".csv")]
+    parts = [_named_files(spark, csv)] if csv else []
+    if other and (html := html_columns(read_html_tables(spark, other))) is not None:
+        parts.append(html)
+    out = parts[0] if parts else None
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.fillna("") if out is not None else None
+
+
+def read_bookings(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """The union of booking files in exactly these columns, and src_row from 0 on over all files."""
+    rows = read_numbered(spark, paths).withColumn("src_row", F.col("row_num") - 2)
+    return project(rows, columns, "src_row")
+
+
+def project(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """Exactly these columns: absent ones blank, missing-value texts blank; and the columns `keep` as they are."""
+    cells = ((F.when(F.coalesce(text.col(c), F.lit("")).isin(*MISSING), "").otherwise(text.col(c)) if c in df.columns else F.lit("")).alias(c) for c in columns)
+    return df.select(*cells, *keep)
 
 
 def read_service_map(spark: SparkSession, path: str, headers: dict[str, tuple[str, ...]] = MAP_HEADERS) -> DataFrame:
@@ -99,9 +187,9 @@ class _FirstTable(HTMLParser):
             self.cell.append(data)
 
 
-def read_html_tables(spark: SparkSession, path: str) -> DataFrame:
+def read_html_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, cells) of the first table of each file whose first bytes look like HTML; line 0 holds the headers."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load([path] if isinstance(path, str) else path)
     head = F.substring(F.decode("content", "ISO-8859-1"), 1, 512)
     html = files.where((F.instr(head, "<") > 0) & (F.instr(head, ">") > 0)).select("path", "content")
 
@@ -120,3 +208,4 @@ def input_files(spark: SparkSession, path: str, excluded: str = "serviceids.csv"
     """(path, name, bytes) of a folder's files in order of name, without the service map."""
     files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
     return files.where(F.lower("name") != excluded).orderBy("name")
+

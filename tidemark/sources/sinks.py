@@ -1,4 +1,8 @@
-"""Sinks: partitioned outputs per service, and the issue log."""
+"""Sinks: partitioned outputs per service, and the issue log.
+
+A large service is spread over several files, each with a header, in order of name;
+so rows carry their number in the whole split (split_row, file_row), not in a file.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,46 @@ from tidemark.functions import text
 from tidemark.plans.repairs import split_rows
 
 
-def family_splits(df: DataFrame) -> DataFrame:
-    """Add service, split_row and service_label: the service name of the service's first row, else its id."""
+def family_splits(df: DataFrame, service_map: DataFrame | None = None) -> DataFrame:
+    """Add service, split_row and service_label: the service name of the service's first row, else the map's, else the id."""
     rows = split_rows(df)
     label = rows.groupBy("service").agg(F.min_by(text.strip("Service_Name") if "Service_Name" in df.columns else F.lit(""), "row_num").alias("label"))
-    return rows.join(label, "service").withColumn("service_label", text.file_label(F.coalesce(text.or_null(F.col("label")), F.col("service")))).drop("label")
+    shown = [text.or_null(F.col("label"))]
+    if service_map is not None:
+        label = label.join(names_by_target(service_map), "service", "left")
+        shown.append(text.or_null(F.col("mapped")))
+    label = label.select("service", F.coalesce(text.or_null(text.file_label(F.coalesce(*shown, "service"))), F.lit("Unknown")).alias("service_label"))
+    return rows.join(label, "service")
+
+
+def names_by_target(service_map: DataFrame) -> DataFrame:
+    """(service, mapped): the name of each target id; of several rows the last counts."""
+    known = service_map.where(~text.is_blank("target_service_id"))
+    return known.groupBy(text.strip("target_service_id").alias("service")).agg(F.max_by(text.strip("service_name"), "map_ord").alias("mapped"))
 
 
-def write_family_splits(df: DataFrame, columns: list[str], path: str, fmt: str = "csv") -> None:
-    """A folder a service label; rows in order."""
-    _write(family_splits(df).select("service_label", "row_num", *columns), ["service_label"], "row_num", path, fmt)
+def write_family_splits(df: DataFrame, columns: list[str], path: str, fmt: str = "csv", service_map: DataFrame | None = None) -> None:
+    """A folder a service label; rows in order, with their number in the service's split as split_row."""
+    _write(family_splits(df, service_map).select("service_label", "split_row", *columns), ["service_label"], "split_row", path, fmt)
 
 
-def booking_splits(template: DataFrame) -> DataFrame:
-    """Add booking_kind (Casual or Recurring) and service_label, UNMAPPED for rows of unmapped services."""
+def booking_splits(template: DataFrame, service_map: DataFrame | None = None) -> DataFrame:
+    """Add booking_kind (Casual or Recurring) and service_label: the service's name as a file name, else its id, UNMAPPED for none."""
     kind = F.when(F.upper("week_type") == "CASUAL", "Casual").otherwise("Recurring")
-    return template.withColumns({"booking_kind": kind, "service_label": F.coalesce(text.or_null(text.file_label("service_id")), F.lit("UNMAPPED"))})
+    if service_map is not None:
+        named = names_by_target(service_map).withColumnsRenamed({"service": "_service", "mapped": "_mapped"})
+        template = template.join(named, F.col("service_id") == F.col("_service"), "left")
+        label = text.file_word(F.coalesce(text.or_null(F.col("_mapped")), "service_id"))
+    else:
+        label = text.file_word("service_id")
+    return template.withColumns({"booking_kind": kind, "service_label": F.coalesce(text.or_null(label), F.lit("UNMAPPED"))}).drop("_service", "_mapped")
 
 
-def write_booking_splits(template: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Folders of kind and service."""
-    _write(booking_splits(template), ["booking_kind", "service_label"], "src_row", path, fmt)
+def write_booking_splits(template: DataFrame, path: str, fmt: str = "csv", service_map: DataFrame | None = None) -> None:
+    """Folders of kind and service; rows in order of child."""
+    placed = booking_splits(template, service_map).repartitionByRange("booking_kind", "service_label", "child_id", "src_row")
+    placed = placed.sortWithinPartitions("booking_kind", "service_label", "child_id", "src_row")
+    placed.write.mode("overwrite").options(**OPTIONS).partitionBy("booking_kind", "service_label").format(fmt).save(path)
 
 
 def write_payment_splits(template: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -39,20 +62,24 @@ def write_payment_splits(template: DataFrame, path: str, fmt: str = "csv") -> No
 
 def write_repaired_payments(repaired: DataFrame, columns: list[str], path: str) -> None:
     """All repaired payment plans in the columns of the input."""
-    repaired.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    repaired.select(*columns).write.mode("overwrite").options(**OPTIONS).csv(path)
 
 
 def write_balances(resolved: DataFrame, path: str, fmt: str = "csv") -> None:
     """By centre, and all centres together."""
-    _write(resolved.withColumn("centre_label", text.file_label("centre")), ["centre_label"], "src_row", f"{path}/by_centre", fmt)
-    resolved.write.mode("overwrite").option("header", True).format(fmt).save(f"{path}/all")
+    _write(resolved.withColumn("centre_label", text.file_part("centre")), ["centre_label"], "src_row", f"{path}/by_centre", fmt)
+    resolved.write.mode("overwrite").options(**OPTIONS).format(fmt).save(f"{path}/all")
 
 
 def write_issues(issues: DataFrame, path: str) -> None:
-    issues.write.mode("overwrite").option("header", True).csv(path)
+    issues.write.mode("overwrite").options(**OPTIONS).csv(path)
+
+
+#: White space at the ends of cells is written as it is.
+OPTIONS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _write(df: DataFrame, keys: list[str], order: str, path: str, fmt: str) -> None:
     """Rows meet by key and a range of the order, so a hot key is spread over tasks and each file is in order."""
     placed = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
-    placed.write.mode("overwrite").option("header", True).partitionBy(*keys).format(fmt).save(path)
+    placed.write.mode("overwrite").options(**OPTIONS).partitionBy(*keys).format(fmt).save(path)
