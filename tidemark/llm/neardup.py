@@ -122,87 +122,72 @@ def class_texts(plain: DataFrame, rows: DataFrame, members: DataFrame, broadcast
 
 
 def lonely_shares(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, lonely) of the classes that can have a link: lonely is the share of the set that no other class has."""
-    values = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("value"))
-    alone = values.groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    """(node, lonely) of the classes that can have a link: lonely is the share of the set that no other class has.
+
+    A batch's values are counted before they leave the task, so that a family's common ones leave it once.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("set")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            nodes = np.repeat(b.column("node").to_numpy(), np.diff(offsets))
+            value, first, times = np.unique(values[offsets[0] : offsets[-1]], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times), pa.array(nodes[first])], names=["value", "times", "node"])
+
+    counted = sets.mapInArrow(count, "value long, times long, node long").groupBy("value").agg(F.sum("times").alias("times"), F.min("node").alias("node"))
+    alone = counted.where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     lonely = F.coalesce(F.col("alone") / F.col("n"), F.lit(0.0))
     return sets.select("node", F.size("set").alias("n")).join(alone, "node", "left").select("node", lonely.alias("lonely")).where(100 * (1 - F.col("lonely")) >= percent - 1e-6)
 
 
-def estimated_pairs(sets: list[np.ndarray], percent: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose union sketch estimates a similarity of at least `floor`.
+def estimates(own: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """The similarity of a sketch to others, estimated from their union sketches. Rows of `others` are filled up with the largest value.
 
     The j-th least value that both sketches retain, at places p and q of them, is at
     place p + q - j of the union; it counts if that is within the union's k least.
     """
-    n, size = len(sets), np.array([len(s) for s in sets])
+    k = others.shape[1]
+    place = np.searchsorted(own, others)
+    hit = (own[np.minimum(place, len(own) - 1)] == others) & (np.arange(k) < sizes[:, None])
+    rank = place + np.arange(k) + 2 - np.cumsum(hit, axis=1)
+    union = np.minimum(k, size + sizes - hit.sum(axis=1))
+    return (hit & (rank <= k)).sum(axis=1) / union
+
+
+def common_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes a sorted set has in common with each of others."""
+    values = np.concatenate(others)
+    place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    ends = np.cumsum([len(o) for o in others])
+    total = np.concatenate(([0], np.cumsum(own[place] == values)))
+    return np.diff(total[np.concatenate(([0], ends))])
+
+
+def similar_forest(ids: list[int], sets: list[np.ndarray], percent: int, k: int, floor: float) -> list[tuple[int, int]]:
+    """Spanning edges (node, root) of the links among classes; ids ascend.
+
+    Each class in turn meets those later ones that no link has joined to it yet: the
+    union sketch first, then, from `floor` on, the exact sets. A family of near copies
+    is thus joined by its first members, and no pair inside it is compared again.
+    """
+    n, size = len(ids), np.array([len(s) for s in sets])
     sketch = np.full((n, k), np.iinfo(np.uint64).max, np.uint64)
     for i, s in enumerate(sets):
         sketch[i, : min(k, size[i])] = s[:k]
-    kept = np.arange(k)[None, :] < size[:, None]
-    rows, cols = [], []
+    label = np.arange(n)
     for x in range(n - 1):
-        own = sketch[x, : min(k, size[x])]
-        place = np.searchsorted(own, sketch[x + 1 :])
-        hit = (own[np.minimum(place, len(own) - 1)] == sketch[x + 1 :]) & kept[x + 1 :]
-        rank = place + np.arange(k)[None, :] + 2 - np.cumsum(hit, axis=1)
-        union = np.minimum(k, size[x] + size[x + 1 :] - hit.sum(axis=1))
-        low, high = np.minimum(size[x], size[x + 1 :]), np.maximum(size[x], size[x + 1 :])
-        found = np.flatnonzero(((hit & (rank <= k)).sum(axis=1) >= floor * union) & (100 * low >= percent * high))
-        rows.append(np.full(len(found), x))
-        cols.append(found + x + 1)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Common hashes of pairs: products of 0/1 matrices, a slice of hashes at a time; hashes of one class only are dropped first."""
-    n = len(sets)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    many = times[column] > 1
-    owner, column = owner[many], column[many]
-    _, column = np.unique(column, return_inverse=True)
-    shared = np.zeros((n, n), np.float32)
-    columns = int(column.max(initial=-1)) + 1
-    width = min(8192, max(1, columns))
-    for low in range(0, columns, width):
-        part = (column >= low) & (column < low + width)
-        dense = np.zeros((n, width), np.float32)
-        dense[owner[part], column[part] - low] = 1
-        shared += dense @ dense.T
-    return np.rint(shared[rows, cols]).astype(np.int64)
-
-
-def similar_forest(ids: list[int], sets: list[np.ndarray], percent: int, k: int, floor: float) -> list[tuple[int, int]]:
-    """Spanning edges (node, root) of the links among classes."""
-    n = len(ids)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def join(x: int, y: int) -> None:
-        if x != y:
-            x, y = (x, y) if ids[x] < ids[y] else (y, x)
-            root[y] = x
-
-    rows, cols = estimated_pairs(sets, percent, k, floor)
-    if len(rows) > 8 * n:
-        counts = shared_counts(sets, rows, cols)
-        size = np.array([len(s) for s in sets])
-        linked = 100 * counts >= percent * (size[rows] + size[cols] - counts)
-        for x, y in zip(rows[linked].tolist(), cols[linked].tolist()):
-            join(find(x), find(y))
-    else:
-        for x, y in zip(rows.tolist(), cols.tolist()):
-            if find(x) != find(y):
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                    join(find(x), find(y))
-    return [(ids[i], ids[find(i)]) for i in range(n) if find(i) != i]
+        ys = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+        ys = ys[(100 * size[ys] >= percent * size[x]) & (100 * size[x] >= percent * size[ys])]
+        if len(ys):
+            ys = ys[estimates(sketch[x, : min(k, size[x])], sketch[ys], size[x], size[ys]) >= floor]
+        if len(ys):
+            both = common_counts(sets[x], [sets[y] for y in ys])
+            linked = label[ys[100 * both >= percent * (size[x] + size[ys] - both)]]
+            if len(linked):
+                joined = np.append(linked, label[x])
+                label[np.isin(label, joined)] = joined.min()
+    return [(ids[i], ids[r]) for i, r in enumerate(label.tolist()) if r != i]
 
 
 def _forests(batches: Iterator[pa.RecordBatch], width: int, percent: int, k: int, floor: float) -> Iterator[pa.RecordBatch]:
