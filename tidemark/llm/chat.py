@@ -10,7 +10,8 @@ the text back.
 
 Defined cases: null texts and roles are empty; turns go by (turn, role, text),
 null turns first; repeated rows are repeated turns; a null conversation id is a
-conversation of its own; an empty table gives no rows.
+conversation of its own; an empty table gives no rows; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -67,19 +68,33 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def token_overlaps(ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """A mask of the tokens that share bytes with a span, and the masked bytes as merged spans.
+def token_overlaps(ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """A mask of the tokens that share bytes with a span.
 
     ends: the tokens' ascending end offsets; tokens follow one another without gaps.
     """
-    mask, masked = np.zeros(len(ends), np.int8), []
+    mask = np.zeros(len(ends), np.int8)
     starts = np.concatenate(([0], ends[:-1]))
     for a, b in spans:
         if a < b:
             first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
             mask[first:last] = 1
-            masked.append((max(a, int(starts[first])), min(b, int(ends[last - 1]))))
-    return mask, masked
+    return mask
+
+
+def masked_bytes(ends: np.ndarray, mask: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of the spans that lie under masked tokens."""
+    edge = np.flatnonzero(np.diff(mask, prepend=0, append=0))
+    bounds = np.concatenate(([0], ends))
+    runs = bounds[edge].reshape(-1, 2)
+    out = []
+    for a, b in spans:
+        for i in range(int(np.searchsorted(runs[:, 1], a, side="right")), len(runs)):
+            low, high = max(a, int(runs[i, 0])), min(b, int(runs[i, 1]))
+            if low >= high:
+                break
+            out.append((low, high))
+    return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,34 +105,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
 _encodings: dict[str, tuple] = {}
 
 
+def _encoding(key: str, shared) -> tuple:
+    """This worker's encoding of a broadcast vocabulary, and the bytes of each of its tokens."""
+    import tiktoken
+
+    if key not in _encodings:
+        _encodings.clear()
+        ranks = shared.value
+        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank] = len(token)
+        _encodings[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    return _encodings[key]
+
+
 def format_chats(rows: DataFrame, *, vocabulary: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", train_role: str = "assistant") -> DataFrame:
-    """One row a conversation: conv_id, n_turns, formatted, token_ids, loss_mask (by token), loss_spans (bytes).
+    """One row a conversation: conv_id, n_turns, formatted, token_ids, loss_mask (by token), loss_spans (bytes of the trained texts).
 
     The vocabulary is read on the driver and broadcast; its size does not depend on
     the data. A formatted conversation is one row, so its turns meet in one task.
     """
-    import tiktoken
-
     shared, key = rows.sparkSession.sparkContext.broadcast(read_ranks(vocabulary)), uuid.uuid4().hex
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     grouped = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def function(got):
-        if key not in _encodings:
-            _encodings.clear()
-            ranks = shared.value
-            sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-            for token, rank in ranks.items():
-                sizes[rank] = len(token)
-            _encodings[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
-        encoding, sizes = _encodings[key]
+        encoding, sizes = _encoding(key, shared)
         out = [[], [], [], [], []]
         for turns in got[0]:
             text, spans = render([(t["role"], t["text"]) for t in turns])
             ids = encoding.encode_ordinary(text)
             ends = np.cumsum(sizes[ids])
-            mask, masked = token_overlaps(ends, [s for s, t in zip(spans, turns) if t["role"] == train_role])
-            for column, x in zip(out, (len(turns), text, ids, mask.tolist(), [{"start": a, "end": b} for a, b in masked])):
+            trained = [s for s, t in zip(spans, turns) if t["role"] == train_role and s[0] < s[1]]
+            for column, x in zip(out, (len(turns), text, ids, token_overlaps(ends, trained).tolist(), [{"start": a, "end": b} for a, b in trained])):
                 column.append(x)
         return out
 
@@ -126,15 +146,25 @@ def format_chats(rows: DataFrame, *, vocabulary: str, conv_col: str = "conv_id",
     return add_columns(grouped, ["turns"], adds, function).drop("turns")
 
 
-def read_chats(formatted: DataFrame) -> DataFrame:
-    """Add turns (role, text) and loss_text, both read back from formatted, token mask and spans."""
+def read_chats(formatted: DataFrame, *, vocabulary: str) -> DataFrame:
+    """Add turns (role, text) and loss_text, read back from the token ids, their mask and the spans.
+
+    The ids are decoded and must give the formatted text, else the job fails; turns are
+    parsed from it. loss_text is what lies both under masked tokens and in loss_spans.
+    """
+    shared, key = formatted.sparkSession.sparkContext.broadcast(read_ranks(vocabulary)), uuid.uuid4().hex
 
     def function(got):
+        encoding, sizes = _encoding(key, shared)
         turns, loss = [], []
-        for text, spans in zip(*got):
+        for text, ids, mask, spans in zip(*got):
+            ids, mask = np.asarray(ids, np.int64), np.asarray(mask, np.int8)
+            if len(ids) != len(mask) or encoding.decode_bytes(ids.tolist()) != text:
+                raise ValueError("the tokens do not give the formatted text")
+            parts = masked_bytes(np.cumsum(sizes[ids]), mask, [(s["start"], s["end"]) for s in spans])
             turns.append([{"role": r, "text": t} for r, t in parse(text.decode())])
-            loss.append(unescape("".join(text[s["start"] : s["end"]].decode() for s in spans)))
+            loss.append(unescape(b"".join(text[a:b] for a, b in parts).decode("utf-8", "replace")))
         return [turns, loss]
 
     turn = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
-    return add_columns(formatted, ["formatted", "loss_spans"], T.StructType([T.StructField("turns", turn), T.StructField("loss_text", T.StringType())]), function)
+    return add_columns(formatted, ["formatted", "token_ids", "loss_mask", "loss_spans"], T.StructType([T.StructField("turns", turn), T.StructField("loss_text", T.StringType())]), function)
