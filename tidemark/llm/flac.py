@@ -11,7 +11,8 @@ offsets.
 Defined cases: a null or empty payload is a stream without frames; a frame that
 fails a check gives a block with ok false and null samples, and so does each gap
 between the frames found, or up to the stream's samples; the frames around it are
-read. Frames of other layouts than the above (more channels, other block or sample
+read. Columns blocks, feature, whole and that of the media are replaced, others pass
+through. Frames of other layouts than the above (more channels, other block or sample
 sizes, more partitions, other predictors) are found but not decoded: blocks with ok
 false.
 """
@@ -414,6 +415,15 @@ def decode(streams: list[bytes | None]) -> list[list[tuple[int, int, bytes | Non
     return out
 
 
+def intact(stream: bytes | None, blocks: list[tuple[int, int, bytes | None]]) -> bool:
+    """Whether the blocks are all there and have the stream's sample count and MD5."""
+    if not stream or len(stream) < 42 or stream[:4] != b"fLaC" or any(pcm is None for _, _, pcm in blocks):
+        return False
+    pcm = b"".join(b[2] for b in blocks)
+    total = int.from_bytes(stream[21:26], "big") & (1 << 36) - 1
+    return len(pcm) == total and hashlib.md5(bytes(np.frombuffer(pcm, np.uint8) ^ 0x80)).digest() == stream[26:42]
+
+
 def encode_media(docs: DataFrame, *, payload_col: str = "payload", media_col: str = "media") -> DataFrame:
     """Add the FLAC stream of a binary column."""
     adds = T.StructType([T.StructField(media_col, T.BinaryType())])
@@ -424,18 +434,20 @@ _BLOCK = T.StructType([T.StructField("sample_offset", T.LongType()), T.StructFie
 
 
 def decode_media(media: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """Add blocks (sample_offset, n_samples, ok, pcm), each readable alone, and the stream's features.
+    """Add blocks (sample_offset, n_samples, ok, pcm), each readable alone, the stream's features, and whole.
 
-    Features: peak, sum of absolute samples and sign changes, as "peak:sum:changes".
+    whole says that all blocks are ok and make up the samples whose number and MD5 the
+    stream's head has. Features: peak, sum of absolute samples and sign changes, as "peak:sum:changes".
     """
 
     def function(got):
-        blocks, features = [], []
-        for found in decode(got[0]):
+        blocks, features, whole = [], [], []
+        for stream, found in zip(got[0], decode(got[0])):
+            whole.append(intact(stream, found))
             blocks.append([{"sample_offset": a, "n_samples": n, "ok": pcm is not None, "pcm": pcm} for a, n, pcm in found])
             x = np.frombuffer(b"".join(pcm or b"" for _, _, pcm in found), np.uint8).astype(np.int16) - 128
             features.append(f"{int(np.abs(x).max(initial=0))}:{int(np.abs(x).sum(dtype=np.int64))}:{int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}")
-        return [blocks, features]
+        return [blocks, features, whole]
 
-    adds = T.StructType([T.StructField("blocks", T.ArrayType(_BLOCK)), T.StructField("feature", T.StringType())])
+    adds = T.StructType([T.StructField("blocks", T.ArrayType(_BLOCK)), T.StructField("feature", T.StringType()), T.StructField("whole", T.BooleanType())])
     return add_columns(media, [media_col], adds, function)
