@@ -1,9 +1,13 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 Every record is a gzip member of its own. A reading task scans its byte range
-for the gzip magic, takes the first candidate whose decoded start is a WARC
-header, follows members from there, and owns the records that start inside its
-range; the last one may end beyond it.
+for the gzip magic and takes a candidate whose decoded start is a WARC header if
+the chain of members from there holds up to the range's end: each member has the
+length that its header states, and behind it stands another member or nothing. An
+archive that a payload carries uncompressed is such a chain only up to the
+payload's end, where the search goes on. The task owns the records that start
+inside its range; the last one may end beyond it. A member that begins as one and
+does not decode is damage and fails the job.
 
 Files are opened with pyarrow's file systems by URI, on executors only; they lie
 in the shared folder. A task writes to a name of its own attempt and the
@@ -13,8 +17,9 @@ that lost executors and repeated attempts leave no doubled records.
 Defined cases: a null payload is empty; a null url leaves the header out, control
 characters in urls are percent-encoded; rows that share the least page_id of
 equal payloads are all responses; a null page_id is never the least; an empty
-table gives no records; an archive inside a payload is not entered unless a
-range border falls into a part of it that gzip stored uncompressed.
+table gives no records; other columns are left out, whatever their names. An
+archive inside a payload is entered only where gzip stored it uncompressed and it
+fills all the rest of a range.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.lineage import shared_folder, small, written
+from tidemark.plans.lineage import new_folder, small, written
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -82,10 +87,10 @@ def mark_revisits(pages: DataFrame, *, min_bytes: int = 100, broadcast_rows: int
 
 def write_archives(marked: DataFrame, level: int = 6) -> DataFrame:
     """Write an archive for each partition; the manifest: (path, bytes, records)."""
-    folder = f"{shared_folder(marked.sparkSession)}/tidemark/warc-{uuid.uuid4().hex}"
+    folder = new_folder(marked.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = open_store(folder)
         store.create_dir(base, recursive=True)
         path, size, n = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
         with store.open_output_stream(path, compression=None) as out:
@@ -101,24 +106,16 @@ def write_archives(marked: DataFrame, level: int = 6) -> DataFrame:
     return manifest.select(F.concat(F.lit(folder + "/"), "path").alias("path"), "bytes", "records")
 
 
-def records_from(file, start: int, end: int, piece: int = 1 << 16) -> Iterator[bytes]:
-    """The decoded records of a seekable archive that start in [start, end)."""
-    file.seek(start)
-    window, i = file.read(end - start + 4096), -1
-    while True:
-        i = window.find(MAGIC, i + 1, end - start + len(MAGIC) - 1)
-        if i < 0:
-            return
-        try:
-            if zlib.decompressobj(31).decompress(window[i : i + 4096], 16).startswith(VERSION):
-                break
-        except zlib.error:
-            pass
-    at = start + i
-    del window
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a URI; names that only Hadoop's connectors use are put as pyarrow has them."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def members_from(file, at: int, piece: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and decoded bytes of the gzip members from a place on, as long as another follows."""
     file.seek(at)
     data = b""
-    while at < end:
+    while True:
         z, parts, used = zlib.decompressobj(31), [], 0
         while not z.eof:
             data = data or file.read(piece)
@@ -129,8 +126,63 @@ def records_from(file, start: int, end: int, piece: int = 1 << 16) -> Iterator[b
             parts.append(z.decompress(data))
             used += len(data) - len(z.unused_data)
             data = z.unused_data
+        yield at, at + used, b"".join(parts)
         at += used
-        yield b"".join(parts)
+        if len(data) < len(MAGIC):
+            data += file.read(piece)
+        if data and not data.startswith(MAGIC):
+            return
+
+
+def complete(record: bytes) -> bool:
+    """Whether a decoded member is one record of the length that its header states."""
+    head, found, rest = record.partition(b"\r\n\r\n")
+    length = re.search(rb"(?i)\r\nContent-Length: *([0-9]+)(?:\r\n|$)", head)
+    return bool(record.startswith(VERSION) and found and length) and len(rest) == int(length[1]) + 4
+
+
+def chain_end(file, at: int, end: int) -> tuple[int, bool]:
+    """Where the chain of members from a candidate stops, and whether it holds up to `end` or the file's end."""
+    reached = at
+    for _, reached, record in members_from(file, at):
+        if not complete(record):
+            return reached, False
+        if reached >= end:
+            return reached, True
+    file.seek(reached)
+    return reached, not file.read(1)
+
+
+def first_record(file, start: int, end: int) -> int | None:
+    """The start of the first member in [start, end) that belongs to the archive itself."""
+    file.seek(start)
+    window, i = file.read(end - start + 4096), 0
+    while (i := window.find(MAGIC, i, end - start + len(MAGIC) - 1)) >= 0:
+        try:
+            likely = zlib.decompressobj(31).decompress(window[i : i + 4096], 16).startswith(VERSION)
+        except zlib.error:
+            likely = False
+        if likely and start + i == 0:
+            return 0
+        if likely:
+            reached, holds = chain_end(file, start + i, end)
+            if holds:
+                return start + i
+            i = max(i + 1, reached - start)
+        else:
+            i += 1
+    return None
+
+
+def records_from(file, start: int, end: int, piece: int = 1 << 16) -> Iterator[bytes]:
+    """The decoded records of a seekable archive that start in [start, end)."""
+    first = first_record(file, start, end)
+    if first is None:
+        return
+    for at, _, record in members_from(file, first, piece):
+        if at >= end:
+            return
+        yield record
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
@@ -145,7 +197,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
             for path, start, end in zip(*(c.to_pylist() for c in b.columns)):
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = open_store(path)
                 rows, size = [], 0
                 with store.open_input_file(at) as file:
                     for data in records_from(file, start, end):
