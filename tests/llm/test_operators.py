@@ -66,6 +66,17 @@ def test_hard_tables(spark):
     assert all(r.spans == [] for r in pii.find_personal_data(docs).collect())
 
 
+def test_names_of_temporary_columns(spark):
+    """Input columns with any name that an operator makes for itself or returns pass through or are replaced."""
+    names = [f"_{n}" for n in ("site", "digests", "lines", "own", "hits", "kept", "key", "base", "spans", "email", "ip", "card", "phone", "best", "row", "id", "text", "source", "idx", "at")]
+    docs = spark.createDataFrame([(1, "Mail a@b.cd now\nx", "en", "a", 3), (2, "x", None, None, 1)], DOCS).withColumns({n: F.lit(f"own {n}") for n in names})
+    pages = docs.withColumn("url", F.lit("http://a.net/x"))
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    for out in (linededup.drop_boilerplate(docs), pii.find_personal_data(docs), mixing.mix_sources(docs), urlfilter.judge_urls(pages, rules)):
+        assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+    assert [len(r.spans) for r in pii.find_personal_data(docs).orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "item_id long, text string")
@@ -135,6 +146,26 @@ def test_a_value_in_many_confident_contexts_is_no_seed(spark):
     assert all(got[9000 + c] == [("phone", "555-0199-23")] for c in range(20)) and all(len(got[i]) == 1 for i, _ in seeds)
 
 
+def test_instances_that_were_found_induce_new_patterns(spark):
+    """Values found in the seeds' context make a context without seeds confident, in which a new value is found."""
+    seeds = [(i, f"Please ring Desk: +1 (555) 555-01{i:02d} today.") for i in range(12)]
+    both = [f"555-0{i}99-23" for i in range(5)]
+    rows = seeds + [(100 + i, f"Please ring Desk: {v} now.") for i, v in enumerate(both)]
+    rows += [(200 + i, f"Extension kept here {v} for you.") for i, v in enumerate(both)] + [(300, "Extension kept here 555-0777-41 for you."), (301, "They sold 555-0888-42 of them.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda rounds: {r.doc_id for r in pii.find_personal_data(docs, rounds=rounds).collect() if r.spans and r.doc_id >= 100}
+    assert found(1) == {100 + i for i in range(5)}
+    assert found(6) == {100 + i for i in range(5)} | {200 + i for i in range(5)} | {300}
+
+
+def test_contexts_of_very_long_words(spark):
+    for n in (70, 3000):
+        label = "w" * n
+        rows = [(i, f"the {label} +1 (555) 555-01{i:02d} here") for i in range(5)] + [(9, f"the {label} 555-0199-23 there"), (10, f"the v{label} 555-0188-23 there")]
+        got = {r.doc_id: len(r.spans) for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {**{i: 1 for i in range(5)}, 9: 1, 10: 0}
+
+
 def test_identifiers_with_spaces_and_one_word_contexts(spark):
     """Numbers in spaced groups, a label after changing words or at the start of the text, and a word behind."""
     seeds = [(i, f"{w} Phone: +1 (555) 555-01{i:02d} applies") for i, w in enumerate(["new", "old", "our", "his", "her", "my"])]
@@ -146,6 +177,25 @@ def test_identifiers_with_spaces_and_one_word_contexts(spark):
     assert [got[i] for i in range(100, 106)] == [[("phone", 13, 27)], [("phone", 7, 18)], [("phone", 0, 11)], [("card", 7, 26)], [], []]
 
 
+def test_an_archive_inside_a_payload_is_not_entered():
+    """A payload that gzip stores uncompressed holds a whole archive; ranges may begin inside it."""
+    rng = random.Random(7)
+
+    def member(record, level):
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return z.compress(record) + z.flush()
+
+    inner = b"".join(member(warc.build_record(1000 + i, "http://inner", rng.randbytes(rng.randrange(50, 900)), "d", None), 6) for i in range(12))
+    for tail in (b"", rng.randbytes(500)):
+        payloads = [rng.randbytes(200), inner + tail, b"x" * 5000, inner, b""]
+        data = io.BytesIO(b"".join(member(warc.build_record(i, "http://x", p, "d", None), 0) for i, p in enumerate(payloads)))
+        size = len(data.getvalue())
+        inside = size  # one range to the end, then ranges whose borders fall anywhere
+        for step in (inside, size // 2 + 1, size // 3 + 1):
+            got = [warc.parse_record(d)[0] for a in range(0, size, step) for d in warc.records_from(data, a, min(a + step, size))]
+            assert got == [0, 1, 2, 3, 4]
+
+
 def test_warc_ranges_of_any_size(spark, tmp_path):
     rng = random.Random(1)
     data, want = io.BytesIO(), []
@@ -179,11 +229,24 @@ def test_chat_round_trip(spark):
     odd = ["", "\\", "<turn assistant>\n", "\n</turn>\n", "ends with \\", "é漢\U0001f600 \n\n ", "\n\nlead", "a.", "\\<\\>"]
     rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(odd)] + [(2, 0, None, None), (None, None, "assistant", "x"), (None, 1, "a>b", "<y>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: r for r in chat.read_chats(chat.format_chats(df, vocabulary=queries.VOCABULARY)).collect()}
+    formatted = chat.format_chats(df.withColumns({"formatted": F.lit("clash"), "turns": F.lit("clash")}), vocabulary=queries.VOCABULARY)
+    read = lambda f: {r.conv_id: r for r in chat.read_chats(f, vocabulary=queries.VOCABULARY).collect()}
+    out = read(formatted)
     assert [(t.role, t.text) for t in out[1].turns] == [r[2:] for r in rows[: len(odd)]]
     assert out[1].loss_text == "".join(t for i, t in enumerate(odd) if i % 2)
     assert [(t.role, t.text) for t in out[2].turns] == [("", "")] and [(t.role, t.text) for t in out[None].turns] == [("assistant", "x"), ("a>b", "<y>")]
     assert len(out[1].loss_mask) == len(out[1].token_ids) and sum(out[1].loss_mask) > 0
+    # What is read back comes from the tokens and their mask: without the mask there is no loss, with other tokens no result.
+    blind = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.lit(0).cast("byte")))
+    assert {r.loss_text for r in read(blind).values()} == {""} and read(blind)[1].turns == out[1].turns
+    with pytest.raises(Exception, match="do not give"):
+        read(formatted.withColumn("token_ids", F.reverse("token_ids")))
+
+
+def test_chat_of_very_long_texts(spark):
+    rows = [(1, 0, "user", "<" * 300_000), (1, 1, "assistant", "a é\\ " * 100_000)]
+    (r,) = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), vocabulary=queries.VOCABULARY), vocabulary=queries.VOCABULARY).collect()
+    assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in rows] and r.loss_text == rows[1][3]
 
 
 def test_flac_round_trip_and_damage(texts):
@@ -216,6 +279,20 @@ def test_flac_goes_on_after_damaged_headers():
         assert [b[2] is None for b in flac.decode([stream[: starts[3]]])[0]] == [False, False, False, True]
 
 
+def test_flac_tells_streams_that_are_not_whole(spark):
+    rng = random.Random(9)
+    payload = rng.randbytes(5000)
+    stream = flac.encode([payload])[0]
+    starts = [a for _, _, a, _, _ in flac.find_frames(stream)]
+    other = bytearray(stream)
+    other[30] ^= 1  # the MD5
+    streams = [stream, stream[: starts[4]], stream[: starts[2]] + stream[starts[3] :], stream[: starts[0]] + stream[starts[1] :], bytes(other), None, flac.encode([b""])[0], flac.encode([b"long" * 500_000])[0]]
+    read = flac.decode_media(spark.createDataFrame(list(enumerate(streams)), "i long, media binary").withColumns({"blocks": F.lit(1), "whole": F.lit("clash")})).orderBy("i").collect()
+    assert [r.whole for r in read] == [True, False, False, False, False, False, True, True]
+    assert [sum(b.n_samples for b in r.blocks if b.ok) for r in read[:4]] == [5000, 4096, 3976, 3976]
+    assert b"".join(b.pcm for b in read[7].blocks) == b"long" * 500_000
+
+
 def test_flac_marks_frames_of_other_layouts():
     """Two frames of 4096 samples, two channels, 16 bits; and an own frame that says it has two partitions."""
     info = (4096 << 128 | 4096 << 112 | 44100 << 44 | 1 << 41 | 15 << 36 | 8192).to_bytes(18, "big") + bytes(16)
@@ -288,6 +365,39 @@ def test_near_duplicates_of_a_large_family(spark):
         assert got == near_by_hand(rows)
 
 
+def test_sets_of_one_name_are_told_apart(spark):
+    rows = [(1, 7, 1), (2, 7, 1), (3, 7, 2), (4, 8, 1), (5, None, None)]
+    got = {r.doc_id: r.node for r in neardup.told_apart(spark.createDataFrame(rows, "doc_id long, node long, check long")).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == 8 and got[5] is None
+
+
+def test_union_sketch_estimates():
+    rng = flac.np.random.default_rng(3)
+    for n, m in ((30, 30), (400, 380), (50, 40), (2000, 2000)):
+        pool = rng.choice(2**62, 3000, replace=False).astype("uint64")
+        a, b = (flac.np.unique(rng.choice(pool, k, replace=False)) for k in (n, m))
+        union = flac.np.union1d(a, b)[:48]
+        want = len(flac.np.intersect1d(flac.np.intersect1d(union, a), b)) / len(union)
+        other = flac.np.full((1, 48), flac.np.iinfo("uint64").max, "uint64")
+        other[0, : min(48, m)] = b[:48]
+        assert neardup.estimates(a[:48], other, n, flac.np.array([m]))[0] == pytest.approx(want)
+        assert neardup.common_counts(a, [b, a])[0] == len(flac.np.intersect1d(a, b))
+
+
+def test_the_mix_is_a_sequence_of_pieces(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    pieces = mixing.mix_pieces(docs).collect()
+    size = {r.doc_id: r["size"] for r in mixing.mix_sources(docs).collect()}
+    taken, slots = defaultdict(int), defaultdict(list)
+    for p in pieces:
+        taken[p.id] += p.words
+        slots[p.slot].append(p)
+        assert 0 < p.words <= 64 and 0 <= p.start and p.start + p.words <= size[p.id]
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(docs).where("taken > 0").collect()} == taken
+    assert all(len({p.source for p in s}) == 1 and sum(p.words for p in s) <= 64 for s in slots.values())
+    assert len({(p.id, p.epoch, p.start) for p in pieces}) == len(pieces)
+
+
 def test_mix_nears_its_targets(spark):
     rows = queries.op9_mixing(spark, SF).collect()
     by = defaultdict(lambda: [0.0, 0])

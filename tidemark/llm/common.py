@@ -1,7 +1,10 @@
 """Helpers shared by the operators of this subpackage.
 
-Rule for clashing names, used by every operator here: extra input columns pass
-through, and an input column that has the name of a result column is replaced.
+Rule for clashing names: where extra input columns pass through, an input column
+that has the name of a result column is replaced, and columns that an operator
+makes for itself take names that the input has not. Operators that return other
+rows than they get (formatted conversations, archive records, groups of copies)
+say which columns those have.
 """
 
 from __future__ import annotations
@@ -32,6 +35,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of `names` that no column of `df` has, in any case, for columns that are dropped again."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def add_columns(df: DataFrame, needs: list[str], adds: T.StructType, function: Callable[[list[list]], list[list]]) -> DataFrame:
     """Add columns that a function of Python lists computes batch by batch.
 

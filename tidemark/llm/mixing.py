@@ -22,6 +22,7 @@ from tidemark.plans.lineage import small, written
 
 GOLDEN = 2654435769  # 2**32 / golden ratio, rounded to odd
 BINS = 4096
+RESULT = ("size", "source_size", "target", "taken")
 
 
 def text_size(text: Column) -> Column:
@@ -101,22 +102,44 @@ def streams(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     return order.withColumn("inside", inside).join(sums, ["idx", "bucket"]).withColumn("at", F.col("before") + F.col("inside")).drop("order", "bucket", "before", "inside")
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, epochs: int = 2, block: int = 64, seed: int = 20) -> DataFrame:
-    """Add size, source_size, target and taken (words the mix takes, repeats counted).
-
-    Everything but `text_col` passes through; the text itself is not shuffled.
-    """
-    fixed = {"size", "source_size", "target", "taken"}
-    others = [c for c in docs.columns if c not in {text_col, *fixed}]
-    plain = docs.select(F.struct(*others).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), F.md5(F.col(text_col).cast("binary")).alias("_text"))
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget: float, epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (_row, _id, size, source_size, target, idx, at), and the targets."""
+    others = [c for c in docs.columns if c not in {text_col, *RESULT}]
+    plain = docs.select(F.struct(*others).alias("_row") if others else F.lit(None).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), F.md5(F.col(text_col).cast("binary")).alias("_text"))
     plain = written(plain, "sizes")
     targets = written(source_targets(plain.select("source", "size"), weights, budget, epochs), "targets")
-    placed = written(streams(plain, targets.withColumnRenamed("source", "_source"), seed), "placed")
+    return written(streams(plain, targets.withColumnRenamed("source", "_source"), seed), "placed"), targets
+
+
+def _pieces(placed: DataFrame, targets: DataFrame, epochs: int, block: int, *keep: str) -> DataFrame:
+    """(keep, idx, at, slot, epoch, start, words): the join of scheduled slots with the blocks of the streams."""
     pieces = placed.where("size > 0").withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
-    pieces = pieces.select("idx", "at", (F.col("at") + F.col("epoch") * F.col("source_size")).alias("a"), "size")
+    pieces = pieces.select(*keep, "idx", "at", "epoch", (F.col("at") + F.col("epoch") * F.col("source_size")).alias("a"), "size")
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block))))
-    pieces = pieces.select("idx", "at", "rank", (F.least(F.col("a") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("a"), F.col("rank") * block)).alias("words"))
-    taken = pieces.join(schedule(targets, block), ["idx", "rank"]).groupBy("idx", "at").agg(F.sum("words").alias("taken"))
+    start = F.greatest(F.col("a"), F.col("rank") * block)
+    words = F.least(F.col("a") + F.col("size"), (F.col("rank") + 1) * block) - start
+    pieces = pieces.select(*keep, "idx", "at", "epoch", "rank", (start - F.col("a")).alias("start"), words.alias("words"))
+    return pieces.join(schedule(targets, block), ["idx", "rank"]).drop("rank")
+
+
+def mix_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, epochs: int = 2, block: int = 64, seed: int = 20) -> DataFrame:
+    """The mix itself: (slot, place, id, source, epoch, start, words), a row for each piece of a document in a slot.
+
+    Read by slot and place, the pieces are the mixed stream: `words` words of the
+    document from word `start` on. A slot holds one block of one source.
+    """
+    placed, targets = _placed(docs, id_col, text_col, source_col, weights, budget, epochs, seed)
+    pieces = _pieces(placed, targets, epochs, block, "_id", "source")
+    return pieces.select("slot", F.col("at").alias("place"), F.col("_id").alias("id"), "source", "epoch", "start", "words")
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, epochs: int = 2, block: int = 64, seed: int = 20) -> DataFrame:
+    """Add size, source_size, target and taken (words the mix takes, repeats counted): the pieces' words summed by document.
+
+    Everything but `text_col` passes through; the text itself is not shuffled.
+    """
+    placed, targets = _placed(docs, id_col, text_col, source_col, weights, budget, epochs, seed)
+    taken = _pieces(placed, targets, epochs, block).groupBy("idx", "at").agg(F.sum("words").alias("taken"))
     full = F.when(F.col("size") > 0, F.col("at"))  # only documents with words have a place of their own
     out = placed.withColumn("_at", full).join(taken.withColumnsRenamed({"idx": "_idx", "at": "_at2"}), (F.col("idx") == F.col("_idx")) & (F.col("_at") == F.col("_at2")), "left")
     return out.select("_row.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -40,7 +40,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")], "conv_id long, turn long, role string, text string")
-    read = chat.read_chats(chat.format_chats(rows.unionByName(tricky), vocabulary=VOCABULARY))
+    read = chat.read_chats(chat.format_chats(rows.unionByName(tricky), vocabulary=VOCABULARY), vocabulary=VOCABULARY)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
@@ -53,8 +53,9 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = flac.encode_media(docs).drop("payload")
     read = flac.decode_media(media)
     # Blocks are joined as characters of one byte each; Spark joins strings in linear time.
+    # Of a stream that is not whole nothing is returned.
     stored = F.array_join(F.transform("blocks", lambda b: F.decode(b["pcm"], "ISO-8859-1")), "")
-    read = read.withColumn("stored", F.encode(stored, "ISO-8859-1"))
+    read = read.withColumn("stored", F.when(F.col("whole"), F.encode(stored, "ISO-8859-1")))
     tail = F.substring("stored", -64, 64)
     return read.select("doc_id", "n_bytes", F.length("stored").cast("long").alias("payload_bytes"), F.sha2("stored", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
@@ -65,7 +66,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    values = ", ".join(str(r) for r in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
     return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

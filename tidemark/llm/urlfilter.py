@@ -6,7 +6,8 @@ and path together) wins, then the longest host, then block over allow.
 
 Defined cases: a null url, or one without "://", has an empty host and path and
 no rule; rules with a null host, path or verdict are left out; repeated rules
-count once; an empty rule table gives the default everywhere.
+count once; an empty rule table gives the default everywhere; other columns pass
+through, and columns named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower
-from tidemark.plans.lineage import small
+from tidemark.llm.common import ascii_lower, fresh
+from tidemark.plans.lineage import small, written
 
 
 def url_host(url: Column) -> Column:
@@ -31,30 +32,32 @@ def url_path(url: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow", prefix_hex: int = 8, broadcast_rules: int = 500_000) -> DataFrame:
     """Add host, path, rule (null if none) and verdict.
 
-    Only suffixes of as many labels, and prefixes of as many characters, as some
-    rule has are expanded; these two sets of small numbers are all that the driver
-    gathers. Expressions meet rules on the first `prefix_hex` digits of their
-    SHA-256 and full digests confirm. Each distinct (host, path) is looked up once,
-    so a hot url or rule does not gather rows in one task.
+    A url is expanded into its host suffixes and path prefixes of the shapes (labels,
+    characters) that some rule has; these pairs of small numbers are all that the driver
+    gathers. Expressions meet rules in an equi-join on the first `prefix_hex` digits of
+    their SHA-256 alone; what meets is then confirmed by the full digests. Each distinct
+    (host, path) is looked up once, so a hot url or rule does not gather rows in one task.
     """
     rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
-    shapes = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).agg(F.collect_set("labels").alias("labels"), F.collect_set("chars").alias("chars")).first()
-    judged = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
-    labels = F.split("host", r"\.")
-    suffixes = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")) for n in sorted(shapes.labels)]
-    prefixes = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shapes.chars)]
-    found = judged.select("host", "path").distinct()
-    if suffixes:
-        found = found.select("host", "path", F.explode(F.array(*suffixes)).alias("suffix"), F.array(*prefixes).alias("prefixes")).where("suffix is not null")
-        found = found.select("host", "path", "suffix", F.explode("prefixes").alias("prefix")).where("prefix is not null")
-    else:
-        found = found.select("host", "path", F.lit("").alias("suffix"), F.lit("").alias("prefix")).where(F.lit(False))
-    found = found.withColumn("digest", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256))
+    shapes = [(r.labels, r.chars) for r in rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).distinct().toLocalIterator()]
+    named = dict(zip(("host", "path"), (url_host(F.col(url_col)), url_path(F.col(url_col)))))
+    judged = pages.withColumns(named)
+    found = judged.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
+    known_shapes = F.array(*(F.struct(F.lit(n).alias("labels"), F.lit(m).alias("chars")) for n, m in sorted(shapes))) if shapes else F.array().cast("array<struct<labels:int,chars:int>>")
+    fitting = F.filter(known_shapes, lambda s: (s["labels"] <= F.size("labels")) & (s["chars"] <= F.length("path")))
+    found = found.select("host", "path", "labels", F.explode(fitting).alias("shape"))
+    suffix = F.array_join(F.slice("labels", F.size("labels") - F.col("shape.labels") + 1, F.col("shape.labels")), ".")
+    prefix = F.substring(F.col("path"), F.lit(1), F.col("shape.chars"))
+    found = found.select("host", "path", F.sha2(F.concat_ws("\n", suffix, prefix), 256).alias("digest"))
     key = lambda c: F.substring(c, 1, prefix_hex)
-    known = small(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", F.col("digest").alias("rule_digest")), broadcast_rules)
-    hits = found.join(known, (key(F.col("digest")) == key(F.col("rule_digest"))) & (F.col("digest") == F.col("rule_digest")))
+    known = small(written(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", F.col("digest").alias("rule_digest"), key("digest").alias("rule_key")), "rules"), broadcast_rules)
+    hits = found.withColumn("key", key("digest")).join(known, F.col("key") == F.col("rule_key"))
+    # Not an equality, so that it stays a test of the rows that the short prefix brings together.
+    hits = hits.where(F.startswith("digest", "rule_digest"))
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), "verdict")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), rank).alias("_best"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), rank).alias("best"))
+    (name,) = fresh(judged, "best")
+    best = small(written(best, "best-rules"), broadcast_rules).withColumnRenamed("best", name)
     out = judged.drop("rule", "verdict").join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
+    return out.withColumns({"rule": F.col(f"{name}.rule"), "verdict": F.coalesce(f"{name}.verdict", F.lit(default))}).drop(name)
