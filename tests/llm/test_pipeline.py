@@ -38,7 +38,7 @@ def test_lines(stages):
     for r in before:
         for line in r.text.split("\n"):
             seen[r.source, line].add(r.doc_id)
-    bad = {k for k, v in seen.items() if k[1] and len(v) >= 3 and len(v) > 0.1 * pages[k[0]]}
+    bad = {k for k, v in seen.items() if k[1] and len(v) >= 3 and len(v) > 0.05 * pages[k[0]]}
     want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x) not in bad) for r in before}
     assert {r.doc_id: r.text for r in after} == {i: t for i, t in want.items() if t.strip(" ")}
 

@@ -130,7 +130,7 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 c AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT r, source, unnest(ls) AS line FROM d) WHERE line <> '' GROUP BY ALL),
-b AS (SELECT c.source, line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > 0.1 * pages),
+b AS (SELECT c.source, line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > 0.05 * pages),
 x AS (SELECT r, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
 k AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS kept, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM x.source AND b.line = x.line) GROUP BY r)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
