@@ -1,6 +1,8 @@
 """End-to-end smoke cases and quirks."""
 
+import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text
 from tidemark.operators import bookings, entity, payments
 from tidemark.operators.components import block_components
-from tidemark.plans import repairs, rules
+from tidemark.plans import lineage, numbering, repairs, rules
 from tidemark.sources import readers, sinks
 from tidemark.streaming.rules import stream_issues
 
@@ -45,9 +47,114 @@ def test_auto_link_reads_what_was_overwritten(spark):
     assert {r.ord: r.legacy for r in entity.auto_link(p).collect()} == {2: "A", 4: "B", 6: "B"}
 
 
+PROFILE = "row_num long, service string, slot string, ord long, first string, last string, dob string, legacy string, crn string, contacts array<string>, emails array<string>, legacy_id string, birth string"
+
+
+def replay(profiles):
+    """Pairs in order: the later takes over what the earlier then has, where that is not blank."""
+    base = lambda x: re.sub(r"_\d+$", "", x)
+    ids, crns = {p[3]: p[11] for p in profiles}, {p[3]: p[8] for p in profiles}
+    pairs = []
+    for i, a in enumerate(profiles):
+        for b in profiles[i + 1 :]:
+            if a[4:7] == b[4:7] and a[6] and set(a[9]) & set(b[9]) and not (a[7] and b[7] and base(a[7]) == base(b[7])):
+                ids[b[3]], crns[b[3]] = ids[a[3]] or ids[b[3]], crns[a[3]] or crns[b[3]]
+                pairs.append((a[3], b[3]))
+    return ids, crns, pairs
+
+
+def test_auto_link_against_a_replay(spark):
+    """Blank and repeated ids, ids with suffixes, blank CRNs and several phones, in few identities."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        legacy = rng.choice(["", "A1", "A1_1", "B2", "C3", "D4_2", f"E{i}"])
+        phones = rng.sample("1234567", rng.choice([1, 1, 2, 3]))
+        rows.append((i, "s", "Parent1", 2 * i, rng.choice("pq"), "lee", rng.choice(["1985", "1985", ""]), legacy.lower(), rng.choice(["", "", f"X{i}"]), phones, [], legacy, "1985"))
+    p = spark.createDataFrame(rows, PROFILE)
+    ids, crns, pairs = replay(rows)
+    linked = entity.auto_link(p)
+    got = {r.ord: (r.legacy, r.crn) for r in linked.collect()}
+    assert got == {r[3]: (ids[r[3]], crns[r[3]]) for r in rows if r[6]}
+    assert sorted((r.a, r.b) for r in entity.parent_pairs(p).collect()) == sorted(pairs)
+    issues = entity.link_issues(p, linked).collect()
+    assert len(issues) == 2 * len(pairs) and {r.severity for r in issues} == {"FIXED"}
+    # Clusters from stars are those of the pairs.
+    root = {r[3]: r[3] for r in rows}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    members = {}
+    for r in rows:
+        members.setdefault(find(r[3]), []).append(r)
+    many = {k for k, m in members.items() if len(m) > 1 and len({re.sub(r"_\d+$", "", r[7]) for r in m if r[7]}) >= 2}
+    assert {r.ord: r.cluster for r in entity.parent_clusters(p).collect()} == {r[3]: k for k in many for r in members[k]}
+
+
+def test_linking_of_one_identity_is_not_quadratic(spark):
+    """One name, birth date and phone for all of 20,000 profiles."""
+    p = spark.range(20_000).selectExpr("id row_num", "'s' service", "'Parent1' slot", "id ord", "'test' first", "'test' last", "'1900' dob", "concat('i', id % 5000) legacy", "'' crn", "array('0') contacts", "array('') emails", "concat('I', id % 5000) legacy_id", "'1900' birth")
+    assert {r.legacy for r in entity.auto_link(p).select("legacy").distinct().collect()} == {"I0"}
+    assert entity.parent_clusters(p).select("cluster").distinct().count() == 1
+
+
+def test_conflict_components_against_all_pairs(spark):
+    """Sweeps by day give the components of all pairs, with bookings that end before they start."""
+    rng = random.Random(12)
+    day = lambda n: (datetime.date(2024, 1, 1) + datetime.timedelta(days=n)).strftime("%d/%m/%Y")
+    rows = []
+    for i in range(300):
+        a = rng.randrange(200)
+        b = a + rng.choice([0, 3, 10, 30, -5])
+        rows.append((i, "1", rng.choice("ab"), day(a), day(b), rng.choice(["f", "F "]), rng.choice(["r", "R.", "s"]), "Weekly", rng.choice([1, 2, 4, 3, 64, 0])))
+    df = spark.createDataFrame(rows, "src_row long, service_id string, child_id string, start_date string, end_date string, fee string, room string, week_type string, days int")
+    root = list(range(300))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for r in bookings.recurring_conflicts(df).collect():
+        x, y = sorted((find(r.a), find(r.b)))
+        root[y] = x
+    want = {}
+    for i in range(300):
+        want.setdefault(find(i), []).append(i)
+    want = {k: m for k, m in want.items() if len(m) > 1}
+    got = bookings.resolve_conflicts(df).collect()
+    assert {r.src_row: r.component for r in got} == {i: k for k, m in want.items() for i in m}
+    end = lambda i: datetime.datetime.strptime(rows[i][4], "%d/%m/%Y")
+    assert {r.src_row for r in got if r.kept} == {max(m, key=lambda i: (end(i), -i)) for m in want.values()}
+
+
+def test_numbers_by_spans(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice("abc"), n) for n in rng.sample(range(-50, 1000), 300)]
+    df = spark.createDataFrame(rows, "k string, n long")
+    want = {k: sorted(n for x, n in rows if x == k) for k in "abc"}
+    assert {(r.k, r.n): r.i for r in numbering.numbered(df, ["k"], "n", "i", first=2, span=7).collect()} == {(k, n): i + 2 for k, ns in want.items() for i, n in enumerate(ns)}
+    got = numbering.in_sequence(df, ["k", "n"], "i").collect()
+    assert [(r.k, r.n) for r in sorted(got, key=lambda r: r.i)] == sorted(rows) and sorted(r.i for r in got) == list(range(1, 301))
+    assert numbering.numbered(df.limit(0), [], "n", "i").count() == numbering.in_sequence(df.limit(0), ["n"], "i").count() == 0
+
+
+def test_hot_groups_are_joined_apart(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id < 700, 0, id) as k")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for over in (1, 100, 10_000):
+        assert {(r.id, r.n) for r in lineage.join_groups(rows, groups, ["k"], "n", over).collect()} == {(i, 700 if i < 700 else 1) for i in range(1000)}
+
+
+def test_written_tables_are_discarded_and_swept(spark):
+    at = lineage.place()
+    tables = [lineage.written(spark.range(3), "one") for _ in range(3)]
+    lineage.discard(spark, at)
+    assert tables[2].count() == 3 and lineage.place() == at + 1
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|not exist"):
+        tables[0].count()
+    assert lineage.sweep(spark, hours=24) == 0 and tables[2].count() == 3
+
+
 def test_components_of_long_chains(spark):
-    """Chains of 300: in adverse order, the least at one end and the others descending towards it, and at random."""
-    n = 300
+    """Chains of 1000: in adverse order, the least at one end and the others descending towards it, and at random."""
+    n = 1000
     rng = random.Random(6)
     chains = {"adverse": [0, *range(n - 1, 0, -1)], "random": rng.sample(range(n), n)}
     edges = [(block, chain[i], chain[i + 1]) for block, chain in chains.items() for i in range(n - 1)]
@@ -66,7 +173,14 @@ def test_payment_dates(spark, raw, want):
     assert (str(got) if got else None) == want
 
 
+@pytest.mark.parametrize("raw, want", [("2026/03/05", "2026-03-05"), ("5 Mar 2026", "2026-03-05"), ("05.03.2026", "2026-03-05"), ("5-mar-2026 1:30 PM", "2026-03-05"), ("5 March 2026", "2026-03-05"), ("March 5, 2026", "2026-03-05"), ("5/3/26", "2026-03-05"), ("31/02/2026", None), ("5 Foo 2026", None)])
+def test_booking_dates(spark, raw, want):
+    got = value(spark, dates.booking_date("x"), x=raw)
+    assert (str(got) if got else None) == want
+
+
 def test_texts(spark):
+    assert value(spark, text.file_word("x"), x=" St. Mary's  é_Kids!- ") == "St_Mary_s_é_Kids-"
     assert value(spark, text.strip("x"), x="\t a  ") == "a"
     assert value(spark, text.day_flag("x"), x="1.9") and not value(spark, text.day_flag("x"), x="1.0d")
     assert value(spark, text.room_key("x"), x="Koalaâs  (Room)") == "koala s room"
@@ -128,6 +242,17 @@ def test_files_round_trip(spark, tmp_path, families):
     assert got == [(2, "182", "Ann\nMay Lee"), (3, "", "Bo"), (4, "7", "Cy")]
     (tmp_path / "in/c.xls").write_text("<html><table><tr><th>Centre Name</th></tr><tr><td>Sunny</td></tr></table><table><tr><td>no</td></tr></table>")
     assert [r.cells for r in readers.read_html_tables(spark, str(tmp_path / "in/c.xls")).orderBy("line").collect()] == [["Centre Name"], ["Sunny"]]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/a.csv").write_text("Centre Name,Amount Due\nMoon,$5\n")
+    (tmp_path / "more/b.xls").write_text("<p>x</p><table><tr><td> Centre Name </td><td>Credit</td></tr><tr><td>Sunny</td></tr></table>")
+    (tmp_path / "more/c.bin").write_bytes(bytes(range(200, 250)))
+    (tmp_path / "more/serviceIDs.csv").write_text("Centre Name\nNo\n")
+    read = readers.read_balances(spark, str(tmp_path / "more"))
+    assert sorted((r["Centre Name"], r["Amount Due"], r["Credit"], r.source_file) for r in read.collect()) == [("Moon", "$5", "", "a.csv"), ("Sunny", "", "", "b.xls")]
+    (tmp_path / "old").mkdir()
+    for name, cells in (("a.csv", "Parent1_First_Name,ServiceID\nPat,1\nBo,1\n"), ("b.csv", "ServiceID,Parent2_First_Name,Extra\n2,Cy,x\n"), ("c.csv", "no,parents\n1,2\n")):
+        (tmp_path / "old" / name).write_text(cells)
+    assert sorted((r.source_file, r.row_num, r.Parent1_First_Name, r.Parent2_First_Name) for r in readers.read_existing(spark, str(tmp_path / "old")).collect()) == [("a.csv", 2, "Pat", ""), ("a.csv", 3, "Bo", ""), ("b.csv", 2, "", "Cy")]
     rows, _ = families
     sinks.write_family_splits(rows, HEADER, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))

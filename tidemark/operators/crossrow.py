@@ -20,8 +20,16 @@ def _flag(df: DataFrame, key: Column, wrong: Column, *extra: Column, keep: list[
     return keyed.select(*keep, "_key").join(groups, "_key").withColumnRenamed("_key", "key")
 
 
+def duplicate_members(df: DataFrame, field: str, row_col: str = "row_num") -> DataFrame:
+    """Every row whose value, in any case, occurs more than once: (row, key, n, first_row). Rows of one key name it, so nothing grows with the square of a group."""
+    return _flag(df, text.norm(field), F.count(F.lit(1)) > 1, F.min(row_col).alias("first_row"), keep=[row_col])
+
+
 def duplicate_values(df: DataFrame, field: str, row_col: str = "row_num") -> DataFrame:
-    """Every row whose value, in any case, occurs more than once, with the sorted rows that have it."""
+    """Every row whose value, in any case, occurs more than once, with the sorted rows that have it.
+
+    That is the report's form, with a list a row; `duplicate_members` gives the same rows without lists.
+    """
     rows = F.array_sort(F.collect_list(row_col)).alias("related_rows")
     return _flag(df, text.norm(field), F.count(F.lit(1)) > 1, rows, keep=[row_col]).withColumn("field", F.lit(field))
 

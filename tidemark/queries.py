@@ -775,3 +775,66 @@ def service_map_from_file(v):
     m = v("fx_service_map").select(F.col("service_name").alias("Service_Name"), F.col("source_full_id").alias("Source Full ID"), F.col("source_service_id").alias("Source_Service_ID"), F.col("target_service_id").alias(" Target Service ID "), "map_ord")
     (path,) = _files(m, "map", "map_ord", 1)
     return readers.read_service_map(m.sparkSession, path).drop("map_ord")
+
+
+@query("SELECT row_num, Child_Legacy_Id AS key, count(*) OVER w AS n, min(row_num) OVER w AS first_row FROM fx_families WINDOW w AS (PARTITION BY Child_Legacy_Id) QUALIFY n > 1")
+def duplicate_child_id_members(v):
+    return crossrow.duplicate_members(v("fx_families"), "Child_Legacy_Id")
+
+
+def _back(df: DataFrame, write) -> DataFrame:
+    """What a sink has written, read as texts."""
+    path = lineage.new_folder(df.sparkSession, "sink")
+    write(path)
+    return df.sparkSession.read.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+@query(_BALANCES + " SELECT CAST(src_row AS VARCHAR) AS src_row, centre AS centre_label, coalesce(first, '') AS first, CAST(owing IS NOT NULL AS INTEGER) AS owes FROM r")
+def balances_written(v):
+    """Balances by centre, as the files say."""
+    resolved = balances.resolve_balances(v("fx_balances"), v("fx_service_map"))
+    path = lineage.new_folder(resolved.sparkSession, "sink")
+    sinks.write_balances(resolved, path)
+    read = resolved.sparkSession.read.option("header", True).csv(f"{path}/by_centre")
+    return read.select("src_row", "centre_label", F.coalesce("first", F.lit("")).alias("first"), F.col("owing").isNotNull().cast("int").alias("owes"))
+
+
+@query(f"WITH i AS ({_ISSUES}) SELECT CAST(row_num AS VARCHAR) AS row_num, field, severity FROM i")
+def issues_written(v):
+    issues = _form_issues(v("fx_families")).select("row_num", "field", "severity")
+    return _back(issues, lambda path: sinks.write_issues(issues, path))
+
+
+@query(_PLAN + " SELECT fn AS parent_fn, coalesce(wd, weekday) AS weekday FROM d")
+def repaired_payments_written(v):
+    repaired = payments.repair_plans(v("fx_payment_plans"))
+    return _back(repaired, lambda path: sinks.write_repaired_payments(repaired, ["parent_fn", "weekday"], path)).select(F.coalesce("parent_fn", F.lit("")).alias("parent_fn"), F.coalesce("weekday", F.lit("")).alias("weekday"))
+
+
+@query("SELECT CAST(row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS VARCHAR) AS split_row, Child_Legacy_Id, arg_min(Service_Name, row_num) OVER (PARTITION BY ServiceID) AS service_label FROM fx_families")
+def family_files_written(v):
+    f = v("fx_families")
+    return _back(f, lambda path: sinks.write_family_splits(f, ["Child_Legacy_Id"], path))
+
+
+@query(f"WITH {_TEMPLATE} SELECT CAST(src_row AS VARCHAR) AS src_row, child_id, CASE week_type WHEN 'CASUAL' THEN 'Casual' ELSE 'Recurring' END AS booking_kind, coalesce(regexp_replace(service_name, ' +', '_', 'g'), 'UNMAPPED') AS service_label FROM b LEFT JOIN fx_service_map ON target_service_id = service_id")
+def booking_files_written(v):
+    t = _template(v)
+    return _back(t, lambda path: sinks.write_booking_splits(t, path, service_map=v("fx_service_map"))).select("src_row", "child_id", "booking_kind", "service_label")
+
+
+@query("SELECT service_name, source_full_id, source_service_id, target_service_id FROM fx_service_map WHERE map_ord % 3 <> 0")
+def service_map_of_entries(v):
+    """A map of literal entries, at most a few hundred services; those without a target id are left out."""
+    entries = [(r.service_name, r.source_full_id, r.source_service_id, r.target_service_id if r.map_ord % 3 else " ") for r in v("fx_service_map").toLocalIterator()]
+    return readers.service_map_of(v("fx_service_map").sparkSession, entries).drop("map_ord")
+
+
+@query("SELECT count(*) AS files, 0 AS maps FROM (SELECT DISTINCT CAST(floor(row_num / 500) AS BIGINT) FROM fx_families)")
+def input_files_listed(v):
+    """A folder's files in order of name, the service map apart."""
+    f = v("fx_families").select(F.floor(F.col("row_num") / 500).alias("part"), F.col("Child_Legacy_Id").alias("value"))
+    path = lineage.new_folder(f.sparkSession, "listed")
+    f.repartition(1, "part").write.partitionBy("part").text(path)
+    listed = readers.input_files(f.sparkSession, path + "/*").select(F.element_at(F.split("path", "/"), -2).alias("part"), "name")
+    return listed.agg(F.count_distinct("part").alias("files"), F.count_if(F.lower("name") == "serviceids.csv").alias("maps"))
