@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, linededup, mixing, neardup
 from tidemark.llm.common import bounded_batches, table
-from tidemark.plans.lineage import small, written
+from tidemark.plans.lineage import discard, place, small, written
 from tidemark.llm.queries import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,9 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), place()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k}")
+            discard(spark, start)
     return docs
