@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and all documents that its predecessor
 kept. All but the last return the columns of `documents`; the last adds what the
 mix takes of each document. run() writes every stage's result to the shared
-folder and reads it again, so that a lost executor repeats one stage at most.
+folder and reads it again, so that a lost executor repeats one stage at most; what
+the stages before have left there is then removed.
 """
 
 from __future__ import annotations
