@@ -129,6 +129,87 @@ def test_base_spans_against_brute_force(spark, texts):
     assert {r.doc_id: r.s for r in got} == {i: base_by_hand(t or "") for i, t in rows}
 
 
+def spans_by_hand(texts, rounds=6, min_score=0.6, min_known=3):
+    """Base and discovered spans of each text, by plain loops over all contexts."""
+    lower = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+    find = lambda p, t: re.finditer(p, t, re.A)
+    seen, base = [], {}
+    for i, t in texts.items():
+        base[i] = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base_by_hand(t).split(",") if s)]
+        free = {(m.start(), m.end()) for p in (pii.TOKEN, pii.RUN) for m in find(p, t)}
+        free = {(a, b) for a, b in free if all(b <= x or y <= a for _, x, y in base[i])}
+        for kind, a, b in base[i] + [(None, a, b) for a, b in free]:
+            value = re.sub(r"""^[(\[{<"']+|[.,;:!?)\]}>"']+$""", "", lower(t[a:b]))
+            if not kind and not any(re.search(f, value, re.A) for f in pii.FORMS.values()):
+                continue
+            before = re.split(r"\s+", re.sub(r"""[(\[{<"']+$""", "", lower(t[:a])), flags=re.A)
+            behind = re.split(r"\s+", re.sub(r"""^[.,;:!?)\]}>"']+""", "", lower(t[b:])), flags=re.A)
+            before, behind = [w for w in before if w], [w for w in behind if w]
+            contexts = [("2", *before[-2:])] if len(before) > 1 else []
+            contexts += [("1", w) for w in before[-1:]] + [(">", w) for w in behind[:1]]
+            seen += [(i, kind, a, b, value, c) for c in contexts]
+    members, seeds = defaultdict(set), {(v, k) for _, k, _, _, v, _ in seen if k}
+    for *_, v, c in seen:
+        members[c].add(v)
+    known, strong, found, last = {x: 1.0 for x in seeds}, set(), {}, None
+    for _ in range(rounds):
+        score = {}
+        for c, vs in members.items():
+            for k in pii.KINDS:
+                have = [known[v, k] for v in vs if (v, k) in known]
+                if len(have) >= min_known and sum(have) / len(vs) >= min_score:
+                    score[c, k] = sum(have) / len(vs)
+        rest = defaultdict(lambda: 1.0)
+        for (c, k), s in score.items():
+            for v in members[c]:
+                if (v, k) not in seeds and re.search(pii.FORMS[k], v, re.A):
+                    rest[v, k] *= 1 - min(s, 0.999)
+        strong, found = set(score), {x: 1 - r for x, r in rest.items() if 1 - r >= min_score}
+        now = (len(found), round(sum(found.values()), 6))
+        if now == last or not found:
+            break
+        last, known = now, {x: 1.0 for x in seeds} | found
+    best = {}
+    for (v, k), s in found.items():
+        best[v] = max(best.get(v, (0.0, "")), (s, k))
+    out = {i: set(b) for i, b in base.items()}
+    more = defaultdict(set)
+    for i, kind, a, b, v, c in seen:
+        if not kind and v in best and (c, best[v][1]) in strong:
+            more[i].add((a - b, best[v][1], a, b))
+    for i, spans in more.items():
+        kept = []
+        for _, k, a, b in sorted(spans):
+            if all(b <= x or y <= a for _, x, y in kept):
+                kept.append((k, a, b))
+        out[i] |= set(kept)
+    return out
+
+
+def test_all_spans_against_brute_force(spark, texts):
+    """The given documents, and made ones in which labels, seeds and other numbers mix."""
+    rng = random.Random(21)
+    words = ["call", "the", "(see", "id", "to", "on"]
+    seeds = {"Desk:": lambda: f"+1 (555) 55{rng.randrange(10)}-01{rng.randrange(100):02d}", "mail": lambda: f"u{rng.randrange(40)}@x{rng.randrange(2)}.org", "Card": lambda: "4111 1111 1111 1111", "host": lambda: f"10.0.{rng.randrange(9)}.{rng.randrange(250)}"}
+    others = {"Desk:": lambda: rng.choice([f"555-0{rng.randrange(5)}99-23", f"555 0{rng.randrange(5)} 22 33"]), "mail": lambda: f"who{rng.randrange(3)}@home", "Card": lambda: f"4111-1111-1111-111{rng.randrange(3)}", "host": lambda: f"fe80:0:0:{rng.randrange(4)}"}
+    made = {}
+    for i in range(1500):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            label = rng.choice([*seeds])
+            kind = rng.random()
+            parts += rng.choices(words, k=rng.randrange(0, 3))
+            # A label before seeds and others, a second label before others only, or no label at all.
+            parts += [label, seeds[label]()] if kind < 0.6 else [label, others[label]()] if kind < 0.7 else ["second", label[0] + "x", others[label]()] if kind < 0.8 else [f"{rng.randrange(10**6)}{rng.choice(['', '.', ')', '@'])}"]
+        made[10_000 + i] = " ".join(parts)
+    for rows in (made, texts):
+        got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in pii.find_personal_data(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+        want = spans_by_hand(rows)
+        assert got == want
+        if rows is made:
+            assert sum(map(len, want.values())) > sum(base_by_hand(t).count(":") // 2 for t in rows.values())
+
+
 def test_bootstrapping_finds_what_the_patterns_miss(spark):
     seeds = [(i, f"Please call me at +1 (555) 555-01{i:02d} today.") for i in range(6)]
     rows = [*seeds, (10, "Please call me at 555-0199-23 now."), (11, "It cost 555-0199-23 then."), (12, "the year 12345 call me")]
@@ -423,6 +504,28 @@ def test_cross_parsing_by_hand():
         assert round(langid.costs([s], [parser])[0, 0] * len(s) / parser.bits) == phrases
 
 
+def test_scores_by_hand(spark):
+    """One minus the best cost over the second best; ties go to the first language, and long texts are read whole."""
+    train = {"aa": "the cat sat on the mat and ran", "bb": "der hund lief zum haus und zum see", "cc": "the cat sat on the mat and ran"}
+
+    def cost(text, lang):
+        bits, phrases = math.log2(len(lang) + 2), 0
+        for cell in (text[i : i + 512] for i in range(0, len(text), 512)):
+            i = 0
+            while i < len(cell):
+                n = 1
+                while i + n < len(cell) and cell[i : i + n + 1] in lang + " " and cell[i] in lang + " ":
+                    n += 1
+                phrases, i = phrases + 1, i + n
+        return phrases * bits / len(text)
+
+    texts = {1: "the cat ran", 2: "haus zum see", 3: "zzz the", 4: "and sat on der see " * 2000, 5: "cat"}
+    docs = spark.createDataFrame([(i, t, None) for i, t in texts.items()] + [(100 + k, t, lang) for k, (lang, t) in enumerate(train.items())], "doc_id long, text string, lang string")
+    for r in langid.identify_language(docs, train=F.col("doc_id") >= 100).where("doc_id < 100").collect():
+        ranked = sorted((cost(texts[r.doc_id], t), lang) for lang, t in train.items())
+        assert r.lang_pred == ranked[0][1] and r.score == pytest.approx(1 - ranked[0][0] / ranked[1][0], abs=1e-9)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = queries.op10_language(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
