@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Bound what one Arrow batch holds, so that long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 

@@ -39,8 +39,8 @@ def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(black[1:] != black[:-1])
     start, end = edge[::2], edge[1::2]
     out = np.empty(len(start), np.uint64)
-    # The running sums wrap modulo 2**64; blocks keep the arrays of powers small.
-    step = 1 << 20
+    # The running sums wrap modulo 2**64; blocks keep the arrays of powers small, and those of few texts no longer than these.
+    step = min(1 << 18, len(buffer))
     longest = int((end - start).max(initial=0))
     power, inverse = _powers(_BASE, step + longest + 1), _powers(_BASE_INVERSE, step + 1)
     for low in range(0, len(buffer), step):
