@@ -13,14 +13,14 @@ EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 POSTCODE = r"^\d{4}$"
 STATES = ("NSW", "VIC", "QLD", "SA", "WA", "TAS", "ACT", "NT")
 STATE_SPELLINGS = {
-    "NSW": ("new south wales", "new south wale", "nsw", "n.s.w", "n.s.w."),
-    "VIC": ("victoria", "vic", "v"),
-    "QLD": ("queensland", "qld", "queesland", "queenslnd"),
-    "SA": ("south australia", "sa", "sth australia", "south aust", "s.a", "s.a."),
-    "WA": ("western australia", "wa", "west australia", "w.a", "w.a."),
-    "TAS": ("tasmania", "tas", "tassie"),
-    "ACT": ("australian capital territory", "act", "a.c.t", "a.c.t.", "canberra"),
-    "NT": ("northern territory", "nt", "n.t", "n.t."),
+    "new south wales": "NSW", "new south wale": "NSW", "nsw": "NSW", "n.s.w": "NSW", "n.s.w.": "NSW",
+    "victoria": "VIC", "vic": "VIC", "v": "VIC",
+    "queensland": "QLD", "qld": "QLD", "queesland": "QLD", "queenslnd": "QLD",
+    "south australia": "SA", "sa": "SA", "sth australia": "SA", "south aust": "SA", "s.a": "SA", "s.a.": "SA",
+    "western australia": "WA", "wa": "WA", "west australia": "WA", "w.a": "WA", "w.a.": "WA",
+    "tasmania": "TAS", "tas": "TAS", "tassie": "TAS",
+    "australian capital territory": "ACT", "act": "ACT", "a.c.t": "ACT", "a.c.t.": "ACT", "canberra": "ACT",
+    "northern territory": "NT", "nt": "NT", "n.t": "NT", "n.t.": "NT",
 }
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 DAYS = [f"{d[:3].upper()}{w}" for w in (1, 2) for d in WEEKDAYS]
@@ -76,7 +76,7 @@ def is_phone(c: Column | str) -> Column:
 def state_code(c: Column | str, fallback: Column | None = None) -> Column:
     """A code in upper case, the code of a known spelling, the fallback, or the text itself."""
     value = strip(c)
-    known = lookup({s: code for code, spellings in STATE_SPELLINGS.items() for s in spellings}, F.lower(value))
+    known = lookup(STATE_SPELLINGS, F.lower(value))
     other = or_null(text(fallback)) if fallback is not None else F.lit(None).cast("string")
     return F.when(value == "", value).when(F.upper(value).isin(*STATES), F.upper(value)).otherwise(F.coalesce(known, other, value))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.operators.components import block_components
-from tidemark.plans.lineage import written
+from tidemark.plans.lineage import HOT, join_groups, written
 from tidemark.plans.numbering import numbered
 
 DAY_COLUMNS = [f"{d[:3].lower()}{w}" for w in (1, 2) for d in text.WEEKDAYS]
@@ -48,7 +48,7 @@ def exact_duplicates(raw: DataFrame, order_col: str = "src_row") -> DataFrame:
     keyed = raw.select(order_col, F.struct(*(text.text(c).alias(c) for c in key), *(text.day_flag(c).alias(c) for c in days)).alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_row")).where("n > 1")
     groups = written(numbered(groups, [], "first_row", "group_no"), "groups")
-    members = numbered(keyed.join(groups, "key").select(order_col, "group_no", "first_row"), ["group_no"], order_col, "rank", first=0)
+    members = numbered(join_groups(keyed, groups, ["key"], "n", HOT).select(order_col, "group_no", "first_row"), ["group_no"], order_col, "rank", first=0)
     return members.select(order_col, "group_no", "rank", F.when(F.col(order_col) == F.col("first_row"), "KEEP").otherwise("REMOVE").alias("status"))
 
 

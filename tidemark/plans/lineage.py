@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
+#: Rows from which on a group is hot: of such groups there are at most a millionth of the rows.
+HOT = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -33,14 +33,20 @@ STATUSES, GENDERS = ("active", "inactive", "waitlist"), ("Male", "Female")
 IDENTITIES = ("Male", "Female", "Non-Binary", "Trans Female", "Trans Male")
 BOOLEANS = ("0", "1", "yes", "no", "true", "false")
 LENGTHS = {
-    20: ["Parent1_Contact_Home", *(f"{c}_Postcode" for c in CONTACTS)],
-    30: ["PostCode", *(f"{c}_Contact_Number" for c in CONTACTS)],
-    50: ["Parent1_Gender"],
-    60: [f"{c}_Email" for c in CONTACTS],
-    100: ["Child_First_Name", "Child_Middle_Name", "Child_Last_Name", "Gender", "Gender_Identity", "Religion", "Parent1_Legacy_Account_ID", "Parent1_Title", "Parent1_First_Name", "Parent1_Middle_Name", "Parent1_Last_Name", "Parent1_Address_2", "Parent2_Legacy_Account_ID", *(f"{c}_{n}_Name" for c in CONTACTS for n in ("First", "Last"))],
-    200: ["School", "Parent1_Email", "Parent2_Email"],
-    255: ["Class", "Address", "Suburb", "Country", "State", "Language", "Cultural_Background", "Cultural_Requirements", "Indigenous_Status", "Medicare_Number", "Medicare_Expiry_Date", "Ambulance_Cover_Number", "Health_Care_Centre", "Medical_Practitioner_Name", "Medical_Practitioner_Phone", "Medical_Practitioner_Address", "Child_CRN", "Child_Legacy_Id", "Parent1_CRN", "Parent1_Suburb", "Parent1_State", "Parent1_Post_Code", "Parent1_Indigenous_Status", "Parent1_Language", "Parent1_Cultural_Background", "Parent1_Work_Email", "Parent1_Work_Phone", "Parent1_Work_Address", "Parent1_Work_Suburb", "Parent1_Work_Postcode", "Parent1_Work_Country", "Parent1_Work_State", "Parent1_Country", "Parent2_CRN", "Parent2_Work_Email"],
+    "PostCode": 30, "Child_First_Name": 100, "Child_Middle_Name": 100, "Child_Last_Name": 100, "Gender": 100, "Gender_Identity": 100,
+    "Religion": 100, "School": 200, "Class": 255, "Address": 255, "Suburb": 255, "Country": 255, "State": 255, "Language": 255,
+    "Cultural_Background": 255, "Cultural_Requirements": 255, "Indigenous_Status": 255, "Medicare_Number": 255, "Medicare_Expiry_Date": 255,
+    "Ambulance_Cover_Number": 255, "Health_Care_Centre": 255, "Medical_Practitioner_Name": 255, "Medical_Practitioner_Phone": 255,
+    "Medical_Practitioner_Address": 255, "Child_CRN": 255, "Child_Legacy_Id": 255, "Parent1_Contact_Home": 20, "Parent1_Gender": 50,
+    "Parent1_Legacy_Account_ID": 100, "Parent1_Title": 100, "Parent1_First_Name": 100, "Parent1_Middle_Name": 100, "Parent1_Last_Name": 100,
+    "Parent1_Address_2": 100, "Parent1_Email": 200, "Parent1_CRN": 255, "Parent1_Suburb": 255, "Parent1_State": 255, "Parent1_Post_Code": 255,
+    "Parent1_Indigenous_Status": 255, "Parent1_Language": 255, "Parent1_Cultural_Background": 255, "Parent1_Work_Email": 255,
+    "Parent1_Work_Phone": 255, "Parent1_Work_Address": 255, "Parent1_Work_Suburb": 255, "Parent1_Work_Postcode": 255, "Parent1_Work_Country": 255,
+    "Parent1_Work_State": 255, "Parent1_Country": 255, "Parent2_Legacy_Account_ID": 100, "Parent2_Email": 200, "Parent2_CRN": 255,
+    "Parent2_Work_Email": 255,
 }
+#: The same for each emergency contact.
+CONTACT_LENGTHS = {"Postcode": 20, "Contact_Number": 30, "Email": 60, "First_Name": 100, "Last_Name": 100}
 
 ISSUE = T.StructType([T.StructField(n, t) for n, t in (("rule", T.StringType()), ("field", T.StringType()), ("severity", T.StringType()), ("value", T.StringType()), ("description", T.StringType()))])
 
@@ -91,7 +97,7 @@ def row_rules(columns: list[str], as_of: str) -> list[Rule]:
     r += _filled("boolean", FLAGS, "ERROR", lambda f: ~text.norm(f).isin(*BOOLEANS), "no yes/no value")
     r += _filled("state", STATE_COLUMNS, "ERROR", lambda f: ~F.upper(text.strip(f)).isin(*text.STATES), "unknown state")
     r += _filled("postcode", POSTCODES, "WARNING", lambda f: ~text.matches(f, text.POSTCODE), "no postcode")
-    r += [Rule("length", f, "ERROR", F.length(text.text(f)) > n, f"longer than {n}", (f,)) for n, fields in LENGTHS.items() for f in fields]
+    r += [Rule("length", f, "ERROR", F.length(text.text(f)) > n, f"longer than {n}", (f,)) for f, n in (LENGTHS | {f"{c}_{x}": n for c in CONTACTS for x, n in CONTACT_LENGTHS.items()}).items()]
     r += _filled("service_id", ["ServiceID"], "ERROR", lambda f: ~F.coalesce(text.strip(f).try_cast("long") > 0, F.lit(False)), "no positive whole number")
     for slot in NAME_SLOTS[1:]:
         a, b = f"{slot}_First_Name", f"{slot}_Last_Name"
