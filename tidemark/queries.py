@@ -830,7 +830,7 @@ def service_map_of_entries(v):
     return readers.service_map_of(v("fx_service_map").sparkSession, entries).drop("map_ord")
 
 
-@query("SELECT count(*) AS files, 0 AS maps FROM (SELECT DISTINCT CAST(floor(row_num / 500) AS BIGINT) FROM fx_families)")
+@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS maps FROM (SELECT DISTINCT CAST(floor(row_num / 500) AS BIGINT) FROM fx_families)")
 def input_files_listed(v):
     """A folder's files in order of name, the service map apart."""
     f = v("fx_families").select(F.floor(F.col("row_num") / 500).alias("part"), F.col("Child_Legacy_Id").alias("value"))
