@@ -13,21 +13,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.lineage import discard, join_groups, place, written
+from tidemark.plans.lineage import discard, hot_bound, join_groups, place, written
 
-#: Below so many edges every join is small; above, nodes with over a thousandth of the edges are joined apart.
-FEW, SHARE = 10_000, 1000
+#: Edges to a partition: rounds take as many tasks as their edges need, not as many as the session's shuffles have.
+PART = 100_000
+
+
+def _dealt(edges: DataFrame, key: list[str], n_edges: int) -> DataFrame:
+    return edges.repartition(max(8, n_edges // PART), *key)
 
 
 def _star(edges: DataFrame, block: list[str], large: bool, n_edges: int) -> DataFrame:
-    """edges: (block, a, b) with a > b."""
+    """edges: (block, a, b) with a > b. Counts, joins and distinct rows all go by the one dealing of edges to their nodes."""
     key = [*block, "a"]
     pairs = edges.unionByName(edges.select(*block, F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    pairs = _dealt(pairs, key, n_edges)
     least = pairs.groupBy(*key).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
-    joined = pairs.join(least, key) if n_edges < FEW else join_groups(pairs, least, key, "n", max(SHARE, n_edges // SHARE))
+    joined = join_groups(pairs, least, key, "n", hot_bound(n_edges))
     if large:
-        return joined.where("b > a").select(*block, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    return joined.where("b <> m").select(*block, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(*block, "a", F.col("m").alias("b"))).distinct()
+        out = joined.where("b > a").select(*block, F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.where("b <> m").select(*block, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(*block, "a", F.col("m").alias("b")))
+    return _dealt(out, key, n_edges).distinct()
 
 
 def component_labels(edges: DataFrame, block: list[str] | None = None) -> DataFrame:
@@ -40,9 +47,9 @@ def component_labels(edges: DataFrame, block: list[str] | None = None) -> DataFr
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*block, "a", "b").cast("decimal(38,0)")), F.lit(0)))
     before = now.agg(mark.alias("mark")).first().mark
     while before.n:
-        # Both stars may pass over a hot node, and a round's first half is read twice.
         half = _star(now, block, True, before.n)
-        now = written(_star(half if before.n < FEW else written(half, "half"), block, False, before.n), "edges")
+        # Where hot nodes are joined apart, a round's first half is read twice.
+        now = written(_star(half if hot_bound(before.n) is None else written(half, "half"), block, False, before.n), "edges")
         discard(spark, start)
         after = now.agg(mark.alias("mark")).first().mark
         if after == before:

@@ -86,12 +86,20 @@ def small(df: DataFrame, rows: int, megabytes: int = 64) -> DataFrame:
     return F.broadcast(df) if bound and df.count() <= rows else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], n: str, over: int) -> DataFrame:
+def hot_bound(rows: int) -> int | None:
+    """From how many rows on a group of a table of so many is hot: over a thousandth of them; none is in a table of under a million."""
+    return rows // 1000 if rows >= HOT else None
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], n: str, over: int | None) -> DataFrame:
     """Join rows to their group's row; groups of more than `over` rows are broadcast, so no task holds a hot group.
 
     `groups` has one row a key and its number of rows in `n`. With `over` a fixed share
     of all rows there are only a fixed number of such groups. `rows` is read twice.
+    Without `over` it is a plain join.
     """
+    if over is None:
+        return rows.join(groups, key)
     hot = F.broadcast(groups.where(F.col(n) > over))
     others = rows.join(hot.select(*key), key, "left_anti").join(groups.where(F.col(n) <= over), key)
     return rows.join(hot, key).unionByName(others)
