@@ -448,8 +448,11 @@ def test_near_duplicates_of_a_large_family(spark):
 
 def test_sets_of_one_name_are_told_apart(spark):
     rows = [(1, 7, 1), (2, 7, 1), (3, 7, 2), (4, 8, 1), (5, None, None)]
-    got = {r.doc_id: r.node for r in neardup.told_apart(spark.createDataFrame(rows, "doc_id long, node long, check long")).collect()}
+    df = spark.createDataFrame([(*r, r[0], 3, [1, 2]) for r in rows], "doc_id long, node long, check long, key long, n_shingles long, sketch array<long>")
+    found, classes = neardup.told_apart(df)
+    got = {r.doc_id: r.node for r in found.collect()}
     assert got[1] == got[2] != got[3] and got[4] == 8 and got[5] is None
+    assert {r.node: r.copies for r in classes.collect()} == {got[1]: 2, got[3]: 1, 8: 1}
 
 
 def test_union_sketch_estimates():

@@ -16,11 +16,11 @@ one class; a class's 64-bit name is checked by 64 further bits. Steps:
    the union sketch of two classes, the k least hashes of both, tells the share of
    it that both have; from `floor` on the exact sets decide. Only a spanning forest
    of the links is emitted.
-4. Larger blobs are refined level by level. A class with more than a quarter of its
-   set in no other class has no link and leaves; the lists of those that stay give
-   new, smaller blobs. What is still large meets in blocks, each with the blob's
-   `leaders` most typical classes, so that each set travels once. Only classes that
-   these links leave outside the blob's main group meet all blocks.
+4. Larger blobs are refined level by level. They meet in blocks, each with the
+   blob's `leaders`, the classes with the most hot values, so that each set travels
+   once. Outsiders, which these links leave outside the blob's main group, meet all
+   blocks. Where they are more than a block, first those classes of the blob leave
+   that can have no link: over a quarter of their set is in no other class.
 5. Components of the forests are the groups.
 
 Two classes of similarity 0.75 or more share on average three quarters of their
@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import add_columns
 from tidemark.llm.shingles import shingle_sets
 from tidemark.operators.components import component_labels
-from tidemark.plans.lineage import join_groups, small, written
+from tidemark.plans.lineage import hot_bound, join_groups, small, written
 
 
 def set_id(s: np.ndarray) -> tuple[int, int]:
@@ -69,20 +69,28 @@ def with_sketches(docs: DataFrame, text_col: str, width: int, k: int) -> DataFra
     return add_columns(docs, [text_col], T.StructType([T.StructField(*f) for f in fields]), function)
 
 
-def told_apart(rows: DataFrame) -> DataFrame:
-    """Rows (node, check, ...) with other nodes where two sets share a node but not the check."""
-    clash = rows.where("node is not null").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node", F.lit(True).alias("_clash"))
+def grouped(rows: DataFrame) -> DataFrame:
+    """A row for each class: node, copies, least (id), one (key and id of one row), n_shingles, sketch; low and high are its least and largest check."""
+    some = rows.where("node is not null").groupBy("node")
+    return written(some.agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("key", "doc_id")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high")), "classes")
+
+
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and their classes; two sets that share a node but not the check are given nodes of their own."""
+    classes = grouped(rows)
+    clash = classes.where("low <> high").select("node", F.lit(True).alias("_clash"))
     if clash.isEmpty():
-        return rows.drop("check")
+        return rows, classes
     marked = rows.join(F.broadcast(clash), "node", "left").withColumn("node", F.when(F.col("_clash"), F.xxhash64("node", "check")).otherwise(F.col("node")))
-    return written(marked.drop("_clash", "check"), "sketches")
+    rows = written(marked.drop("_clash"), "sketches")
+    return rows, grouped(rows)
 
 
-def candidate_links(classes: DataFrame, hot: int, floor: float) -> DataFrame:
-    """(a, b): class pairs that may be similar, from (node, n_shingles, sketch)."""
+def candidate_links(classes: DataFrame, hot: int, floor: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b): class pairs that may be similar, from (node, n_shingles, sketch); and (node, heat): the hot values of those that have any."""
     entries = classes.select("node", F.col("n_shingles").alias("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n_list"), F.min("node").alias("least")).where("n_list > 1")
-    shared = written(join_groups(entries, lists, ["value"], "n_list", max(1000, classes.count() // 1000)), "shared")
+    shared = written(join_groups(entries, lists, ["value"], "n_list", hot_bound(classes.count() * 48)), "shared")
     need = F.ceil(F.lit(floor) * F.col("k"))
     # At most k entries a class.
     heat = shared.where(F.col("n_list") > hot).groupBy("node", "k").agg(F.array_sort(F.collect_list(F.struct("n_list", "value", "least"))).alias("hots"))
@@ -95,14 +103,15 @@ def candidate_links(classes: DataFrame, hot: int, floor: float) -> DataFrame:
     # Two classes that share `need` hot values share one of their `heat - need + 1` rarest.
     rarest = F.slice("hots", 1, F.col("heat") - need.cast("int") + 1)
     ends = heat.where(F.col("heat") >= need).select("node", F.explode(F.array_distinct(F.transform(rarest, lambda x: x["least"]))).alias("least"))
-    return near.unionAll(ends.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    links = near.unionAll(ends.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    return links, heat.select("node", "heat")
 
 
 def sized_blobs(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, n_shingles, blob, members, shingles) of the classes that have a link; the last two are the blob's."""
     blobs = written(component_labels(links).withColumnRenamed("root", "blob").join(classes.select("node", "n_shingles"), "node"), "blobs")
     sizes = blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    return join_groups(blobs, sizes, ["blob"], "members", max(1000, blobs.count() // 1000))
+    return join_groups(blobs, sizes, ["blob"], "members", hot_bound(blobs.count()))
 
 
 def class_texts(plain: DataFrame, rows: DataFrame, members: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -228,24 +237,32 @@ def verified(meet: DataFrame, *, width: int, percent: int, k: int, floor: float)
     return placed.mapInArrow(lambda batches: _forests(batches, width, percent, k, floor), "a long, b long")
 
 
-def large_links(large: DataFrame, sets: DataFrame, shares: DataFrame, check: dict, block: int, block_shingles: int, leaders: int) -> DataFrame:
+def large_links(large: DataFrame, sets: DataFrame, heat: DataFrame, check: dict, block: int, block_shingles: int, leaders: int) -> DataFrame:
     """(a, b): forests of the links in large blobs, in blocks with leaders, then of the outsiders with all blocks."""
-    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / block_shingles)).cast("long")
-    dealt = written(large.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(shares, "node").select("node", "blob", "blocks", "i", "lonely"), "dealt")
-    # The least lonely class of each block, then the least of these: no task sees a whole blob.
-    typical = dealt.groupBy("blob", "i", "blocks").agg(F.min(F.struct("lonely", "node")).alias("t")).groupBy("blob", "blocks").agg(F.slice(F.array_sort(F.collect_list("t")), 1, leaders).alias("ts"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / block_shingles)).cast("long")
+    dealt = large.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(heat, "node", "left")
+    dealt = written(dealt.select("node", "blob", "blocks", "i", F.coalesce(-F.col("heat"), F.lit(0)).alias("cold")), "dealt")
+    # The class of each block that has the most hot values, then the most of these: no task sees a whole blob.
+    typical = dealt.groupBy("blob", "i", "blocks").agg(F.min(F.struct("cold", "node")).alias("t")).groupBy("blob", "blocks").agg(F.slice(F.array_sort(F.collect_list("t")), 1, leaders).alias("ts"))
     led = typical.select("blob", "blocks", F.explode("ts.node").alias("node")).select("blob", "node", every("blocks").alias("i"))
     meet = dealt.select("blob", "node", "i").unionByName(led).distinct().withColumn("j", F.lit(0).cast("long"))
     first = written(verified(meet.join(sets, "node"), **check), "forest")
-    labels = component_labels(first)
-    labelled = written(dealt.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    labelled = written(dealt.join(component_labels(first), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     main = labelled.groupBy("blob", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("blob").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     outside = written(labelled.join(small(written(main, "main"), 1_000_000), "blob").where("root <> main").select("blob", "blocks", "node"), "outside")
-    few = outside.groupBy("blob").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("few"))
-    few = small(written(few, "few"), 1_000_000)
+    few = written(outside.groupBy("blob").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("few")), "few")
+    many = small(few.where("few > 1").select("blob"), 1_000_000)
+    stay = dealt.select("blob", "blocks", "i", "node")
+    if not many.isEmpty():
+        # Of a blob with many outsiders only the classes that can have a link go on.
+        able = written(lonely_shares(sets.join(dealt.join(many, "blob", "left_semi").select("node"), "node", "left_semi"), check["percent"]).select("node"), "able")
+        only = lambda d: d.join(many, "blob", "left_anti").unionByName(d.join(many, "blob", "left_semi").join(able, "node", "left_semi").select(d.columns))
+        stay, outside = only(stay), written(only(outside), "outside")
+        few = written(outside.groupBy("blob").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("few")), "few")
+    few = small(few, 1_000_000)
     rows = outside.join(few, "blob").select("blob", F.pmod(F.xxhash64("node"), F.col("few")).alias("i"), every("blocks").alias("j"), "node")
-    columns = dealt.join(few, "blob").select("blob", every("few").alias("i"), F.col("i").alias("j"), "node")
+    columns = stay.join(few, "blob").select("blob", every("few").alias("i"), F.col("i").alias("j"), "node")
     return first.unionByName(verified(rows.unionByName(columns).distinct().join(sets, "node"), **check))
 
 
@@ -257,13 +274,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     blocks of about `block` classes and `block_shingles` shingles.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = told_apart(written(with_sketches(plain, "text", width, k).drop("text"), "sketches"))
-    classes = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("key", "doc_id")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    rows, classes = told_apart(written(with_sketches(plain, "text", width, k).drop("text"), "sketches"))
     check = {"width": width, "percent": percent, "k": k, "floor": floor}
     zero = F.lit(0).cast("long")
     fits = (F.col("members") <= block) & (F.col("shingles") <= block_shingles)
-    members = written(sized_blobs(classes, written(candidate_links(classes, hot, floor), "links")), "members")
+    links, heat = candidate_links(classes, hot, floor)
+    members = written(sized_blobs(classes, links), "members")
     chosen = members.where(fits).select("node", "blob", zero.alias("i"), zero.alias("j")).join(classes.select("node", "one"), "node")
     forest = verified(class_texts(plain, rows, written(chosen, "chosen"), broadcast_rows), **check)
     large = members.where(~fits)
@@ -271,17 +287,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         texts = class_texts(plain, rows, written(large.select("node").join(classes.select("node", "one"), "node"), "chosen"), broadcast_rows)
         as_sets = lambda got: [[s.view(np.int64) for s in shingle_sets(got[0], width)]]
         sets = written(add_columns(texts, ["text"], T.StructType([T.StructField("set", T.ArrayType(T.LongType()))]), as_sets).drop("text"), "sets")
-        shares = written(lonely_shares(sets, percent), "shares")
-        linked = written(candidate_links(written(classes.join(shares, "node", "left_semi"), "alive"), hot, floor), "links")
-        members = written(sized_blobs(classes, linked), "members")
-        again = members.where(fits).select("node", "blob", zero.alias("i"), zero.alias("j")).join(sets, "node")
-        forest = forest.unionByName(verified(again, **check))
-        forest = forest.unionByName(large_links(members.where(~fits), sets, shares, check, block, block_shingles, leaders))
+        forest = forest.unionByName(large_links(large, sets, heat, check, block, block_shingles, leaders))
     labels = written(component_labels(forest).join(classes.select("node", "least"), "node"), "labels")
-    over = max(1000, classes.count() // 1000)
+    over = hot_bound(labels.count())
     groups = labels.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
     merged = join_groups(labels, groups, ["root"], "classes", over).select("node", "component_id")
     known = written(classes.select("node", "copies", "least").join(merged, "node", "left").select("node", "copies", F.coalesce("component_id", "least").alias("component_id")), "known")
     out = ["doc_id", "key", "n_shingles"]
-    full = join_groups(rows.where("node is not null").select(*out, "node"), known, ["node"], "copies", over)
+    full = join_groups(rows.where("node is not null").select(*out, "node"), known, ["node"], "copies", hot_bound(rows.count()))
     return full.select(*out, "component_id").unionByName(rows.where("node is null").select(*out, F.col("doc_id").alias("component_id")))
