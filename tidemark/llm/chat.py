@@ -119,6 +119,20 @@ def _encoding(key: str, shared) -> tuple:
     return _encodings[key]
 
 
+_vocabularies: dict[str, tuple[list[bytes], np.ndarray]] = {}
+
+
+def _tokens(key: str, shared) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of each token of a broadcast vocabulary and their number; all that decoding needs."""
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        tokens = [b""] * (max(shared.value.values()) + 1)
+        for token, rank in shared.value.items():
+            tokens[rank] = token
+        _vocabularies[key] = tokens, np.array([len(t) for t in tokens])
+    return _vocabularies[key]
+
+
 def format_chats(rows: DataFrame, *, vocabulary: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", train_role: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, n_turns, formatted, token_ids, loss_mask (by token), loss_spans (bytes of the trained texts).
 
@@ -155,13 +169,12 @@ def read_chats(formatted: DataFrame, *, vocabulary: str) -> DataFrame:
     shared, key = formatted.sparkSession.sparkContext.broadcast(read_ranks(vocabulary)), uuid.uuid4().hex
 
     def function(got):
-        encoding, sizes = _encoding(key, shared)
+        tokens, sizes = _tokens(key, shared)
         turns, loss = [], []
         for text, ids, mask, spans in zip(*got):
-            ids, mask = np.asarray(ids, np.int64), np.asarray(mask, np.int8)
-            if len(ids) != len(mask) or encoding.decode_bytes(ids.tolist()) != text:
+            if len(ids) != len(mask) or b"".join([tokens[i] for i in ids]) != text:
                 raise ValueError("the tokens do not give the formatted text")
-            parts = masked_bytes(np.cumsum(sizes[ids]), mask, [(s["start"], s["end"]) for s in spans])
+            parts = masked_bytes(np.cumsum(sizes[np.asarray(ids, np.int64)]), np.asarray(mask, np.int8), [(s["start"], s["end"]) for s in spans])
             turns.append([{"role": r, "text": t} for r, t in parse(text.decode())])
             loss.append(unescape(b"".join(text[a:b] for a, b in parts).decode("utf-8", "replace")))
         return [turns, loss]
