@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, flac, langid, linededup, mixing, neardup, pii, urlfilter, warc
+from tidemark.llm import chat, decontaminate, flac, langid, linededup, mixing, neardup, pii, ranked, simhash, urlfilter, warc, whitening
 from tidemark.llm.common import bounded_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -93,10 +93,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_warc, op4_chat, op5_flac, op6_line_dedup, op7_url_filter, op8_near_duplicates, op9_mixing, op10_language)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_warc, op4_chat, op5_flac, op6_line_dedup, op7_url_filter, op8_near_duplicates, op9_mixing, op10_language, op11_ranked_search, op12_simhash, op13_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _BLACK = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
@@ -151,6 +166,19 @@ e AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y W
 u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.y FROM reach r JOIN u ON r.c = u.x)
 SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op11_ranked_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+n AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, c),
+q AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ts FROM benchmark),
+qt AS (SELECT i, t, count(*) AS times FROM (SELECT i, unnest(ts) AS t FROM q) GROUP BY ALL),
+m AS (SELECT r, doc_id, 100 - 75 + ((75 * n * big_n) // big_l) AS m FROM n, c),
+s AS (SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM qt JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN q USING (i) WHERE rank <= 10""",
     "op9_mixing": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(concat_ws(':', '20', doc_id, md5(text))) AS o,
   CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
