@@ -1,8 +1,11 @@
 """End-to-end smoke cases and quirks."""
 
+import csv
 import datetime
+import io
 import random
 import re
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from tidemark.functions import dates, text
 from tidemark.operators import bookings, entity, payments
 from tidemark.operators.components import block_components
 from tidemark.plans import lineage, numbering, repairs, rules
-from tidemark.sources import readers, sinks
+from tidemark.sources import readers, sinks, split_csv
 from tidemark.streaming.rules import stream_issues
 
 HEADER = ["ServiceID", "Service_Name", "Child_Legacy_Id", "Child_First_Name", "Child_Last_Name", "DOB", "Status", "Child_CRN", "Room_Name", "Enrolment_Start_Date", "State", "Parent1_CRN", "Parent1_Legacy_Account_ID", "Parent1_DOB", "Parent1_Email", "Parent1_First_Name", "Parent1_Last_Name", "Parent1_Contact_Mobile"]
@@ -277,3 +280,58 @@ def test_entry_works_without_llm(spark):
 def test_days_mask(spark):
     df = spark.createDataFrame([("1", "x", "1.0")], "mon1 string, tue1 string, mon2 string")
     assert df.select(bookings.day_mask(df.columns).alias("m")).first().m == 1 + 128
+
+
+def _cell_texts(rng, odd):
+    good = ["x", "", '"q""q"', '"l\nm"', '"\n\n"', '""', "y z", '"a,b"', '"\r\n"', "é"]
+    return rng.choice(good + ['a"b', '"a"b', '"', '""a'] if odd else good)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_csv_by_ranges_equals_the_whole_reader(spark, tmp_path, seed):
+    """Range borders fall inside quotes, doubled quotes, line ends and characters."""
+    rng = random.Random(seed)
+    lines = [",".join(_cell_texts(rng, seed % 2) for _ in range(rng.choice([3, 3, 3, 1, 4]))) for _ in range(40)]
+    path = tmp_path / "a b.csv"
+    path.write_bytes(("h1,h2,h3\n" + "\n".join(lines) + '\n"end",,x').encode())
+    want = [tuple(r) for r in spark.read.csv(str(path), header=True, multiLine=True, escape='"').collect()]
+    for size in (13, 61, 10_000):
+        table = split_csv.csv_table(spark, [str(path)], range_bytes=size)
+        got = [tuple(r)[:3] for r in table.rows.orderBy("_record").collect()]
+        assert got == want and table.counts == {0: len(want)}
+
+
+def test_csv_files_of_many_kinds(spark, tmp_path):
+    """Headers of several lines, equal and blank names, files without records, damaged files, line ends of both kinds."""
+    for name, content in {"a.csv": b"\xef\xbb\xbf\"two\nlines\",B,b,\r\n1,\"x\r\ny\",3,4\r\n\r\n5\r\n", "b.csv": b"", "c.csv": b"\n\n", "d.csv": b"B\n\x00\n", "e.csv": b"B\n\xff\n", "f.csv": b'extra,"two\nlines"\nz,"never\nends\n'}.items():
+        (tmp_path / name).write_bytes(content)
+    table = split_csv.csv_table(spark, [str(tmp_path)], range_bytes=7, tolerant=True)
+    assert [(f.rpartition("/")[2], why) for f, why in table.rejected] == [("b.csv", "no record"), ("c.csv", "no record"), ("d.csv", "NUL bytes"), ("e.csv", "not UTF-8")]
+    assert table.columns == ["two\nlines", "B1", "b2", "_c3", "extra"]
+    assert [tuple(r) for r in table.rows.orderBy("_file", "_record").collect()] == [("1", "x\r\ny", "3", "4", None, 0, 1), ("5", None, None, None, None, 0, 2), ("never\nends", None, None, None, "z", 5, 1)]
+    assert split_csv.csv_table(spark, [str(tmp_path / "b.csv")]).rows.count() == 0
+    with pytest.raises(FileNotFoundError):
+        split_csv.csv_table(spark, [str(tmp_path / "none*.csv")])
+
+
+def test_lines_of_splits_are_their_rows(spark, tmp_path):
+    """Splits of one and of several files: the files one after the other are the header and the rows in order."""
+    rows = [(k, ["big", "small", None, "a/b: c"][0 if k % 3 else k // 3 % 4], f'cell {k}\n"q", ') for k in range(1, 400)]
+    df = spark.createDataFrame(rows, "n long, label string, cell string").repartition(7)
+    placed = sinks._in_split(df, ["label"], "n")
+    sinks.write_splits(placed, ["label"], "_place", ["n", "cell"], str(tmp_path / "out"), span=50)
+    files = {}
+    for f in sorted((tmp_path / "out").glob("label=*/part=*/*.csv"), key=lambda f: int(f.parent.name[5:])):
+        files.setdefault(f.parent.parent.name, []).append(f)
+    assert len(files["label=big"]) == 7 and all(len(v) == 1 for k, v in files.items() if k != "label=big")
+    for label in ("big", "small", "Unknown", "a/b: c"):
+        mine = [(str(n), c) for n, x, c in rows if (x or "Unknown") == label]
+        folder = next(k for k in files if unquote(k) == f"label={label}")
+        assert list(csv.reader(io.StringIO("".join(f.read_text() for f in files[folder]), newline=""))) == [["n", "cell"], *map(list, mine)]
+    read = sinks.read_splits(spark, str(tmp_path / "out"), span=50)
+    assert read.where("line = 0").count() == 4 and read.count() == 403
+    sinks.write_splits(placed, ["label"], "_place", ["n"], str(tmp_path / "typed"), "parquet", span=50)
+    assert spark.read.parquet(str(tmp_path / "typed")).agg(F.sum("n"), F.max("part")).first()[:] == (sum(range(400)), 6)
+    sinks.write_splits(sinks._in_split(df, [], "n"), [], "_place", ["n"], str(tmp_path / "all"), span=1000)
+    (one,) = (tmp_path / "all").glob("part=0/*.csv")
+    assert one.read_text().split() == ["n", *(str(k) for k in range(1, 400))]

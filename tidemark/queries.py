@@ -11,7 +11,7 @@ from tidemark.operators import balances, bookings, crossrow, entity, names, paym
 from tidemark.plans import lineage, repairs, rules
 from tidemark.plans.lineage import written
 from tidemark.plans.numbering import in_sequence
-from tidemark.sources import readers, sinks
+from tidemark.sources import readers, sinks, split_csv
 
 AS_OF = "2025-01-01"
 QUERIES: dict[str, object] = {}
@@ -789,14 +789,28 @@ def _back(df: DataFrame, write) -> DataFrame:
     return df.sparkSession.read.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-@query(_BALANCES + " SELECT CAST(src_row AS VARCHAR) AS src_row, centre AS centre_label, coalesce(first, '') AS first, CAST(owing IS NOT NULL AS INTEGER) AS owes FROM r")
+def _lines(df: DataFrame, write, columns: list[str], part: str = "") -> DataFrame:
+    """What a sink has written as splits: keys, line (counted in the files as they lie there) and the cells of each row."""
+    path = lineage.new_folder(df.sparkSession, "sink")
+    write(path)
+    read = sinks.read_splits(df.sparkSession, path + part).where("line > 0")
+    cells = F.from_csv("text", ", ".join(f"`{c}` string" for c in columns), split_csv.OPTIONS)
+    return read.withColumn("c", cells).select("keys", "line", *(F.coalesce(f"c.{c}", F.lit("")).alias(c) for c in columns))
+
+
+@query(_BALANCES + " SELECT CAST(src_row AS VARCHAR) AS src_row, centre AS centre_label, row_number() OVER (PARTITION BY centre ORDER BY src_row) AS line, coalesce(first, '') AS first, CAST(owing IS NOT NULL AS INTEGER) AS owes FROM r")
 def balances_written(v):
-    """Balances by centre, as the files say."""
+    """Balances by centre, as the files say: line n of a centre is its row n."""
+    resolved = balances.resolve_balances(v("fx_balances"), v("fx_service_map"))
+    read = _lines(resolved, lambda path: sinks.write_balances(resolved, path), resolved.columns, "/by_centre")
+    return read.select("src_row", F.col("keys.centre_label").alias("centre_label"), "line", "first", (F.col("owing") != "").cast("int").alias("owes"))
+
+
+@query(_BALANCES + " SELECT row_number() OVER (ORDER BY src_row) AS line, CAST(src_row AS VARCHAR) AS src_row, centre FROM r")
+def balances_written_together(v):
+    """All centres in one sequence of lines."""
     resolved = balances.resolve_balances(v("fx_balances"), v("fx_service_map"))
-    path = lineage.new_folder(resolved.sparkSession, "sink")
-    sinks.write_balances(resolved, path)
-    read = resolved.sparkSession.read.option("header", True).csv(f"{path}/by_centre")
-    return read.select("src_row", "centre_label", F.coalesce("first", F.lit("")).alias("first"), F.col("owing").isNotNull().cast("int").alias("owes"))
+    return _lines(resolved, lambda path: sinks.write_balances(resolved, path), resolved.columns, "/all").select("line", "src_row", "centre")
 
 
 @query(f"WITH i AS ({_ISSUES}) SELECT CAST(row_num AS VARCHAR) AS row_num, field, severity FROM i")
@@ -811,16 +825,29 @@ def repaired_payments_written(v):
     return _back(repaired, lambda path: sinks.write_repaired_payments(repaired, ["parent_fn", "weekday"], path)).select(F.coalesce("parent_fn", F.lit("")).alias("parent_fn"), F.coalesce("weekday", F.lit("")).alias("weekday"))
 
 
-@query("SELECT CAST(row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS VARCHAR) AS split_row, Child_Legacy_Id, arg_min(Service_Name, row_num) OVER (PARTITION BY ServiceID) AS service_label FROM fx_families")
+@query("""WITH s AS (SELECT row_num, ServiceID, Child_Legacy_Id, row_number() OVER (PARTITION BY ServiceID ORDER BY row_num) + 1 AS split_row, arg_min(Service_Name, row_num) OVER (PARTITION BY ServiceID) AS service_label FROM fx_families)
+SELECT service_label, row_number() OVER (PARTITION BY service_label ORDER BY ServiceID, row_num) AS line, CAST(split_row AS VARCHAR) AS split_row, Child_Legacy_Id FROM s""")
 def family_files_written(v):
+    """Services that share a label follow each other in its lines."""
     f = v("fx_families")
-    return _back(f, lambda path: sinks.write_family_splits(f, ["Child_Legacy_Id"], path))
+    read = _lines(f, lambda path: sinks.write_family_splits(f, ["Child_Legacy_Id"], path), ["split_row", "Child_Legacy_Id"])
+    return read.select(F.col("keys.service_label").alias("service_label"), "line", "split_row", "Child_Legacy_Id")
 
 
-@query(f"WITH {_TEMPLATE} SELECT CAST(src_row AS VARCHAR) AS src_row, child_id, CASE week_type WHEN 'CASUAL' THEN 'Casual' ELSE 'Recurring' END AS booking_kind, coalesce(regexp_replace(service_name, ' +', '_', 'g'), 'UNMAPPED') AS service_label FROM b LEFT JOIN fx_service_map ON target_service_id = service_id")
+@query(f"""WITH {_TEMPLATE}, l AS (SELECT b.*, CASE week_type WHEN 'CASUAL' THEN 'Casual' ELSE 'Recurring' END AS booking_kind, coalesce(regexp_replace(service_name, ' +', '_', 'g'), 'UNMAPPED') AS service_label FROM b LEFT JOIN fx_service_map ON target_service_id = service_id)
+SELECT CAST(src_row AS VARCHAR) AS src_row, child_id, room, booking_kind, service_label, row_number() OVER (PARTITION BY booking_kind, service_label ORDER BY child_id, src_row) AS line FROM l""")
 def booking_files_written(v):
-    t = _template(v)
-    return _back(t, lambda path: sinks.write_booking_splits(t, path, service_map=v("fx_service_map"))).select("src_row", "child_id", "booking_kind", "service_label")
+    t = written(_template(v), "template")
+    read = _lines(t, lambda path: sinks.write_booking_splits(t, path, service_map=v("fx_service_map")), t.columns)
+    return read.select("src_row", "child_id", "room", "keys.booking_kind", "keys.service_label", "line")
+
+
+@query(_SPLIT + """ SELECT m.service_name AS service_label, row_number() OVER (PARTITION BY m.service_name ORDER BY target, file_row) AS line, CAST(file_row AS VARCHAR) AS file_row, target || '_' || child_id AS Child_Legacy_Id
+ FROM f JOIN fx_service_map m ON m.target_service_id = target""")
+def payment_files_written(v):
+    t = payments.import_template(_split(v)[1], v("fx_service_map"))
+    read = _lines(t, lambda path: sinks.write_payment_splits(t, path), t.columns)
+    return read.select("keys.service_label", "line", "file_row", "Child_Legacy_Id")
 
 
 @query("SELECT service_name, source_full_id, source_service_id, target_service_id FROM fx_service_map WHERE map_ord % 3 <> 0")
@@ -830,11 +857,56 @@ def service_map_of_entries(v):
     return readers.service_map_of(v("fx_service_map").sparkSession, entries).drop("map_ord")
 
 
-@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS maps FROM (SELECT DISTINCT CAST(floor(row_num / 500) AS BIGINT) FROM fx_families)")
+@query("""SELECT 'part-' || lpad(CAST(row_num % 7 AS VARCHAR), 3, '0') || '.csv' AS name, count(*) AS lines FROM fx_families GROUP BY row_num % 7""")
 def input_files_listed(v):
-    """A folder's files in order of name, the service map apart."""
-    f = v("fx_families").select(F.floor(F.col("row_num") / 500).alias("part"), F.col("Child_Legacy_Id").alias("value"))
-    path = lineage.new_folder(f.sparkSession, "listed")
-    f.repartition(1, "part").write.partitionBy("part").text(path)
-    listed = readers.input_files(f.sparkSession, path + "/*").select(F.element_at(F.split("path", "/"), -2).alias("part"), "name")
-    return listed.agg(F.count_distinct("part").alias("files"), F.count_if(F.lower("name") == "serviceids.csv").alias("maps"))
+    """A folder's files in order of name and their lines, the service map that lies among them apart."""
+    f = v("fx_families")
+    spark, path = f.sparkSession, lineage.new_folder(f.sparkSession, "listed")
+    name = F.concat(F.lit("part-"), F.lpad((F.col("row_num") % 7).cast("string"), 3, "0"), F.lit(".csv"))
+    _named_texts(f.select(name.alias("name"), F.col("Child_Legacy_Id").alias("value")), path)
+    _named_texts(v("fx_service_map").select(F.lit("ServiceIDs.csv").alias("name"), F.col("service_name").alias("value")), path)
+    listed = readers.input_files(spark, path).select("path", "name")
+    lines = spark.read.text([r.path for r in listed.toLocalIterator()]).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("lines"))
+    return listed.select("name").join(lines, "name", "left")
+
+
+def _named_texts(df: DataFrame, path: str) -> None:
+    """Files of given names in a folder, with the lines (name, value); for fixtures."""
+    spark, made = df.sparkSession, lineage.new_folder(df.sparkSession, "named")
+    df.repartition("name").write.partitionBy("name").text(made)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(conf)
+    store.mkdirs(top)
+    for r in spark.read.format("binaryFile").load(made).select("path").toLocalIterator():
+        name = r.path.split("/name=", 1)[1].split("/", 1)[0]
+        store.rename(jvm.org.apache.hadoop.fs.Path(r.path), jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+
+
+@query("""SELECT source_file, reason, CAST(0 AS BIGINT) AS n FROM (VALUES ('damaged.csv', 'NUL bytes'), ('other.csv', 'header not usable')) x(source_file, reason)
+UNION ALL SELECT 'old' || (row_num % 3) || '.csv', '', count(*) FROM fx_families WHERE Parent1_First_Name <> '' GROUP BY row_num % 3""")
+def existing_files_and_rejected(v):
+    """Files of existing services with their rows; a damaged file and one without parents are named, and the others read."""
+    f = v("fx_families")
+    spark, path = f.sparkSession, lineage.new_folder(f.sparkSession, "existing")
+    cells = F.concat_ws(",", F.lit("1"), "Parent1_First_Name", "Parent1_Last_Name")
+    every = f.select(F.concat(F.lit("old"), F.col("row_num") % 3, F.lit(".csv")).alias("name"), cells.alias("value"))
+    lead = lambda names, head: spark.createDataFrame([(n, head) for n in names], "name string, value string")
+    rows = lead(["old0.csv", "old1.csv", "old2.csv"], "ServiceID,Parent1_First_Name,Parent1_Last_Name").withColumn("o", F.lit(0)).unionByName(every.withColumn("o", F.lit(1)))
+    _named_texts(rows.repartition("name").sortWithinPartitions("name", "o").drop("o"), path)
+    _named_texts(v("fx_service_map").select(F.lit("other.csv").alias("name"), F.concat_ws(",", "service_name", "target_service_id").alias("value")), path)
+    _named_texts(v("fx_service_map").select(F.lit("damaged.csv").alias("name"), F.concat(F.lit("Parent1_First_Name,"), F.char(F.lit(0)), "service_name").alias("value")), path)
+    read, rejected = readers.existing_and_rejected(spark, path)
+    counts = read.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).select("source_file", F.lit("").alias("reason"), "n")
+    return counts.unionByName(rejected.withColumn("n", F.lit(0).cast("long")))
+
+
+@query("""SELECT CAST(row_num AS VARCHAR) AS row_num, Child_First_Name || chr(10) || '"' || Child_Last_Name || '",' || chr(10) AS name, CASE WHEN row_num % 5 = 0 THEN repeat(State || chr(10), 60) ELSE State END AS note, trim(Room_Name) AS Room_Name FROM fx_families""")
+def quoted_csv_by_ranges(v):
+    """Cells that hold line ends, quotes and separators, some of them longer than a range: each file is read by many tasks, in ranges of 16,000 bytes."""
+    f = v("fx_families")
+    name = F.concat("Child_First_Name", F.lit('\n"'), "Child_Last_Name", F.lit('",\n'))
+    note = F.when(F.col("row_num") % 5 == 0, F.repeat(F.concat("State", F.lit("\n")), F.lit(60))).otherwise(F.col("State"))
+    paths = _files(f.select("row_num", name.alias("name"), note.alias("note"), F.trim("Room_Name").alias("Room_Name")), "quoted", "row_num")
+    table = split_csv.csv_table(f.sparkSession, paths, range_bytes=16_000)
+    return table.rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("row_num", "name", "note", "Room_Name")))

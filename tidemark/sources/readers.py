@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,96 +12,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text
+from tidemark.sources.split_csv import Table, csv_table
 
 #: Texts that count as missing, and default headers of the service map.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 MAP_HEADERS = {"service_name": ("Service Name", "Service_Name"), "source_full_id": ("Source Full ID",), "source_service_id": ("Source Service ID", "Source_Service_ID"), "target_service_id": ("Target Service ID", "Target_Service_ID")}
 
 
-def _trimmed(df: DataFrame) -> DataFrame:
-    return df.toDF(*(c.strip() for c in df.columns))
+def _cells(table: Table) -> DataFrame:
+    """All cells as texts, null as blank, "1.0" as "1"; with _file and _record."""
+    return table.rows.select(*(text.whole_number(F.coalesce(text.col(c), F.lit(""))).alias(c) for c in table.columns), "_file", "_record")
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All cells as texts, null as blank, headers trimmed, "1.0" as "1"; quotes may hold line ends."""
-    df = _trimmed(spark.read.csv(path, header=True, multiLine=True, escape='"'))
-    return df.select(*(text.whole_number(F.coalesce(text.col(c), F.lit(""))).alias(c) for c in df.columns))
-
-
-def _first_lines(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """The full name and the first line of each file, through Spark's own file systems."""
-    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for p in paths:
-        where = jvm.org.apache.hadoop.fs.Path(p)
-        store = where.getFileSystem(conf)
-        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(where), "UTF-8"))
-        out.append((store.makeQualified(where).toUri().toString(), (lines.readLine() or "").removeprefix("\ufeff")))
-        lines.close()
-    return out
-
-
-def _placed(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
-    """All cells of several files, with _file (its place in `paths`), _part and _id, and the columns of the first file.
-
-    Files of one header line are one reader, so the plan grows with the headers that
-    differ, not with the files. A header stands in one line.
-    """
-    heads = _first_lines(spark, paths)
-    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):///", "$1:/")  # noqa: E731  both spellings of an empty host
-    files = spark.createDataFrame([(name, i) for i, (name, _) in enumerate(heads)], "_path string, _file int").withColumn("_path", plain("_path"))
-    same: dict[str, list[str]] = {}
-    for path, (_, head) in zip(paths, heads):
-        same.setdefault(head, []).append(path)
-    own = ["_path", "_part", "_id"]
-    parts = []
-    for group in same.values():
-        read = spark.read.csv(group, header=True, multiLine=True, escape='"')
-        read = _trimmed(read.select("*", plain("_metadata.file_path").alias("_path"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
-        parts.append(read.select(*(text.whole_number(F.coalesce(text.col(c), F.lit(""))).alias(c) for c in read.columns[:-3]), *own))
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part, allowMissingColumns=True)
-    cells = [c for c in df.columns if c not in own]
-    df = df.select(*(F.coalesce(text.col(c), F.lit("")).alias(c) for c in cells), *own).join(F.broadcast(files), "_path").drop("_path")
-    return df, [c for c in parts[0].columns if c not in own]
-
-
-def _numbered(placed: DataFrame, first: int, each_file: bool) -> DataFrame:
-    """row_num over all files, or in each file, by counts of (file, partition) and a position inside: no window holds all rows.
-
-    The counts, one a partition, become a small table.
-    """
-    counts = sorted((r._file, r._part, r.n, r.first) for r in placed.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).toLocalIterator())
-    offsets, at, last = [], first, None
-    for file, part, n, low in counts:
-        at = first if each_file and file != last else at
-        offsets.append((file, part, at - low))
-        at, last = at + n, file
-    table = placed.sparkSession.createDataFrame(offsets, "_file int, _part int, _shift long")
-    return placed.join(F.broadcast(table), ["_file", "_part"]).withColumn("row_num", F.col("_id") + F.col("_shift")).drop("_part", "_id", "_shift")
+    """All cells as texts, null as blank, headers trimmed, "1.0" as "1"; quotes may hold line ends, and many tasks read a file."""
+    return _cells(csv_table(spark, [path] if isinstance(path, str) else path)).drop("_file", "_record")
 
 
 def read_numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Several files as one: the first file's columns, row_num from 2 on over all files, child_name."""
-    placed, names = _placed(spark, paths)
-    out = _numbered(placed.select(*(text.col(c) for c in names), "_file", "_part", "_id"), 2, False).drop("_file")
+    table = csv_table(spark, paths)
+    before = list(itertools.accumulate((table.counts.get(f, 0) for f in range(len(table.files))), initial=0))
+    shifts = spark.createDataFrame(list(enumerate(before[:-1])), "_file int, _before long")
+    names = [c for c in table.heads[min(table.heads)] if c.lower() != "row_num"] if table.heads else []
+    placed = _cells(table).join(F.broadcast(shifts), "_file")
+    out = placed.select(*map(text.col, names), (F.col("_record") + F.col("_before") + 1).alias("row_num"))
     return out.withColumn("child_name", text.child_name()) if {"Child_First_Name", "Child_Last_Name"} <= set(names) else out
 
 
-def _named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _named_files(spark: SparkSession, table: Table) -> DataFrame:
     """All columns of all files, row_num from 2 on in each file, and source_file."""
-    names = spark.createDataFrame([(i, p.rpartition("/")[2]) for i, p in enumerate(paths)], "_file int, source_file string")
-    return _numbered(_placed(spark, paths)[0], 2, True).join(F.broadcast(names), "_file").drop("_file")
+    names = spark.createDataFrame([(f, table.files[f].rpartition("/")[2]) for f in table.heads], "_file int, source_file string")
+    return _cells(table).withColumn("row_num", F.col("_record") + 1).join(F.broadcast(names), "_file").drop("_file", "_record")
+
+
+def _has_parents(head: list[str]) -> bool:
+    return any("_First_Name" in c for c in head)
 
 
 def read_existing(spark: SparkSession, path: str) -> DataFrame | None:
     """The files of existing services in a folder as one table: source_file, row_num, and the columns of any of them.
 
-    Files without parents' names, which give no profile, are left out; None if all are.
+    Files without parents' names, which give no profile, and files that can't be read
+    are left out, as `existing_and_rejected` says of each; None if all are.
     """
+    return existing_and_rejected(spark, path)[0]
+
+
+def existing_and_rejected(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame]:
+    """The table of read_existing, and (source_file, reason) of each file that was left out."""
     files = [r.path for r in input_files(spark, path).select("path").toLocalIterator()]
-    usable = [f for f, (_, head) in zip(files, _first_lines(spark, files)) if "_First_Name" in head]
-    return _named_files(spark, usable) if usable else None
+    table = csv_table(spark, files, usable=_has_parents, tolerant=True)
+    rejected = [(f.rpartition("/")[2], why) for f, why in table.rejected]
+    return _named_files(spark, table) if table.heads else None, spark.createDataFrame(rejected, "source_file string, reason string")
 
 
 def html_columns(tables: DataFrame) -> DataFrame | None:
@@ -123,7 +87,7 @@ def read_balances(spark: SparkSession, path: str) -> DataFrame | None:
     files = [r.path for r in input_files(spark, path).select("path").toLocalIterator()]
     csv = [f for f in files if f.lower().endswith(".csv")]
     other = [f for f in files if not f.lower().endswith(".csv")]
-    parts = [_named_files(spark, csv)] if csv else []
+    parts = [_named_files(spark, csv_table(spark, csv))] if csv else []
     if other and (html := html_columns(read_html_tables(spark, other))) is not None:
         parts.append(html)
     out = parts[0] if parts else None
@@ -146,9 +110,9 @@ def project(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
 
 def read_service_map(spark: SparkSession, path: str, headers: dict[str, tuple[str, ...]] = MAP_HEADERS) -> DataFrame:
     """service_name, source_full_id, source_service_id, target_service_id and map_ord; each from the first of its `headers` that the file has."""
-    df = read_csv(spark, path)
+    df = _cells(csv_table(spark, [path]))
     named = {k: next((h for h in hs if h in df.columns), None) for k, hs in headers.items()}
-    return df.select(*((text.strip(h) if h else F.lit("")).alias(k) for k, h in named.items()), F.monotonically_increasing_id().alias("map_ord"))
+    return df.select(*((text.strip(h) if h else F.lit("")).alias(k) for k, h in named.items()), (F.col("_record") - 1).alias("map_ord"))
 
 
 def service_map_of(spark: SparkSession, entries: list[tuple[str, str, str, str]]) -> DataFrame:

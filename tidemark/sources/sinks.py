@@ -1,16 +1,26 @@
-"""Sinks: partitioned outputs per service, and the issue log.
-
-A large service is spread over several files, each with a header, in order of name;
-so rows carry their number in the whole split (split_row, file_row), not in a file.
+"""Sinks: a folder for each split, and the issue log.
+
+A split (a service, a kind and service, a centre) is one sequence of lines: its
+header, then its rows in order. Rows are numbered in their split first, and `SPAN`
+of them are one file, in a folder of the split's `part`; the header stands in the first
+file alone. So a split of up to SPAN rows is one file, a larger one several that
+many tasks write, and these files one after the other are the split: line n + 1 is row n.
+The numbers make a file's rows, not the order in which tasks end, and Spark's
+committer keeps one attempt of each task, so a repeated attempt leaves the same lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.plans.lineage import HOT, join_groups
+from tidemark.plans.numbering import in_sequence
 from tidemark.plans.repairs import split_rows
+from tidemark.sources.split_csv import csv_records
 
 
 def family_splits(df: DataFrame, service_map: DataFrame | None = None) -> DataFrame:
@@ -33,7 +43,9 @@ def names_by_target(service_map: DataFrame) -> DataFrame:
 
 def write_family_splits(df: DataFrame, columns: list[str], path: str, fmt: str = "csv", service_map: DataFrame | None = None) -> None:
     """A folder a service label; rows in order, with their number in the service's split as split_row."""
-    _write(family_splits(df, service_map).select("service_label", "split_row", *columns), ["service_label"], "split_row", path, fmt)
+    rows = family_splits(df, service_map)
+    # Services that share a label share its lines, one service after the other.
+    write_splits(_in_split(rows, ["service_label"], "service", "split_row"), ["service_label"], "_place", ["split_row", *columns], path, fmt)
 
 
 def booking_splits(template: DataFrame, service_map: DataFrame | None = None) -> DataFrame:
@@ -50,14 +62,14 @@ def booking_splits(template: DataFrame, service_map: DataFrame | None = None) ->
 
 def write_booking_splits(template: DataFrame, path: str, fmt: str = "csv", service_map: DataFrame | None = None) -> None:
     """Folders of kind and service; rows in order of child."""
-    placed = booking_splits(template, service_map).repartitionByRange("booking_kind", "service_label", "child_id", "src_row")
-    placed = placed.sortWithinPartitions("booking_kind", "service_label", "child_id", "src_row")
-    placed.write.mode("overwrite").options(**OPTIONS).partitionBy("booking_kind", "service_label").format(fmt).save(path)
+    keys = ["booking_kind", "service_label"]
+    write_splits(_in_split(booking_splits(template, service_map), keys, "child_id", "src_row"), keys, "_place", template.columns, path, fmt)
 
 
 def write_payment_splits(template: DataFrame, path: str, fmt: str = "csv") -> None:
     """A folder a service name, in the columns of the import file; rows in order."""
-    _write(template.withColumn("service_label", text.file_label("Service_Name")), ["service_label"], "file_row", path, fmt)
+    labelled = template.withColumn("service_label", text.file_label("Service_Name"))
+    write_splits(_in_split(labelled, ["service_label"], "Service_ID", "file_row"), ["service_label"], "_place", template.columns, path, fmt)
 
 
 def write_repaired_payments(repaired: DataFrame, columns: list[str], path: str) -> None:
@@ -66,20 +78,64 @@ def write_repaired_payments(repaired: DataFrame, columns: list[str], path: str)
 
 
 def write_balances(resolved: DataFrame, path: str, fmt: str = "csv") -> None:
-    """By centre, and all centres together."""
-    _write(resolved.withColumn("centre_label", text.file_part("centre")), ["centre_label"], "src_row", f"{path}/by_centre", fmt)
-    resolved.write.mode("overwrite").options(**OPTIONS).format(fmt).save(f"{path}/all")
+    """By centre, and all centres together; rows in order."""
+    labelled = resolved.withColumn("centre_label", text.file_part("centre"))
+    write_splits(_in_split(labelled, ["centre_label"], "src_row"), ["centre_label"], "_place", resolved.columns, f"{path}/by_centre", fmt)
+    write_splits(_in_split(resolved, [], "src_row"), [], "_place", resolved.columns, f"{path}/all", fmt)
 
 
 def write_issues(issues: DataFrame, path: str) -> None:
     issues.write.mode("overwrite").options(**OPTIONS).csv(path)
 
 
-#: White space at the ends of cells is written as it is.
-OPTIONS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: White space at the ends of cells is written as it is; quotes in cells are doubled.
+OPTIONS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+#: Rows of one file.
+SPAN = 1_000_000
+
 
+def _in_split(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Add _place, a row's number from 1 on in its split by an order of columns, whatever a split's size. Null keys become "Unknown"."""
+    labelled = df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("Unknown")) for k in keys})
+    placed = in_sequence(labelled, [*keys, *order], "_place")
+    if not keys:
+        return placed
+    first = placed.groupBy(*keys).agg((F.min("_place") - 1).alias("_before"), F.count(F.lit(1)).alias("_rows"))
+    return join_groups(placed, first, keys, "_rows", HOT).withColumn("_place", F.col("_place") - F.col("_before")).drop("_before", "_rows")
 
-def _write(df: DataFrame, keys: list[str], order: str, path: str, fmt: str) -> None:
-    """Rows meet by key and a range of the order, so a hot key is spread over tasks and each file is in order."""
-    placed = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
-    placed.write.mode("overwrite").options(**OPTIONS).partitionBy(*keys).format(fmt).save(path)
+
+def write_splits(df: DataFrame, keys: list[str], place: str, columns: list[str], path: str, fmt: str = "csv", span: int = SPAN) -> None:
+    """Folders of `keys` and part: part k holds the rows with the numbers k * span + 1 to (k + 1) * span in their split, in order.
+
+    `place` numbers the rows of a split from 1 on without gaps. CSV files have the header as the line
+    before row 1, and all cells as texts. A table without rows gives no files.
+    """
+    # Never null: the writer would sort anew by keys that may be, and forget the order below.
+    label = [F.coalesce(F.col(k).cast("string"), F.lit("Unknown")).alias(k) for k in keys]
+    if fmt == "csv":
+        rows = df.select(*label, F.col(place).alias("_n"), *(F.col(c).cast("string").alias(f"_{c}") for c in columns))
+        lead = rows.select(*keys).distinct() if keys else rows.limit(1).select(F.lit(1))
+        rows = rows.unionByName(lead.select(*keys, F.lit(0).cast("long").alias("_n"), *(F.lit(c).alias(f"_{c}") for c in columns)))
+        options = OPTIONS | {"header": False}
+    else:
+        rows, options = df.select(*label, F.col(place).alias("_n"), *(F.col(c).alias(f"_{c}") for c in columns)), {}
+    rows = rows.withColumn("part", F.greatest(F.floor((F.col("_n") - 1) / span), F.lit(0)))
+    # All rows of a file meet in one task.
+    placed = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "_n").drop("_n")
+    placed = placed.withColumnsRenamed({f"_{c}": c for c in columns if c not in keys}) if fmt != "csv" else placed
+    placed.write.mode("overwrite").options(**options).partitionBy(*keys, "part").format(fmt).save(path)
+
+
+def read_splits(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
+    """What write_splits has written as CSV: the keys, line (a record's place in its split, 0 the header's) and its text.
+
+    Lines are counted in the files as they lie there.
+    """
+    found = csv_records(spark, [r.path for r in spark.read.format("binaryFile").load(path).select("path").toLocalIterator()])
+    places = []
+    for i, f in enumerate(found.files):
+        words = dict(w.split("=", 1) for w in f.split("/") if "=" in w)
+        part = int(words.pop("part"))
+        places.append((i, part * span + (part > 0), {k: unquote(v) for k, v in words.items()}))
+    known = spark.createDataFrame(places, "file int, _first long, keys map<string,string>")
+    return found.rows.join(F.broadcast(known), "file").select("keys", (F.col("record") + F.col("_first")).alias("line"), "text")
