@@ -113,16 +113,16 @@ def write_splits(df: DataFrame, keys: list[str], place: str, columns: list[str],
     # Never null: the writer would sort anew by keys that may be, and forget the order below.
     label = [F.coalesce(F.col(k).cast("string"), F.lit("Unknown")).alias(k) for k in keys]
     if fmt == "csv":
-        rows = df.select(*label, F.col(place).alias("_n"), *(F.col(c).cast("string").alias(f"_{c}") for c in columns))
+        rows = df.select(*label, F.col(place).alias("__n"), *(F.col(c).cast("string").alias(f"_c_{c}") for c in columns))
         lead = rows.select(*keys).distinct() if keys else rows.limit(1).select(F.lit(1))
-        rows = rows.unionByName(lead.select(*keys, F.lit(0).cast("long").alias("_n"), *(F.lit(c).alias(f"_{c}") for c in columns)))
+        rows = rows.unionByName(lead.select(*keys, F.lit(0).cast("long").alias("__n"), *(F.lit(c).alias(f"_c_{c}") for c in columns)))
         options = OPTIONS | {"header": False}
     else:
-        rows, options = df.select(*label, F.col(place).alias("_n"), *(F.col(c).alias(f"_{c}") for c in columns)), {}
-    rows = rows.withColumn("part", F.greatest(F.floor((F.col("_n") - 1) / span), F.lit(0)))
+        rows, options = df.select(*label, F.col(place).alias("__n"), *(F.col(c).alias(f"_c_{c}") for c in columns)), {}
+    rows = rows.withColumn("part", F.greatest(F.floor((F.col("__n") - 1) / span), F.lit(0)))
     # All rows of a file meet in one task.
-    placed = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "_n").drop("_n")
-    placed = placed.withColumnsRenamed({f"_{c}": c for c in columns if c not in keys}) if fmt != "csv" else placed
+    placed = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "__n").drop("__n")
+    placed = placed.withColumnsRenamed({f"_c_{c}": c for c in columns}) if fmt != "csv" else placed
     placed.write.mode("overwrite").options(**options).partitionBy(*keys, "part").format(fmt).save(path)
 
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -81,124 +82,137 @@ def ends_inside(line: bytes, inside: bool, sep: bytes = b",") -> bool:
     return False
 
 
-def _runs(b: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
-    """(path, start, lines) of each range of a batch, in order."""
-    path, start = b.column("path").dictionary_encode(), b.column("start").to_numpy()
-    code = path.indices.to_numpy()
-    edges = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (start[1:] != start[:-1])) + 1).tolist(), b.num_rows]
+class Lines:
+    """Lines of a range, in order, and what each does to the two states: outside (False) and inside (True) of a quoted cell.
+
+    Well-formed lines are told by patterns, all at once. Others are followed quote by
+    quote, but only from a state in which they are reached.
+    """
+
+    def __init__(self, values: pa.Array, sep: bytes, first: bool):
+        if first and len(values) and values[0].as_py().startswith(BOM):
+            values = pa.concat_arrays([pa.array([values[0].as_py()[3:]], values.type), values[1:]])
+        self.values = values
+        self.full = ~pc.is_in(values, pa.array([b"", b"\r"], values.type)).to_numpy(zero_copy_only=False)
+        self.quoted = np.flatnonzero(pc.match_substring(values, '"').to_numpy(zero_copy_only=False))
+        self.out, self.in_ = np.zeros(len(values), bool), np.ones(len(values), bool)
+        self.open, self.sep = [np.zeros(len(values), bool), np.zeros(len(values), bool)], sep
+        some = values.take(pa.array(self.quoted))
+        mark = re.escape(sep.decode())
+        cell, open_ = f'(?:[^"{mark}]*|"(?:[^"]|"")*")', '"(?:[^"]|"")*'
+        rest = f"(?:{mark}{cell})*"
+        for after, inside, pattern in (
+            (self.out, False, (f"^{cell}{rest}\r?$", f"^(?:{cell}{mark})*{open_}$")),
+            (self.in_, True, (f'^(?:[^"]|"")*"{rest}\r?$', f'^(?:[^"]|"")*(?:"{rest}{mark}{open_})?$')),
+        ):
+            closed, opened = (pc.match_substring_regex(some, p).to_numpy(zero_copy_only=False) for p in pattern)
+            after[self.quoted] = opened
+            self.open[inside][self.quoted] = ~closed & ~opened
+
+    def _follow(self, places: np.ndarray, inside: bool) -> None:
+        after = self.in_ if inside else self.out
+        for k in np.flatnonzero(places).tolist():
+            after[k] = ends_inside(_bare(self.values[k].as_py()), inside, self.sep)
+        self.open[inside][places] = False
+
+    def states(self, inside: bool) -> np.ndarray:
+        """The state before each line and behind the last, if the first line starts `inside`."""
+        for turn in itertools.count():
+            found = self._composed(inside)
+            reached = [self.open[0] & ~found[:-1], self.open[1] & found[:-1]]
+            if not any(r.any() for r in reached):
+                return found
+            for s in (0, 1):
+                self._follow(reached[s] if turn < 8 else self.open[s], bool(s))
+
+    def _composed(self, inside: bool) -> np.ndarray:
+        constant, swaps = self.out == self.in_, np.cumsum(self.out & ~self.in_)
+        last = np.maximum.accumulate(np.where(constant, np.arange(len(self.out)), -1))
+        since = np.where(last >= 0, swaps - swaps[last], swaps) % 2 == 1
+        return np.concatenate(([inside], np.where(last >= 0, self.out[last], inside) ^ since))
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+    """(its first row, lines) of each range of a batch, in order."""
+    path, start = b.column("path").to_numpy(), b.column("start").to_numpy()
+    edges = [0, *(np.flatnonzero((path[1:] != path[:-1]) | (start[1:] != start[:-1])) + 1).tolist(), b.num_rows]
     for low, high in zip(edges[:-1], edges[1:]):
-        yield path.dictionary[int(code[low])].as_py(), int(start[low]), b.column("value").slice(low, high - low)
+        if high > low:
+            yield low, b.column("value").slice(low, high - low)
 
 
-def _stripped(lines: pa.Array, first: bool) -> tuple[list[bytes], np.ndarray, list[int]]:
-    """Lines as bytes, which of them are not empty, and the places of those with a quote."""
-    out = lines.to_pylist()
-    if first and out and out[0].startswith(BOM):
-        out[0] = out[0][3:]
-    full = np.fromiter((x != b"" and x != b"\r" for x in out), bool, len(out))
-    return out, full, np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False)).tolist()
+def _bare(line: bytes) -> bytes:
+    return line[:-1] if line.endswith(b"\r") else line
 
 
-def _fault(lines: list[bytes]) -> str | None:
+def _fault(values: pa.Array) -> str | None:
     """What tells that lines are no text."""
-    whole = b"\n".join(lines)
-    if b"\0" in whole:
+    if pc.any(pc.match_substring(values, "\0")).as_py():
         return "NUL bytes"
     try:
-        whole.decode()
-    except UnicodeDecodeError:
+        values.cast(pa.string())
+    except pa.ArrowInvalid:
         return "not UTF-8"
     return None
 
 
-def _bare(line: bytes) -> bytes:
-    return line[:-1] if line.endswith(b"\r") else line
-
-
 def _range_states(batches: Iterator[pa.RecordBatch], sep: bytes) -> Iterator[pa.RecordBatch]:
     """For each range: whether it ends inside a cell, and how many records start in it, if it starts outside and if inside."""
     rows: list[list] = []
     for b in batches:
-        if not b.num_rows:
-            continue
-        for path, start, lines in _runs(b):
-            new = not rows or rows[-1][:2] != [path, start]
+        for at, values in _runs(b):
+            key = [b.column("path")[at].as_py(), b.column("start")[at].as_py()]
+            new = not rows or rows[-1][:2] != key
             if new:
-                rows.append([path, start, False, True, 0, 0, None])
+                rows.append([*key, False, True, 0, 0, None])
             row = rows[-1]
-            out, full, quoted = _stripped(lines, new and start == 0)
-            row[6] = row[6] or _fault(out)
-            count = np.concatenate(([0], np.cumsum(full)))
-            at = 0
-            for k in [*quoted, len(out)]:
-                # Lines without a quote leave the state as it is; one outside a cell starts a record.
-                for s in (0, 1):
-                    if not row[2 + s]:
-                        row[4 + s] += int(count[k] - count[at])
-                if k < len(out):
-                    line = _bare(out[k])
-                    for s in (0, 1):
-                        row[4 + s] += not row[2 + s]
-                        row[2 + s] = ends_inside(line, row[2 + s], sep)
-                at = k + 1
+            row[6] = row[6] or _fault(values)
+            lines = Lines(values, sep, new and key[1] == 0)
+            for s in (0, 1):
+                states = lines.states(row[2 + s])
+                row[2 + s], row[4 + s] = bool(states[-1]), row[4 + s] + int((lines.full & ~states[:-1]).sum())
     names = ["path", "start", "end0", "end1", "n0", "n1", "fault"]
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def _range_records(batches: Iterator[pa.RecordBatch], sep: bytes) -> Iterator[pa.RecordBatch]:
-    """(file, record, start, whole, text): whole records, and pieces of those that a range begins or ends within."""
+def _range_records(batches: Iterator[pa.RecordBatch], sep: bytes, ranges: dict) -> Iterator[pa.RecordBatch]:
+    """(file, record, start, whole, text): whole records, and pieces of those that a range begins or ends within; `ranges` has (file, inside, first record) by path and start."""
     now, inside, record, held, owned = None, False, 0, [], True
 
-    def rows_of(file, start, records, whole):
-        n = len(records)
-        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int32()), pa.array([r for r, _ in records], pa.int64()), pa.array([start] * n, pa.int64()), pa.array([whole] * n, pa.bool_()), pa.array([t for _, t in records], pa.binary())], names=["file", "record", "start", "whole", "text"])
+    def rows_of(records: range | list[int], texts: list[bytes], whole: bool) -> pa.RecordBatch:
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]] * n, pa.int32()), pa.array(records, pa.int64()), pa.array([now[1]] * n, pa.int64()), pa.array([whole] * n, pa.bool_()), pa.array(texts, pa.binary())], names=["file", "record", "start", "whole", "text"])
 
     for b in batches:
-        if not b.num_rows:
-            continue
-        at_row = 0
-        for _, start, lines in _runs(b):
-            file = b.column("file")[at_row].as_py()
-            new = now != (file, start)
+        for at, values in _runs(b):
+            file, begins_inside, first = ranges[b.column("path")[at].as_py(), b.column("start")[at].as_py()]
+            key = (file, b.column("start")[at].as_py())
+            new = now != key
             if new:
                 if held:
-                    yield rows_of(*now, [(record - 1, b"\n".join(held))], False)
-                now, held = (file, start), []
-                inside, record = b.column("inside")[at_row].as_py(), b.column("first")[at_row].as_py()
+                    yield rows_of([record - 1], [b"\n".join(held)], False)
+                now, held, inside, record = key, [], begins_inside, first
                 owned = not inside
-            at_row += len(lines)
-            out, full, quoted = _stripped(lines, new and start == 0)
-            done, at = [], 0
-            for k in [*quoted, len(out)]:
-                if inside:
-                    held += out[at:k]
-                else:
-                    plain = [_bare(x) for x, f in zip(out[at:k], full[at:k].tolist()) if f]
-                    done += zip(range(record, record + len(plain)), plain)
-                    record += len(plain)
-                if k < len(out):
-                    line = _bare(out[k])
-                    after = ends_inside(line, inside, sep)
-                    if not inside:
-                        record, owned = record + 1, True
-                    if after:
-                        held.append(out[k])
-                    elif not inside:
-                        done.append((record - 1, line))
-                    elif owned:
-                        done.append((record - 1, b"\n".join([*held, line])))
-                        held = []
-                    else:
-                        # The end of a record that an earlier range owns.
-                        yield rows_of(file, start, [(record - 1, b"\n".join([*held, line]))], False)
-                        held = []
-                    inside = after
-                at = k + 1
-            if done:
-                yield rows_of(file, start, done, True)
+            lines = Lines(values, sep, new and key[1] == 0)
+            states, out = lines.states(inside), lines.values.to_pylist()
+            # A record goes from a line that starts outside to the next line that ends outside.
+            starts, ends = np.flatnonzero(lines.full & ~states[:-1]).tolist(), (np.flatnonzero((lines.full | states[:-1]) & ~states[1:]) + 1).tolist()
+            if inside:
+                if not ends:
+                    held += out
+                    continue
+                # The end of a record that this or, if it isn't owned, an earlier range began.
+                yield rows_of([record - 1], [b"\n".join([*held, *out[: ends[0] - 1], _bare(out[ends[0] - 1])])], owned)
+                held, ends = [], ends[1:]
+            whole = [b"\n".join([*out[x : y - 1], _bare(out[y - 1])]) if y - x > 1 else _bare(out[x]) for x, y in zip(starts, ends)]
+            if whole:
+                yield rows_of(range(record, record + len(whole)), whole, True)
+            record, inside = record + len(starts), bool(states[-1])
+            if inside:
+                held, owned = out[starts[-1] :], True
     if held:
-        yield rows_of(*now, [(record - 1, b"\n".join(held))], False)
+        yield rows_of([record - 1], [b"\n".join(held)], False)
 
 
 #: An empty host is spelled in two ways.
@@ -234,25 +248,29 @@ def csv_records(spark: SparkSession, paths: list[str], *, sep: str = ",", range_
     """The records of files, folders' files and patterns, which are parsed by none of the passes."""
     found = list(dict.fromkeys(listed(spark, paths)))
     files, size = [f for f, _, _ in found], max(range_bytes, sum(n for _, _, n in found) // MOST_RANGES + 1)
-    order = {shown: i for i, (_, shown, _) in enumerate(found)}
+    # Rows carry a file's name as a hash, as names would outweigh lines; an empty host is spelled in two ways.
+    spelled = [(i, form) for i, (_, shown, _) in enumerate(found) for form in dict.fromkeys((shown, re.sub(r"^([A-Za-z0-9+.-]+):/(?!/)", r"\1:///", shown)))]
+    order = {r.h: r.i for r in spark.createDataFrame(spelled, "i int, p string").select("i", F.xxhash64("p").alias("h")).collect()}
+    if len(order) < len(spelled):
+        raise ValueError("two of the files have names of one hash")
     # A session of its own, so that both passes cut the files alike, whatever the caller's settings and the number of executors.
     own = spark.newSession()
     for key, value in {"maxPartitionBytes": size, "minPartitionNum": 1, "openCostInBytes": size // 32 + 1}.items():
         own.conf.set(f"spark.sql.files.{key}", str(value))
     own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    path, start = F.regexp_replace("_metadata.file_path", _HOST, "$1:/"), F.col("_metadata.file_block_start")
+    path, start = F.xxhash64("_metadata.file_path"), F.col("_metadata.file_block_start")
     lines = own.read.option("lineSep", "\n").text(files).select(F.col("value").cast("binary").alias("value"), path.alias("path"), start.alias("start"))
     mark = sep.encode()
-    states = lines.mapInArrow(lambda b: _range_states(b, mark), "path string, start long, end0 boolean, end1 boolean, n0 long, n1 long, fault string")
-    ranges, counts, faults, inside, last = [], [0] * len(files), [None] * len(files), False, None
-    for r in sorted(states.toLocalIterator(), key=lambda r: (order[r.path], r.start)):
+    states = lines.mapInArrow(lambda b: _range_states(b, mark), "path long, start long, end0 boolean, end1 boolean, n0 long, n1 long, fault string")
+    ranges, counts, faults, inside, last = {}, [0] * len(files), [None] * len(files), False, None
+    for r in sorted(states.collect(), key=lambda r: (order[r.path], r.start)):
         file = order[r.path]
         inside = inside and file == last
-        ranges.append((r.path, r.start, file, inside, counts[file]))
+        ranges[r.path, r.start] = (file, inside, counts[file])
         inside, n = (r.end1, r.n1) if inside else (r.end0, r.n0)
         counts[file], faults[file], last = counts[file] + n, faults[file] or r.fault, file
-    placed = lines.join(F.broadcast(own.createDataFrame(ranges, "path string, start long, file int, inside boolean, first long")), ["path", "start"])
-    cut = placed.mapInArrow(lambda b: _range_records(b, mark), "file int, record long, start long, whole boolean, text binary")
+    known = spark.sparkContext.broadcast(ranges)
+    cut = lines.mapInArrow(lambda b: _range_records(b, mark, known.value), "file int, record long, start long, whole boolean, text binary")
     folder = new_folder(spark, "records")
     cut.withColumn("text", F.col("text").cast("string")).write.parquet(folder)
     kept = spark.read.schema("file int, record long, start long, whole boolean, text string").parquet(folder)
@@ -293,7 +311,7 @@ def csv_table(spark: SparkSession, paths: list[str], *, sep: str = ",", range_by
     """
     found = csv_records(spark, paths, sep=sep, range_bytes=range_bytes)
     faults = {i: f for i, f in enumerate(found.faults) if f and tolerant} | {i: "no record" for i, n in enumerate(found.counts) if not n}
-    texts = {r.file: r.text for r in found.rows.where("record = 0").toLocalIterator() if r.file not in faults}
+    texts = {r.file: r.text for r in found.rows.where("record = 0").collect() if r.file not in faults}
     named = {t: header_cells(t, sep) for t in set(texts.values())}
     heads = {f: named[texts[f]] for f in sorted(texts)}
     if usable:
