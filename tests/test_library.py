@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import bookings, entity, payments
+from tidemark.operators import bookings, components, entity, intervals, payments
 from tidemark.operators.components import block_components
 from tidemark.plans import lineage, numbering, repairs, rules
 from tidemark.sources import readers, sinks, split_csv
@@ -77,8 +77,9 @@ def test_auto_link_against_a_replay(spark):
     p = spark.createDataFrame(rows, PROFILE)
     ids, crns, pairs = replay(rows)
     linked = entity.auto_link(p)
-    got = {r.ord: (r.legacy, r.crn) for r in linked.collect()}
-    assert got == {r[3]: (ids[r[3]], crns[r[3]]) for r in rows if r[6]}
+    for found in (linked, entity.auto_link(p, local=90), entity.auto_link(p, local=0)):
+        # In one pass a person, by rounds, and some persons each way.
+        assert {r.ord: (r.legacy, r.crn) for r in found.collect()} == {r[3]: (ids[r[3]], crns[r[3]]) for r in rows if r[6]}
     assert sorted((r.a, r.b) for r in entity.parent_pairs(p).collect()) == sorted(pairs)
     issues = entity.link_issues(p, linked).collect()
     assert len(issues) == 2 * len(pairs) and {r.severity for r in issues} == {"FIXED"}
@@ -95,6 +96,14 @@ def test_auto_link_against_a_replay(spark):
     assert {r.ord: r.cluster for r in entity.parent_clusters(p).collect()} == {r[3]: k for k in many for r in members[k]}
 
 
+def test_linking_along_a_chain_of_blank_profiles(spark):
+    """1000 profiles, each linked by a phone to the next, and only the first has an id; no table is written a link."""
+    rows = [(i, "s", "Parent1", 2 * i, "p", "lee", "1985", "a1" if i == 0 else "", "", [f"t{i}", f"t{i + 1}"], [], "A1" if i == 0 else "", "1985") for i in range(1000)]
+    before = lineage.place()
+    got = entity.auto_link(spark.createDataFrame(rows, PROFILE).repartition(5)).collect()
+    assert len(got) == 1000 and {(r.legacy, r.crn) for r in got} == {("A1", "")} and lineage.place() - before == 2
+
+
 def test_linking_of_one_identity_is_not_quadratic(spark):
     """One name, birth date and phone for all of 20,000 profiles."""
     p = spark.range(20_000).selectExpr("id row_num", "'s' service", "'Parent1' slot", "id ord", "'test' first", "'test' last", "'1900' dob", "concat('i', id % 5000) legacy", "'' crn", "array('0') contacts", "array('') emails", "concat('I', id % 5000) legacy_id", "'1900' birth")
@@ -127,6 +136,62 @@ def test_conflict_components_against_all_pairs(spark):
     assert {r.src_row for r in got if r.kept} == {max(m, key=lambda i: (end(i), -i)) for m in want.values()}
 
 
+BOOKING = "src_row long, service_id string, child_id string, start_date string, end_date string, fee string, room string, week_type string, days int"
+SHOWN = lambda n: (datetime.date(1999, 12, 20) + datetime.timedelta(days=n)).strftime("%d/%m/%Y")
+
+
+def some_bookings(rng, n, first=0, kinds=("Weekly", "Fortnightly")):
+    rows = []
+    for i in range(n):
+        a = rng.randrange(120)
+        rows.append((first + i, "1", rng.choice("ab"), SHOWN(a), SHOWN(a + rng.choice([0, 1, 3, 10, 30, 77, -5])), rng.choice(["f", "F ", "g"]), rng.choice(["r", "R.", "s"]), rng.choice(kinds), rng.choice([1, 2, 4, 3, 64, 0, 128, 8192, 127, 16383])))
+    return rows
+
+
+def test_first_partners_and_overlaps_against_all_pairs(spark):
+    rng = random.Random(21)
+    rows = some_bookings(rng, 250) + [(900, "1", "a", "soon", "", "f", "r", "Weekly", 1)]
+    df = spark.createDataFrame(rows, BOOKING)
+    pairs = [(r.a, r.b) for r in bookings.recurring_conflicts(df).collect()]
+    want = {}
+    for x, y in pairs + [(b, a) for a, b in pairs]:
+        want[x] = min(y, want.get(x, y))
+    assert {r.src_row: r.other for r in bookings.first_partners(df.select("src_row"), df).collect()} == want and len(want) > 100
+    casual = some_bookings(rng, 200, 5000, ("CASUAL",))
+    date = lambda t: datetime.datetime.strptime(t, "%d/%m/%Y").date()
+    room = lambda t: re.sub("[^a-z]", "", t.lower())
+    found = {}
+    for c in casual:
+        for r in rows[:250]:
+            if (c[2], room(c[6])) == (r[2], room(r[6])) and date(r[3]) <= date(c[3]) <= date(r[4]):
+                week = (date(c[3]) - date(r[3])).days // 7 % 2 if r[7] == "Fortnightly" else 0
+                if r[8] >> (date(c[3]).weekday() + 7 * week) & 1:
+                    found.setdefault(c[0], (r[0], c[5].strip() == r[5].strip()))
+    got = bookings.casual_overlaps(spark.createDataFrame(casual, BOOKING), df)
+    assert {r.src_row: (r.recurring_row, r.same_fee) for r in got.collect()} == found and len(found) > 50
+    assert bookings.casual_overlaps(df.limit(0), df).count() == bookings.casual_overlaps(df, df.limit(0)).count() == 0
+
+
+def test_overlaps_of_one_child_with_many_bookings(spark):
+    """100,000 recurring and as many casual bookings of one child: an index, not their pairs."""
+    day = "date_format(date_add(date'2020-01-01', cast({} as int)), 'dd/MM/yyyy')"
+    r = spark.range(100_000).selectExpr("id src_row", "'1' service_id", "'c' child_id", f"{day.format('id % 900')} start_date", f"{day.format('id % 900 + 40 + id % 7')} end_date", "'f' fee", "'r' room", "'Weekly' week_type", "cast(1 << cast(id % 7 as int) as int) days")
+    c = spark.range(100_000).selectExpr("id + 1000000 src_row", "'1' service_id", "'c' child_id", f"{day.format('id % 1500')} start_date", "'' end_date", "'f' fee", "'r' room", "'CASUAL' week_type", "0 days")
+    got = bookings.casual_overlaps(c, r).cache()
+    # Each day up to the last end but for the first few has a booking that covers it.
+    assert got.select("src_row").distinct().count() == got.count() > 60_000 and got.agg(F.max("recurring_row")).first()[0] < 7 * 900
+
+
+def test_spans_make_up_their_interval(spark):
+    rng = random.Random(4)
+    rows = [(a, a + rng.randrange(-2, 60)) for a in rng.sample(range(500), 80)] + [(0, 0), (0, 511), (730_000, 733_000)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    levels = intervals.levels_for(df, "a", "b")
+    for r in df.select("a", "b", intervals.spans_of(F.col("a"), F.col("b"), levels).alias("s")).collect():
+        days = [d for x in r.s for d in range(x.span << x.level, (x.span + 1) << x.level)]
+        assert sorted(days) == list(range(r.a, r.b + 1)) and len(r.s) <= 2 * levels
+
+
 def test_numbers_by_spans(spark):
     rng = random.Random(13)
     rows = [(rng.choice("abc"), n) for n in rng.sample(range(-50, 1000), 300)]
@@ -155,8 +220,10 @@ def test_written_tables_are_discarded_and_swept(spark):
     assert lineage.sweep(spark, hours=24) == 0 and tables[2].count() == 3
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("local", [0, 100_000])
+def test_components_of_long_chains(spark, monkeypatch, local):
     """Chains of 1000: in adverse order, the least at one end and the others descending towards it, and at random."""
+    monkeypatch.setattr(components, "LOCAL", local)
     n = 1000
     rng = random.Random(6)
     chains = {"adverse": [0, *range(n - 1, 0, -1)], "random": rng.sample(range(n), n)}

@@ -19,31 +19,39 @@ def strict_date(c: Column | str) -> Column:
     return F.coalesce(F.when(value.rlike(ISO), F.try_to_date(value, "yyyy-MM-dd")), F.when(value.rlike(DMY), F.try_to_date(value, "d/M/yyyy")))
 
 
-#: Forms that are read after the usual ones, day first: the pattern of a date and its format.
-LATER = (
-    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
-    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
-    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
-    (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy"),
-    (r"\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}", "d MMM yyyy"),
-    (r"\d{1,2}[ -][A-Za-z]{4,9}[ -]\d{4}", "d MMMM yyyy"),
-    (r"[A-Za-z]{3} \d{1,2},? \d{4}", "MMM d yyyy"),
-    (r"[A-Za-z]{4,9} \d{1,2},? \d{4}", "MMMM d yyyy"),
+#: Forms of a booking's date, day first, besides ISO.
+FORMS = (
+    r"\d{1,2}/\d{1,2}/\d{4}",
+    r"\d{4}-\d{1,2}-\d{1,2}",
+    r"\d{1,2}-\d{1,2}-\d{4}",
+    r"\d{1,2}\.\d{1,2}\.\d{4}",
+    r"\d{4}/\d{1,2}/\d{1,2}",
+    r"\d{1,2}/\d{1,2}/\d{2}",
+    r"\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}",
+    r"[A-Za-z]{3,9} \d{1,2},? \d{4}",
 )
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def booking_date(c: Column | str) -> Column:
-    """Day first or ISO, with a 12-hour time, a 24-hour time or none; then, each with a time or none, the forms of LATER."""
+    """A date in any of FORMS, with a 12-hour time, a 24-hour time or none.
+
+    One pattern tells the form, and the parts are put in order and parsed once, so
+    that the expression stays small where it is copied into filters.
+    """
     value = strip(c)
-    day = F.substring_index(value, " ", 1)
-    # Months in words as the formats have them: one capital, and no hyphens or commas.
-    worded = F.initcap(F.lower(F.regexp_replace(F.regexp_replace(value, r"(?<=[A-Za-z])-|-(?=[A-Za-z])", " "), r"(?<=\d), ", " ")))
-    later = []
-    for pattern, form in LATER:
-        text = worded if "MMM" in form else value
-        alone = F.regexp_extract(text, f"^({pattern.replace(',?', '')})", 1)
-        later.append(F.when(value.rlike("^" + pattern + _TIME), F.try_to_date(alone, form)))
-    return F.coalesce(F.when(value.rlike(DMY_TIME), F.try_to_date(day, "d/M/yyyy")), F.when(value.rlike(ISO_TIME), F.try_to_date(day, "yyyy-M-d")), *later)
+    month = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for name in dict.fromkeys((m, m[:3])) for x in (name, str(i))))
+    named = lambda w: F.try_element_at(month, F.lower(w))
+
+    def ordered(parts: Column) -> Column:
+        a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+        word, first = a >= "A", F.length(a) == 4
+        year = F.when(first & ~word, a).otherwise(F.when(F.length(c) == 2, F.concat(F.lit("20"), c)).otherwise(c))
+        number = F.when(word, named(a)).when(first, b).otherwise(F.when(b >= "A", named(b)).otherwise(b))
+        return F.try_to_date(F.concat(year, F.lit("-"), number, F.lit("-"), F.when(word, b).when(first, c).otherwise(a)), "yyyy-M-d")
+
+    parts = F.when(value.rlike(f"^(?:{'|'.join(FORMS)}){_TIME}"), F.split(F.regexp_replace(value, _TIME, ""), "[-/., ]+"))
+    return F.get(F.transform(F.array(parts), ordered), F.lit(0))
 
 
 def payment_date(c: Column | str) -> Column:

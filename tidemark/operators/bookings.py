@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.operators.components import block_components
+from tidemark.operators.intervals import ask, day_number, least_by_span, levels_for, spans_at, spans_of
 from tidemark.plans.lineage import HOT, join_groups, written
 from tidemark.plans.numbering import numbered
 
@@ -68,7 +69,13 @@ def recurring_conflicts(recurring: DataFrame) -> DataFrame:
     return t.join(u, block).where((F.col("a") < F.col("b")) & (F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e")) & (F.col("days").bitwiseAND(F.col("days2")) != 0)).select("service_id", "child_id", "a", "b")
 
 
-def _conflict_stars(recurring: DataFrame) -> DataFrame:
+def _blocks(recurring: DataFrame) -> DataFrame:
+    """(service_id, child_id, room_key, fee_key, src_row, s, e, days) of the bookings that can be in conflict, with their dates read once."""
+    t = _timed(recurring).select("service_id", "child_id", "room_key", "fee_key", "src_row", "s", "e", "days")
+    return written(t, "timed").where("s is not null and e is not null and days <> 0")
+
+
+def _conflict_stars(every: DataFrame) -> DataFrame:
     """(service_id, child_id, a, b): enough of the conflicts to join each component, by a sweep over each day's bookings.
 
     Of one child, service, room, fee and day, in order of start, a booking that starts before
@@ -76,7 +83,6 @@ def _conflict_stars(recurring: DataFrame) -> DataFrame:
     Bookings that end before they start, an error in the input, are compared with their block.
     """
     block = ["service_id", "child_id", "room_key", "fee_key"]
-    every = _timed(recurring).where("s is not null and e is not null and days <> 0").select(*block, "src_row", "s", "e", "days")
     t, wrong = every.where("s <= e"), every.where("s > e")
     bits = F.filter(F.sequence(F.lit(0), F.lit(13)), lambda k: F.col("days").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
     before = Window.partitionBy(*block, "day").orderBy("s", "src_row").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,22 +94,50 @@ def _conflict_stars(recurring: DataFrame) -> DataFrame:
 
 def resolve_conflicts(recurring: DataFrame) -> DataFrame:
     """The bookings in conflict: component, and kept, true for the one that ends last, of equal ones the first row."""
-    recurring = written(recurring, "recurring")
-    links = written(_conflict_stars(recurring), "conflicts")
+    timed = _blocks(recurring)
+    links = written(_conflict_stars(timed), "conflicts")
     block = ["service_id", "child_id"]
     nodes = links.select(*block, F.explode(F.array("a", "b")).alias("src_row")).distinct()
-    found = written(block_components(nodes, links, block, "src_row").join(_timed(recurring).select("src_row", "e"), "src_row"), "components")
+    found = written(block_components(nodes, links, block, "src_row").join(timed.select("src_row", "e"), "src_row"), "components")
     best = found.groupBy(*block, "component").agg(F.min_by("src_row", F.struct(-F.unix_date("e"), "src_row")).alias("best"))
     return found.join(best, [*block, "component"]).withColumn("kept", F.col("src_row") == F.col("best")).drop("e", "best")
 
 
+def first_partners(removed: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(src_row, other): for each of some recurring bookings (src_row) the first row in conflict with it, without forming the conflicts.
+
+    A booking's partners start before it and cover its first day, or start in its
+    period after that day, or start on that day. The first two are asked of an index of
+    spans of days, the third goes by equal starts. Bookings that end before they start,
+    an error in the input, are compared with their block.
+    """
+    block = ["service_id", "child_id", "room_key", "fee_key"]
+    every = _blocks(recurring).withColumns({"s": day_number(F.col("s")), "e": day_number(F.col("e"))})
+    t, wrong = every.where("s <= e"), every.where("s > e")
+    asked = t.join(removed.select("src_row"), "src_row", "left_semi").withColumnRenamed("src_row", "x")
+    s, e = F.col("s"), F.col("e")
+    levels = levels_for(t, "s", "e")
+    day, period = spans_at(s, levels), spans_of(s + 1, e, levels)
+    covering = ask(asked, block, day, "x", "days", least_by_span(t, block, period, "src_row", "days"))
+    within = ask(asked, block, period, "x", "days", least_by_span(t, block, day, "src_row", "days"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(13)), lambda k: F.col("days").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
+    order = Window.partitionBy(*block, "s", "day").orderBy("src_row")
+    level = t.withColumn("day", F.explode(bits)).withColumn("found", F.when(F.row_number().over(order) == 1, F.lead("src_row").over(order)).otherwise(F.first("src_row").over(order)))
+    level = level.where("found is not null").select(F.col("src_row").alias("x"), "found")
+    u = every.toDF(*block, "x", "s2", "e2", "days2")
+    pairs = wrong.join(u, block).where((F.col("x") != F.col("src_row")) & (s <= F.col("e2")) & (F.col("s2") <= e) & (F.col("days").bitwiseAND(F.col("days2")) != 0))
+    other = pairs.select("x", F.col("src_row").alias("found")).unionByName(pairs.select(F.col("src_row").alias("x"), F.col("x").alias("found")))
+    found = covering.unionByName(within).unionByName(level).unionByName(other).groupBy("x").agg(F.min("found").alias("other"))
+    return removed.select("src_row").join(found, F.col("src_row") == F.col("x")).select("src_row", "other")
+
+
 def conflict_report(recurring: DataFrame, resolved: DataFrame) -> DataFrame:
     """The removed recurring bookings with conflict_reason, which names the first booking in conflict with each and the end of the one kept."""
+    recurring = written(recurring, "recurring")
     timed = _timed(recurring).select("src_row", "s", "e", "days")
     removed = resolved.where("not kept").select("service_id", "child_id", "component", "src_row")
     kept = resolved.where("kept").select("service_id", "child_id", "component", F.col("src_row").alias("kept_row")).join(timed.select(F.col("src_row").alias("kept_row"), F.col("e").alias("kept_end")), "kept_row")
-    pairs = recurring_conflicts(recurring)
-    partner = pairs.select(F.col("a").alias("src_row"), F.col("b").alias("other")).unionAll(pairs.select("b", "a")).groupBy("src_row").agg(F.min("other").alias("other"))
+    partner = first_partners(removed, recurring)
     found = removed.join(kept, ["service_id", "child_id", "component"]).join(partner, "src_row").join(timed, "src_row").join(timed.toDF("other", "s2", "e2", "days2"), "other")
     shared = F.col("days").bitwiseAND(F.col("days2"))
     reason = F.concat(F.lit("Overlapping recurring schedules: date overlap "), dates.shown(F.greatest("s", "s2")), F.lit("–"), dates.shown(F.least("e", "e2")), F.lit(", shared booked days: "), text.days_of(shared),
@@ -115,20 +149,35 @@ def surviving(recurring: DataFrame, resolved: DataFrame) -> DataFrame:
     return recurring.join(resolved.where("not kept").select("src_row"), "src_row", "left_anti")
 
 
+def _residues(s: Column, days: Column, fortnightly: Column) -> Column:
+    """A bit for each day number modulo 14 on which a booking that starts on day number `s` takes place.
+
+    In a fortnightly pattern the week is that of the days since its start, else the first.
+    """
+    bits = []
+    for r in range(14):
+        # Day 719,528 was a Thursday, the fourth weekday.
+        weekday = (r - 719_528 + 3) % 7
+        week = F.when(fortnightly, F.floor(F.pmod(F.lit(r) - s, F.lit(14)) / 7)).otherwise(0)
+        bits.append(F.when(F.call_function("getbit", days, (week * 7 + weekday).cast("int")) == 1, 1 << r).otherwise(0))
+    return sum(bits[1:], bits[0])
+
+
 def casual_overlaps(casual: DataFrame, recurring: DataFrame) -> DataFrame:
     """Casual bookings on a day that a recurring one of the same child, service and room covers: (src_row, recurring_row, same_fee).
 
-    The first recurring row in order counts. In a fortnightly pattern the week is
-    that of the days since its start.
+    The first recurring row in order counts. It is asked of an index of spans of days,
+    which keeps the first row for each day of a fortnight.
     """
     key = ["service_id", "child_id", "room_key"]
-    c = _timed(casual).where("s is not null").select(*key, "src_row", F.col("s").alias("day"), F.trim("fee").alias("fee"))
-    r = _timed(recurring).where("s is not null and e is not null").select(*key, F.col("src_row").alias("recurring_row"), "s", "e", "days", F.lower(text.strip("week_type")).alias("kind"), F.trim("fee").alias("fee2"))
-    week = F.when(F.col("kind") == "fortnightly", F.floor(F.datediff("day", "s") / 7) % 2).otherwise(0)
-    bit = (F.weekday("day") + 7 * week).cast("int")
-    hit = c.join(r, key).where((F.col("day") >= F.col("s")) & (F.col("day") <= F.col("e"))).where(F.col("days").bitwiseAND(F.pow(F.lit(2), bit).cast("int")) != 0)
-    first = hit.groupBy("src_row").agg(F.min_by(F.struct("recurring_row", (F.col("fee") == F.col("fee2")).alias("same_fee")), "recurring_row").alias("f"))
-    return first.select("src_row", "f.*")
+    c = _timed(casual).where("s is not null").select(*key, "src_row", day_number(F.col("s")).alias("day"), F.trim("fee").alias("fee"))
+    c = written(c.withColumn("slot", F.call_function("shiftleft", F.lit(1), F.col("day") % 14)), "casual")
+    r = _timed(recurring).select(*key, F.col("src_row").alias("recurring_row"), day_number(F.col("s")).alias("s"), day_number(F.col("e")).alias("e"), "days", F.lower(text.strip("week_type")).alias("kind"), F.trim("fee").alias("fee2"))
+    r = written(r, "recurring").where("s is not null and e is not null").withColumn("on", _residues(F.col("s"), F.col("days"), F.col("kind") == "fortnightly"))
+    levels = levels_for(r, "s", "e")
+    index = least_by_span(r, key, spans_of(F.col("s"), F.col("e"), levels), "recurring_row", "on")
+    hit = ask(c, key, spans_at(F.col("day"), levels), "src_row", "slot", index).withColumnRenamed("found", "recurring_row")
+    return hit.join(c.select("src_row", "fee"), "src_row").join(r.select("recurring_row", "fee2"), "recurring_row").select("src_row", "recurring_row", (F.col("fee") == F.col("fee2")).alias("same_fee"))
 
 
 def overlap_report(casual: DataFrame, recurring: DataFrame, overlaps: DataFrame) -> DataFrame:

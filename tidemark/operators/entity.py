@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators.components import block_components
+from tidemark.operators.components import LOCAL, block_components
 from tidemark.plans.lineage import written
 
 PHONES, EMAILS = ("Contact_Mobile", "Contact_Home", "Work_Phone"), ("Email", "Work_Email")
@@ -117,18 +120,73 @@ def _taken_over(p: DataFrame, field: str) -> DataFrame:
             return phones.select("ord").distinct().join(ptr, "ord", "left").select("ord", F.coalesce("parent", "ord").alias("source"))
 
 
-def auto_link(p: DataFrame) -> DataFrame:
+class _Phone:
+    """Of one phone, the latest profile so far that has a field, and the latest of another base id than that one's."""
+
+    __slots__ = ("latest", "other")
+
+    def __init__(self):
+        self.latest = self.other = None
+
+    def linked(self, base: str):
+        if self.latest is None or self.latest[1] != base or base == "":
+            return self.latest
+        return self.other
+
+    def add(self, profile: tuple) -> None:
+        if self.latest is not None and self.latest[1] != profile[1]:
+            self.other = self.latest
+        self.latest = profile
+
+
+def _linked_in_order(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """(ord, fields) of rows (first, last, dob, ord, base, contacts, fields) sorted by person and order.
+
+    One pass over a person's profiles: what each takes over depends on earlier ones alone.
+    """
+    now, phones = None, {}
+    for b in batches:
+        persons = zip(*(b.column(c).to_pylist() for c in PERSON))
+        out = [[] for _ in fields]
+        values = zip(*(b.column(f).to_pylist() for f in fields))
+        for person, ord_, base, contacts, own in zip(persons, b.column("ord").to_pylist(), b.column("base").to_pylist(), b.column("contacts").to_pylist(), values):
+            if person != now:
+                now, phones = person, {}
+            for i, value in enumerate(own):
+                mine = [phones.setdefault((i, c), _Phone()) for c in contacts]
+                best = max((x for x in (m.linked(base) for m in mine) if x is not None), default=None)
+                value = best[2] if best is not None else value
+                if value != "":
+                    for m in mine:
+                        m.add((ord_, base, value))
+                out[i].append(value)
+        yield pa.RecordBatch.from_arrays([b.column("ord"), *(pa.array(x, pa.string()) for x in out)], names=["ord", *fields])
+
+
+def auto_link(p: DataFrame, local: int = LOCAL) -> DataFrame:
     """(ord, legacy, crn) after linking: of each pair in order the later takes over what the earlier then has, blanks apart.
 
     What a profile ends up with is thus what its latest linked predecessor with a value
     ends up with. Matches go by the ids as they were; ids and CRNs are taken over as written.
+    Profiles of one person (name and birth date) are followed in order in one pass, whatever
+    the chains among them; persons of more than `local` profiles go through rounds instead.
     """
     own = written(p.where("dob <> '' and size(contacts) > 0").select(*PERSON, "ord", "legacy", "contacts", "legacy_id", "crn"), "profiles")
-    out = own.select("ord")
+    # There are at most as many such persons as the profiles over `local`.
+    large = written(own.groupBy(*PERSON).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select(*PERSON), "large")
+    none = large.isEmpty()
+    few = own if none else own.join(F.broadcast(large), PERSON, "left_anti")
+    placed = few.select(*PERSON, "ord", text.base_id("legacy").alias("base"), "contacts", "legacy_id", "crn").repartition(*PERSON).sortWithinPartitions(*PERSON, "ord")
+    kind = own.schema["ord"].dataType.simpleString()
+    out = placed.mapInArrow(lambda b: _linked_in_order(b, ["legacy_id", "crn"]), f"ord {kind}, legacy_id string, crn string").withColumnRenamed("legacy_id", "legacy")
+    if none:
+        return out
+    many = written(own.join(F.broadcast(large), PERSON, "left_semi"), "many")
+    rest = many.select("ord")
     for field, name in (("legacy_id", "legacy"), ("crn", "crn")):
-        source = _taken_over(own, field).join(own.select(F.col("ord").alias("source"), F.col(field).alias(name)), "source").drop("source")
-        out = out.join(source, "ord")
-    return out
+        source = _taken_over(many, field).join(many.select(F.col("ord").alias("source"), F.col(field).alias(name)), "source").drop("source")
+        rest = rest.join(source, "ord")
+    return out.unionByName(rest)
 
 
 def linked_rows(df: DataFrame, linked: DataFrame, row_col: str = "row_num") -> DataFrame:

@@ -207,7 +207,8 @@ def _template(v):
 
 
 def _kinds(v):
-    t = _template(v)
+    """Casual and recurring bookings of one written template, so that its dates are read once."""
+    t = written(_template(v), "template")
     return t.where("upper(week_type) = 'CASUAL'"), t.where("upper(week_type) <> 'CASUAL'")
 
 
