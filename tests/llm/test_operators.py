@@ -129,7 +129,7 @@ def test_base_spans_against_brute_force(spark, texts):
     assert {r.doc_id: r.s for r in got} == {i: base_by_hand(t or "") for i, t in rows}
 
 
-def spans_by_hand(texts, rounds=6, min_score=0.6, min_known=3):
+def spans_by_hand(texts, min_score=0.6, min_known=3):
     """Base and discovered spans of each text, by plain loops over all contexts."""
     lower = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t)
     find = lambda p, t: re.finditer(p, t, re.A)
@@ -152,7 +152,7 @@ def spans_by_hand(texts, rounds=6, min_score=0.6, min_known=3):
     for *_, v, c in seen:
         members[c].add(v)
     known, strong, found, last = {x: 1.0 for x in seeds}, set(), {}, None
-    for _ in range(rounds):
+    while True:
         score = {}
         for c, vs in members.items():
             for k in pii.KINDS:
@@ -165,7 +165,7 @@ def spans_by_hand(texts, rounds=6, min_score=0.6, min_known=3):
                 if (v, k) not in seeds and re.search(pii.FORMS[k], v, re.A):
                     rest[v, k] *= 1 - min(s, 0.999)
         strong, found = set(score), {x: 1 - r for x, r in rest.items() if 1 - r >= min_score}
-        now = (len(found), round(sum(found.values()), 6))
+        now = (len(found), round(sum(found.values()), 9))
         if now == last or not found:
             break
         last, known = now, {x: 1.0 for x in seeds} | found
@@ -236,7 +236,19 @@ def test_instances_that_were_found_induce_new_patterns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = lambda rounds: {r.doc_id for r in pii.find_personal_data(docs, rounds=rounds).collect() if r.spans and r.doc_id >= 100}
     assert found(1) == {100 + i for i in range(5)}
-    assert found(6) == {100 + i for i in range(5)} | {200 + i for i in range(5)} | {300}
+    assert found(6) == found(None) == {100 + i for i in range(5)} | {200 + i for i in range(5)} | {300}
+
+
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    """Eleven contexts, each confident by the values of the one before, as its own two new values are few."""
+    rows = [(i, f"Please ring Desk: +1 (555) 555-01{i:02d} today.") for i in range(12)]
+    values = [[f"555-{k:02d}{i:02d}-77" for i in range(5)] for k in range(12)]
+    rows += [(100 + i, f"Please ring Desk: {v} now.") for i, v in enumerate(values[0])]
+    for k in range(11):
+        rows += [(1000 * (k + 1) + i, f"Alpha{k} beta{k} {v} gone.") for i, v in enumerate(values[k] + values[k + 1][:2])]
+        rows += [(1000 * (k + 1) + 500 + i, f"Delta{k} gamma{k} {v} gone.") for i, v in enumerate(values[k + 1][:2] * 2 + values[k][:3] + values[k + 1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in pii.find_personal_data(docs).collect() if r.spans} == {i for i, s in spans_by_hand(dict(rows)).items() if s} and len(rows) > 150
 
 
 def test_contexts_of_very_long_words(spark):
@@ -507,19 +519,39 @@ def test_cross_parsing_by_hand():
         assert round(langid.costs([s], [parser])[0, 0] * len(s) / parser.bits) == phrases
 
 
+def test_phrases_cross_the_borders_of_cells(monkeypatch):
+    """Phrases longer than cells, texts that start anywhere in one, and many texts in one call."""
+    rng = random.Random(9)
+    text = bytes(rng.choices(b"abc", k=400)) + b" "
+    parser = langid.CrossParser(text)
+    texts = [text[40:300] * 3, text[:1], text[3:390], b"ab" * 300, b"z" * 40] + [bytes(rng.choices(b"abcz", k=rng.randrange(1, 150))) for _ in range(40)]
+    want = []
+    for s in texts:
+        phrases, i = 0, 0
+        while i < len(s):
+            n = 1
+            while i + n < len(s) and s[i : i + n + 1] in text:
+                n += 1
+            phrases, i = phrases + 1, i + n
+        want.append(phrases)
+    for cell in (1, 2, 7, 64, 512):
+        monkeypatch.setattr(langid, "CELL", cell)
+        normal = [t.replace(b"z", b"q") for t in texts]
+        got = langid.costs(normal, [parser])[:, 0] * [len(t) for t in texts] / parser.bits
+        assert got.round().astype(int).tolist() == want
+
+
 def test_scores_by_hand(spark):
     """One minus the best cost over the second best; ties go to the first language, and long texts are read whole."""
     train = {"aa": "the cat sat on the mat and ran", "bb": "der hund lief zum haus und zum see", "cc": "the cat sat on the mat and ran"}
 
     def cost(text, lang):
-        bits, phrases = math.log2(len(lang) + 2), 0
-        for cell in (text[i : i + 512] for i in range(0, len(text), 512)):
-            i = 0
-            while i < len(cell):
-                n = 1
-                while i + n < len(cell) and cell[i : i + n + 1] in lang + " " and cell[i] in lang + " ":
-                    n += 1
-                phrases, i = phrases + 1, i + n
+        bits, phrases, i = math.log2(len(lang) + 2), 0, 0
+        while i < len(text):
+            n = 1
+            while i + n < len(text) and text[i : i + n + 1] in lang + " " and text[i] in lang + " ":
+                n += 1
+            phrases, i = phrases + 1, i + n
         return phrases * bits / len(text)
 
     texts = {1: "the cat ran", 2: "haus zum see", 3: "zzz the", 4: "and sat on der see " * 2000, 5: "cat"}
@@ -536,6 +568,14 @@ def test_language_held_out_accuracy(spark):
     assert n > 100 and right >= 0.97 * n
 
 
+def test_names_that_differ_in_case_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two three", "en", "a")], "doc_id long, text string, lang string, source string").withColumns({c: F.lit("clash") for c in ("Hits", "LANG_PRED", "Size", "MEDIA", "Score")})
+    items = spark.createDataFrame([(7, "two three")], "item_id long, text string")
+    assert decontaminate.mark_overlaps(docs, items).select("hits").first().hits and langid.identify_language(docs, train=F.lit(True)).select("lang_pred", "score").first().lang_pred == "en"
+    mixed = mixing.mix_sources(docs)
+    assert mixed.select("size").first()["size"] == 3 and len({c.lower() for c in mixed.columns}) == len(mixed.columns)
+
+
 def test_letters(spark):
     rows = [(1, "123 ½ ²"), (2, "é"), (3, "漢字"), (4, "x")]
     docs = spark.createDataFrame([(i, t, None) for i, t in rows] + [(9, "hello world", "en"), (10, "hallo welt", "de")], "doc_id long, text string, lang string")

@@ -52,8 +52,9 @@ def add_columns(df: DataFrame, needs: list[str], adds: T.StructType, function: C
     `function` gets the lists of the columns `needs` (texts as UTF-8 bytes, null
     as None) and returns a list for each field of `adds`.
     """
-    names = {f.name for f in adds}
-    kept = [f for f in df.schema if f.name not in names]
+    # Spark tells no names apart that differ in case only.
+    names = {f.name.lower() for f in adds}
+    kept = [f for f in df.schema if f.name.lower() not in names]
     texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     arrow = to_arrow_schema(adds)
     keep = [f.name for f in kept]

@@ -10,8 +10,10 @@ Bound: `rows` labelled rows a language (those with the least hash of the id) and
 automata have at most twice as many states. Classified texts are read whole.
 
 Normal form: ASCII letters in lower case, bytes of other characters as they are,
-anything else a space. A phrase never crosses the border of a cell of `CELL`
-bytes, which lets all cells of a batch be parsed in step.
+anything else a space. All cells of `CELL` bytes of a batch are parsed in step, each
+from the start state; then each cell is followed again from the state in which the
+cell before it ended, until both parses are in one state, behind which they are
+the same. So phrases cross the borders of cells, and results don't depend on them.
 
 Defined cases: null, empty and letterless texts get `und` and score 0; rows with
 a null text or label train nothing; without any training rows every text gets
@@ -95,14 +97,37 @@ class CrossParser:
         self.table = self.table.ravel()
         self.bits = math.log2(len(text) + 1)
 
-    def phrases(self, cells: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases of each cell. cells: [byte, cell], cells by falling length; active: cells with that many bytes or more."""
-        state, count = np.full(cells.shape[1], self.start), np.zeros(cells.shape[1], np.int64)
-        for row, n in zip(cells, active):
+    def phrases(self, cells: np.ndarray, active: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each cell. cells: [byte, cell], cells by falling length; active: cells with that many bytes or more; before: the cell before each in its text, or -1."""
+        n_cells = cells.shape[1]
+        state, size = np.full(n_cells, self.start), np.zeros(n_cells, np.int64)
+        states, begins = np.empty(cells.shape, np.int32), np.zeros(cells.shape, np.int8)
+        for k, (row, n) in enumerate(zip(cells, active)):
             got = self.table[state[:n] + self.symbol[row[:n]]]
-            count[:n] += got & 1
+            begins[k, :n] = got & 1
             state[:n] = got >> 1
-        return count
+            states[k, :n] = state[:n]
+            size[:n] += 1
+        behind = np.full(n_cells, -1)
+        behind[before[before >= 0]] = np.flatnonzero(before >= 0)
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            own, now, k, ran_out = todo, state[before[todo]], 0, []
+            while len(own):
+                got = self.table[now + self.symbol[cells[k, own]]]
+                now = got >> 1
+                begins[k, own] = got & 1
+                going = states[k, own] != now
+                states[k, own] = now
+                own, now, k = own[going], now[going], k + 1
+                if len(own) and (over := size[own] == k).any():
+                    # A cell that ends in another state than before: the next one is followed again.
+                    state[own[over]] = now[over]
+                    ran_out.append(own[over])
+                    own, now = own[~over], now[~over]
+            todo = behind[np.concatenate(ran_out)] if ran_out else np.zeros(0, np.int64)
+            todo = todo[todo >= 0]
+        return begins.sum(axis=0, dtype=np.int64)
 
 
 def costs(texts: list[bytes], parsers: list[CrossParser]) -> np.ndarray:
@@ -117,9 +142,12 @@ def costs(texts: list[bytes], parsers: list[CrossParser]) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     cells = buffer[begin[order][None, :] + np.arange(int(size.max()))[:, None]]
     active = np.searchsorted(-size[order], -np.arange(1, len(cells) + 1), side="right")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    before = np.where(place[order] > 0, rank[order - 1], -1)
     out = np.empty((len(texts), len(parsers)))
     for k, p in enumerate(parsers):
-        total = np.bincount(owner[order], p.phrases(cells, active), len(texts))
+        total = np.bincount(owner[order], p.phrases(cells, active, before), len(texts))
         out[:, k] = total * p.bits / lengths
     return out
 

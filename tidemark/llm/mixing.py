@@ -104,7 +104,7 @@ def streams(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget: float, epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The documents (_row, _id, size, source_size, target, idx, at), and the targets."""
-    others = [c for c in docs.columns if c not in {text_col, *RESULT}]
+    others = [c for c in docs.columns if c.lower() not in {text_col.lower(), *RESULT}]
     plain = docs.select(F.struct(*others).alias("_row") if others else F.lit(None).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), F.md5(F.col(text_col).cast("binary")).alias("_text"))
     plain = written(plain, "sizes")
     targets = written(source_targets(plain.select("source", "size"), weights, budget, epochs), "targets")

@@ -9,7 +9,7 @@ the number of its instances, an instance's is 1 for a seed and else 1 minus the
 product of (1 - score) over its confident patterns. Patterns with enough known
 instances and score give their other instances, where these have the kind's form;
 those then count as known too, so that in the next round they induce patterns that
-no seed has. The rounds end when one changes nothing, or after `rounds`. Of
+no seed has. The rounds end when one changes nothing; `rounds` can end them before. Of
 discovered spans that overlap the longest stays, of equally long ones the first.
 Base spans always stay.
 
@@ -21,6 +21,8 @@ are replaced.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +154,7 @@ def _known_form() -> Column:
     return F.coalesce(*(F.when(F.col("kind") == k, _form(k, F.col("value"))) for k in KINDS), F.lit(False))
 
 
-def bootstrap(seen: DataFrame, *, rounds: int, min_score: float, min_known: int) -> tuple[DataFrame, DataFrame] | None:
+def bootstrap(seen: DataFrame, *, rounds: int | None, min_score: float, min_known: int) -> tuple[DataFrame, DataFrame] | None:
     """The confident patterns (context, kind) and the discovered instances (value, kind), or None.
 
     Of a pattern only counts and sums over its distinct instances are kept. A pattern of
@@ -166,12 +168,12 @@ def bootstrap(seen: DataFrame, *, rounds: int, min_score: float, min_known: int)
     links = written(join_groups(pairs, sizes, ["context"], "n", max(1000, edges.count() // 1000)), "links")
     seeds = written(edges.where("kind is not null").select("value", "kind").distinct(), "seeds")
     known, last, patterns, found = seeds.withColumn("score", F.lit(1.0)), None, None, None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         patterns = links.join(known, "value").groupBy("context", "kind").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("known"), F.max("n").alias("n"))
         patterns = written(patterns.withColumn("score", F.col("total") / F.col("n")).where((F.col("score") >= min_score) & (F.col("known") >= min_known)).select("context", "kind", "score"), "patterns")
         found = links.join(patterns, "context").where(_known_form()).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("score"))
         found = written(found.where(F.col("score") >= min_score).join(seeds, ["value", "kind"], "left_anti"), "found")
-        now = found.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6).alias("score")).first()
+        now = found.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 9).alias("score")).first()
         if not now.n:
             return None
         if now == last:
@@ -182,7 +184,7 @@ def bootstrap(seen: DataFrame, *, rounds: int, min_score: float, min_known: int)
     return patterns.select("context", "kind"), best
 
 
-def spans_by_text(docs: DataFrame, *, text_col: str = "text", rounds: int = 6, min_score: float = 0.6, min_known: int = 3) -> DataFrame:
+def spans_by_text(docs: DataFrame, *, text_col: str = "text", rounds: int | None = None, min_score: float = 0.6, min_known: int = 3) -> DataFrame:
     """(key, base, spans) of the texts that have spans, by the MD5 of the text; both by kind as listed, then start."""
     seen = written(occurrences(docs, text_col), "occurrences")
     one = F.struct("kind", "start", "end", F.col("raw").alias("value"))
@@ -202,7 +204,7 @@ def spans_by_text(docs: DataFrame, *, text_col: str = "text", rounds: int = 6, m
     return written(found.select("key", in_order(F.col("base")).alias("base"), in_order(F.concat("base", "more")).alias("spans")), "spans")
 
 
-def find_personal_data(docs: DataFrame, *, text_col: str = "text", rounds: int = 6, min_score: float = 0.6, min_known: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, text_col: str = "text", rounds: int | None = None, min_score: float = 0.6, min_known: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
     """Add base (the base spans) and spans (these and the discovered ones), by kind as listed, then start.
 
     Patterns are matched once a text; the spans then meet the rows by the text's MD5. Up to
