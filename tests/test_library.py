@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import bookings, components, entity, intervals, payments
+from tidemark.operators import bookings, components, entity, intervals, names, payments
 from tidemark.operators.components import block_components
 from tidemark.plans import lineage, numbering, repairs, rules
 from tidemark.sources import readers, sinks, split_csv
@@ -402,3 +402,12 @@ def test_lines_of_splits_are_their_rows(spark, tmp_path):
     sinks.write_splits(sinks._in_split(df, [], "n"), [], "_place", ["n"], str(tmp_path / "all"), span=1000)
     (one,) = (tmp_path / "all").glob("part=0/*.csv")
     assert one.read_text().split() == ["n", *(str(k) for k in range(1, 400))]
+
+
+def test_names_that_contain_a_word(spark):
+    rng = random.Random(8)
+    defined = list({(rng.choice("kl"), "".join(rng.choices("abAB ", k=rng.randrange(1, 9)))) for _ in range(150)})
+    words = list({(rng.choice("klm"), "".join(rng.choices("ab", k=rng.randrange(1, 6)))) for _ in range(60)})
+    got = names.containing(spark.createDataFrame(words, "key string, word string"), spark.createDataFrame(defined, "key string, defined string"))
+    want = {(k, w, d) for k, w in words for key, d in defined if key == k and w in d.lower()}
+    assert {(r.key, r.word, r.defined) for r in got.collect()} == want and got.count() == len(want) > 300

@@ -112,6 +112,14 @@ SELECT CAST(c_custkey + 2 AS BIGINT) AS row_num, 'Kid' || CAST(c_custkey AS STRI
  CASE WHEN c_custkey % 10 = 0 THEN repeat('s', 201) ELSE repeat('s', 200) END AS School,
  CASE WHEN c_custkey % 11 = 0 THEN repeat(' ', 51) ELSE '' END AS Parent1_Gender
 FROM customer
+""",
+    "fx_second_parents": """
+SELECT row_num, Status, CASE WHEN c % 4 = 0 THEN '' ELSE one END AS Parent1_CRN, CASE WHEN c % 3 = 0 THEN ' ' ELSE 'p' || CAST(c AS STRING) || '@example.com' END AS Parent1_Email,
+ CASE WHEN c % 5 = 0 THEN '' ELSE 'P' || CAST(c AS STRING) END AS Parent1_Legacy_Account_ID, two AS Parent2_CRN,
+ CASE WHEN c % 7 = 0 THEN '' ELSE 'q' || CAST(CAST(floor(c / 3) AS BIGINT) AS STRING) || '@Example.com' END AS Parent2_Email,
+ CASE c % 6 WHEN 0 THEN '' WHEN 1 THEN one WHEN 2 THEN two WHEN 3 THEN lower(two) WHEN 4 THEN '  ' ELSE '123456789Z' END AS Enrolment_Parent_CRN
+FROM (SELECT CAST(c_custkey + 2 AS BIGINT) AS row_num, c_custkey AS c, CASE c_custkey % 10 WHEN 0 THEN 'Waitlist' WHEN 1 THEN 'waitlist ' ELSE 'Active' END AS Status,
+ lpad(CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS STRING), 9, '9') || 'B' AS one, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE lpad(CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS STRING), 9, '8') || 'C' END AS two FROM customer)
 """,
     "fx_dates": """
 SELECT CAST(o_orderkey AS BIGINT) AS src_row, CASE o_orderkey % 8

@@ -168,9 +168,19 @@ def crn_email_registry(v):
     return crossrow.crn_registry(v("fx_families"), "Parent1").select("row_num", "key", "n", "emails")
 
 
-@query("SELECT row_num, Child_CRN AS value FROM fx_families WHERE Child_CRN <> '' AND Child_CRN <> Parent1_CRN")
+@query("SELECT row_num, trim(Enrolment_Parent_CRN) AS value FROM fx_second_parents WHERE trim(Enrolment_Parent_CRN) <> '' AND trim(Enrolment_Parent_CRN) NOT IN (Parent1_CRN, Parent2_CRN)")
 def enrolment_crn_unknown(v):
-    return crossrow.enrolment_crn_unknown(v("fx_families").withColumn("Enrolment_Parent_CRN", F.col("Child_CRN")))
+    return crossrow.enrolment_crn_unknown(v("fx_second_parents"))
+
+
+@query("""SELECT row_num, 'own_even_room' AS rule, 'Room_Name' AS field, 'WARNING' AS severity, Room_Name AS value FROM fx_families WHERE trim(Room_Name) = 'BUILDING' AND Status = 'Active'
+UNION ALL SELECT row_num, 'postcode', 'PostCode', 'WARNING', PostCode FROM fx_families WHERE PostCode = '30x0'""")
+def issues_of_own_rules(v):
+    """A rule of the user's own beside those of the library, and one on a column that the table lacks."""
+    f = v("fx_families")
+    own = [rules.Rule("own_even_room", "Room_Name", "WARNING", (text.strip("Room_Name") == "BUILDING") & (F.col("Status") == "Active"), "not for active children", ("Room_Name", "Status"))]
+    known = [r for r in rules.row_rules(f.columns, AS_OF) if r.name == "postcode"]
+    return rules.issues(f, known + own, ["row_num"]).select("row_num", "rule", "field", "severity", "value")
 
 
 _WITH_SERVICE = f"i AS ({_ISSUES}), x AS (SELECT i.*, ServiceID AS service FROM i JOIN fx_families USING (row_num))"
@@ -559,11 +569,13 @@ def further_row_issues(v):
     return rules.issues(f, some, ["row_num"]).groupBy("rule", "field", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("row_num").alias("first_row"))
 
 
-@query("SELECT row_num, 'WARNING' AS severity FROM fx_families WHERE lower(Status) = 'waitlist'")
+@query("""SELECT row_num, 'WARNING' AS severity FROM fx_second_parents WHERE lower(trim(Status)) = 'waitlist' AND trim(Parent1_Email) = '' AND Parent1_CRN = '' AND Parent1_Legacy_Account_ID = ''
+UNION ALL SELECT row_num + 10000000, 'WARNING' FROM fx_second_parents WHERE lower(trim(Status)) = 'waitlist'""")
 def waitlist_without_guardian(v):
-    """The rule on rows that have none of the columns that name a guardian."""
-    f = v("fx_families").select("row_num", "Status")
-    return rules.issues(f, [r for r in rules.row_rules(f.columns, AS_OF) if r.name == "waitlist_guardian"], ["row_num"]).select("row_num", "severity")
+    """The rule on waitlisted rows with and without a guardian, and on a table that has none of the columns that name one."""
+    f = v("fx_second_parents")
+    found = lambda df: rules.issues(df, [r for r in rules.row_rules(df.columns, AS_OF) if r.name == "waitlist_guardian"], ["row_num"]).select("row_num", "severity")
+    return found(f).unionByName(found(f.select((F.col("row_num") + 10_000_000).alias("row_num"), "Status")))
 
 
 _NAMES = ["MON1", "TUE1", "WED1", "THU1", "FRI1", "SAT1", "SUN1", "MON2", "TUE2", "WED2", "THU2", "FRI2", "SAT2", "SUN2"]
@@ -685,11 +697,10 @@ def duplicate_child_crns(v):
     return crossrow.duplicate_values(v("fx_families"), "Child_CRN").select("row_num", "key", "n")
 
 
-@query("""WITH k AS (SELECT lower(Parent1_CRN) AS key FROM fx_families WHERE row_num % 3 <> 0 GROUP BY 1 HAVING count(DISTINCT lower(Parent1_Email)) > 1)
-SELECT row_num, key FROM fx_families JOIN k ON key = lower(Parent1_CRN) WHERE row_num % 3 <> 0""")
+@query("""WITH k AS (SELECT lower(Parent2_CRN) AS key, string_agg(DISTINCT lower(Parent2_Email), ', ' ORDER BY lower(Parent2_Email)) FILTER (Parent2_Email <> '') AS emails FROM fx_second_parents WHERE Parent2_CRN <> '' GROUP BY 1
+ HAVING count(DISTINCT lower(Parent2_Email)) FILTER (Parent2_Email <> '') > 1) SELECT row_num, key, emails FROM fx_second_parents JOIN k ON key = lower(Parent2_CRN)""")
 def crn_email_registry_of_second_parents(v):
-    f = v("fx_families").where("row_num % 3 <> 0").select("row_num", F.col("Parent1_CRN").alias("Parent2_CRN"), F.col("Parent1_Email").alias("Parent2_Email"))
-    return crossrow.crn_registry(f, "Parent2").select("row_num", "key")
+    return crossrow.crn_registry(v("fx_second_parents"), "Parent2").select("row_num", "key", "emails")
 
 
 @query(_BALANCES + " SELECT count(DISTINCT centre) AS outputs, count(*) AS rows, (SELECT count(DISTINCT trim(centre_name)) FROM fx_balances WHERE trim(centre_name) NOT IN (SELECT service_name FROM fx_service_map)) AS skipped FROM r")
