@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text
 from tidemark.operators import bookings, components, entity, intervals, names, payments
 from tidemark.operators.components import block_components
-from tidemark.plans import lineage, numbering, repairs, rules
+from tidemark.plans import issue_log, lineage, numbering, repairs, rules
 from tidemark.sources import readers, sinks, split_csv
 from tidemark.streaming.rules import stream_issues
 
@@ -411,3 +411,17 @@ def test_names_that_contain_a_word(spark):
     got = names.containing(spark.createDataFrame(words, "key string, word string"), spark.createDataFrame(defined, "key string, defined string"))
     want = {(k, w, d) for k, w in words for key, d in defined if key == k and w in d.lower()}
     assert {(r.key, r.word, r.defined) for r in got.collect()} == want and got.count() == len(want) > 300
+
+
+def test_log_of_a_families_run(families):
+    """All passes in order, numbered on; a user's own rule is one of the row rules."""
+    df, service_map = families
+    own = rules.Rule("no_blue", "Room_Name", "WARNING", F.col("Room_Name") == "Blue", "blue is closed", ("Room_Name",))
+    log = issue_log.families_log(df, service_map, "2025-01-01", [own]).orderBy("ordinal").collect()
+    assert [r.ordinal for r in log] == list(range(1, len(log) + 1)) and [r["pass"] for r in log] == sorted(r["pass"] for r in log)
+    got = {(r.pass_name, r.row_num, r.field, r.severity) for r in log}
+    assert {("services", 6, "ServiceID", "FIXED"), ("states", 5, "State", "FIXED"), ("repairs", 2, "Child_Legacy_Id", "FIXED"), ("row rules", 3, "Room_Name", "ERROR"), ("row rules", 4, "DOB", "ERROR"), ("row rules", 2, "Room_Name", "WARNING"), ("linked parents", 6, "Parent1_Legacy_Account_ID", "FIXED")} <= got
+    texts = {(r.row_num, r.field, r.tag): (r.text, r.child_name) for r in log}
+    assert texts[4, "DOB", "date"] == ("DOB '2020-13-40': no date", "Ann Lee") and texts[2, "Room_Name", "no_blue"][0] == "Room_Name 'Blue': blue is closed"
+    assert next(r.meta for r in log if r.field == "State") == {"after": "VIC"}
+    assert issue_log.families_log(df.limit(0), service_map, "2025-01-01").count() == 0

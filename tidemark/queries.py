@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import view, with_views
 from tidemark.functions import dates, text
 from tidemark.operators import balances, bookings, crossrow, entity, names, payments, reports
-from tidemark.plans import lineage, repairs, rules
+from tidemark.plans import issue_log, lineage, repairs, rules
 from tidemark.plans.lineage import written
 from tidemark.plans.numbering import in_sequence
 from tidemark.sources import readers, sinks, split_csv
@@ -922,3 +922,63 @@ def quoted_csv_by_ranges(v):
     paths = _files(f.select("row_num", name.alias("name"), note.alias("note"), F.trim("Room_Name").alias("Room_Name")), "quoted", "row_num")
     table = split_csv.csv_table(f.sparkSession, paths, range_bytes=16_000)
     return table.rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("row_num", "name", "note", "Room_Name")))
+
+
+#: Row rules of the log: rank, rule, field, severity, the column that is shown, its test on the repaired rows, and what is wrong.
+_LOGGED_RULES = (
+    [(1, "mandatory", f, "ERROR", f, f"{_T(f)} = ''", "mandatory value is missing") for f in ("ServiceID", "Child_Legacy_Id", "Child_First_Name", "Child_Last_Name", "DOB", "Status", "Child_CRN", "Room_Name")]
+    + [(2, "mandatory_parent", f, "ERROR", f, f"(Parent2_First_Name <> '' OR Parent2_Last_Name <> '' OR Parent2_Email <> '') AND {f} = ''", "value is missing though the parent is given") for f in ("Parent2_DOB", "Parent2_Legacy_Account_ID", "Parent2_Email")]
+    + [(3, "date", f, "ERROR", f, f"{_T(f)} <> '' AND ({_DATE(_T(f))}) IS NULL", "no date") for f in ("DOB", "Enrolment_Start_Date", "Parent1_DOB", "Parent2_DOB")]
+    + [(4, "crn", f, "ERROR", f, rf"{_T(f)} <> '' AND NOT regexp_matches({_T(f)}, '^\d{{9}}[A-Za-z]$')", "no CRN") for f in ("Child_CRN", "Parent1_CRN")]
+    + [(5, "phone", f, "WARNING", f, rf"{_T(f)} <> '' AND NOT (regexp_matches({_PLAIN(f)}, '^4\d{{8}}$') OR regexp_matches({_PLAIN(f)}, {_PHONE}))", "no phone number") for f in ("Parent1_Contact_Mobile", "Parent2_Contact_Mobile")]
+    + [(6, "email", f, "ERROR", f, f"{_T(f)} <> '' AND NOT regexp_matches({_T(f)}, {_MAIL})", "no e-mail address") for f in ("Parent1_Email", "Parent2_Email", "EmergencyContact1_Email", "EmergencyContact2_Email")]
+    + [(7, "status", "Status", "ERROR", "Status", "lower(Status) NOT IN ('active', 'inactive', 'waitlist')", "unknown status"), (8, "boolean", "EmergencyContact1_Emergency_Contact", "ERROR", "EmergencyContact1_Emergency_Contact", "lower(EmergencyContact1_Emergency_Contact) NOT IN ('0', '1', 'yes', 'no', 'true', 'false')", "no yes/no value"), (8, "boolean", "Consents_Photos_Videos", "ERROR", "Consents_Photos_Videos", "Consents_Photos_Videos NOT IN ('', '0', '1', 'yes', 'no', 'true', 'false')", "no yes/no value")]
+    + [(9, "state", "State", "ERROR", "State", "trim(State) <> '' AND upper(trim(State)) NOT IN ('NSW','VIC','QLD','SA','WA','TAS','ACT','NT')", "unknown state"), (10, "postcode", "PostCode", "WARNING", "PostCode", rf"{_T('PostCode')} <> '' AND NOT regexp_matches({_T('PostCode')}, '^\d{{4}}$')", "no postcode")]
+    + [(11, "waitlist_past", "Status / Enrolment_Start_Date", "ERROR", "Status", f"lower(Status) = 'waitlist' AND ({_DATE('Enrolment_Start_Date')}) < DATE '{AS_OF}'", "waitlisted past the start"), (12, "start_before_birth", "Enrolment_Start_Date", "ERROR", "Enrolment_Start_Date", f"({_DATE('Enrolment_Start_Date')}) < ({_DATE('DOB')})", "starts before birth")]
+)
+_LOGGED = " UNION ALL ".join(f"SELECT 4 AS pass, row_num, {rank} AS place, '{field}' AS field, '{severity}' AS severity, '{field}' || CASE WHEN {_T(shown)} = '' THEN ': ' ELSE ' ''' || {shown} || ''': ' END || '{message}' AS text, '' AS action, '{rule}' AS tag FROM rep WHERE {test}" for rank, rule, field, severity, shown, test, message in _LOGGED_RULES)
+_FIX = lambda pass_, place, field, before, after, action, tag="NULL": f"SELECT {pass_} AS pass, row_num, {place} AS place, '{field}' AS field, 'FIXED' AS severity, '{field} ''' || {before} || ''' became ''' || {after} || ''': {action.replace(chr(39), chr(39) * 2)}' AS text, '{action.replace(chr(39), chr(39) * 2)}' AS action, {tag} AS tag FROM fixed WHERE {before} <> {after}"
+_FAMILIES_LOG = (
+    "WITH RECURSIVE " + _KEYS.removeprefix("WITH ") + f""",
+scope AS (SELECT * EXCLUDE (src, t, n, ServiceID, Service_Name), t AS ServiceID, CASE WHEN trim(Service_Name) <> '' THEN n ELSE Service_Name END AS Service_Name FROM m WHERE t IS NOT NULL),
+{_MODAL.replace('fx_families', 'scope')},
+stated AS (SELECT scope.* EXCLUDE (State), State AS old_state, CASE WHEN trim(State) = '' THEN '' WHEN upper(trim(State)) IN ('NSW','VIC','QLD','SA','WA','TAS','ACT','NT') THEN upper(trim(State)) {_SPELL} ELSE coalesce(modal_state, trim(State)) END AS State FROM scope LEFT JOIN modal ON service = ServiceID),
+a AS (SELECT *, CASE WHEN lower(Parent2_Email) = lower(Parent1_Email) THEN '' ELSE Parent2_Email END AS p2, CASE WHEN lower(EmergencyContact2_Email) = lower(EmergencyContact1_Email) THEN '' ELSE EmergencyContact2_Email END AS e2 FROM stated),
+fixed AS (SELECT *, CASE WHEN Child_CRN = Parent1_CRN THEN '' ELSE Child_CRN END AS crn2, CASE WHEN Child_First_Name = '' THEN Child_Last_Name ELSE Child_First_Name END AS first2, CASE WHEN Child_Legacy_Id = '0' THEN '0' ELSE ServiceID || '_' || Child_Legacy_Id END AS id2,
+ CASE WHEN regexp_matches({_PLAIN('Parent1_Contact_Mobile')}, '^[1-9]\\d*$') THEN '0' || Parent1_Contact_Mobile ELSE Parent1_Contact_Mobile END AS tel2, CASE WHEN Consents_Photos_Videos = '' THEN 'N' ELSE Consents_Photos_Videos END AS consent2,
+ CASE lower(EmergencyContact1_Emergency_Contact) WHEN 'true' THEN '1' WHEN 'false' THEN '0' ELSE EmergencyContact1_Emergency_Contact END AS flag2,
+ CASE WHEN lower(EmergencyContact1_Email) IN (lower(Parent1_Email), lower(p2)) THEN '' ELSE EmergencyContact1_Email END AS e1, CASE WHEN lower(e2) IN (lower(Parent1_Email), lower(p2)) THEN '' ELSE e2 END AS e2b FROM a),
+rep AS (SELECT * EXCLUDE (p2, e1, e2, e2b, crn2, first2, id2, tel2, consent2, flag2, old_state) REPLACE (p2 AS Parent2_Email, e1 AS EmergencyContact1_Email, e2b AS EmergencyContact2_Email, crn2 AS Child_CRN, first2 AS Child_First_Name, id2 AS Child_Legacy_Id, tel2 AS Parent1_Contact_Mobile, consent2 AS Consents_Photos_Videos, flag2 AS EmergencyContact1_Emergency_Contact) FROM fixed),
+""" + _LINKED.removeprefix("WITH RECURSIVE ").replace("fx_families", "rep") + """,
+x AS (SELECT row_num, trim(ServiceID) AS given, src, t, n, trim(coalesce(Service_Name, '')) AS old FROM m),
+i AS (SELECT p.*, x.row_num AS ra, y.row_num AS rb, x.slot AS sa, y.slot AS sb, 'DOB: ' || x.birth || ', Contact: ' || contact AS matched_on, linked.legacy AS l, linked.crn AS c FROM p JOIN raw x ON x.ord = a JOIN raw y ON y.ord = b JOIN linked ON linked.ord = a),
+ids AS (SELECT lower(Child_Legacy_Id) AS k, count(*) AS n, min(row_num) AS f FROM rep GROUP BY 1 HAVING count(*) > 1), crns AS (SELECT lower(Child_CRN) AS k, count(*) AS n, min(row_num) AS f FROM rep WHERE trim(Child_CRN) <> '' GROUP BY 1 HAVING count(*) > 1),
+m1 AS (SELECT lower(Parent1_Email) AS k, count(*) AS n FROM rep GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT lower(Parent1_CRN)) > 1), m2 AS (SELECT lower(Parent2_Email) AS k, count(*) AS n FROM rep WHERE Parent2_Email <> '' GROUP BY 1 HAVING count(*) > 1),
+many AS (SELECT lower(Parent1_CRN) AS k, string_agg(DISTINCT lower(Parent1_Email), ', ' ORDER BY lower(Parent1_Email)) AS mails FROM rep GROUP BY 1 HAVING count(DISTINCT lower(Parent1_Email)) > 1),
+log AS (SELECT 1 AS pass, row_num, 0 AS place, 'ServiceID' AS field, 'FIXED' AS severity, 'Source service ID ''' || given || ''' mapped to target service ID ''' || t || ''' (' || n || ').' AS text, 'Service ID updated: ' || given || ' → ' || t || ' (' || n || ')' AS action, NULL AS tag FROM x WHERE src = 'source'
+UNION ALL SELECT 1, row_num, 0, 'ServiceID', 'FIXED', 'Service name ''' || given || ''' resolved to target service ID ''' || t || ''' (' || n || ').', 'Service ID updated from name: ''' || given || ''' → ''' || t || ''' (' || n || ')', NULL FROM x WHERE src = 'name'
+UNION ALL SELECT 1, row_num, 0, 'ServiceID', 'WARNING', 'Service ID ''' || given || ''' was not found in the service map (checked as target ID, source ID and name).', '', NULL FROM x WHERE src IS NULL
+UNION ALL SELECT 1, row_num, 1, 'Service_Name', 'FIXED', 'Service_Name ''' || old || ''' does not match the canonical name ''' || n || ''' for service ID ''' || t || '''.', 'Service_Name corrected: ''' || old || ''' → ''' || n || '''', NULL FROM x WHERE t IS NOT NULL AND old <> '' AND old <> n
+UNION ALL """ + " UNION ALL ".join([
+    _FIX(2, 0, "State", "old_state", "State", "set to a state's code"),
+    _FIX(3, 0, "Parent2_Email", "Parent2_Email", "p2", "cleared repeated address", "'duplicate_parent_email'"), _FIX(3, 0, "EmergencyContact2_Email", "EmergencyContact2_Email", "e2", "cleared repeated address"),
+    _FIX(3, 1, "Child_CRN", "Child_CRN", "crn2", "cleared a parent's CRN"), _FIX(3, 2, "Child_First_Name", "Child_First_Name", "first2", "took the last name"), _FIX(3, 3, "Child_Legacy_Id", "Child_Legacy_Id", "id2", "marked the id"),
+    _FIX(3, 4, "Parent1_Contact_Mobile", "Parent1_Contact_Mobile", "tel2", "added the leading zero"), _FIX(3, 5, "Consents_Photos_Videos", "Consents_Photos_Videos", "consent2", "set to N"), _FIX(3, 6, "EmergencyContact1_Emergency_Contact", "EmergencyContact1_Emergency_Contact", "flag2", "written as 0 or 1"),
+    _FIX(3, 7, "EmergencyContact1_Email", "EmergencyContact1_Email", "e1", "cleared a parent's address", "'redundant_ec'"), _FIX(3, 7, "EmergencyContact2_Email", "e2", "e2b", "cleared a parent's address", "'redundant_ec'"), _LOGGED,
+]) + """ UNION ALL SELECT 5, row_num, 0, 'Child_Legacy_Id', 'ERROR', 'Child_Legacy_Id ''' || k || ''' is that of ' || n || ' rows, the first of which is row ' || f, '', NULL FROM rep JOIN ids ON k = lower(Child_Legacy_Id)
+UNION ALL SELECT 5, row_num, 1, 'Child_CRN', 'ERROR', 'Child_CRN ''' || k || ''' is that of ' || n || ' rows, the first of which is row ' || f, '', NULL FROM rep JOIN crns ON k = lower(Child_CRN)
+UNION ALL SELECT 6, row_num, 0, 'Parent1_Email', 'ERROR', 'Parent1_Email ''' || k || ''' is that of ' || n || ' rows', '', NULL FROM rep JOIN m1 ON k = lower(Parent1_Email)
+UNION ALL SELECT 6, row_num, 1, 'Parent2_Email', 'WARNING', 'Parent2_Email ''' || k || ''' is that of ' || n || ' rows', '', NULL FROM rep JOIN m2 ON k = lower(Parent2_Email)
+UNION ALL SELECT 7, row_num, 0, 'Parent1_CRN / Parent1_Email', 'ERROR', 'Parent1_CRN ''' || k || ''' goes with the addresses ' || mails, '', NULL FROM rep JOIN many ON k = lower(Parent1_CRN)
+UNION ALL SELECT 9, ra, 0, sa || '_Legacy_Account_ID', 'FIXED', sa || '_Legacy_Account_ID is that of the parent in row ' || rb || ' (' || matched_on || ')', 'Kept as first-created profile; row ' || rb || ' linked to it', 'intra_file_duplicate_parent' FROM i
+UNION ALL SELECT 9, rb, 0, sb || '_Legacy_Account_ID', 'FIXED', sb || '_Legacy_Account_ID is that of the parent in row ' || ra || ' (' || matched_on || ')', 'Linked to first-created profile at row ' || ra || ' (legacy ''' || l || ''', CRN ''' || c || ''')', 'intra_file_duplicate_parent' FROM i)
+SELECT row_number() OVER (ORDER BY pass, log.row_num, place, field, text) AS ordinal, pass, log.row_num, trim(f.Child_First_Name || ' ' || f.Child_Last_Name) AS child_name, field, severity, text, action, coalesce(tag, '') AS tag
+FROM log JOIN fx_families f ON f.row_num = log.row_num"""
+)
+
+
+@query(_FAMILIES_LOG)
+def families_log(v):
+    """All passes of a whole families run in one log, in order."""
+    log = issue_log.families_log(v("fx_families"), v("fx_service_map"), AS_OF)
+    return log.select("ordinal", "pass", "row_num", "child_name", "field", "severity", "text", "action", F.coalesce("tag", F.lit("")).alias("tag"))
