@@ -248,6 +248,8 @@ def csv_records(spark: SparkSession, paths: list[str], *, sep: str = ",", range_
     """The records of files, folders' files and patterns, which are parsed by none of the passes."""
     found = list(dict.fromkeys(listed(spark, paths)))
     files, size = [f for f, _, _ in found], max(range_bytes, sum(n for _, _, n in found) // MOST_RANGES + 1)
+    if not files:
+        return Records(spark.createDataFrame([], "file int, record long, text string"), [], [], [])
     # Rows carry a file's name as a hash, as names would outweigh lines; an empty host is spelled in two ways.
     spelled = [(i, form) for i, (_, shown, _) in enumerate(found) for form in dict.fromkeys((shown, re.sub(r"^([A-Za-z0-9+.-]+):/(?!/)", r"\1:///", shown)))]
     order = {r.h: r.i for r in spark.createDataFrame(spelled, "i int, p string").select("i", F.xxhash64("p").alias("h")).collect()}
@@ -259,7 +261,9 @@ def csv_records(spark: SparkSession, paths: list[str], *, sep: str = ",", range_
         own.conf.set(f"spark.sql.files.{key}", str(value))
     own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     path, start = F.xxhash64("_metadata.file_path"), F.col("_metadata.file_block_start")
-    lines = own.read.option("lineSep", "\n").text(files).select(F.col("value").cast("binary").alias("value"), path.alias("path"), start.alias("start"))
+    # Names are names here, not patterns.
+    names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]
+    lines = own.read.option("lineSep", "\n").text(names).select(F.col("value").cast("binary").alias("value"), path.alias("path"), start.alias("start"))
     mark = sep.encode()
     states = lines.mapInArrow(lambda b: _range_states(b, mark), "path long, start long, end0 boolean, end1 boolean, n0 long, n1 long, fault string")
     ranges, counts, faults, inside, last = {}, [0] * len(files), [None] * len(files), False, None
