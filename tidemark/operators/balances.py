@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.plans.lineage import HOT, join_groups
+from tidemark.plans.lineage import join_found
 
 
 def centre_column(columns: list[str]) -> str | None:
@@ -48,4 +48,4 @@ def duplicate_accounts(balances: DataFrame) -> DataFrame:
     key = F.struct(F.lower("centre").alias("c"), F.lower("first").alias("f"), F.lower("last").alias("l"))
     keyed = balances.withColumn("_key", key)
     groups = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return join_groups(keyed, groups, ["_key"], "n", HOT).drop("_key")
+    return join_found(keyed, groups, ["_key"], "n").drop("_key")

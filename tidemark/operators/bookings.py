@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text
 from tidemark.operators.components import block_components
 from tidemark.operators.intervals import ask, day_number, least_by_span, levels_for, spans_at, spans_of
-from tidemark.plans.lineage import HOT, join_groups, written
+from tidemark.plans.lineage import join_found, written
 from tidemark.plans.numbering import numbered
 
 DAY_COLUMNS = [f"{d[:3].lower()}{w}" for w in (1, 2) for d in text.WEEKDAYS]
@@ -46,10 +46,13 @@ def exact_duplicates(raw: DataFrame, order_col: str = "src_row") -> DataFrame:
     """
     days = [c for c in DAY_COLUMNS if c in raw.columns]
     key = [c for c in ("service_legacy_id", "child_legacy_id", "child_first_name", "child_last_name", "start_date", "end_date", "fee_name", "room_name", "frequency") if c in raw.columns]
-    keyed = raw.select(order_col, F.struct(*(text.text(c).alias(c) for c in key), *(text.day_flag(c).alias(c) for c in days)).alias("key"))
+    # Rows are told apart by a digest of their cells, each after its length, so that only that is shuffled.
+    cells = [text.text(c) for c in key] + [F.when(text.day_flag(c), "1").otherwise("0") for c in days]
+    digest = F.unhex(F.sha2(F.concat(*(x for c in cells for x in (F.length(c).cast("string"), F.lit(":"), c))).cast("binary"), 256))
+    keyed = written(raw.select(order_col, digest.alias("key")), "keys")
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_row")).where("n > 1")
-    groups = written(numbered(groups, [], "first_row", "group_no"), "groups")
-    members = numbered(join_groups(keyed, groups, ["key"], "n", HOT).select(order_col, "group_no", "first_row"), ["group_no"], order_col, "rank", first=0)
+    groups = numbered(written(groups, "groups"), [], "first_row", "group_no")
+    members = numbered(join_found(keyed, groups, ["key"], "n").select(order_col, "group_no", "first_row"), ["group_no"], order_col, "rank", first=0)
     return members.select(order_col, "group_no", "rank", F.when(F.col(order_col) == F.col("first_row"), "KEEP").otherwise("REMOVE").alias("status"))
 
 

@@ -1,7 +1,7 @@
 """Checks over several rows: duplicates and contradictions by key.
 
 Each groups by its key with partial aggregation and joins the flagged keys, few
-as a rule, back to the rows, hot ones by a broadcast. Blank keys leave before the shuffle, so that the most
+as a rule, back to the rows, by a broadcast where they are few. Blank keys leave before the shuffle, so that the most
 frequent "value" never makes a hot group.
 """
 
@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.plans.lineage import HOT, join_groups
+from tidemark.plans.lineage import join_found
 
 
 def _flag(df: DataFrame, key: Column, wrong: Column, *extra: Column, keep: list[str]) -> DataFrame:
     """(keep, key, n, extra) of the rows whose key's group is wrong. Aggregates see the columns of `df`."""
     keyed = df.withColumn("_key", key).where("_key <> ''")
     groups = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), wrong.alias("_wrong"), *extra).where("_wrong").drop("_wrong")
-    return join_groups(keyed.select(*keep, "_key"), groups, ["_key"], "n", HOT).withColumnRenamed("_key", "key")
+    return join_found(keyed.select(*keep, "_key"), groups, ["_key"], "n").withColumnRenamed("_key", "key")
 
 
 def duplicate_members(df: DataFrame, field: str, row_col: str = "row_num") -> DataFrame:

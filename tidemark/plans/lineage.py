@@ -80,10 +80,15 @@ def sweep(spark: SparkSession, hours: float = 24) -> int:
     return sum(bool(store.delete(path, True)) for path in old)
 
 
+def fits(df: DataFrame, rows: int, megabytes: int = 64) -> bool:
+    """Whether a written table has few rows and few bytes on disk."""
+    bound = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= megabytes << 20
+    return bound and df.count() <= rows
+
+
 def small(df: DataFrame, rows: int, megabytes: int = 64) -> DataFrame:
     """Mark a written table for broadcast if it has few rows and few bytes on disk; else leave the join to Catalyst."""
-    bound = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= megabytes << 20
-    return F.broadcast(df) if bound and df.count() <= rows else df
+    return F.broadcast(df) if fits(df, rows, megabytes) else df
 
 
 def hot_bound(rows: int) -> int | None:
@@ -103,3 +108,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], n: str, over
     hot = F.broadcast(groups.where(F.col(n) > over))
     others = rows.join(hot.select(*key), key, "left_anti").join(groups.where(F.col(n) <= over), key)
     return rows.join(hot, key).unionByName(others)
+
+
+def join_found(rows: DataFrame, groups: DataFrame, key: list[str], n: str, broadcast_rows: int = 250_000) -> DataFrame:
+    """Join rows to the groups that a check has found, few as a rule: these are written, and broadcast if they are few.
+
+    Only where they are many are rows shuffled, and read twice only where a group is hot.
+    """
+    groups = written(groups, "found")
+    if fits(groups, broadcast_rows):
+        return rows.join(F.broadcast(groups), key)
+    return join_groups(rows, groups, key, n, None if groups.where(F.col(n) > HOT).isEmpty() else HOT)
