@@ -289,6 +289,33 @@ def test_an_archive_inside_a_payload_is_not_entered():
             assert got == [0, 1, 2, 3, 4]
 
 
+def test_archives_inside_payloads_at_any_range(spark):
+    """An archive knows its own records by its id, however gzip stored a payload and wherever ranges begin."""
+    rng = random.Random(11)
+
+    def archive(info, payloads, level):
+        out = b""
+        for record in [warc.build_info(info)] + [warc.build_record(i, "http://x/" + "u" * (i % 3 * 700), p, "d", None, info) for i, p in enumerate(payloads)]:
+            z = zlib.compressobj(level, zlib.DEFLATED, 31)
+            out += z.compress(record) + z.flush()
+        return out
+
+    inner = archive("<urn:uuid:inner>", [rng.randbytes(rng.randrange(50, 900)) for _ in range(12)], 6)
+    payloads = [rng.randbytes(200), inner, b"x" * 5000, inner + rng.randbytes(500), b"", archive("<urn:uuid:nested>", [inner], 0)]
+    for level in (0, 6):
+        data = archive("<urn:uuid:outer>", payloads, level)
+        for step in (37, 500, 1500, 4000, 9000, len(data)):
+            got = [warc.parse_record(d) for a in range(0, len(data), step) for d in warc.records_from(io.BytesIO(data), a, min(a + step, len(data)), "<urn:uuid:outer>")]
+            assert [r[0] for r in got if r[2] == "response"] == list(range(6)) and [r[6] for r in got[1:]] == payloads and got[0][2] == "warcinfo"
+    # Through Spark: pages that are the text of archives, stored as they are.
+    pages = spark.createDataFrame([(i, "http://x", inner.decode("latin-1")) for i in range(3)] + [(3, "http://x", "plain")], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(warc.mark_revisits(pages), level=0)
+    for size in (1000, 4000, 1 << 22):
+        read = warc.read_archives(manifest, split_bytes=size).orderBy("page_id").collect()
+        assert [(r.page_id, r.record_type, r.refers_to) for r in read] == [(0, "response", None), (1, "revisit", 0), (2, "revisit", 0), (3, "response", None)]
+    assert warc.read_archives(manifest.drop("info")).count() == 4 and manifest.agg({"records": "sum"}).first()[0] == 4
+
+
 def test_warc_ranges_of_any_size(spark, tmp_path):
     rng = random.Random(1)
     data, want = io.BytesIO(), []
@@ -356,6 +383,100 @@ def test_flac_round_trip_and_damage(texts):
     assert flac.decode([None, b"", b"RIFF", os.urandom(100)]) == [[], [], [], []]
 
 
+def _plain_flac(stream: bytes) -> bytes:
+    """A decoder of its own, bit by bit from the published format: the samples as unsigned bytes; all checks are made."""
+    bits, at = format(int.from_bytes(stream, "big"), f"0{8 * len(stream)}b"), 0
+
+    def take(n, signed=False):
+        nonlocal at
+        assert at + n <= len(bits)
+        value, at = int("0" + bits[at : at + n], 2), at + n
+        return value - (1 << n) if signed and n and value >> (n - 1) else value
+
+    def crc(data, poly, width):
+        c = 0
+        for byte in data:
+            c ^= byte << (width - 8)
+            for _ in range(8):
+                c = (c << 1 ^ (poly if c >> (width - 1) else 0)) & ((1 << width) - 1)
+        return c
+
+    def residuals(block, order):
+        nonlocal at
+        method, parts = take(2), 1 << take(4)
+        out = []
+        for p in range(parts):
+            width, n = (4, 5)[method], block // parts - (order if p == 0 else 0)
+            if (rice := take(width)) == (1 << width) - 1:
+                raw = take(5)
+                out += [take(raw, True) for _ in range(n)]
+                continue
+            for _ in range(n):
+                one = bits.index("1", at)
+                high, at = one - at, one + 1
+                folded = high << rice | take(rice)
+                out.append(folded >> 1 ^ -(folded & 1))
+        return out
+
+    assert take(32) == int.from_bytes(b"fLaC", "big")
+    last = 0
+    while not last:
+        last, kind, length = take(1), take(7), take(24)
+        if kind == 0:
+            at += 80
+            _, channels, size, total, md5 = take(20), take(3) + 1, take(5) + 1, take(36), take(128)
+        else:
+            at += 8 * length
+    assert (channels, size) == (1, 8)
+    samples = []
+    while at < len(bits):
+        start = at // 8
+        assert take(14) == 0x3FFE and take(1) == 0
+        take(1)
+        block, rate = take(4), take(4)
+        assert take(4) == 0 and take(3) in (0, 1) and take(1) == 0
+        number = take(8)
+        for _ in range(max(0, format(number, "08b").index("0") - 1)):
+            assert take(2) == 2
+            take(6)
+        block = {1: 192, 6: None, 7: None}.get(block, 576 << (block - 2) if block < 6 else 256 << (block - 8 if block > 7 else 0)) or take({6: 8, 7: 16}[block]) + 1
+        assert rate < 12 and take(8) == crc(stream[start : at // 8 - 1], 0x07, 8)
+        assert take(1) == 0
+        kind, wasted = take(6), take(1)
+        assert wasted == 0
+        if kind == 0:
+            frame = [take(8, True)] * block
+        elif kind == 1:
+            frame = [take(8, True) for _ in range(block)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            frame = [take(8, True) for _ in range(order)]
+            if kind < 32:
+                shift, factors = 0, [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order]
+            else:
+                precision, shift = take(4) + 1, take(5, True)
+                factors = [take(precision, True) for _ in range(order)]
+            for r in residuals(block, order):
+                frame.append(r + (sum(f * frame[-1 - i] for i, f in enumerate(factors)) >> shift))
+        at += -at % 8
+        assert take(16) == crc(stream[start : at // 8 - 2], 0x8005, 16)
+        samples += frame
+    assert len(samples) == total
+    out = bytes(s & 0xFF for s in samples)
+    assert int.from_bytes(hashlib.md5(out).digest(), "big") == md5
+    return bytes(s + 128 for s in samples)
+
+
+def test_flac_streams_by_a_plain_decoder(texts):
+    """What is stored is a stream of the published format: a decoder that shares no code with the writer gives the payload."""
+    rng = random.Random(5)
+    ramp, wave = bytes(i // 8 % 256 for i in range(3000)), bytes(int(128 + 100 * math.sin(i / 9)) for i in range(5000))
+    payloads = [b"", b"a", b"\0" * 64, b"\xff" * 2048, rng.randbytes(2500), ramp, wave, bytes(rng.choice(b"ab ") for _ in range(1500)), b"x y" * 50_000]
+    payloads += [(t or "").encode() for t in list(texts.values())[:40]]
+    for payload, stream in zip(payloads, flac.encode(payloads)):
+        assert _plain_flac(stream) == payload
+
+
 def test_flac_goes_on_after_damaged_headers():
     rng = random.Random(8)
     for payload in (rng.randbytes(5000), bytes(int(60 * math.sin(i / 9)) + 128 for i in range(5000)), b"a" * 5000):

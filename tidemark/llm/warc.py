@@ -1,13 +1,18 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-Every record is a gzip member of its own. A reading task scans its byte range
-for the gzip magic and takes a candidate whose decoded start is a WARC header if
-the chain of members from there holds up to the range's end: each member has the
-length that its header states, and behind it stands another member or nothing. An
-archive that a payload carries uncompressed is such a chain only up to the
-payload's end, where the search goes on. The task owns the records that start
-inside its range; the last one may end beyond it. A member that begins as one and
-does not decode is damage and fails the job.
+Every record is a gzip member of its own. An archive begins with a warcinfo record
+of a random id, which all its records name in their headers and the manifest has. A
+reading task scans its byte range for the gzip magic and takes the first candidate
+whose decoded header names that id; an archive that a payload carries, compressed or
+not, has another. It owns the records that start inside its range; the last one may
+end beyond it. A member that begins as one and does not decode is damage and fails
+the job.
+
+Archives of other writers, of which the manifest has no id, are read too. There a
+candidate with a WARC header is taken if the chain of members from it holds up to
+the range's end: each has the length that its header states, and behind it stands
+another member or nothing. An archive that a payload carries uncompressed is such a
+chain only up to the payload's end, where the search goes on.
 
 Files are opened with pyarrow's file systems by URI, on executors only; they lie
 in the shared folder. A task writes to a name of its own attempt and the
@@ -17,9 +22,9 @@ that lost executors and repeated attempts leave no doubled records.
 Defined cases: a null payload is empty; a null url leaves the header out, control
 characters in urls are percent-encoded; rows that share the least page_id of
 equal payloads are all responses; a null page_id is never the least; an empty
-table gives no records; other columns are left out, whatever their names. An
-archive inside a payload is entered only where gzip stored it uncompressed and it
-fills all the rest of a range.
+table gives no records; other columns are left out, whatever their names; warcinfo
+records are not returned. In an archive without id, an archive inside a payload is
+entered where gzip stored it uncompressed and it fills all the rest of a range.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import types as T
 
 from tidemark.plans.lineage import new_folder, small, written
 
-MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MAGIC, VERSION, HEAD = b"\x1f\x8b\x08", b"WARC/1.", 1024
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 RECORD = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("url", T.StringType()),
@@ -49,9 +54,18 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def build_info(info: str) -> bytes:
+    """The first record of the archive of that id."""
+    body = b"format: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {info}", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, info: str | None = None) -> bytes:
     kind, body = ("revisit", b"HTTP/1.1 200 OK\r\n\r\n") if refers_to is not None else ("response", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload)
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
+    # The archive's id comes early, so that it lies in the first HEAD bytes however long the url is.
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}"] + ([f"WARC-Warcinfo-ID: {info}"] if info else [])
+    lines += ["WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
     if url is not None:
         lines.append("WARC-Target-URI: " + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if page_id is not None:
@@ -68,7 +82,7 @@ def parse_record(data: bytes) -> tuple:
     payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
     number = lambda k: int(fields[k]) if k in fields else None
     kind = fields["WARC-Type"]
-    return number("Page-Id"), fields["WARC-Record-ID"], kind, fields.get("WARC-Target-URI"), number("Refers-To-Page-Id"), fields["WARC-Payload-Digest"].removeprefix("sha256:"), payload if kind == "response" else None
+    return number("Page-Id"), fields["WARC-Record-ID"], kind, fields.get("WARC-Target-URI"), number("Refers-To-Page-Id"), fields.get("WARC-Payload-Digest", "").removeprefix("sha256:"), payload if kind == "response" else None
 
 
 def mark_revisits(pages: DataFrame, *, min_bytes: int = 100, broadcast_rows: int = 500_000) -> DataFrame:
@@ -86,24 +100,30 @@ def mark_revisits(pages: DataFrame, *, min_bytes: int = 100, broadcast_rows: int
 
 
 def write_archives(marked: DataFrame, level: int = 6) -> DataFrame:
-    """Write an archive for each partition; the manifest: (path, bytes, records)."""
+    """Write an archive for each partition; the manifest: (path, bytes, records, info), info the archive's id."""
     folder = new_folder(marked.sparkSession, "warc")
 
+    def member(record: bytes) -> bytes:
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return z.compress(record) + z.flush()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        path, size, n = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
-        with store.open_output_stream(path, compression=None) as out:
+        name, info = f"{uuid.uuid4().hex}.warc.gz", f"<urn:uuid:{uuid.uuid4()}>"
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+            first = member(build_info(info))
+            out.write(first)
+            size, n = len(first), 0
             for b in batches:
                 for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
-                    z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    member = z.compress(build_record(*row)) + z.flush()
-                    out.write(member)
-                    size, n = size + len(member), n + 1
-        yield pa.RecordBatch.from_pydict({"path": [path.rpartition("/")[2]], "bytes": [size], "records": [n]})
+                    record = member(build_record(*row, info))
+                    out.write(record)
+                    size, n = size + len(record), n + 1
+        yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "records": [n], "info": [info]})
 
-    manifest = written(marked.mapInArrow(run, "path string, bytes long, records long"), "manifest")
-    return manifest.select(F.concat(F.lit(folder + "/"), "path").alias("path"), "bytes", "records")
+    manifest = written(marked.mapInArrow(run, "path string, bytes long, records long, info string"), "manifest")
+    return manifest.select(F.concat(F.lit(folder + "/"), "path").alias("path"), "bytes", "records", "info")
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -153,30 +173,31 @@ def chain_end(file, at: int, end: int) -> tuple[int, bool]:
     return reached, not file.read(1)
 
 
-def first_record(file, start: int, end: int) -> int | None:
-    """The start of the first member in [start, end) that belongs to the archive itself."""
+def first_record(file, start: int, end: int, info: str | None = None) -> int | None:
+    """The start of the first member in [start, end) that belongs to the archive itself, which `info` names if it is known."""
     file.seek(start)
     window, i = file.read(end - start + 4096), 0
+    mark = f"\r\nWARC-Warcinfo-ID: {info}\r\n".encode()
     while (i := window.find(MAGIC, i, end - start + len(MAGIC) - 1)) >= 0:
         try:
-            likely = zlib.decompressobj(31).decompress(window[i : i + 4096], 16).startswith(VERSION)
+            head = zlib.decompressobj(31).decompress(window[i : i + 4096], HEAD).partition(b"\r\n\r\n")[0] + b"\r\n"
         except zlib.error:
-            likely = False
-        if likely and start + i == 0:
-            return 0
-        if likely:
+            head = b""
+        likely = head.startswith(VERSION)
+        if likely and (start + i == 0 or (info and mark in head)):
+            return start + i
+        reached = start + i
+        if likely and not info:
             reached, holds = chain_end(file, start + i, end)
             if holds:
                 return start + i
-            i = max(i + 1, reached - start)
-        else:
-            i += 1
+        i = max(i + 1, reached - start)
     return None
 
 
-def records_from(file, start: int, end: int, piece: int = 1 << 16) -> Iterator[bytes]:
+def records_from(file, start: int, end: int, info: str | None = None, piece: int = 1 << 16) -> Iterator[bytes]:
     """The decoded records of a seekable archive that start in [start, end)."""
-    first = first_record(file, start, end)
+    first = first_record(file, start, end, info)
     if first is None:
         return
     for at, _, record in members_from(file, first, piece):
@@ -186,23 +207,26 @@ def records_from(file, start: int, end: int, piece: int = 1 << 16) -> Iterator[b
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
-    """The records of archives (path, bytes), read in byte ranges of `split_bytes`."""
-    splits = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
+    """The records of archives (path, bytes, and info where it is known), read in byte ranges of `split_bytes`."""
+    info = F.col("info") if "info" in manifest.columns else F.lit(None).cast("string").alias("info")
+    splits = manifest.where("bytes > 0").select("path", "bytes", info, F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
     # A given number of partitions: adaptive execution would merge these few short rows into one task.
     n = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0))).first()[0]
-    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end")).repartition(max(1, min(int(n), 100_000)))
+    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end"), "info").repartition(max(1, min(int(n), 100_000)))
     names = RECORD.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in b.columns)):
+            for path, start, end, info in zip(*(c.to_pylist() for c in b.columns)):
                 store, at = open_store(path)
                 rows, size = [], 0
                 with store.open_input_file(at) as file:
-                    for data in records_from(file, start, end):
-                        rows.append(parse_record(data))
-                        size += len(data)
+                    for record in map(parse_record, records_from(file, start, end, info)):
+                        if record[2] == "warcinfo":
+                            continue
+                        rows.append(record)
+                        size += len(record[6] or b"") + 1024
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                             rows, size = [], 0
