@@ -312,6 +312,16 @@ def test_files_round_trip(spark, tmp_path, families):
     assert got == [(2, "182", "Ann\nMay Lee"), (3, "", "Bo"), (4, "7", "Cy")]
     (tmp_path / "in/c.xls").write_text("<html><table><tr><th>Centre Name</th></tr><tr><td>Sunny</td></tr></table><table><tr><td>no</td></tr></table>")
     assert [r.cells for r in readers.read_html_tables(spark, str(tmp_path / "in/c.xls")).orderBy("line").collect()] == [["Centre Name"], ["Sunny"]]
+    long = "é" * 5000
+    pages = {"long.xls": "<html>" + "<!-- > -->" * 200 + "<table>" + "".join(f"<tr><td>{i}</td><td a='>'>{long if i == 7 else '&lt;b&gt;'}</td></tr><tr></tr>" for i in range(25_000)) + "</table><table><tr><td>no</td></tr></table>",
+             "cut.xls": "<table><tr><td>a</td></tr><tr><td>b</td><td", "none.xls": "<p>no</p>", "text.xls": "a < b", "empty.xls": "", "mark.xls": "\ufeff<table><tr><td>x</td></tr></table>"}
+    for name, page in pages.items():
+        (tmp_path / name).write_text(page)
+    got = {}
+    for r in readers.html_and_rejected(spark, str(tmp_path / "*.xls")).collect():
+        got.setdefault(r.file.rpartition("/")[2], []).append((r.line, r.cells, r.reason))
+    assert sorted(got.pop("long.xls")) == [(i, [str(i), long if i == 7 else "<b>"], None) for i in range(25_000)]
+    assert got == {"cut.xls": [(0, ["a"], None), (1, ["b"], None)], "none.xls": [(None, None, "no table")], "text.xls": [(None, None, "not HTML")], "empty.xls": [(None, None, "empty")], "mark.xls": [(0, ["x"], None)]}
     (tmp_path / "more").mkdir()
     (tmp_path / "more/a.csv").write_text("Centre Name,Amount Due\nMoon,$5\n")
     (tmp_path / "more/b.xls").write_text("<p>x</p><table><tr><td> Centre Name </td><td>Credit</td></tr><tr><td>Sunny</td></tr></table>")

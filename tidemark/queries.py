@@ -771,6 +771,22 @@ def balances_from_files(v):
     return read.select(text.strip(balances.centre_column(read.columns)).alias("centre"), "html").where("centre <> ''").groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("html") == 1).alias("from_html"))
 
 
+@query("""WITH b AS (SELECT src_row // 500 AS page, (src_row // 500) % 4 AS kind, trim(account_name) AS name FROM fx_balances)
+SELECT page, CASE kind WHEN 0 THEN 'not HTML' WHEN 1 THEN 'no table' ELSE '' END AS reason, CASE WHEN kind > 1 THEN count(*) ELSE 0 END AS n, CASE WHEN kind > 1 THEN min(name) END AS least FROM b GROUP BY page, kind""")
+def pages_and_rejected_files(v):
+    """Pages with a table, some of them cut off behind its last row, pages without one, and files that are no pages."""
+    b = v("fx_balances").select(F.expr("src_row div 500").alias("page"), F.coalesce(F.trim("account_name"), F.lit("")).alias("name"))
+    spark, path = b.sparkSession, lineage.new_folder(b.sparkSession, "pages")
+    kind = F.col("page") % 4
+    line = F.when(kind == 0, F.col("name")).when(kind == 1, F.concat(F.lit("<p>"), "name", F.lit("</p>"))).otherwise(F.concat(F.lit("<tr><td>"), "name", F.lit("</td></tr>")))
+    head = F.when(kind == 0, "").when(kind == 1, "<html>").otherwise("<html><!-- <table><tr><td>no</td></tr></table> --><table><tr><th>Account Name</th></tr>")
+    end = F.when(kind == 2, "</table><table><tr><td>no</td></tr></table>").otherwise("")
+    b.groupBy("page").agg(F.array_join(F.collect_list(line), "\n").alias("body")).select("page", F.concat(head, "body", end).alias("value")).write.partitionBy("page").text(path)
+    read = readers.html_and_rejected(spark, path + "/*").withColumn("page", F.regexp_extract("file", "page=([0-9]+)", 1).cast("long"))
+    body = F.col("line") > 0
+    return read.groupBy("page").agg(F.coalesce(F.max("reason"), F.lit("")).alias("reason"), F.count_if(body).alias("n"), F.min(F.when(body, F.get("cells", F.lit(0)))).alias("least"))
+
+
 @query(f"WITH {_PROFILES} SELECT fn AS first, ln AS last, dob, legacy, count(*) AS n FROM prof WHERE row_num % 2 = 1 GROUP BY ALL")
 def existing_profiles_from_files(v):
     """Profiles of the files of existing services; a file that has no parents is left out."""

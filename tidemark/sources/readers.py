@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import codecs
 import itertools
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import text
-from tidemark.sources.split_csv import Table, csv_table
+from tidemark.plans.lineage import new_folder
+from tidemark.sources.split_csv import Table, csv_table, listed
 
 #: Texts that count as missing, and default headers of the service map.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -151,21 +153,92 @@ class _FirstTable(HTMLParser):
             self.cell.append(data)
 
 
+class _Page:
+    """One file's first table, fed in pieces: rows (file, line, cells, reason) as soon as they are complete."""
+
+    def __init__(self, file: str, size: int):
+        self.file, self.left, self.line = file, size, 0
+        self.head, self.known, self.html = b"", False, False
+        self.parser, self.decode = _FirstTable(), codecs.getincrementaldecoder("utf-8")("replace").decode
+
+    def feed(self, tokens: list[bytes]) -> list[tuple]:
+        """Tokens that each end with ">", which they lack; the file's last one may end without."""
+        self.left -= sum(map(len, tokens)) + len(tokens)
+        data = self.head + b">".join(tokens) + (b">" if self.left >= 0 else b"")
+        if self.known or len(data) >= 512:
+            self._take(data)
+        else:
+            self.head = data
+        return self._rows(0 if self.parser.state == 2 else 1)
+
+    def _take(self, data: bytes) -> None:
+        if not self.known:
+            self.known, self.html, self.head = True, b"<" in data[:512] and b">" in data[:512], b""
+        if self.html and self.parser.state < 2:
+            self.parser.feed(self.decode(data))
+
+    def close(self) -> list[tuple]:
+        self._take(self.head)
+        rows = self._rows(0)
+        return rows if self.line else [(self.file, None, None, "no table" if self.html else "not HTML")]
+
+    def _rows(self, open_rows: int) -> list[tuple]:
+        done = self.parser.rows[: len(self.parser.rows) - open_rows]
+        del self.parser.rows[: len(done)]
+        full = [r for r in done if r]
+        self.line += len(full)
+        return [(self.file, self.line - len(full) + i, r, None) for i, r in enumerate(full)]
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["file", "line", "cells", "reason"])
+
+    page = None
+    for b in batches:
+        out = []
+        tokens = zip(*(b.column(c).to_pylist() for c in ("file", "size", "value")))
+        for (file, size), run in itertools.groupby(tokens, key=lambda t: t[:2]):
+            if page is None or page.file != file:
+                out += page.close() if page else []
+                page = _Page(file, size)
+            out += page.feed([t[2] for t in run])
+        yield batch(out)
+    yield batch(page.close() if page else [])
+
+
+def html_and_rejected(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, cells, reason): the first table of each file, and a row with a reason for each file that has none.
+
+    A file's tokens, up to each ">", stream through one task, so memory holds one batch
+    of them however large the file is. line 0 holds the headers. Files of which the first
+    512 bytes do not look like HTML are left out as "not HTML", pages without a row of
+    cells as "no table"; a table that is cut off has the rows that are complete, and
+    bytes that are no UTF-8 are replaced. Files without any byte are "empty".
+    """
+    found = list(dict.fromkeys(listed(spark, [path] if isinstance(path, str) else path)))
+    schema = "file string, line long, cells array<string>, reason string"
+    empty = spark.createDataFrame([(shown, None, None, "empty") for _, shown, n in found if not n], schema)
+    sizes = [n for _, _, n in found if n]
+    if not sizes:
+        return empty
+    # Ranges of whole files: none is cut, and small ones share a task.
+    whole = max(*sizes, min(128 << 20, sum(sizes) // spark.sparkContext.defaultParallelism), 1)
+    own = spark.newSession()
+    for key, value in {"maxPartitionBytes": whole, "minPartitionNum": 1, "openCostInBytes": whole // 32 + 1}.items():
+        own.conf.set(f"spark.sql.files.{key}", str(value))
+    names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f, _, n in found if n]
+    tokens = own.read.option("lineSep", ">").text(names).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    # Written by that session, as a plan of another would cut the files by its own settings.
+    folder = new_folder(spark, "pages")
+    tokens.mapInArrow(_page_rows, schema).write.parquet(folder)
+    return spark.read.schema(schema).parquet(folder).unionByName(empty)
+
+
 def read_html_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, cells) of the first table of each file whose first bytes look like HTML; line 0 holds the headers."""
-    files = spark.read.format("binaryFile").load([path] if isinstance(path, str) else path)
-    head = F.substring(F.decode("content", "ISO-8859-1"), 1, 512)
-    html = files.where((F.instr(head, "<") > 0) & (F.instr(head, ">") > 0)).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b.path, b.content):
-                p = _FirstTable()
-                p.feed(bytes(content).decode("utf-8", "replace"))
-                rows = [r for r in p.rows if r]
-                yield pd.DataFrame({"file": [file] * len(rows), "line": range(len(rows)), "cells": rows})
-
-    return html.mapInPandas(run, T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
+    return html_and_rejected(spark, path).where("reason is null").drop("reason")
 
 
 def input_files(spark: SparkSession, path: str, excluded: str = "serviceids.csv") -> DataFrame:
