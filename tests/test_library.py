@@ -435,3 +435,12 @@ def test_log_of_a_families_run(families):
     assert texts[4, "DOB", "date"] == ("DOB '2020-13-40': no date", "Ann Lee") and texts[2, "Room_Name", "no_blue"][0] == "Room_Name 'Blue': blue is closed"
     assert next(r.meta for r in log if r.field == "State") == {"after": "VIC"}
     assert issue_log.families_log(df.limit(0), service_map, "2025-01-01").count() == 0
+
+
+def test_metrics_on_the_way(spark):
+    """A written table's metrics come from the job that writes it; an empty table has them too."""
+    rows = spark.range(10_000).withColumn("g", F.col("id") % 7)
+    aggregates = {"n": F.count(F.lit(1)), "odd": F.count_if(F.col("id") % 2 == 1), "groups": F.size(F.collect_set("g"))}
+    for df, want in ((rows, (10_000, 5000, 7)), (rows.where("id < 0"), (0, 0, 0)), (rows.limit(0), (0, 0, 0)), (rows.repartition(5, "g"), (10_000, 5000, 7))):
+        table, seen = lineage.measured(df, "seen", **aggregates)
+        assert (seen["n"], seen["odd"], seen["groups"]) == want and table.count() == want[0]

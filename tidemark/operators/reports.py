@@ -75,30 +75,21 @@ def booking_metrics(template: DataFrame) -> DataFrame:
     return template.groupBy("week_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("service_id").alias("services"), F.count_if(F.col("service_id") == "").alias("unmapped"))
 
 
-def bookings_run(raw: DataFrame, duplicates: DataFrame, unmapped: DataFrame, conflicts: DataFrame, recurring: DataFrame, casual: DataFrame, removed: DataFrame, n_files: int = 1) -> DataFrame:
-    """(metric, n): what a bookings run has read, found, removed and kept. One aggregate a stage.
-
-    conflicts: the removed recurring bookings (service_id, child_id), whose distinct pairs are
-    the conflict groups; recurring, casual: what is kept; removed: the casuals taken out.
+def bookings_run(seen: dict[str, int], unmapped: DataFrame, conflicts: DataFrame, n_files: int = 1) -> DataFrame:
+    """(metric, n): what a bookings run has read, found, removed and kept.
+
+    seen: the counts that the run's stages have observed while they wrote their tables:
+    template_rows, duplicate_rows, duplicate_groups, duplicates_removed, recurring_kept,
+    recurring_files, casual_kept, casual_files and casual_removed. The rows read are the
+    template's and the duplicates taken out before it. conflicts: the removed recurring
+    bookings (service_id, child_id), whose distinct pairs are the conflict groups.
     """
-    spark = raw.sparkSession
-
-    def counts(df: DataFrame, **what):
-        one = df.agg(*(c.alias(k) for k, c in what.items()))
-        return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("long").alias("n")) for k in what))).alias("m")).select("m.*")
-
+    known = {"input_files": n_files, "raw_rows": seen["template_rows"] + seen["duplicates_removed"]} | {k: n for k, n in seen.items() if k != "template_rows"}
+    out = unmapped.sparkSession.createDataFrame(list(known.items()), "metric string, n long")
     rows = F.count(F.lit(1))
-    out = spark.createDataFrame([("input_files", n_files)], "metric string, n long")
-    for part in (
-        counts(raw, raw_rows=rows),
-        counts(duplicates, duplicate_rows=rows, duplicate_groups=F.count_distinct("group_no"), duplicates_removed=F.count_if(F.col("status") == "REMOVE")),
-        counts(unmapped, unmapped_services=rows),
-        counts(conflicts, conflict_rows=rows, conflict_groups=F.count_distinct("service_id", "child_id")),
-        counts(recurring, recurring_kept=rows, recurring_files=F.count_distinct("service_id")),
-        counts(casual, casual_kept=rows, casual_files=F.count_distinct("service_id")),
-        counts(removed, casual_removed=rows),
-    ):
-        out = out.unionByName(part)
+    for df, what in ((unmapped, {"unmapped_services": rows}), (conflicts, {"conflict_rows": rows, "conflict_groups": F.count_distinct("service_id", "child_id")})):
+        one = df.agg(*(c.alias(k) for k, c in what.items()))
+        out = out.unionByName(one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("long").alias("n")) for k in what))).alias("m")).select("m.*"))
     return out
 
 

@@ -12,7 +12,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
@@ -49,6 +49,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`df` as a written table, and aggregates of its rows that the writing job observes on the way, without a read of its own.
+
+    Rows are observed in the last stage, where a repeated task counts once. An aggregate's
+    state goes to the driver from each task, so it must be bounded.
+    """
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    table = written(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), label)
+    return table, dict(seen.get)
+
+
 def place() -> int:
     """The place to which a later `discard` goes back."""
     return len(_made)

@@ -613,15 +613,16 @@ UNION ALL SELECT 'recurring_kept', count(*) FROM live UNION ALL SELECT 'recurrin
 UNION ALL SELECT 'casual_files', count(DISTINCT service_id) FROM stay UNION ALL SELECT 'casual_removed', count(*) FROM cut""")
 def bookings_run(v):
     raw, services = v("fx_bookings_dup"), v("fx_service_map")
-    duplicates = written(bookings.exact_duplicates(raw), "duplicates")
+    rows, services_of = F.count(F.lit(1)), F.size(F.collect_set("service_id"))  # a file a service: as many as files are written
+    duplicates, found = lineage.measured(bookings.exact_duplicates(raw), "duplicates", duplicate_rows=rows, duplicate_groups=F.count_if(F.col("status") == "KEEP"), duplicates_removed=F.count_if(F.col("status") == "REMOVE"))
     once = raw.join(duplicates.where("status = 'REMOVE'").select("src_row"), "src_row", "left_anti")
-    template = written(bookings.booking_template(once, services), "template")
+    template, read = lineage.measured(bookings.booking_template(once, services), "template", template_rows=rows)
     casual, recurring = template.where("upper(week_type) = 'CASUAL'"), template.where("upper(week_type) <> 'CASUAL'")
     resolved = bookings.resolve_conflicts(recurring)
-    live = written(bookings.surviving(recurring, resolved), "live")
-    removed = written(bookings.casual_overlaps(casual, live), "overlaps")
-    kept = casual.join(removed.select("src_row"), "src_row", "left_anti")
-    return reports.bookings_run(raw, duplicates, bookings.unmapped_services(once, services), resolved.where("not kept"), live, kept, removed)
+    live, stay = lineage.measured(bookings.surviving(recurring, resolved), "live", recurring_kept=rows, recurring_files=services_of)
+    removed, gone = lineage.measured(bookings.casual_overlaps(casual, live), "overlaps", casual_removed=rows)
+    _, kept = lineage.measured(casual.join(removed.select("src_row"), "src_row", "left_anti"), "casual", casual_kept=rows, casual_files=services_of)
+    return reports.bookings_run(found | read | stay | gone | kept, bookings.unmapped_services(once, services), resolved.where("not kept"))
 
 
 @query(f"WITH {_TEMPLATE} SELECT row_number() OVER (ORDER BY service_id, child_id, src_row) AS place, src_row FROM b")
