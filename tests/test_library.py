@@ -444,3 +444,15 @@ def test_metrics_on_the_way(spark):
     for df, want in ((rows, (10_000, 5000, 7)), (rows.where("id < 0"), (0, 0, 0)), (rows.limit(0), (0, 0, 0)), (rows.repartition(5, "g"), (10_000, 5000, 7))):
         table, seen = lineage.measured(df, "seen", **aggregates)
         assert (seen["n"], seen["odd"], seen["groups"]) == want and table.count() == want[0]
+
+
+def test_named_texts_keep_their_order(spark):
+    """A file's lines are in order whatever the order in which tasks hand them on."""
+    from tidemark import queries
+
+    path = lineage.new_folder(spark, "ordered")
+    rows = spark.range(3000, numPartitions=7).selectExpr("concat('n', id % 3) name", "cast(2999 - id as string) value", "2999 - id o").orderBy(F.rand(5))
+    queries._named_texts(rows, path, "o")
+    for i in range(3):
+        lines = [int(r.value) for r in spark.read.text(f"{path}/n{i}").collect()]
+        assert len(lines) == 1000 and lines == sorted(lines)

@@ -899,10 +899,12 @@ def input_files_listed(v):
     return listed.select("name").join(lines, "name", "left")
 
 
-def _named_texts(df: DataFrame, path: str) -> None:
-    """Files of given names in a folder, with the lines (name, value); for fixtures."""
+def _named_texts(df: DataFrame, path: str, *order: str) -> None:
+    """Files of given names in a folder, with the lines (name, value), in order of further columns if any are given; for fixtures."""
     spark, made = df.sparkSession, lineage.new_folder(df.sparkSession, "named")
-    df.repartition("name").write.partitionBy("name").text(made)
+    # Sorted behind the last shuffle, which keeps no order; names are never null, as the writer would sort anew by those that may be.
+    placed = df.withColumn("name", F.coalesce("name", F.lit(""))).repartition("name").sortWithinPartitions("name", *order)
+    placed.select("name", "value").write.partitionBy("name").text(made)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(path)
     store = top.getFileSystem(conf)
@@ -922,7 +924,7 @@ def existing_files_and_rejected(v):
     every = f.select(F.concat(F.lit("old"), F.col("row_num") % 3, F.lit(".csv")).alias("name"), cells.alias("value"))
     lead = lambda names, head: spark.createDataFrame([(n, head) for n in names], "name string, value string")
     rows = lead(["old0.csv", "old1.csv", "old2.csv"], "ServiceID,Parent1_First_Name,Parent1_Last_Name").withColumn("o", F.lit(0)).unionByName(every.withColumn("o", F.lit(1)))
-    _named_texts(rows.repartition("name").sortWithinPartitions("name", "o").drop("o"), path)
+    _named_texts(rows, path, "o")
     _named_texts(v("fx_service_map").select(F.lit("other.csv").alias("name"), F.concat_ws(",", "service_name", "target_service_id").alias("value")), path)
     _named_texts(v("fx_service_map").select(F.lit("damaged.csv").alias("name"), F.concat(F.lit("Parent1_First_Name,"), F.char(F.lit(0)), "service_name").alias("value")), path)
     read, rejected = readers.existing_and_rejected(spark, path)
