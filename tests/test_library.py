@@ -446,6 +446,34 @@ def test_metrics_on_the_way(spark):
         assert (seen["n"], seen["odd"], seen["groups"]) == want and table.count() == want[0]
 
 
+@pytest.mark.parametrize("block", [0, 9, 64])
+def test_blocks_by_pairs_and_by_spans_agree(spark, monkeypatch, block):
+    """Small blocks go by their pairs, large ones by sweeps and spans, with one result."""
+    rng = random.Random(33)
+    rows = some_bookings(rng, 260)
+    df, casual = spark.createDataFrame(rows, BOOKING), spark.createDataFrame(some_bookings(rng, 200, 5000, ("CASUAL",)), BOOKING)
+
+    def results():
+        resolved = bookings.resolve_conflicts(df)
+        frames = resolved.select("src_row", "component", "kept"), bookings.first_partners(resolved, df), bookings.casual_overlaps(casual, df), bookings.conflict_report(df, resolved).select("src_row", "conflict_reason")
+        return [sorted(map(tuple, f.collect())) for f in frames]
+
+    monkeypatch.setattr(bookings, "BLOCK", 100_000)
+    want = results()
+    monkeypatch.setattr(bookings, "BLOCK", block)
+    assert results() == want and all(want)
+
+
+def test_dates_in_the_usual_form_and_white_space(spark):
+    """All that Unicode calls white space is stripped, and first forms with times, blanks and days that don't exist are dates or null as before."""
+    white = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    texts = [f"{white}1/2/2024\n", "01/02/2024 12:00:00 AM", "31/02/2024", "1/2/2024 13:00 PM", " ", "2024-02-01", "1.2.2024 9:05", "x" + white + "y", "​1/2/2024"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", dates.booking_date("t"), text.strip("t")).orderBy("i").collect()
+    day = datetime.date(2024, 2, 1)
+    assert [r[1] for r in rows] == [day, day, None, None, None, day, day, None, None]
+    assert [r[2] for r in rows] == ["1/2/2024", *texts[1:4], "", *texts[5:]]
+
+
 def test_named_texts_keep_their_order(spark):
     """A file's lines are in order whatever the order in which tasks hand them on."""
     from tidemark import queries

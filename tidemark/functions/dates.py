@@ -36,8 +36,9 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 def booking_date(c: Column | str) -> Column:
     """A date in any of FORMS, with a 12-hour time, a 24-hour time or none.
 
-    One pattern tells the form, and the parts are put in order and parsed once, so
-    that the expression stays small where it is copied into filters.
+    Blank texts and the first form, the usual ones, are told first and parsed as they
+    are. For others one pattern tells the form, and the parts are put in order and parsed
+    once, so that the expression stays small where it is copied into filters.
     """
     value = strip(c)
     month = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for name in dict.fromkeys((m, m[:3])) for x in (name, str(i))))
@@ -51,7 +52,8 @@ def booking_date(c: Column | str) -> Column:
         return F.try_to_date(F.concat(year, F.lit("-"), number, F.lit("-"), F.when(word, b).when(first, c).otherwise(a)), "yyyy-M-d")
 
     parts = F.when(value.rlike(f"^(?:{'|'.join(FORMS)}){_TIME}"), F.split(F.regexp_replace(value, _TIME, ""), "[-/., ]+"))
-    return F.get(F.transform(F.array(parts), ordered), F.lit(0))
+    other = F.get(F.transform(F.array(parts), ordered), F.lit(0))
+    return F.when(value == "", None).when(value.rlike(DMY_TIME), F.try_to_date(F.substring_index(value, " ", 1), "d/M/yyyy")).otherwise(other)
 
 
 def payment_date(c: Column | str) -> Column:

@@ -34,9 +34,13 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+#: All characters that Unicode calls white space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
-    """Without any white space at both ends; Spark's trim takes spaces only."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    """Without any white space at both ends; Spark's trim alone takes spaces only, and a pattern would scan the whole text."""
+    return F.btrim(text(c), F.lit(WHITE))
 
 
 def norm(c: Column | str) -> Column:
