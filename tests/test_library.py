@@ -484,3 +484,30 @@ def test_named_texts_keep_their_order(spark):
     for i in range(3):
         lines = [int(r.value) for r in spark.read.text(f"{path}/n{i}").collect()]
         assert len(lines) == 1000 and lines == sorted(lines)
+
+
+def test_rows_are_put_in_sequence_after_one_evaluation(spark):
+    """What leads to the rows runs once, not again to find the ranges by which they are sorted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return -x
+
+    df = spark.range(3000, numPartitions=3).withColumn("x", counted("id"))
+    rows = numbering.in_sequence(df, ["x"], "n").collect()
+    assert sorted((r.n, r.id) for r in rows) == [(i + 1, 2999 - i) for i in range(3000)] and seen.value == 3000
+
+
+def test_a_log_is_dealt_to_many_tasks(families, monkeypatch):
+    """The rules run over rows dealt by their numbers, however few ranges the input has."""
+    plans, real = {}, issue_log.written
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().analyzed().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(issue_log, "written", noted)
+    issue_log.families_log(families[0].coalesce(1), families[1], "2025-01-01")
+    assert "RepartitionByExpression" in plans["raw"]

@@ -81,6 +81,8 @@ def _cross(rows: DataFrame) -> list[DataFrame]:
 
 def families_log(raw: DataFrame, service_map: DataFrame, as_of: str, more_rules: list[Rule] | None = None) -> DataFrame:
     """(ordinal, LOG, child_name) of a whole families run: rows as read (with row_num), the service map, and the day that counts as today."""
+    # A compact file has few ranges, and each of its rows is tested by all rules: rows are dealt to all tasks first.
+    raw = written(raw.repartition("row_num"), "raw")
     scope = written(repairs.in_scope(raw, service_map), "scope")
     modal = repairs.modal_states(scope)
     state_step = (lambda df: repairs.normalise_states(df, modal), repairs.STATE_COLUMNS, "set to a state's code", {})

@@ -32,9 +32,10 @@ def in_sequence(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Add `name`: the row's number from 1 in the order of columns of any type, null first.
 
     Rows are sorted by ranges and written; a row's number is the count of the ranges before
-    its own, plus its place in it. Only one count a range is summed along.
+    its own, plus its place in it. Only one count a range is summed along. The rows are
+    written before, as ranges are found by reading them once more.
     """
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at"))
+    ranged = written(df, "unsorted").repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at"))
     ranged = written(ranged, "ranges")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     counts = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n") - F.col("_first") + 1).alias("_shift"))
