@@ -511,3 +511,12 @@ def test_a_log_is_dealt_to_many_tasks(families, monkeypatch):
     monkeypatch.setattr(issue_log, "written", noted)
     issue_log.families_log(families[0].coalesce(1), families[1], "2025-01-01")
     assert "RepartitionByExpression" in plans["raw"]
+
+
+def test_files_of_some_ten_megabytes_have_several_ranges(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    with open(path, "w") as f:
+        f.write("a,b\n")
+        f.writelines(f'{i},"{"x" * 1000}"\n' for i in range(40_000))
+    found = split_csv.csv_records(spark, [path])
+    assert len(found.rows.inputFiles()) > 1 and found.counts == [40_001]

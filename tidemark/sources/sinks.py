@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.plans.lineage import HOT, join_groups
+from tidemark.plans.lineage import HOT, join_groups, written
 from tidemark.plans.numbering import in_sequence
 from tidemark.plans.repairs import split_rows
 from tidemark.sources.split_csv import csv_records
@@ -79,6 +79,7 @@ def write_repaired_payments(repaired: DataFrame, columns: list[str], path: str)
 
 def write_balances(resolved: DataFrame, path: str, fmt: str = "csv") -> None:
     """By centre, and all centres together; rows in order."""
+    resolved = written(resolved, "resolved")
     labelled = resolved.withColumn("centre_label", text.file_part("centre"))
     write_splits(_in_split(labelled, ["centre_label"], "src_row"), ["centre_label"], "_place", resolved.columns, f"{path}/by_centre", fmt)
     write_splits(_in_split(resolved, [], "src_row"), [], "_place", resolved.columns, f"{path}/all", fmt)

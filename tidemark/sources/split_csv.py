@@ -44,7 +44,8 @@ from tidemark.plans.lineage import new_folder
 
 #: More ranges than this are not made: ranges grow with the files instead.
 MOST_RANGES = 200_000
-RANGE_BYTES = 128 << 20
+#: A range is followed by Python, so it is smaller than Spark's own of 128 MB: files of some ten MB have several tasks.
+RANGE_BYTES = 16 << 20
 BOM = b"\xef\xbb\xbf"
 OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
 
